@@ -94,7 +94,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
                 name = f"{path}/part-{part:06d}-{uuid.uuid4().hex[:8]}.tids"
                 fs, inner = file_system(path)
                 fs.create_dir(inner, recursive=True)
-                out = fs.open_output_stream(f"{inner}/{name.rsplit('/', 1)[-1]}")
+                out = fs.open_output_stream(f"{inner}/{name.rsplit('/', 1)[-1]}", compression=None)
             for doc_id, coded in zip(b.column(1).to_pylist(), encoder.encode(b.column(2).to_pylist())):
                 coded += end
                 n_docs, n_ids = n_docs + 1, n_ids + len(coded) // encoder.dtype.itemsize
@@ -124,7 +124,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for part, name in zip(b.column("part").to_pylist(), b.column("file").to_pylist()):
                 fs, inner = file_system(name)
-                with fs.open_input_stream(inner) as f:
+                with fs.open_input_stream(inner, compression=None) as f:
                     yield from _documents(part, f.read)
 
     return manifest.repartition(partitions(spark), "file").mapInArrow(read, "part int, doc_id long, at long, n_tokens long, ids binary")
