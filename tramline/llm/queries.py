@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bm25_packing, byte_bpe, chat_windows, exact_dedup, merkle, secret_scan, token_files, toxicity, warc
+from . import bm25_packing, byte_bpe, chat_windows, exact_dedup, merkle, ngram_join, secret_scan, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_token_files": token_files.op2_token_files,
         "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_warc_normaliser": warc.op4_warc_normaliser,
