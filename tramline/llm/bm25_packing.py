@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_range, materialise, partitions, slices, table
-from .pieces import PieceEncoder
+from .common import TOGETHER, by_range, materialise, partitions, slices, table
+from .pieces import encoder as piece_encoder
 
 WINDOW = 2048
 SHARD = 1 << 18
@@ -47,17 +47,17 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("terms", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder = PieceEncoder(lambda: Tokenizer.from_file(tokenizer_path), "spaces")
-        end = np.array([end_id], encoder.dtype).tobytes()
+        encoder = piece_encoder(lambda: Tokenizer.from_file(tokenizer_path), "spaces", tokenizer_path)
         terms = np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int32)
-        for b in slices(batches):
-            coded = [c + end for c in encoder.encode(b.column(1).to_pylist())]
-            arrays = [np.frombuffer(c, encoder.dtype) for c in coded]
+        for b in slices(batches, TOGETHER):
+            coded, ends = encoder.encode(b.column(1))
+            coded, ends = np.insert(coded, ends[1:], end_id), ends + np.arange(len(ends))
+            arrays = [coded[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
             for a in arrays:
                 terms[np.unique(a)] += 1
             salt = b.column(2).to_pylist()
             places = [(_min_hash(a) >> 20 << 20) | s for a, s in zip(arrays, salt)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.int64()), pa.array([len(a) for a in arrays], pa.int64()), pa.array(coded, pa.binary()), pa.nulls(len(coded), pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.int64()), pa.array([len(a) for a in arrays], pa.int64()), pa.array([a.tobytes() for a in arrays], pa.binary()), pa.nulls(len(arrays), pa.list_(pa.int32()))], schema=schema)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([terms], pa.list_(pa.int32()))], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("salt"))

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
-from .pieces import PieceEncoder
+from .common import TOGETHER, slices, table
+from .pieces import encoder as piece_encoder
 
 
 def byte_characters() -> dict[int, str]:
@@ -88,11 +88,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
     rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).select(*[f.name for f in kept], "_text")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder = PieceEncoder(lambda: ranked_tokenizer(path, pattern), "spaces")
-        for b in slices(batches):
-            coded = encoder.encode(b.column(b.num_columns - 1).to_pylist())
-            ids = np.frombuffer(b"".join(coded), encoder.dtype).astype(np.int32)
-            ends = np.concatenate([[0], np.cumsum([len(c) // encoder.dtype.itemsize for c in coded])]).astype(np.int32)
+        encoder = piece_encoder(lambda: ranked_tokenizer(path, pattern), "spaces", path, pattern)
+        for b in slices(batches, TOGETHER):
+            ids, ends = encoder.encode(b.column(b.num_columns - 1))
+            ids, ends = ids.astype(np.int32), ends.astype(np.int32)
             new = [pa.ListArray.from_arrays(ends, pa.array(ids))]
             if offsets:
                 chars = _table(path).characters[ids]

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 #: Rows that Python tasks turn over at a time; texts may be long.
 SLICE = 500
+#: Rows that are encoded together: the more, the rarer a distinct piece is looked up.
+TOGETHER = 2000
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -1,10 +1,13 @@
-"""Whole texts through the tokenizers library, with each distinct piece of text encoded once in a while.
+"""Whole texts through the tokenizers library, with frequent pieces of text remembered.
 
 A piece ends where no merge can cross, so a text's ids are its pieces' ids in a row. Two rules of cutting:
 
 * ``words``: at each space and line feed; for vocabularies that drop white space before they merge.
 * ``spaces``: before each single space that stands between two characters that are no white space; for byte-level
   vocabularies, whose pattern takes a space with the word after it. A text with other runs of spaces is encoded whole.
+
+Pieces not yet known are encoded many at a time. The memory has two halves of at most ``limit`` pieces: a full young half
+becomes the old one, and what is asked for again moves back.
 """
 
 from __future__ import annotations
@@ -13,68 +16,115 @@ import os
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+_ENCODERS: dict[tuple, "PieceEncoder"] = {}
+#: A character that stands alone between the pieces of a ``words`` batch.
+MARK = "\x01"
+#: Pieces encoded at a time.
+TOGETHER = 400
+
+
+def encoder(load: Callable, cut: str, *key: str) -> "PieceEncoder":
+    """The encoder for ``key`` of this process; tasks in one Python worker share it."""
+    if (cut, *key) not in _ENCODERS:
+        _ENCODERS[cut, *key] = PieceEncoder(load, cut)
+    return _ENCODERS[cut, *key]
 
 
 class PieceEncoder:
-    """Encodes texts to little-endian unsigned ids. ``limit``: how many pieces stay known before all are forgotten."""
+    """Encodes texts to little-endian unsigned ids."""
 
-    def __init__(self, load: Callable, cut: str, limit: int = 300_000, longest: int = 48):
+    def __init__(self, load: Callable, cut: str, limit: int = 400_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = load()
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cut, self.limit, self.longest, self.known = cut, limit, longest, {}
+        self.cut, self.limit, self.longest, self.young, self.old = cut, limit, longest, {}, {}
+        if cut == "words":
+            self.mark = np.frombuffer(self.whole([MARK])[0], self.dtype)
+        else:
+            vocabulary = self.tokenizer.get_vocab()
+            self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.spaced[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return self._words(texts) if self.cut == "words" else self._spaces(texts)
-
-    def _learn(self, wanted: set[str], lead: str) -> dict[str, bytes]:
-        """Ids of the wanted pieces; those too long to keep stay with the caller."""
-        if len(self.known) + len(wanted) > self.limit:
-            self.known.clear()
-        new = list(wanted)
-        ids = self.whole([lead + p for p in new])
-        long = {}
-        for p, b in zip(new, ids):
-            (self.known if len(p) <= self.longest else long)[p] = b
-        return long
-
-    def _words(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*split)
-        self_known = self.known
-        missing = wanted.difference(self_known)
-        if len(self_known) + len(missing) > self.limit:
-            self_known.clear()
-            missing = wanted
-        long = self._learn(missing, "")
-        get = (self_known | long).__getitem__ if long else self_known.__getitem__
-        return [b"".join(map(get, ps)) for ps in split]
-
-    def _spaces(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        wanted = set().union(*(ps[1:] for ps in split))
-        missing = wanted.difference(self.known)
-        if len(self.known) + len(missing) > self.limit:
-            self.known.clear()
-            missing = wanted
-        odd = {p for p in missing if not p or p[0].isspace() or p[-1].isspace()}
-        long = self._learn(missing - odd, " ")
-        get = (self.known | long).__getitem__ if long else self.known.__getitem__
-        out, later = [b""] * len(texts), []
-        heads = []
-        for k, ps in enumerate(split):
-            head = ps[0]
-            if len(ps) == 1 or not head or head[-1].isspace() or (odd and not odd.isdisjoint(ps[1:])):
-                later.append(k)
-            else:
-                heads.append(k)
-        for k, b in zip(later, self.whole([texts[k] for k in later])):
-            out[k] = b
-        for k, b in zip(heads, self.whole([split[k][0] for k in heads])):
-            out[k] = b + b"".join(map(get, split[k][1:]))
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, from texts of many."""
+        chunks = [pieces[k : k + TOGETHER] for k in range(0, len(pieces), TOGETHER)]
+        n, out = self.dtype.itemsize, []
+        words = self.cut == "words"
+        for chunk, coded in zip(chunks, self.whole([f" {MARK} ".join(c) if words else " " + " ".join(c) for c in chunks])):
+            ids = np.frombuffer(coded, self.dtype)
+            at = np.nonzero(ids == self.mark[0] if words else self.spaced[ids])[0]
+            if words and len(self.mark) == 1 and len(at) == len(chunk) - 1:
+                out += [coded[i * n : j * n] for i, j in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)])]
+            elif not words and len(at) == len(chunk):
+                out += [coded[i * n : j * n] for i, j in zip(at.tolist(), [*at[1:].tolist(), len(ids)])]
+            else:  # a piece that holds the mark
+                out += self.whole(chunk if words else [" " + p for p in chunk])
         return out
+
+    def _look_up(self, pieces: list[str], odd: Callable | None = None) -> list[bytes | None]:
+        """Ids of each of these distinct pieces; None for those that ``odd`` says are none."""
+        got = list(map(self.young.get, pieces))
+        at = [k for k, b in enumerate(got) if b is None]
+        new = []
+        for k in at:
+            p = pieces[k]
+            if (b := self.old.get(p)) is None:
+                if not (odd and odd(p)):
+                    new.append(k)
+                continue
+            got[k] = self.young[p] = b
+        for k, b in zip(new, self._together([pieces[k] for k in new])):
+            got[k] = b
+            if len(pieces[k]) <= self.longest:
+                self.young[pieces[k]] = b
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        return got
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (one more at the end). No text may be null."""
+        words = self.cut == "words"
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " ") if words else texts, " ")
+        flat, at = split.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        coded = flat.dictionary_encode()
+        index = coded.indices.to_numpy()
+        if words:
+            found = self._look_up(coded.dictionary.to_pylist())
+        else:
+            # A text's first piece has no space before it.
+            heads = flat.take(pa.array(at[:-1])).to_pylist()
+            follows = np.ones(len(index), bool)
+            follows[at[:-1]] = False
+            used = np.zeros(len(coded.dictionary), bool)
+            used[index[follows]] = True
+            known = np.nonzero(used)[0]
+            found: list = [b""] * len(used)
+            for k, b in zip(known.tolist(), self._look_up(coded.dictionary.take(pa.array(known)).to_pylist(), lambda p: not p or p[0].isspace() or p[-1].isspace())):
+                found[k] = b
+            odd = np.array([b is None for b in found])
+            whole = np.array([not h or h[-1].isspace() for h in heads], bool)
+            if odd.any():
+                whole |= np.add.reduceat(np.concatenate([(odd[index] & follows).astype(np.int64), [0]]), at[:-1])[: len(heads)] > 0 if len(heads) else whole
+                found = [b or b"" for b in found]
+            index = index.copy()
+            index[at[:-1]] = len(found) + np.arange(len(heads))
+            if whole.any():
+                rows = np.nonzero(whole)[0]
+                for k, t in zip(rows.tolist(), texts.take(pa.array(rows)).to_pylist()):
+                    heads[k] = t
+                    index[at[k] + 1 : at[k + 1]] = len(found) + len(heads)
+            found = [*found, *self.whole(heads), b""]
+        size = np.array([len(b) for b in found], np.int64) // self.dtype.itemsize
+        data = np.frombuffer(b"".join(found), self.dtype)
+        start = np.cumsum(size) - size
+        n = size[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return data[np.repeat(start[index] - ends[:-1], n) + np.arange(ends[-1])], ends[at]

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, by_range, file_system, materialise, partitions, scratch, slices, table
-from .pieces import PieceEncoder
+from .common import SLICE, TOGETHER, by_range, file_system, materialise, partitions, scratch, slices, table
+from .pieces import encoder as piece_encoder
 
 MAGIC = b"TIDS"
 HEAD = struct.Struct("<4sIIII")
@@ -77,35 +77,35 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
     laid = by_range(rows, "doc_id", partitions(spark), "text").select("_part", "doc_id", "text")
 
     def write(batches):
-        encoder = PieceEncoder(lambda: Tokenizer.from_file(tokenizer_path), "words")
+        encoder = piece_encoder(lambda: Tokenizer.from_file(tokenizer_path), "words", tokenizer_path)
         part, n_docs, n_ids, out, name = None, 0, 0, None, ""
         ids, counts, held, size = [], [], [], 0
 
         def flush():
             nonlocal ids, counts, held, size
             if ids:
-                out.write(encode_block(ids, counts, np.frombuffer(b"".join(held), encoder.dtype)))
+                out.write(encode_block(ids, counts, np.concatenate(held)))
             ids, counts, held, size = [], [], [], 0
 
-        end = np.array([end_id], encoder.dtype).tobytes()
-        for b in slices(batches):
+        for b in slices(batches, TOGETHER):
             if out is None:
                 part = b.column(0)[0].as_py()
                 name = f"{path}/part-{part:06d}-{uuid.uuid4().hex[:8]}.tids"
                 fs, inner = file_system(path)
                 fs.create_dir(inner, recursive=True)
                 out = fs.open_output_stream(f"{inner}/{name.rsplit('/', 1)[-1]}", compression=None)
-            for doc_id, coded in zip(b.column(1).to_pylist(), encoder.encode(b.column(2).to_pylist())):
-                coded += end
-                n_docs, n_ids = n_docs + 1, n_ids + len(coded) // encoder.dtype.itemsize
-                for at in range(0, len(coded), block * encoder.dtype.itemsize):
-                    piece = coded[at : at + block * encoder.dtype.itemsize]
-                    n = len(piece) // encoder.dtype.itemsize
+            coded, ends = encoder.encode(b.column(2))
+            coded, ends = np.insert(coded, ends[1:], end_id), ends + np.arange(len(ends))
+            n_docs, n_ids = n_docs + b.num_rows, n_ids + len(coded)
+            for doc_id, first, last in zip(b.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                for at in range(first, last, block):
+                    piece = coded[at : min(at + block, last)]
+                    n = len(piece)
                     if size + n > block:
                         flush()
                     # A continued document has its id again, with a count of its own, marked by a block that begins with it.
                     ids.append(doc_id)
-                    counts.append(n if at == 0 else n | 1 << 31)
+                    counts.append(n if at == first else n | 1 << 31)
                     held.append(piece)
                     size += n
         if out is not None:
