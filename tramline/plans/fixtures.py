@@ -121,6 +121,24 @@ SELECT user_id, event_id, ts AS ended_at, value AS duration_ms FROM events
 }
 
 
+# Larger relatives of the views above, for work that is to grow with the tables.
+VIEWS |= {
+    "dx_versions": """SELECT CAST(o_orderkey + 1 AS INT) AS id, CAST(o_custkey + 1 AS BIGINT) AS source_id, md5(CAST(o_orderkey % 50 AS VARCHAR(20))) AS content_hash,
+       CASE o_orderkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'imported' WHEN 2 THEN 'downloaded' ELSE 'import_failed' END AS status,
+       TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * CAST((o_orderkey * 7) % 11 AS INT) AS fetched_at,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'etag-' || CAST(o_orderkey AS VARCHAR(20)) END AS http_etag
+FROM orders""",
+    "dx_sources": """SELECT CAST(c_custkey + 1 AS BIGINT) AS id, 'feed-' || CAST(c_custkey AS VARCHAR(20)) AS slug, c_name AS name, 'https://feeds.example/' || CAST(c_custkey AS VARCHAR(20)) || '.zip' AS direct_download_url, a.active_version_id
+FROM customer LEFT JOIN (SELECT source_id, min(id) AS active_version_id FROM dx_versions WHERE status = 'active' GROUP BY source_id) a ON a.source_id = c_custkey + 1""",
+    "dx_bands": """SELECT CAST(floor(p_partkey / 576e0) AS INT) AS tile_id, b.band, CAST(floor((p_partkey % 576) / 24e0) AS INT) AS row_no, CAST(p_partkey % 24 AS INT) AS col_no,
+       CAST(CASE WHEN p_partkey % 41 = 0 THEN -32768 ELSE (p_partkey * 211 + b.band * 1301) % 6000 - 50 END AS INT) AS dn
+FROM part CROSS JOIN (SELECT 0 AS band UNION ALL SELECT 1 UNION ALL SELECT 2) b
+WHERE p_partkey < (SELECT floor(count(*) / 576e0) * 576 FROM part)""",
+    "dx_px": """SELECT tile_id, row_no, col_no, CAST((row_no * 37 + col_no * 11 + tile_id * 5) % 256 AS INT) AS r, CAST((row_no * 5 + col_no * 3) % 256 AS INT) AS g, CAST((col_no * 9) % 256 AS INT) AS b, CAST(CASE WHEN (row_no + col_no) % 7 = 0 THEN 0 ELSE 255 END AS INT) AS a
+FROM dx_bands WHERE band = 0""",
+}
+
+
 def needed(sql: str) -> list[str]:
     """The views that ``sql`` names, with those that they name, in order of definition."""
     found = {v for v in VIEWS if re.search(rf"\b{v}\b", sql)}
@@ -141,14 +159,19 @@ def whole(sql: str) -> str:
     return f"WITH {body},\n{rest[4:]}" if rest[:4].upper() == "WITH" else f"WITH {body}\n{rest}"
 
 
-def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view as a DataFrame."""
-    sql = whole(f"SELECT * FROM {name}")
+def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Portable SQL over the driver tables and the derived views."""
+    sql = whole(sql)
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)}
     for t in tables:
         sql = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **tables)
 
 
+def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived view as a DataFrame."""
+    return run(spark, sf_dir, f"SELECT * FROM {name}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

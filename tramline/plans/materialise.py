@@ -1,0 +1,21 @@
+"""Writing a step of an iteration where all executors can read it."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def save(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the folder that the cluster names for checkpoints (a new local one where it names none, as in tests)."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        import tempfile
+
+        root = "file://" + tempfile.mkdtemp(prefix="spark-steps-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -245,20 +245,20 @@ def chunk_children(spark, sf):
     return L.child_tiles(L.occupied_tiles(L.stop_points(stops_(spark, sf)).filter("stop_lon <> 0"), 7), 9)
 
 
-TILINGS = "SELECT source_id, id AS version_id, fetched_at AS generated_at FROM fx_feed_versions WHERE id % 3 <> 1"
+TILINGS = "SELECT source_id, id AS version_id, fetched_at AS generated_at FROM dx_versions WHERE id % 3 <> 1"
 
 
 @query(f"""SELECT s.id AS source_id, a.id AS active_version_id, t.version_id AS tiled_version_id, CASE WHEN a.id IS NULL THEN 'no_active' WHEN a.id = t.version_id THEN 'already_current' ELSE 'synced' END AS outcome
-FROM fx_feed_sources s LEFT JOIN fx_feed_versions a ON a.id = s.active_version_id AND a.source_id = s.id AND a.status = 'active' LEFT JOIN (SELECT source_id, arg_max(version_id, (generated_at, version_id)) AS version_id FROM ({TILINGS}) GROUP BY 1) t ON t.source_id = s.id""")
+FROM dx_sources s LEFT JOIN dx_versions a ON a.id = s.active_version_id AND a.source_id = s.id AND a.status = 'active' LEFT JOIN (SELECT source_id, arg_max(version_id, (generated_at, version_id)) AS version_id FROM ({TILINGS}) GROUP BY 1) t ON t.source_id = s.id""")
 def tiling_staleness(spark, sf):
-    v = fx(spark, sf, "fx_feed_versions")
+    v = fx(spark, sf, "dx_versions")
     tilings = v.filter("id % 3 <> 1").select("source_id", F.col("id").alias("version_id"), F.col("fetched_at").alias("generated_at"))
-    return L.tiling_staleness(fx(spark, sf, "fx_feed_sources"), v, tilings)
+    return L.tiling_staleness(fx(spark, sf, "dx_sources"), v, tilings)
 
 
-@query(f"SELECT source_id, version_id FROM ({TILINGS}) WHERE source_id <> 2 UNION ALL SELECT source_id, 1000 + id FROM fx_feed_versions WHERE source_id = 2 AND status = 'active'")
+@query(f"SELECT source_id, version_id FROM ({TILINGS}) WHERE source_id <> 2 UNION ALL SELECT source_id, 1000 + id FROM dx_versions WHERE source_id = 2 AND status = 'active'")
 def tiling_replaced(spark, sf):
-    v = fx(spark, sf, "fx_feed_versions")
+    v = fx(spark, sf, "dx_versions")
     old = v.filter("id % 3 <> 1").select("source_id", F.col("id").alias("version_id"))
     return L.replace_tiling(old, v.filter("source_id = 2 and status = 'active'").select("source_id", (F.col("id") + 1000).alias("version_id")))
 
@@ -288,9 +288,9 @@ SELECT 'trips' AS table_name, 'reference route_item_id' AS rule, count(*) AS n F
 UNION ALL SELECT 'trips', 'reference shape_item_id', count(*) FROM fx_trips t ANTI JOIN shapes s ON s.version_id = t.version_id AND s.shape_item_id = t.shape_item_id WHERE t.shape_item_id IS NOT NULL
 UNION ALL SELECT 'trips', 'not null route_item_id', count(*) FROM fx_trips WHERE route_item_id IS NULL
 UNION ALL SELECT 'stops', 'unique version_id,location_type', count(*) FROM (SELECT 1 FROM fx_stops GROUP BY version_id, location_type HAVING count(*) > 1)
-UNION ALL SELECT 'versions', 'values status', count(*) FROM fx_feed_versions WHERE status NOT IN ('active', 'imported', 'downloaded')) WHERE n > 0""")
+UNION ALL SELECT 'versions', 'values status', count(*) FROM dx_versions WHERE status NOT IN ('active', 'imported', 'downloaded')) WHERE n > 0""")
 def integrity_violations(spark, sf):
-    tables = {"trips": fx(spark, sf, "fx_trips"), "stops": stops_(spark, sf), "routes": fx(spark, sf, "fx_routes"), "shapes": shapes_(spark, sf), "versions": fx(spark, sf, "fx_feed_versions")}
+    tables = {"trips": fx(spark, sf, "fx_trips"), "stops": stops_(spark, sf), "routes": fx(spark, sf, "fx_routes"), "shapes": shapes_(spark, sf), "versions": fx(spark, sf, "dx_versions")}
     return G.violations(
         tables, {"stops": ["version_id", "location_type"], "trips": ["version_id", "item_id"]}, {"trips": ["route_item_id"]},
         [("trips", "route_item_id", "routes", "item_id"), ("trips", "shape_item_id", "shapes", "shape_item_id")], [("versions", "status", ("active", "imported", "downloaded"))],
