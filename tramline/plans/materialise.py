@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def save(df: DataFrame) -> DataFrame:
-    """``df`` as a written table in the folder that the cluster names for checkpoints (a new local one where it names none, as in tests)."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+def root(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a new local one where it names none, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         import tempfile
 
-        root = "file://" + tempfile.mkdtemp(prefix="spark-steps-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex[:12]}"
+        found = "file://" + tempfile.mkdtemp(prefix="spark-steps-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def save(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in that folder."""
+    path = f"{root(df.sparkSession)}/step-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

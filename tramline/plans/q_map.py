@@ -430,7 +430,7 @@ def _samples(spark, sf):
 
 
 W10, W60 = 36_000_000, 216_000_000
-EVENTS = "SELECT user_id, event_id, epoch_ms(ended_at) AS ms, duration_ms FROM fx_frames"
+EVENTS = "SELECT user_id, event_id, epoch_us(ended_at) // 1000 AS ms, duration_ms FROM fx_frames"
 
 
 @query(f"SELECT event_id, round(n / (least({W10}, greatest(ms - lo, 1000)) / 1000e0), 9) AS rate FROM (SELECT *, count(*) OVER w AS n, min(ms) OVER w AS lo FROM ({EVENTS}) WINDOW w AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN {W10} PRECEDING AND CURRENT ROW))")
