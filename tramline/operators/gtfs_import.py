@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
 
 # Codes of the schedule format.
 CODES = {
@@ -97,7 +97,7 @@ def load(raw: DataFrame, spec: dict[str, tuple[str, str]], version_id: int) -> D
     has = {c.strip().lower(): c for c in raw.columns}
 
     def cell(source: str, kind: str) -> Column:
-        c = F.col(f"`{has[source]}`") if source in has else F.lit(None).cast("string")
+        c = F.col(f"`{has[source]}`").cast("string") if source in has else F.lit(None).cast("string")
         if kind in CODES:
             return code(c, kind)
         if kind == "flag":
@@ -223,4 +223,4 @@ def import_version(raw: dict[str, DataFrame], version_id: int) -> dict[str, Data
     return out
 
 
-EMPTY = T.StructType([])
+
