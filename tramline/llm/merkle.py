@@ -123,8 +123,12 @@ def edits(old: str, new: str) -> list[tuple[int, int, int, int]]:
         if level and len(x) == 1 and len(y) == 1:
             yield from walk(x[0][1], y[0][1], level - 1, i, j)
         else:
-            span = lambda own: max(0, sum(sizes(c, level) + 1 for c in own) - 1)
-            yield i, i + span(x), j, j + span(y)
+            span = lambda own: sum(sizes(c, level) + 1 for c in own) - 1
+            if x and y:
+                yield i, i + span(x), j, j + span(y)
+            else:  # what came or went brought a separator with it: the one before it, or at the front the one after
+                i, j = i - bool(front), j - bool(front)
+                yield i, i + (span(x) + 1 if x else 0), j, j + (span(y) + 1 if y else 0)
 
     return list(walk(a[1], b[1], 2, 0, 0))
 

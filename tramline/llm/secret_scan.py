@@ -57,12 +57,21 @@ SEGMENT_COST = math.log10(5)
 
 
 @functools.cache
-def _neighbours() -> dict[str, str]:
-    near: dict[str, set[str]] = {}
+def _neighbours() -> dict[str, dict[str, tuple[int, int]]]:
+    """The keys beside each key, and the direction in which they lie."""
+    near: dict[str, dict[str, tuple[int, int]]] = {}
     for y, row in enumerate(ROWS):
         for x, c in enumerate(row):
-            near[c] = {r[x + d] for r, ds in ((row, (-1, 1)), *([(ROWS[y - 1], (0, 1))] if y else []), *([(ROWS[y + 1], (-1, 0))] if y < 3 else [])) for d in ds if 0 <= x + d < len(r)}
-    return {c: "".join(sorted(n)) for c, n in near.items()}
+            around = [(y, x - 1), (y, x + 1), (y - 1, x), (y - 1, x + 1), (y + 1, x - 1), (y + 1, x)]
+            near[c] = {ROWS[v][u]: (v - y, u - x) for v, u in around if 0 <= v < len(ROWS) and 0 <= u < len(ROWS[v])}
+    return near
+
+
+def _step(a: str, b: str):
+    """Direction from one key to the next of a walk, or up or down the alphabet; None if it is neither."""
+    if (way := _neighbours().get(a, {}).get(b)) is not None:
+        return way
+    return ord(b) - ord(a) if a.isalnum() and b.isalnum() and abs(ord(b) - ord(a)) == 1 else None
 
 
 def _alphabet(c: str) -> int:
@@ -86,12 +95,11 @@ def segments(value: str) -> list[tuple[int, int, str, float]]:
         unit = m[1]
         if len(m[0]) >= 3:
             found.append((m.start(), m.end(), "repeat", sum(math.log10(_alphabet(c)) for c in unit) + math.log10(len(m[0]) / len(unit))))
-    near, i = _neighbours(), 0
+    i = 0
     while i < len(low):
-        j, turns, step = i + 1, 0, None
-        while j < len(low) and (low[j] in near.get(low[j - 1], "") or abs(ord(low[j]) - ord(low[j - 1])) == 1 and low[j].isalnum()):
-            now = ord(low[j]) - ord(low[j - 1])
-            turns, step, j = turns + (step is not None and now != step), now, j + 1
+        j, turns, way = i + 1, 0, None
+        while j < len(low) and (now := _step(low[j - 1], low[j])) is not None:
+            turns, way, j = turns + (way is not None and now != way), now, j + 1
         if j - i >= 3:
             found.append((i, j, "walk", math.log10(47) + math.log10(j - i) + turns * math.log10(4)))
         i = max(j - 1, i + 1)

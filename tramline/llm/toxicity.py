@@ -134,7 +134,8 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
             blocks[-1][2] += last[2]
     # Shrunk a little, so that no step says 0 or 1.
     rate = float(labels.mean()) if len(labels) else 0.0
-    return np.array([b[0] for b in blocks]), np.array([(b[2] + rate) / (b[1] + 1) for b in blocks])
+    values = np.array([(b[2] + rate) / (b[1] + 1) for b in blocks])
+    return np.array([b[0] for b in blocks]), np.maximum.accumulate(values)
 
 
 class Model:
