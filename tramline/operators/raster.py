@@ -125,11 +125,16 @@ def mosaic_bounds(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.min("bounds.west").alias("west"), F.min("bounds.south").alias("south"), F.max("bounds.east").alias("east"), F.max("bounds.north").alias("north"))
 
 
-def parent_tiles(px: DataFrame, how: str = "box") -> DataFrame:
-    """Tiles (z, x, y, pixels) of the next zoom out: each child shrunk to half; missing children are transparent. ``box`` averages 2 by 2, ``nearest`` takes the first."""
-    size = px.groupBy("z").agg((F.max("row_no") + 1).alias("_s"))
-    p = px.join(F.broadcast(size), "z")
-    half = (F.col("_s") / 2).cast("int")
+def tile_size(px: DataFrame) -> int:
+    """Pixels a side, from full tiles."""
+    return (px.agg(F.max(F.greatest("row_no", "col_no"))).first()[0] or 0) + 1
+
+
+def parent_tiles(px: DataFrame, how: str = "box", size: int | None = None) -> DataFrame:
+    """Tiles (z, x, y, pixels) of the next zoom out: each child shrunk to half; missing children are transparent. ``box`` averages 2 by 2, ``nearest`` takes the first.
+
+    ``size``: pixels a side; needed where no tile is full."""
+    p, half = px, (size or tile_size(px)) // 2
     place = lambda tile, at: ((F.col(tile) % 2) * half + F.floor(F.col(at) / 2)).cast("int")
     key = [(F.col("z") - 1).alias("z"), F.floor(F.col("x") / 2).cast("int").alias("x"), F.floor(F.col("y") / 2).cast("int").alias("y"), place("y", "row_no").alias("row_no"), place("x", "col_no").alias("col_no")]
     if how == "nearest":
@@ -161,9 +166,9 @@ def to_web_mercator(px: DataFrame, manifest: DataFrame, tiles: DataFrame, size:
 
 def quad_pyramid(px: DataFrame, levels: int) -> list[DataFrame]:
     """Tiles of each zoom from the base (z, x, y, pixels) up to ``levels`` zooms further out."""
-    out = [px]
+    out, size = [px], tile_size(px)
     for _ in range(levels):
-        out.append(parent_tiles(out[-1]))
+        out.append(parent_tiles(out[-1], size=size))
     return out
 
 

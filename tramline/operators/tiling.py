@@ -97,6 +97,13 @@ def tiling_staleness(sources: DataFrame, versions: DataFrame, tilings: DataFrame
     return state.select(F.col("id").alias("source_id"), F.when(F.col("_ok"), F.col("active_version_id")).alias("active_version_id"), "tiled_version_id", outcome.alias("outcome"))
 
 
+def selected_tilings(tilings: DataFrame, sources: DataFrame, slug: str | None = None) -> DataFrame:
+    """Tilings of the source with ``slug``, or of all sources."""
+    own = sources.select(F.col("id").alias("source_id"), "slug")
+    met = tilings.join(own, "source_id")
+    return met if slug is None else met.filter(F.col("slug") == slug)
+
+
 def replace_tiling(old: DataFrame, new: DataFrame, key: str = "source_id") -> DataFrame:
     """Rows of sources in ``new`` replace all their old rows."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

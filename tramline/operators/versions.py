@@ -23,6 +23,11 @@ def active_versions(sources: DataFrame, versions: DataFrame) -> DataFrame:
     return own.join(versions, ["id", "source_id"])
 
 
+def version_by_id(versions: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requested ids with their version; ``known`` is false for those without one."""
+    return requests.join(versions.withColumn("_k", F.lit(True)), "id", "left").withColumn("known", F.coalesce("_k", F.lit(False))).drop("_k")
+
+
 def upsert_sources(sources: DataFrame, seed: DataFrame, now: Column, columns: list[str]) -> DataFrame:
     """Sources with the seed's values for ``columns``; new slugs get the next ids by slug; id and created_at stay."""
     top = sources.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,13 +115,26 @@ def read_chunks(spark: SparkSession, root: str) -> DataFrame:
     return meta.select("dir", "tile.*", "bounds", F.coalesce("extraction_bounds", "bounds").alias("extraction"), F.coalesce("buffer_meters", F.lit(0.0)).alias("buffer_meters")).orderBy("z", "x", "y", "dir")
 
 
-def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Image manifest: each X.meta.json (min, max) describes image X."""
-    raw = spark.read.schema("min array<double>, max array<double>").option("multiLine", True).json(f"{folder}/*.meta.json")
+def read_manifest(spark: SparkSession, folder: str, cache: str | None = None) -> DataFrame:
+    """Image manifest (path, bounds): each X.meta.json (min, max) describes image X. A ``cache`` table is written at the first reading and read from then on."""
+    if cache is not None:
+        try:
+            return spark.read.schema("path string, bounds struct<west: double, south: double, east: double, north: double>").parquet(cache)
+        except AnalysisException:
+            read_manifest(spark, folder).write.parquet(cache)
+            return read_manifest(spark, folder, cache)
+    raw = spark.read.schema("min array<double>, max array<double>").json(f"{folder}/*.meta.json")
     path = F.regexp_replace(F.input_file_name(), r"\.meta\.json$", "")
     return raw.select(path.alias("path"), F.struct(F.col("min")[0].alias("west"), F.col("min")[1].alias("south"), F.col("max")[0].alias("east"), F.col("max")[1].alias("north")).alias("bounds"))
 
 
+def read_bands(spark: SparkSession, path: str) -> DataFrame:
+    """Pixel table (tile_id, band, row_no, col_no, dn) of raster bands, values as signed 16-bit numbers."""
+    from ..operators.raster import as_i16
+
+    return spark.read.schema("tile_id int, band int, row_no int, col_no int, dn int").parquet(path).withColumn("dn", as_i16("dn"))
+
+
 def list_tiles(listing: DataFrame) -> DataFrame:
     """(z, x, y, path) of paths ``z/x/y.mvt``; a part that is no number fails the job."""
     part = lambda k: F.regexp_extract("path", r"([^/]+)/([^/]+)/([^/]+)\.mvt$", k)
