@@ -271,7 +271,7 @@ def point_elevations(spark, sf):
 
 
 # Tile measures.
-SEGS = "SELECT CAST(segment_id % 4 AS INT) AS tile_id, segment_id, ax, ay, bx, by_ FROM fx_segments WHERE segment_id % 4 < 3 AND (ax <> bx OR ay <> by_)"
+SEGS = "SELECT CAST(floor(segment_id / 25e0) AS INT) AS tile_id, segment_id, ax, ay, bx, by_ FROM fx_segments WHERE segment_id % 4 < 3 AND (ax <> bx OR ay <> by_)"
 
 
 def dist(px, py):
@@ -286,19 +286,19 @@ def edge_distances(spark, sf):
 
 
 @query(f"""SELECT tile_id, point_id, round(sum(w * ux) / s, 6) AS dx, round(sum(w * uy) / s, 6) AS dy, round(sum(w), 6) AS weight FROM (SELECT *, sqrt(sum(w * ux) OVER p ** 2 + sum(w * uy) OVER p ** 2) AS s FROM (SELECT *, exp(-d / 0.0625e0) AS w, (bx - ax) / sqrt((bx-ax)**2+(by_-ay)**2) AS ux, (by_ - ay) / sqrt((bx-ax)**2+(by_-ay)**2) AS uy, row_number() OVER (PARTITION BY tile_id, point_id ORDER BY d, segment_id) AS n
-FROM (SELECT s.*, q.point_id, {dist('q.x', 'q.y')} AS d FROM ({SEGS}) s JOIN (SELECT segment_id AS point_id, CAST(segment_id % 3 AS INT) AS tile, 1 - ax AS x, ay AS y FROM fx_segments) q ON q.tile = s.tile_id)) WHERE n <= 4 WINDOW p AS (PARTITION BY tile_id, point_id)) GROUP BY tile_id, point_id, s HAVING s > 1e-9 AND sum(w) > 1e-9""")
+FROM (SELECT s.*, q.point_id, {dist('q.x', 'q.y')} AS d FROM ({SEGS}) s JOIN (SELECT segment_id AS point_id, CAST(floor(segment_id / 25e0) AS INT) AS tile, 1 - ax AS x, ay AS y FROM fx_segments) q ON q.tile = s.tile_id)) WHERE n <= 4 WINDOW p AS (PARTITION BY tile_id, point_id)) GROUP BY tile_id, point_id, s HAVING s > 1e-9 AND sum(w) > 1e-9""")
 def nearest_directions(spark, sf):
-    pts = fx(spark, sf, "fx_segments").select((F.col("segment_id") % 3).cast("int").alias("tile_id"), F.col("segment_id").alias("point_id"), (1 - F.col("ax")).alias("x"), F.col("ay").alias("y"))
+    pts = fx(spark, sf, "fx_segments").select(F.floor(F.col("segment_id") / 25).cast("int").alias("tile_id"), F.col("segment_id").alias("point_id"), (1 - F.col("ax")).alias("x"), F.col("ay").alias("y"))
     segs = run(spark, sf, SEGS).withColumnRenamed("by_", "by").withColumn("confidence", F.lit(1.0))
     d = W.knn_direction(pts, segs, ["tile_id"], 0.25, 4).filter("dx is not null")
     return d.select("tile_id", "point_id", *[F.round(c, 6).alias(c) for c in ("dx", "dy", "weight")])
 
 
 # A square with a square hole for each layer of boxes: points are the boxes' corners on the unit square.
-RINGS = "SELECT t.tile_id AS polygon, e.ax + t.tile_id * 0.01e0 AS ax, e.ay AS ay, e.bx + t.tile_id * 0.01e0 AS bx, e.by_ AS by_ FROM (SELECT DISTINCT CAST(segment_id % 4 AS INT) AS tile_id FROM fx_segments) t CROSS JOIN (SELECT 0.1e0 AS ax, 0.1e0 AS ay, 0.9e0 AS bx, 0.1e0 AS by_ UNION ALL SELECT 0.9e0, 0.1e0, 0.9e0, 0.9e0 UNION ALL SELECT 0.9e0, 0.9e0, 0.1e0, 0.9e0 UNION ALL SELECT 0.1e0, 0.9e0, 0.1e0, 0.1e0 UNION ALL SELECT 0.4e0, 0.4e0, 0.6e0, 0.4e0 UNION ALL SELECT 0.6e0, 0.4e0, 0.6e0, 0.6e0 UNION ALL SELECT 0.6e0, 0.6e0, 0.4e0, 0.6e0 UNION ALL SELECT 0.4e0, 0.6e0, 0.4e0, 0.4e0) e"
-IN = "x >= {0}e0 + p * 0.01e0 AND x < {1}e0 + p * 0.01e0 AND y > {0}e0 AND y <= {1}e0"
+RINGS = "SELECT t.tile_id AS polygon, e.ax + (t.tile_id % 20) * 0.01e0 AS ax, e.ay AS ay, e.bx + (t.tile_id % 20) * 0.01e0 AS bx, e.by_ AS by_ FROM (SELECT DISTINCT CAST(floor(segment_id / 25e0) AS INT) AS tile_id FROM fx_segments) t CROSS JOIN (SELECT 0.1e0 AS ax, 0.1e0 AS ay, 0.9e0 AS bx, 0.1e0 AS by_ UNION ALL SELECT 0.9e0, 0.1e0, 0.9e0, 0.9e0 UNION ALL SELECT 0.9e0, 0.9e0, 0.1e0, 0.9e0 UNION ALL SELECT 0.1e0, 0.9e0, 0.1e0, 0.1e0 UNION ALL SELECT 0.4e0, 0.4e0, 0.6e0, 0.4e0 UNION ALL SELECT 0.6e0, 0.4e0, 0.6e0, 0.6e0 UNION ALL SELECT 0.6e0, 0.6e0, 0.4e0, 0.6e0 UNION ALL SELECT 0.4e0, 0.6e0, 0.4e0, 0.4e0) e"
+IN = "x >= {0}e0 + (p % 20) * 0.01e0 AND x < {1}e0 + (p % 20) * 0.01e0 AND y > {0}e0 AND y <= {1}e0"
 INSIDE = f"({IN.format(0.1, 0.9)}) AND NOT ({IN.format(0.4, 0.6)})"
-POLYGONS = "(SELECT DISTINCT CAST(segment_id % 4 AS INT) AS p FROM fx_segments)"
+POLYGONS = "(SELECT DISTINCT CAST(floor(segment_id / 25e0) AS INT) AS p FROM fx_segments)"
 
 
 def _rings(spark, sf):
@@ -370,9 +370,9 @@ def finite_mean(spark, sf):
     return W.finite_abs_mean(d, "v").select(F.round("mean", 9).alias("mean"))
 
 
-@query("""SELECT tile_id, point_id, round(nx, 6) AS nx, round(ny, 6) AS ny, round(ax - (ax * nx + ay * ny) * nx, 6) AS tx FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, point_id ORDER BY d, segment_id) AS n FROM (SELECT s.tile_id, s.segment_id, q.point_id, q.x AS ax, q.y AS ay, -(by_ - s.ay) / sqrt((bx-s.ax)**2+(by_-s.ay)**2) AS nx, (bx - s.ax) / sqrt((bx-s.ax)**2+(by_-s.ay)**2) AS ny, """ + dist("q.x", "q.y").replace("ax", "s.ax").replace("(ay", "(s.ay").replace("-ay", "-s.ay") + f""" AS d FROM ({SEGS}) s JOIN (SELECT segment_id AS point_id, CAST(segment_id % 3 AS INT) AS tile, 1 - ax AS x, ay AS y FROM fx_segments) q ON q.tile = s.tile_id)) WHERE n = 1""")
+@query("""SELECT tile_id, point_id, round(nx, 6) AS nx, round(ny, 6) AS ny, round(ax - (ax * nx + ay * ny) * nx, 6) AS tx FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, point_id ORDER BY d, segment_id) AS n FROM (SELECT s.tile_id, s.segment_id, q.point_id, q.x AS ax, q.y AS ay, -(by_ - s.ay) / sqrt((bx-s.ax)**2+(by_-s.ay)**2) AS nx, (bx - s.ax) / sqrt((bx-s.ax)**2+(by_-s.ay)**2) AS ny, """ + dist("q.x", "q.y").replace("ax", "s.ax").replace("(ay", "(s.ay").replace("-ay", "-s.ay") + f""" AS d FROM ({SEGS}) s JOIN (SELECT segment_id AS point_id, CAST(floor(segment_id / 25e0) AS INT) AS tile, 1 - ax AS x, ay AS y FROM fx_segments) q ON q.tile = s.tile_id)) WHERE n = 1""")
 def nearest_normals(spark, sf):
-    pts = fx(spark, sf, "fx_segments").select((F.col("segment_id") % 3).cast("int").alias("tile_id"), F.col("segment_id").alias("point_id"), (1 - F.col("ax")).alias("x"), F.col("ay").alias("y"))
+    pts = fx(spark, sf, "fx_segments").select(F.floor(F.col("segment_id") / 25).cast("int").alias("tile_id"), F.col("segment_id").alias("point_id"), (1 - F.col("ax")).alias("x"), F.col("ay").alias("y"))
     n = W.nearest_normal(pts, run(spark, sf, SEGS).withColumnRenamed("by_", "by"), ["tile_id"]).join(pts, ["tile_id", "point_id"])
     return n.select("tile_id", "point_id", F.round("nx", 6).alias("nx"), F.round("ny", 6).alias("ny"), F.round(W.project_tangent("x", "y", "nx", "ny")["x"], 6).alias("tx"))
 
