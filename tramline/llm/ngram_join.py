@@ -1,8 +1,10 @@
 """N-gram Jaccard join: documents whose sets of word n-grams are alike, and the components that they make.
 
-Sets of 64-bit gram hashes are ordered rare first by a count sketch over all documents (any order gives the same links; a fixed number of
-cells, so its broadcast has a fixed size). Equal sets make one node. A node's prefix is its first n - ceil(t n) + 1 grams:
-two nodes that reach the threshold share a gram there. Nodes meet in a join on prefix grams under three filters:
+Sets of 64-bit gram hashes are ordered rare first, by the exact number of distinct sets that a gram is in. Counting takes one
+shuffle of packed postings (five bytes a gram): each bucket of gram hashes finds the grams that more than one set has, and
+sends those, with their counts, to the sets. Equal sets make one node. A node's prefix is its first n - ceil(t n) + 1
+grams; grams that no other set has come first and meet nothing, so most nodes have no prefix left to join:
+two nodes that reach the threshold share a gram in both prefixes. They meet in a join on prefix grams under three filters:
 
 * length: the smaller set has at least t times the grams of the larger;
 * positional: the grams from the shared one on suffice for the overlap that the threshold needs;
@@ -32,12 +34,14 @@ from pyspark.sql import functions as F
 from .common import materialise, partitions, slices, table, text_bytes
 
 SALTS = 64
-#: Cells and chunks of the count sketch.
-CELLS, CHUNKS = 1 << 20, 64
 BITS = 512
-ROUNDS = 3
+ROUNDS = 4
 #: Members that one task compares with the same node's text.
 FAN = 256
+#: Cells of the filter that keeps texts of nodes without a prefix from being moved: four megabytes, whatever the input.
+CELLS, CHUNKS = 1 << 25, 64
+#: Documents whose postings are packed together.
+PACK = 2000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -70,64 +74,165 @@ def _digest(grams: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, d1, d2, salt): size and digest of each document's set; and rows (chunk, counts) of the count sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    """(doc_id, n, d1, d2): size and digest of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        cells = np.zeros(CELLS, np.int64)
         for b in slices(batches):
             sets = [gram_set(t, n) for t in b.column(1).to_pylist()]
-            cells += np.bincount(np.concatenate(sets).astype(np.int64) & (CELLS - 1), minlength=CELLS)
             digests = [_digest(s) for s in sets]
-            k = len(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([d for d, _ in digests], pa.int64()), pa.array([d for _, d in digests], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
-        step = CELLS // CHUNKS
-        own = [np.minimum(cells[c * step : (c + 1) * step], 2**31 - 1).astype("<i4").tobytes() for c in range(CHUNKS)]
-        none = pa.nulls(CHUNKS, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(own, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [d for d, _ in digests], [d for _, d in digests]))], ["doc_id", "n", "d1", "d2"])
 
-    return materialise(docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, chunk int, counts binary"), "gram-sets")
+    return materialise(docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long"), "gram-sets")
 
 
-def _sketch(sets: DataFrame) -> np.ndarray:
-    """The sum of the tasks' sketches: CELLS counts, whatever the input."""
+def _postings(docs: DataFrame, n: int, buckets: int) -> DataFrame:
+    """(bucket, sets, counts, grams), packed: for PACK documents the set digests, their numbers of grams in the bucket, and the low 40 bits of those."""
+    schema = pa.schema([("bucket", pa.int32()), ("sets", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
 
-    def add(batches: Iterator[pa.RecordBatch]):
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in slices(batches, PACK):
+            sets = [gram_set(t, n) for t in b.column(1).to_pylist()]
+            digests = np.array([_digest(s)[0] for s in sets], np.int64)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            bucket = (flat >> np.uint64(40)).astype(np.int64) % buckets
+            order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+            counts = np.bincount(bucket * len(sets) + owner, minlength=buckets * len(sets)).reshape(buckets, -1)
+            low = flat[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            ends = np.concatenate([[0], np.cumsum(counts.sum(1))])
+            out = []
+            for k in np.nonzero(counts.sum(1))[0].tolist():
+                has = counts[k] > 0
+                out.append((k, digests[has].astype("<i8").tobytes(), counts[k][has].astype("<u4").tobytes() if counts[k].max() > 255 else counts[k][has].astype(np.uint8).tobytes(), low[ends[k] : ends[k + 1]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return docs.mapInArrow(run, "bucket int, sets binary, counts binary, grams binary")
+
+
+def _shared(postings: DataFrame, buckets: int) -> DataFrame:
+    """(part, sets, grams, counts), packed by set digest: the grams that more than one set has, with the number of those sets."""
+    schema = pa.schema([("part", pa.int32()), ("sets", pa.binary()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        grams, sets, at = [], [], 0
+        for b in batches:
+            for bucket, keys, counts, low in zip(*(c.to_pylist() for c in b.columns)):
+                keys = np.frombuffer(keys, "<i8")
+                counts = np.frombuffer(counts, np.uint8 if len(counts) == len(keys) else "<u4")
+                wide = np.zeros((len(low) // 5, 8), np.uint8)
+                wide[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
+                grams.append(wide.reshape(-1).view("<i8"))
+                sets.append(np.repeat(keys, counts))
+                at = bucket
+        if not grams:
+            return
+        g, k = np.concatenate(grams), np.concatenate(sets)
+        del grams, sets
+        order = np.lexsort((k, g))
+        g, k = g[order], k[order]
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])])
+        g, k = g[new], k[new]
+        starts = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0]
+        size = np.diff(np.concatenate([starts, [len(g)]]))
+        df = np.repeat(size, size)
+        kept = df > 1
+        g, k, df = g[kept] + (at << 40), k[kept], df[kept]
+        part = (k.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(buckets + 1))
+        rows = [(p, *(c[order[ends[p] : ends[p + 1]]].astype(t).tobytes() for c, t in ((k, "<i8"), (g, "<i8"), (df, "<u4")))) for p in range(buckets) if ends[p] < ends[p + 1]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return postings.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "part int, sets binary, grams binary, counts binary")
+
+
+def _prefixes(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, n, alone, grams): the part of each node's prefix that other sets share, rare first, and the number of grams before it. Nodes without one are left out."""
+    buckets = partitions(docs.sparkSession)
+    shared = _shared(_postings(docs, n, buckets), buckets).withColumn("node", F.lit(None).cast("long")).withColumn("n", F.lit(None).cast("long"))
+    part = F.pmod(F.col("d1"), F.lit(buckets))
+    # The digest as an unsigned number: 2^64 mod buckets is added for negative ones.
+    part = F.pmod(part + F.when(F.col("d1") < 0, F.lit((1 << 64) % buckets)).otherwise(0), F.lit(buckets)).cast("int")
+    own = nodes.select(part.alias("part"), F.lit(None).cast("binary").alias("sets"), F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("counts"), "node", "n", "d1")
+    met = shared.withColumn("d1", F.lit(None).cast("long")).unionByName(own).repartitionById(buckets, F.col("part"))
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("grams", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        sets, grams, counts, known = [], [], [], {}
+        for b in batches:
+            for k, g, c, node, size, d1 in zip(*(b.column(x).to_pylist() for x in ("sets", "grams", "counts", "node", "n", "d1"))):
+                if k is None:
+                    known[d1] = (node, size)
+                else:
+                    sets.append(np.frombuffer(k, "<i8"))
+                    grams.append(np.frombuffer(g, "<i8"))
+                    counts.append(np.frombuffer(c, "<u4"))
+        if not sets:
+            return
+        k, g, c = np.concatenate(sets), np.concatenate(grams), np.concatenate(counts)
+        order = np.lexsort((g, c, k))
+        k, g = k[order], g[order]
+        starts = np.nonzero(np.concatenate([[True], k[1:] != k[:-1]]))[0]
+        ends = np.concatenate([starts[1:], [len(k)]])
+        rows = []
+        for i, j in zip(starts.tolist(), ends.tolist()):
+            node, size = known[int(k[i])]
+            take = (j - i) - -(-percent * size // 100) + 1
+            if take > 0:
+                rows.append((node, size, size - (j - i), g[i : i + take].tolist()))
+        for at in range(0, len(rows), 5000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[at : at + 5000]), schema)], schema=schema)
+
+    return materialise(met.mapInArrow(run, "node long, n long, alone long, grams array<long>"), "prefixes")
+
+
+def _cells(ids: DataFrame) -> np.ndarray:
+    """Bits of the hashed ids: CELLS of them, whatever the input."""
+    step = CELLS // CHUNKS
+
+    def mark(batches: Iterator[pa.RecordBatch]):
         found: dict[int, np.ndarray] = {}
         for b in batches:
-            for chunk, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found[chunk] = found.get(chunk, 0) + np.frombuffer(counts, "<i4").astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"chunk": list(found), "counts": [c.astype("<i8").tobytes() for c in found.values()]}, pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]))
-
-    rows = sets.filter("chunk is not null").select("chunk", "counts").repartition(min(CHUNKS, partitions(sets.sparkSession)), "chunk").mapInArrow(add, "chunk int, counts binary").collect()
-    out = np.zeros((CHUNKS, CELLS // CHUNKS), np.int64)
-    for r in rows:
-        out[r["chunk"]] = np.frombuffer(r["counts"], "<i8")
+            at = b.column(1).to_numpy()
+            for chunk in np.unique(b.column(0).to_numpy()).tolist():
+                found.setdefault(chunk, np.zeros(step, bool))[at[b.column(0).to_numpy() == chunk]] = True
+        yield pa.RecordBatch.from_pydict({"chunk": list(found), "bits": [np.packbits(f).tobytes() for f in found.values()]}, pa.schema([("chunk", pa.int32()), ("bits", pa.binary())]))
+
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS))
+    placed = ids.select(F.floor(cell / step).cast("int").alias("chunk"), (cell % step).alias("at")).repartition(min(CHUNKS, partitions(ids.sparkSession)), "chunk")
+    out = np.zeros((CHUNKS, step // 8), np.uint8)
+    for r in placed.mapInArrow(mark, "chunk int, bits binary").collect():
+        out[r["chunk"]] |= np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, d1, d2, n, prefix, bits) of each document that has grams."""
-    # Counts to a few per cent, in two bytes.
-    rank = docs.sparkSession.sparkContext.broadcast(np.minimum(np.log1p(sketch) * 2000, 65535).astype(np.uint16))
-    schema = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+def _texts(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, text, bits) of the wanted nodes (node, d1, d2, doc_id). Most other texts are left out before any is moved."""
+    cells = rows.sparkSession.sparkContext.broadcast(_cells(wanted))
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        counts = rank.value
+    def near(batches: Iterator[pa.RecordBatch]):
+        bits = cells.value
+        for b in slices(batches):
+            at = b.column(2).to_numpy()
+            hit = bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
+
+    some = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS))).mapInArrow(near, "doc_id long, text binary")
+    met = some.join(wanted, some["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "d1", "d2", "text")
+
+    def own(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches):
-            out: list[list] = [[] for _ in schema]
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            out = []
+            for node, d1, d2, t in zip(*(c.to_pylist() for c in b.columns)):
                 s = gram_set(t, n)
-                if not len(s):
-                    continue
-                take = len(s) - -(-percent * len(s) // 100) + 1
-                order = np.lexsort((s, counts[s.astype(np.int64) & (CELLS - 1)]))[:take]
-                bins = np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
-                for o, v in zip(out, (doc_id, *_digest(s), len(s), s[order].view(np.int64), np.packbits(bins.astype(np.uint8)).view(">i8").astype(np.int64))):
-                    o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, schema)], schema=schema)
+                # Ids may repeat with other texts.
+                if _digest(s) == (d1, d2):
+                    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+                    out.append((node, t, np.packbits(odd.astype(np.uint8)).view(">i8").tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["node", "text", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, n long, prefix array<long>, bits array<long>")
+    return materialise(met.mapInArrow(own, "node long, text binary, bits array<long>"), "texts")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -200,26 +305,18 @@ def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: documents whose Jaccard similarity is ``percent`` / 100 or more are linked."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
-    sets = _sets(rows, n)
-    sketch = _sketch(sets)
-    sets = sets.filter("chunk is null").drop("chunk", "counts").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    sets = _sets(rows, n).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     # Equal sets are one node; no task holds more of a group than a row for each salt.
     parts = sets.filter("n > 0").groupBy("d1", "d2", "n", "salt").agg(F.min("doc_id").alias("rep"))
     nodes = parts.groupBy("d1", "d2", "n").agg(F.min("rep").alias("rep"), F.collect_set("salt").alias("salts"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    ends = nodes.select("d1", "d2", "node", F.col("rep").alias("doc_id"))
-    same = lambda l, r: (l["d1"] == r["d1"]) & (l["d2"] == r["d2"]) & l["doc_id"].eqNullSafe(r["doc_id"])  # noqa: E731, E741
-    found = _prefixes(rows, n, percent, sketch)
-    found = materialise(found.join(ends, same(found, ends)).select("node", "n", "prefix", "bits"), "prefixes")
-    spread = found.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
-    # Most prefix grams are one node's alone.
-    counted = spread.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("gram")
-    shared = materialise(spread.join(counted, "gram", "left_semi"), "shared-grams")
-
+    found = _prefixes(rows, nodes, n, percent)
+    spread = found.select("node", "n", "alone", F.posexplode("grams").alias("at", "gram")).withColumn("pos", F.col("alone") + F.col("at"))
+    met = spread.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("gram")
+    shared = materialise(spread.join(met, "gram", "left_semi"), "shared-grams")
     wanted = shared.select("node").distinct().join(nodes, "node").select("node", "d1", "d2", F.col("rep").alias("doc_id"))
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "d1", "d2", "text")
-    texts = materialise(_of_node(texts, n), "texts")
+    texts = _texts(rows, materialise(wanted, "wanted"), n)
 
     same = materialise(_same_ids(sets, nodes), "same-ids")
     verified, labels = None, None
@@ -232,9 +329,13 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
             met = own.select("gram", F.struct("node", "label", "n", "pos").alias("y")).join(first, "gram")
             met = met.filter("x.label != y.label").filter(_length_and_position("x", "y", percent))
         else:
-            own = own.join(found.select("node", "bits"), "node").select("gram", F.struct("node", "label", "n", "pos", "bits").alias("x"))
+            own = own.join(found.select("node", "grams"), "node").join(texts.select("node", "bits").dropDuplicates(["node"]), "node")
+            own = own.select("gram", F.struct("node", "label", "n", "pos", "at", "grams", "bits").alias("x"))
             other = own.withColumnRenamed("x", "y")
-            met = own.join(other, (own["gram"] == other["gram"]) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _length_and_position("x", "y", percent) & _suffix("x", "y", percent))
+            apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+            # A pair counts at the first gram that both prefixes have.
+            first = ~F.arrays_overlap(F.slice("x.grams", F.lit(1), F.col("x.at")), F.slice("y.grams", F.lit(1), F.col("y.at")))
+            met = own.join(other, (own["gram"] == other["gram"]) & apart & _length_and_position("x", "y", percent) & _suffix("x", "y", percent) & first)
         pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if verified is not None:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
@@ -253,18 +354,6 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _of_node(texts: DataFrame, n: int) -> DataFrame:
-    """Of the rows with a node's id, those whose set is the node's (ids may repeat with other texts)."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches):
-            own = [_digest(gram_set(t, n)) == (d1, d2) for d1, d2, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3)], ["node", "text"]).filter(pa.array(own, pa.bool_()))
-
-    # Repeats of a row would each be verified.
-    return texts.mapInArrow(run, "node long, text binary")
-
-
 def _same_ids(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between the nodes of rows that repeat an id."""
     again = sets.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count_distinct("d1", "d2", "n").alias("k")).filter("k > 1").select("doc_id")
