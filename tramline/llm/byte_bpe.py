@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TOGETHER, slices, table
+from .common import portions, slices, table
 from .pieces import encoder as piece_encoder
 
 
@@ -73,7 +73,9 @@ class ByteTable:
         """Bytes of all ids in a row, and the byte at which each id begins (one more at the end)."""
         n = self.length[ids]
         ends = np.concatenate([[0], np.cumsum(n)])
-        return self.flat[np.repeat(self.start[ids] - ends[:-1], n) + np.arange(ends[-1])], ends
+        take = np.repeat(self.start[ids] - ends[:-1], n)
+        take += np.arange(ends[-1])
+        return self.flat[take], ends
 
 
 @functools.cache
@@ -81,47 +83,59 @@ def _table(path: str) -> ByteTable:
     return ByteTable(read_ranks(path))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, offsets: bool) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, as ids and (``offsets``) starts."""
+    encoder = piece_encoder(lambda: ranked_tokenizer(path, pattern), "spaces", path, pattern)
+    for b in portions(batches, -1):
+        ids, ends = encoder.encode(b.column(b.num_columns - 1))
+        ids, ends = ids.astype(np.int32), ends.astype(np.int32)
+        new, names = [pa.ListArray.from_arrays(ends, pa.array(ids))], ["ids"]
+        if offsets:
+            chars = _table(path).characters[ids]
+            after = np.cumsum(chars)
+            base = np.repeat(np.concatenate([[0], after])[ends[:-1]], np.diff(ends))
+            first = _table(path).flat[_table(path).start[ids]]
+            # A token that begins inside a character begins in the one before.
+            at = after - chars - base - ((first & 0xC0) == 0x80)
+            new.append(pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))))
+            names.append("starts")
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*b.schema.names[:-1], *names])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, at: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of the ids in column ``at``, as one more column."""
+    for b in slices(batches):
+        lists = b.column(at).fill_null([]) if b.column(at).null_count else b.column(at)
+        n = np.asarray(lists.value_lengths())
+        data, ends = _table(path).gather(lists.flatten().to_numpy())
+        cut = ends[np.concatenate([[0], np.cumsum(n)])]
+        raw = data.tobytes()
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([raw[i:j] for i, j in zip(cut[:-1], cut[1:])], pa.binary())], [*b.schema.names, "decoded"])
+
+
+IDS, STARTS, DECODED = T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = True) -> DataFrame:
     """Add ``ids`` array<int> and, with ``offsets``, ``starts`` array<int>: the code point in which each token's first byte lies."""
     kept = [f for f in docs.schema.fields if f.name not in ("ids", "starts", "_text")]
-    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("starts", T.ArrayType(T.IntegerType()))] * offsets)
+    schema = T.StructType([*kept, IDS, *[STARTS] * offsets])
     rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).select(*[f.name for f in kept], "_text")
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        encoder = piece_encoder(lambda: ranked_tokenizer(path, pattern), "spaces", path, pattern)
-        for b in slices(batches, TOGETHER):
-            ids, ends = encoder.encode(b.column(b.num_columns - 1))
-            ids, ends = ids.astype(np.int32), ends.astype(np.int32)
-            new = [pa.ListArray.from_arrays(ends, pa.array(ids))]
-            if offsets:
-                chars = _table(path).characters[ids]
-                after = np.cumsum(chars)
-                base = np.repeat(np.concatenate([[0], after])[ends[:-1]], np.diff(ends))
-                first = _table(path).flat[_table(path).start[ids]]
-                # A token that begins inside a character begins in the one before.
-                at = after - chars - base - ((first & 0xC0) == 0x80)
-                new.append(pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [f.name for f in schema.fields])
-
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda batches: _encoded(batches, path, pattern, offsets), schema)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Add ``decoded`` binary: the bytes of the tokens in ``ids`` (null: none)."""
     kept = [f for f in coded.schema.fields if f.name != "decoded"]
-    schema = T.StructType([*kept, T.StructField("decoded", T.BinaryType())])
     at = [f.name for f in kept].index(ids)
+    return coded.select(*[f.name for f in kept]).mapInArrow(lambda batches: _decoded(batches, path, at), T.StructType([*kept, DECODED]))
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches):
-            lists = b.column(at).fill_null([]) if b.column(at).null_count else b.column(at)
-            n = np.asarray(lists.value_lengths())
-            data, ends = _table(path).gather(lists.flatten().to_numpy())
-            cut = ends[np.concatenate([[0], np.cumsum(n)])]
-            raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([raw[i:j] for i, j in zip(cut[:-1], cut[1:])], pa.binary())], [f.name for f in schema.fields])
 
-    return coded.select(*[f.name for f in kept]).mapInArrow(run, schema)
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass through Python: doc_id, ids, decoded."""
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    schema = T.StructType([rows.schema.fields[0], IDS, DECODED])
+    return rows.mapInArrow(lambda batches: _decoded(_encoded(batches, path, pattern, False), path, 1), schema)
 
 
 def decoded_text(decoded: str = "decoded"):
@@ -133,8 +147,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, offsets=False).select("doc_id", "ids")
-    return decode(coded, path).select(
+    return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -7,7 +7,9 @@ import posixpath
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ ASCII_SPACE = r"[\x20\x09-\x0D]"
 SLICE = 500
 #: Rows that are encoded together: the more, the rarer a distinct piece is looked up.
 TOGETHER = 2000
+#: Bytes of text that go together, unless one text alone is longer.
+PORTION = 3 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -63,6 +67,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, rows: int = TOGETHER, size: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Slices of up to ``rows`` rows whose texts in ``column`` have up to ``size`` bytes together."""
+    for batch in slices(batches, rows):
+        ends = np.cumsum(pc.binary_length(batch.column(column if column >= 0 else batch.num_columns + column)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 

@@ -36,7 +36,7 @@ def encoder(load: Callable, cut: str, *key: str) -> "PieceEncoder":
 class PieceEncoder:
     """Encodes texts to little-endian unsigned ids."""
 
-    def __init__(self, load: Callable, cut: str, limit: int = 400_000, longest: int = 48):
+    def __init__(self, load: Callable, cut: str, limit: int = 500_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = load()
         self.tokenizer.encode_special_tokens = True
@@ -122,9 +122,11 @@ class PieceEncoder:
                     heads[k] = t
                     index[at[k] + 1 : at[k + 1]] = len(found) + len(heads)
             found = [*found, *self.whole(heads), b""]
-        size = np.array([len(b) for b in found], np.int64) // self.dtype.itemsize
+        size = np.array([len(b) for b in found], np.int32) // self.dtype.itemsize
         data = np.frombuffer(b"".join(found), self.dtype)
-        start = np.cumsum(size) - size
+        start = np.cumsum(size, dtype=np.int32) - size
         n = size[index]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return data[np.repeat(start[index] - ends[:-1], n) + np.arange(ends[-1])], ends[at]
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int32)]).astype(np.int32)
+        take = np.repeat(start[index] - ends[:-1], n)
+        take += np.arange(ends[-1], dtype=np.int32)
+        return data[take], ends[at].astype(np.int64)

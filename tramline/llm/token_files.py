@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, TOGETHER, by_range, file_system, materialise, partitions, scratch, slices, table
+from .common import SLICE, by_range, file_system, materialise, partitions, portions, scratch, table
 from .pieces import encoder as piece_encoder
 
 MAGIC = b"TIDS"
@@ -87,7 +87,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
                 out.write(encode_block(ids, counts, np.concatenate(held)))
             ids, counts, held, size = [], [], [], 0
 
-        for b in slices(batches, TOGETHER):
+        for b in portions(batches, 2):
             if out is None:
                 part = b.column(0)[0].as_py()
                 name = f"{path}/part-{part:06d}-{uuid.uuid4().hex[:8]}.tids"
