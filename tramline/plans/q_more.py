@@ -66,10 +66,9 @@ def image_manifest(spark, sf):
     """Side-car files written one a folder, read as a manifest, and once more from its cache."""
     m = _manifest(spark, sf)
     path, cache = _path(spark, "images"), _path(spark, "manifest")
-    side = m.select("tile_id", F.to_json(F.struct(F.array("bounds.west", "bounds.south").alias("min"), F.array("bounds.east", "bounds.north").alias("max"))).alias("value"))
-    side.write.partitionBy("tile_id").text(path)
-    raw = spark.read.text(path).select("tile_id", F.from_json("value", "min array<double>, max array<double>").alias("m"))
-    found = raw.select(F.col("tile_id").cast("string").alias("path"), F.struct(F.col("m.min")[0].alias("west"), F.col("m.min")[1].alias("south"), F.col("m.max")[0].alias("east"), F.col("m.max")[1].alias("north")).alias("bounds"))
+    m.select("tile_id", F.array("bounds.west", "bounds.south").alias("min"), F.array("bounds.east", "bounds.north").alias("max")).write.partitionBy("tile_id").json(path)
+    raw = spark.read.schema("min array<double>, max array<double>, tile_id int").json(path)
+    found = raw.select(F.col("tile_id").cast("string").alias("path"), F.struct(F.col("min")[0].alias("west"), F.col("min")[1].alias("south"), F.col("max")[0].alias("east"), F.col("max")[1].alias("north")).alias("bounds"))
     K.append_manifest(found, cache)
     return R.read_manifest(spark, path, cache).select(F.col("path").cast("int").alias("tile_id"), "bounds.*")
 
@@ -89,7 +88,7 @@ def band_sizes(spark, sf):
     return A.check_band_dims(d).select("tile_id")
 
 
-@query(f"SELECT CAST(4 AS INT) AS z, count(*) AS n FROM (SELECT DISTINCT x // 2, y // 2, (y % 2) * 12 + row_no // 2, (x % 2) * 12 + col_no // 2 FROM ({AS_TILES})) UNION ALL SELECT CAST(3 AS INT), count(*) FROM (SELECT DISTINCT x // 4, y // 4, ((y // 2) % 2) * 12 + ((y % 2) * 12 + row_no // 2) // 2, ((x // 2) % 2) * 12 + ((x % 2) * 12 + col_no // 2) // 2 FROM ({AS_TILES}))")
+@query(f"SELECT CAST(4 AS INT) AS z, count(*) AS n FROM (SELECT DISTINCT x // 2, y // 2, (y % 2) * 12 + row_no // 2, (x % 2) * 12 + col_no // 2 FROM ({AS_TILES})) HAVING count(*) > 0 UNION ALL SELECT CAST(3 AS INT), count(*) FROM (SELECT DISTINCT x // 4, y // 4, ((y // 2) % 2) * 12 + ((y % 2) * 12 + row_no // 2) // 2, ((x // 2) % 2) * 12 + ((x % 2) * 12 + col_no // 2) // 2 FROM ({AS_TILES})) HAVING count(*) > 0")
 def image_pyramid(spark, sf):
     levels = A.quad_pyramid(_tiles(spark, sf), 2)
     one = lambda d: d.groupBy("z").agg(F.count(F.lit(1)).alias("n"))
