@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOGETHER, by_range, materialise, partitions, slices, table
+from .common import by_range, materialise, partitions, portions, slices, table
 from .pieces import encoder as piece_encoder
 
 WINDOW = 2048
@@ -30,14 +30,19 @@ K1, B = 1.2, 0.75
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
 
-def _min_hash(ids: np.ndarray) -> int:
-    """Smallest of the mixed hashes of adjacent ids, 62 bits."""
+def _min_hashes(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The smallest of the mixed hashes of adjacent ids, 62 bits, of each document in a row of documents; ``ends``: where each begins (one more at the end)."""
     x = ids.astype(np.uint64)
-    x = (x[:-1] << np.uint64(32) | x[1:]) if len(x) > 1 else x
-    x = x * np.uint64(0x9E3779B97F4A7C15)
+    # A document's last id has no successor; alone it stands for itself.
+    last, alone = ends[1:] - 1, np.diff(ends) == 1
+    x[:-1] = x[:-1] << np.uint64(32) | x[1:]
+    x[last[alone]] = ids[last[alone]]
+    x *= np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return int((x ^ x >> np.uint64(32)).min() >> np.uint64(2))
+    x ^= x >> np.uint64(32)
+    x[last[~alone]] = np.uint64(2**64 - 1)
+    return (np.minimum.reduceat(x, ends[:-1]) >> np.uint64(2)).astype(np.int64)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -49,14 +54,18 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         encoder = piece_encoder(lambda: Tokenizer.from_file(tokenizer_path), "spaces", tokenizer_path)
         terms = np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int32)
-        for b in slices(batches, TOGETHER):
+        at = np.zeros(len(terms), np.int32)
+        for b in portions(batches, 1):
             coded, ends = encoder.encode(b.column(1))
             coded, ends = np.insert(coded, ends[1:], end_id), ends + np.arange(len(ends))
             arrays = [coded[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
             for a in arrays:
-                terms[np.unique(a)] += 1
+                # Each id counts at one of its places, whichever was written last.
+                place = np.arange(len(a), dtype=np.int32)
+                at[a] = place
+                terms[a[at[a] == place]] += 1
             salt = b.column(2).to_pylist()
-            places = [(_min_hash(a) >> 20 << 20) | s for a, s in zip(arrays, salt)]
+            places = (_min_hashes(coded, ends) >> 20 << 20) | np.array(salt, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.int64()), pa.array([len(a) for a in arrays], pa.int64()), pa.array([a.tobytes() for a in arrays], pa.binary()), pa.nulls(len(arrays), pa.list_(pa.int32()))], schema=schema)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([terms], pa.list_(pa.int32()))], schema=schema)
 
