@@ -9,7 +9,7 @@ A fingerprint is the root in hex, ``:``, and the phrases' 32-bit hashes in order
 fingerprints is the share of phrases that they have in common (as multisets), of the larger one; 1 if the roots are equal.
 
 Defined cases: null is empty; an empty text has one empty phrase; repeated rows are fingerprinted each; a table of one row is its own
-neighbour; rows with a null id come before all others in id order; further columns are ignored.
+neighbour; rows with a null id come before all others in id order (if all are null, the first is its own neighbour); further columns are ignored.
 """
 
 from __future__ import annotations
@@ -182,6 +182,8 @@ def fingerprints_beside_edits(docs: DataFrame, text: str = "text", id_col: str =
             out = []
             for context, doc_id, t in zip(*(c.to_pylist() for c in b.columns)):
                 own = Fingerprint.of(t)
+                if following is None:  # no row has an id: the first one stands beside itself
+                    following, mark = t, own
                 if not context:
                     edited = spliced(t, following)
                     other = Fingerprint.of(edited)
