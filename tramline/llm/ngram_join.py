@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, partitions, slices, table, text_bytes
+from .pieces import forget
 
 SALTS = 64
 BITS = 512
@@ -77,6 +78,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n, d1, d2): size and digest of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]):
+        forget()
         for b in slices(batches):
             sets = [gram_set(t, n) for t in b.column(1).to_pylist()]
             digests = [_digest(s) for s in sets]
@@ -276,23 +278,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes in ``edges`` (a, b): equal labels for the nodes of a component.
 
-    Each step hooks every node to the neighbour that comes first in an order drawn anew, and contracts; so even a chain
-    is gone after a number of steps that grows with its length's logarithm. Steps are written, not kept in memory.
+    Each step hooks every node to the neighbour (or itself) that has most neighbours, ties in an order drawn anew, and
+    contracts. A star is gone after one step, a chain after a number of steps that grows with its length's logarithm.
+    Steps are written, not kept in memory.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     live = materialise(both(edges).filter("a != b").distinct(), "cc-edges")
-    labels = live.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    step = 0
+    labels, step = None, 0
     while not live.isEmpty():
         step += 1
-        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)), F.col(c))  # noqa: E731, B023
-        hook = live.groupBy("a").agg(F.min_by("b", order("b")).alias("b"))
-        hook = hook.select(F.col("a").alias("label"), F.when(order("b") < order("a"), F.col("b")).otherwise(F.col("a")).alias("to"))
-        hook = materialise(hook, "cc-hook")
-        labels = materialise(labels.join(hook, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "cc-labels")
+        degree = live.groupBy(F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("d"))
+        rank = lambda d, c: F.struct((-F.col(d)).alias("d"), F.xxhash64(F.col(c), F.lit(step)).alias("h"), F.col(c).alias("to"))  # noqa: E731, B023
+        hook = live.join(degree, "b").groupBy("a").agg(F.min(rank("d", "b")).alias("best"), F.count(F.lit(1)).alias("own"))
+        hook = materialise(hook.select(F.col("a").alias("label"), F.least("best", rank("own", "a"))["to"].alias("to")), "cc-hook")
+        if labels is None:
+            labels = hook.select(F.col("label").alias("node"), F.col("to").alias("label"))
+        else:
+            labels = materialise(labels.join(hook, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "cc-labels")
         ends = live.join(hook.select(F.col("label").alias("a"), F.col("to").alias("x")), "a").join(hook.select(F.col("label").alias("b"), F.col("to").alias("y")), "b")
         live = materialise(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a != b").distinct(), "cc-edges")
-    return labels
+    return labels if labels is not None else live.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
 def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
