@@ -104,10 +104,20 @@ def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError("the archive ends inside a record")
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows with their payload deflated, so that less is moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in slices(batches, 200):
+            yield b.set_column(2, "payload", pa.array([zlib.compress(p, 1) for p in b.column(2).to_pylist()], pa.binary()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_bytes, digest, refers_to. The page that a group of equal payloads keeps has the largest id.
+    """page_id, url, payload (deflated), payload_bytes, digest, refers_to. The page that a group of equal payloads keeps has the largest id.
 
-    Groups are found on ids and digests alone, in two steps by salt; the html is moved once, by page id.
+    Groups are found on ids and digests alone, in two steps by salt; the html is moved once, deflated, by page id.
     """
     rows = pages.select("page_id", "url", text_bytes("html").alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("digest"))
@@ -116,7 +126,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     groups = parts.groupBy("digest").agg(F.max("top").alias("refers_to"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts"))
     groups = groups.filter("n > 1 and refers_to is not null").select("digest", "refers_to", F.explode("salts").alias("salt"))
     again = light.join(groups, ["digest", "salt"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to").distinct()
-    found = rows.join(again, rows["page_id"].eqNullSafe(again["_page"]) & (rows["digest"] == again["_digest"]), "left")
+    packed = _packed(rows)
+    found = packed.join(again, packed["page_id"].eqNullSafe(again["_page"]) & (packed["digest"] == again["_digest"]), "left")
     # A revisit's payload is not written, so it is not moved on either.
     return found.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "payload_bytes", "digest", "refers_to")
 
@@ -133,7 +144,7 @@ def write_archives(pages: DataFrame, path: str, level: int = 6) -> DataFrame:
                 fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 out = fs.open_output_stream(inner, compression=None)
             for r in zip(*(c.to_pylist() for c in b.columns)):
-                out.write(z.compress(record(r[0], r[1], r[2] or b"", r[3], r[4], r[5])))
+                out.write(z.compress(record(r[0], r[1], zlib.decompress(r[2]) if r[2] else b"", r[3], r[4], r[5])))
                 n += 1
         if out is not None:
             out.write(z.flush())
