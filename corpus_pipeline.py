@@ -10,6 +10,8 @@ from tramline.llm.common import materialise, partitions, scratch, table
 
 #: What stands in a text where a secret stood.
 MARK = "[SECRET]"
+#: Pieces that the packing stage's workers remember: few, as the stages before leave little memory free.
+REMEMBERED = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed training sequences."""
     import public_tokenizers
 
-    return bm25_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1)
+    return bm25_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1, remembered=REMEMBERED)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_join", drop_near_copies), ("secret_scan", blank_secrets), ("packing", pack)]

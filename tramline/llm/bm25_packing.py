@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import by_range, materialise, partitions, portions, slices, table
 from .pieces import encoder as piece_encoder
+from .pieces import REMEMBERED, forget
 
 WINDOW = 2048
 SHARD = 1 << 18
@@ -45,14 +46,14 @@ def _min_hashes(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (np.minimum.reduceat(x, ends[:-1]) >> np.uint64(2)).astype(np.int64)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, end_id: int, remembered: int = REMEMBERED) -> DataFrame:
     """Write (doc_id, place, n_tokens, ids; terms): a row a document, and a row a task with the document frequency of each token id."""
     from tokenizers import Tokenizer
 
     schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("terms", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder = piece_encoder(lambda: Tokenizer.from_file(tokenizer_path), "spaces", tokenizer_path)
+        encoder = piece_encoder(lambda: Tokenizer.from_file(tokenizer_path), "spaces", tokenizer_path, limit=remembered)
         terms = np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int32)
         at = np.zeros(len(terms), np.int32)
         for b in portions(batches, 1):
@@ -176,10 +177,13 @@ class Packer:
             left -= size
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
-    """Pieces of the packed sequences: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW, shard: int = SHARD, remembered: int = REMEMBERED) -> DataFrame:
+    """Pieces of the packed sequences: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
+
+    ``remembered``: pieces of text that half of a worker's memory of encoded ones holds; it trades memory for time alone.
+    """
     spark = docs.sparkSession
-    coded = encode(docs, tokenizer_path, end_id)
+    coded = encode(docs, tokenizer_path, end_id, remembered)
     own = coded.filter("terms is null").drop("terms")
     n, total = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     # As many rows as the vocabulary has ids.
@@ -195,6 +199,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW
     laid = by_range(own, "place", partitions(spark), "doc_id").select("_part", "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]):
+        forget()
         packer, held, size, out = None, [], 0, []
 
         def rows(pieces):

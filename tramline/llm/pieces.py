@@ -22,21 +22,28 @@ import pyarrow.compute as pc
 _ENCODERS: dict[tuple, "PieceEncoder"] = {}
 #: A character that stands alone between the pieces of a ``words`` batch.
 MARK = "\x01"
+#: Pieces in half of the memory: some 200 bytes each.
+REMEMBERED = 500_000
 #: Pieces encoded at a time.
 TOGETHER = 400
 
 
-def encoder(load: Callable, cut: str, *key: str) -> "PieceEncoder":
+def encoder(load: Callable, cut: str, *key: str, limit: int = REMEMBERED) -> "PieceEncoder":
     """The encoder for ``key`` of this process; tasks in one Python worker share it."""
-    if (cut, *key) not in _ENCODERS:
-        _ENCODERS[cut, *key] = PieceEncoder(load, cut)
-    return _ENCODERS[cut, *key]
+    if (cut, limit, *key) not in _ENCODERS:
+        _ENCODERS[cut, limit, *key] = PieceEncoder(load, cut, limit)
+    return _ENCODERS[cut, limit, *key]
+
+
+def forget() -> None:
+    """Give up what a worker remembers; tasks that encode nothing call it, as workers outlive their tasks."""
+    _ENCODERS.clear()
 
 
 class PieceEncoder:
     """Encodes texts to little-endian unsigned ids."""
 
-    def __init__(self, load: Callable, cut: str, limit: int = 500_000, longest: int = 48):
+    def __init__(self, load: Callable, cut: str, limit: int = REMEMBERED, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = load()
         self.tokenizer.encode_special_tokens = True

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices, table
+from .pieces import forget
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -171,6 +172,7 @@ def scan(docs: DataFrame, text: str = "text", redact: str | None = None) -> Data
     at = [f.name for f in kept].index(text)
 
     def run(batches: Iterator[pa.RecordBatch]):
+        forget()
         for b in slices(batches):
             texts = b.column(at).to_pylist()
             spans = [scan_text(t) if t else [] for t in texts]

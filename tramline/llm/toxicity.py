@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, slices, table
+from .pieces import forget
 
 SAMPLE, FEATURES, CHI2, LEAST_DF = 6000, 1024, 25.0, 3
 K, BLOCK, SOFT, PRIOR = 15, 64, 0.05, 1.0
@@ -51,7 +52,7 @@ def features_of(word: str) -> list[str]:
 class Vocabulary:
     """Feature ids of words; what was looked up stays known, up to ``limit`` words."""
 
-    def __init__(self, names: list[str], limit: int = 300_000):
+    def __init__(self, names: list[str], limit: int = 150_000):
         self.ids = {f: k for k, f in enumerate(names)}
         self.known: dict[str, tuple[int, ...]] = {}
         self.limit = limit
@@ -179,6 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n, positive = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
 
     def count(batches: Iterator[pa.RecordBatch]):
+        forget()
         for b in slices(batches):
             both, hits = Counter(), Counter()
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -196,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     names = [r["feature"] for r in ranked.orderBy(F.desc("chi2"), "feature").limit(FEATURES).collect()]
 
     def document_frequencies(batches: Iterator[pa.RecordBatch]):
-        vocabulary, found, rows = Vocabulary(names), np.zeros(len(names) + 1, np.int64), 0
+        forget()
+        vocabulary, found = Vocabulary(names), np.zeros(len(names) + 1, np.int64)
         for b in slices(batches):
             for t in b.column(0).to_pylist():
                 found[-1] += 1
@@ -236,6 +239,7 @@ def scores(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]):
+        forget()
         own = shared.value
         for b in slices(batches):
             found = [own.score(t) for t in b.column(at).to_pylist()]
@@ -243,6 +247,9 @@ def scores(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
             if evidence:
                 new.append(pa.array([[{"doc_id": i, "cosine": c, "label": y} for i, c, y in e] for _, e in found], arrow))
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [f.name for f in schema.fields])
+        # The model stays with the worker; what it has looked up need not.
+        own.vocabulary.known.clear()
+        own.seen.clear()
 
     return docs.select(*[f.name for f in kept]).mapInArrow(run, schema)
 
