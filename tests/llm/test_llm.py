@@ -95,6 +95,44 @@ def test_components_of_near_copies(spark, n, percent):
     assert sorted(map(tuple, got)) == sorted(brute_components(rows, n, percent))
 
 
+def brute_links(rows, n, percent):
+    sets = {}
+    for i, t in rows:
+        if len(g := ngram_join.gram_set((t or "").encode(), n)):
+            sets[g.tobytes()] = (min(i, sets.get(g.tobytes(), (i,))[0]), g)
+    own = sorted(sets.values(), key=lambda s: s[0])
+    common = lambda a, b: len(np.intersect1d(a, b))
+    return [(i, j, len(a), len(b), common(a, b)) for k, (i, a) in enumerate(own) for j, b in own[k + 1 :] if 100 * common(a, b) >= percent * (len(a) + len(b) - common(a, b))]
+
+
+def test_every_link_is_counted(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 32)
+    rng = random.Random(12)
+    rows = []
+    for size in (40, 120):
+        base = [f"w{rng.randrange(10_000)}" for _ in range(size)]
+        for _ in range(30):
+            words = list(base)
+            words[rng.randrange(size)] = f"v{rng.randrange(10_000)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(500, rows[3][1].upper()), (501, "alone"), (502, ""), (503, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_links(rows, 4, 85)
+    got = [(*((r.doc_a, r.doc_b) if r.doc_a < r.doc_b else (r.doc_b, r.doc_a)), *((r.n_a, r.n_b) if r.doc_a < r.doc_b else (r.n_b, r.n_a)), r.common) for r in ngram_join.ngram_links(docs, 4, 85).collect()]
+    # Far more than the links that span the components.
+    assert sorted(got) == want and len(want) > 200
+    counts = {r.doc_id: r for r in ngram_join.ngram_link_counts(docs, 4, 85).collect()}
+    ends = [i for w in want for i in w[:2]]
+    assert all(counts[i].n_links == ends.count(i) for i, _ in rows if i < 500)
+    assert counts[500].n_links == counts[3].n_links and counts[501].n_links == counts[502].n_links == counts[503].n_links == 0
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in counts.values()) == sorted(brute_components(rows, 4, 85))
+
+
+def test_links_of_no_rows(none):
+    assert ngram_join.ngram_links(none).collect() == ngram_join.ngram_link_counts(none).collect() == []
+
+
 def test_components_of_odd_rows(odd, none):
     got = ngram_join.ngram_components(odd, 4, 85).collect()
     assert sorted(map(tuple, got), key=key) == sorted(brute_components(ODD, 4, 85), key=key)

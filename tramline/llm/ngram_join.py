@@ -15,6 +15,9 @@ group of near copies is first joined in ``ROUNDS`` rounds to one member for each
 whose ends are still apart are then all tried. That is exact: two nodes of one component need no further test, and
 every other pair that shares a prefix gram passes the filters and the test.
 
+``ngram_links`` and ``ngram_link_counts`` give every link between distinct sets, or their number for each row: each lies within
+a component, and there all pairs are counted on the whole sets, block by block.
+
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; fewer words than n make one gram; without words a document
 is a component of its own; null ids join the components of equal or like texts but never name one (a component of
 null ids has a null id); rows that repeat an id are one document, so what either is like is in one component;
@@ -43,6 +46,8 @@ FAN = 256
 CELLS, CHUNKS = 1 << 25, 64
 #: Documents whose postings are packed together.
 PACK = 2000
+#: Sets and grams in a block of a component whose links are all counted; grams that are compared at a time.
+BLOCK, BLOCK_GRAMS, COLUMNS = 64, 1 << 20, 1 << 12
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -307,8 +312,8 @@ def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(spread, "gram", "left_semi")
 
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row: documents whose Jaccard similarity is ``percent`` / 100 or more are linked."""
+def _joined(docs: DataFrame, n: int, percent: int, text: str, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sets of the rows, their nodes, texts of the nodes that may have links, and labels of those in components."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
     sets = _sets(rows, n).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     # Equal sets are one node; no task holds more of a group than a row for each salt.
@@ -352,11 +357,121 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
             if own.isEmpty():
                 break
 
-    of_node = nodes.join(labels, "node", "left").select("node", "d1", "d2", "n", "salts", "rep", F.coalesce("label", "node").alias("label"))
+    return sets, nodes, texts, labels
+
+
+def _of_rows(sets: DataFrame, nodes: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id, and ``more`` columns of nodes, 0 for rows without words) of each row."""
+    of_node = nodes.join(labels, "node", "left").select("node", "d1", "d2", "n", "salts", "rep", *more, F.coalesce("label", "node").alias("label"))
     least = of_node.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_set = of_node.join(least, "label").select("d1", "d2", F.col("n").alias("_n"), F.explode("salts").alias("salt"), "component_id")
+    of_set = of_node.join(least, "label").select("d1", "d2", F.col("n").alias("_n"), F.explode("salts").alias("salt"), "component_id", *more)
     out = sets.join(of_set, (sets["d1"] == of_set["d1"]) & (sets["d2"] == of_set["d2"]) & (sets["n"] == of_set["_n"]) & (sets["salt"] == of_set["salt"]), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in more])
+
+
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common grams of each of the sets ``xs`` with each of ``ys``."""
+    (g, x), (h, y) = ((np.concatenate(s), np.repeat(np.arange(len(s)), [len(a) for a in s])) for s in (xs, ys))
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    common = np.intersect1d(g, h)
+
+    def placed(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(common, grams), max(0, len(common) - 1))
+        hit = common[at] == grams if len(common) else np.zeros(len(grams), bool)
+        at, owner = at[hit], owner[hit]
+        order = np.argsort(at, kind="stable")
+        return at[order], owner[order]
+
+    (i, x), (j, y) = placed(g, x), placed(h, y)
+    for at in range(0, len(common), COLUMNS):
+        # Counts below 2^24 are exact in single precision.
+        width, sides = min(COLUMNS, len(common) - at), []
+        for k, owner, n in ((i, x, len(xs)), (j, y, len(ys))):
+            lo, hi = np.searchsorted(k, [at, at + width])
+            side = np.zeros((n, width), np.float32)
+            side[owner[lo:hi], k[lo:hi] - at] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _links(texts: DataFrame, labels: DataFrame, n: int, percent: int, count: bool) -> DataFrame:
+    """All links between nodes: (a, b, common), or with ``count`` (node, k), whose sums are the nodes' numbers of links.
+
+    Every link is within a component. A component is dealt into blocks, each pair of blocks is one group, and all pairs of
+    its sets are counted at once; the rows that are moved are a component's size squared over ``BLOCK``.
+    """
+
+    def grams(batches: Iterator[pa.RecordBatch]):
+        for b in slices(batches):
+            sets = [gram_set(t, n) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "label", "n", "grams"])
+
+    own = texts.dropDuplicates(["node"]).join(labels, "node").select("node", "label", "text")
+    own = materialise(own.mapInArrow(grams, "node long, label long, n long, grams binary"), "link-sets")
+    blocks = own.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    placed = own.join(blocks, "label").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), (F.col("at") > F.col("other")).alias("second"), "node", "grams")
+    met = met.repartition(partitions(texts.sparkSession), "label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
+    fields = (("node", pa.int64()), ("k", pa.int64())) if count else (("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()))
+
+    def linked(one: bool, first: list, second: list) -> list[np.ndarray]:
+        ys = first if one else second
+        if not first or not ys:
+            return [np.zeros(0, np.int64)] * len(fields)
+        (a, xs), (b, zs) = zip(*first), zip(*ys)
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        common = overlaps(list(xs), list(zs))
+        either = np.array([len(x) for x in xs])[:, None] + np.array([len(z) for z in zs])[None, :] - common
+        hit = alike(common, either, common, percent)
+        if one:
+            hit &= a[:, None] < b[None, :]
+        if count:
+            node, k = np.concatenate([a, b]), np.concatenate([hit.sum(1), hit.sum(0)])
+            return [node[k > 0], k[k > 0]]
+        i, j = np.nonzero(hit)
+        return [np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), common[i, j]]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        forget()
+        key, sides = None, ([], [])
+
+        def done():
+            found = linked(key[1] == key[2], *sides)
+            for at in range(0, len(found[0]), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10_000], t) for c, (_, t) in zip(found, fields)], [f for f, _ in fields])
+
+        for b in slices(batches):
+            for label, lo, hi, second, node, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if key != (label, lo, hi):
+                    if key:
+                        yield from done()
+                    key, sides = (label, lo, hi), ([], [])
+                sides[second].append((node, np.frombuffer(raw, np.uint64)))
+        if key:
+            yield from done()
+
+    return met.mapInArrow(run, ", ".join(f"{f} long" for f, _ in fields))
+
+
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row: documents whose Jaccard similarity is ``percent`` / 100 or more are linked."""
+    sets, nodes, _, labels = _joined(docs, n, percent, text, id_col)
+    return _of_rows(sets, nodes, labels)
+
+
+def ngram_link_counts(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """As ``ngram_components``, and ``n_links``: how many other distinct sets the row's set is linked to."""
+    sets, nodes, texts, labels = _joined(docs, n, percent, text, id_col)
+    links = _links(texts, labels, n, percent, True).groupBy("node").agg(F.sum("k").alias("n_links"))
+    return _of_rows(sets, nodes.join(links, "node", "left"), labels, "n_links")
+
+
+def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_a, doc_b, n_a, n_b, common) of every linked pair of distinct sets, each named by its smallest doc_id (null if it has none)."""
+    _, nodes, texts, labels = _joined(docs, n, percent, text, id_col)
+    end = lambda c: nodes.select(F.col("node").alias(c), F.col("rep").alias(f"doc_{c}"), F.col("n").alias(f"n_{c}"))
+    return _links(texts, labels, n, percent, False).join(end("a"), "a").join(end("b"), "b").select("doc_a", "doc_b", "n_a", "n_b", "common")
 
 
 def _same_ids(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -368,4 +483,4 @@ def _same_ids(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents"), 4, 85)
+    return ngram_link_counts(table(spark, sf_dir, "documents"), 4, 85)
