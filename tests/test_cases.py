@@ -179,3 +179,24 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "version_id int, item_id int, stop_lon double, stop_lat double")
     assert tiling.stop_points(none).count() == 0 and tiling.occupied_tiles(none, 13).count() == 0
     assert math.isclose(fields.finite_abs_mean(spark.createDataFrame([], "v double"), "v").first()[0], 0.0)
+
+
+def test_every_image_is_projected(spark, tmp_path):
+    from tramline.plans import q_map
+
+    # 50 images; of those only 36 stood below 80 degrees north.
+    spark.range(50 * 576).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    got = q_map.utm_images(spark, str(tmp_path)).groupBy("tile_id").count().collect()
+    assert sorted(map(tuple, got)) == [(k, 576) for k in range(50)]
+
+
+def test_images_lie_in_a_band(spark):
+    from tramline.plans import q_map
+
+    t = F.col("tile_id")
+    box = S.box(t % 4 * 9.0, (t - t % 4) * 2.0, t % 4 * 9.0 + 10.0, (t - t % 4) * 2.0 + 10.0)
+    m = spark.range(20_000).select(F.col("id").cast("int").alias("tile_id")).withColumn("bounds", box)
+    rows = q_map._banded(m).select("tile_id", "bounds.*").collect()
+    assert len(rows) == 20_000
+    assert all(-180 <= r.west < r.east <= 180 and 0 <= r.south < r.north < 80 and abs(r.east - r.west - 10) < 1e-9 and abs(r.north - r.south - 10) < 1e-9 for r in rows)
+    assert all((r.west, r.south) == (r.tile_id % 4 * 9.0, (r.tile_id - r.tile_id % 4) * 2.0) for r in rows if r.tile_id < 36)

@@ -243,15 +243,22 @@ def mosaic_images(spark, sf):
     return A.mosaic(fx(spark, sf, "dx_px"), m, requests, 12, 10)
 
 
+def _banded(m):
+    """The images between 0 and 80 degrees north: blocks of 36 stand side by side, and each 8 blocks a little further north than those before."""
+    block = F.floor(F.col("tile_id") / 36)
+    east, north = ((block + 4) % 8 - 4) * 37.0, -F.floor(F.col("tile_id") / 4) * 8.0 + F.floor(F.col("tile_id") % 36 / 4) * 8.0 + F.floor(block / 8) % 50 * 0.1
+    return m.withColumn("bounds", S.box(F.col("bounds.west") + east, F.col("bounds.south") + north, F.col("bounds.east") + east, F.col("bounds.north") + north))
+
+
 @query()
 def mercator_tiles(spark, sf):
-    m = _manifest(spark, sf)
-    return A.to_web_mercator(fx(spark, sf, "dx_px"), m, A.base_tiles(m.filter("bounds.north < 80"), 5), 16)
+    m = _banded(_manifest(spark, sf))
+    return A.to_web_mercator(fx(spark, sf, "dx_px"), m, A.base_tiles(m, 5), 16)
 
 
 @query()
 def utm_images(spark, sf):
-    m = _manifest(spark, sf).filter("bounds.north < 80")
+    m = _banded(_manifest(spark, sf))
     p = A.utm_forward(F.col("bounds.west"), F.col("bounds.north"), F.lit(3.0) + F.col("bounds.west"))
     images = m.withColumn("central_meridian", F.lit(3.0) + F.col("bounds.west")).withColumn("_p", p).withColumn("west_m", F.col("_p.easting")).withColumn("north_m", F.col("_p.northing")).withColumn("pixel_m", F.lit(50_000.0))
     return A.utm_to_lonlat(fx(spark, sf, "dx_px"), images)
