@@ -200,3 +200,11 @@ def test_images_lie_in_a_band(spark):
     assert len(rows) == 20_000
     assert all(-180 <= r.west < r.east <= 180 and 0 <= r.south < r.north < 80 and abs(r.east - r.west - 10) < 1e-9 and abs(r.north - r.south - 10) < 1e-9 for r in rows)
     assert all((r.west, r.south) == (r.tile_id % 4 * 9.0, (r.tile_id - r.tile_id % 4) * 2.0) for r in rows if r.tile_id < 36)
+
+
+def test_every_box_has_its_grid_and_count(spark, sf):
+    from tramline.plans import q_map
+
+    n = spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert q_map.chunk_grid_all(spark, sf).select("feature_id").distinct().count() == n
+    assert q_map.features_in_all_boxes(spark, sf).count() == n

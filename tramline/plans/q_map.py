@@ -36,10 +36,23 @@ def _areas(spark, sf):
     return run(spark, sf, AREAS)
 
 
-@query(f"""SELECT feature_id, x, y, round(tw, 9) AS west, round(tn, 9) AS north, round(greatest(tw - 100e0 / greatest(111320e0 * abs(cos(radians((ts + tn) * 0.5e0))), 1e0), -180e0), 9) AS x_west, round(tn + 100e0 / 111320e0, 9) AS x_north
-FROM (SELECT feature_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, x / 8192e0 * 360e0 - 180e0 AS tw, {LAT('y', 13)} AS tn, {LAT('(y + 1)', 13)} AS ts FROM ({AREAS}), LATERAL (SELECT unnest(range({X('west', 13)}, {X('east', 13)} + 1)) AS x), LATERAL (SELECT unnest(range({Y('north', 13)}, {Y('south', 13)} + 1)) AS y))""")
+GRID = f"""SELECT feature_id, x, y, round(tw, 9) AS west, round(tn, 9) AS north, round(greatest(tw - 100e0 / greatest(111320e0 * abs(cos(radians((ts + tn) * 0.5e0))), 1e0), -180e0), 9) AS x_west, round(tn + 100e0 / 111320e0, 9) AS x_north
+FROM (SELECT feature_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, x / 8192e0 * 360e0 - 180e0 AS tw, {LAT('y', 13)} AS tn, {LAT('(y + 1)', 13)} AS ts FROM ({AREAS}), LATERAL (SELECT unnest(range({X('west', 13)}, {X('east', 13)} + 1)) AS x), LATERAL (SELECT unnest(range({Y('north', 13)}, {Y('south', 13)} + 1)) AS y))"""
+
+
+@query(GRID)
 def chunk_grid(spark, sf):
-    d = R.chunk_grid(_areas(spark, sf), 13, 100.0)
+    return _grid(_areas(spark, sf))
+
+
+# The same over every box, not over the requested areas alone.
+@query(GRID.replace(f"({AREAS})", "fx_boxes"))
+def chunk_grid_all(spark, sf):
+    return _grid(fx(spark, sf, "fx_boxes"))
+
+
+def _grid(areas):
+    d = R.chunk_grid(areas.select("feature_id", "west", "south", "east", "north"), 13, 100.0)
     r = lambda c: F.round(c, 9)
     return d.select("feature_id", "x", "y", r("target.west").alias("west"), r("target.north").alias("north"), r("extraction.west").alias("x_west"), r("extraction.north").alias("x_north"))
 
@@ -50,6 +63,12 @@ def features_in_boxes(spark, sf):
     return R.features_touching(fx(spark, sf, "fx_boxes"), boxes, ["box_id"]).select("feature_id", "box_id")
 
 
+@query(f"SELECT t.feature_id AS box_id, count(*) AS n FROM fx_boxes b JOIN fx_boxes t ON {TOUCH} GROUP BY t.feature_id")
+def features_in_all_boxes(spark, sf):
+    boxes = fx(spark, sf, "fx_boxes").select(F.col("feature_id").alias("box_id"), S.box("west", "south", "east", "north").alias("box"))
+    return R.features_touching(fx(spark, sf, "fx_boxes"), boxes, ["box_id"]).groupBy("box_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT feature_id, CASE WHEN NOT (west < 13.5e0 AND east > 13.1e0 AND south < 52.5e0 AND north > 52.1e0) THEN 'area outside the source' WHEN feature_id % 9 = 0 THEN 'negative buffer' END AS error FROM fx_boxes""")
 def area_checks(spark, sf):
     d = fx(spark, sf, "fx_boxes").select("feature_id", S.box("west", "south", "east", "north").alias("area"), S.box(*map(F.lit, (13.1, 52.1, 13.5, 52.5))).alias("source"), F.when(F.col("feature_id") % 9 == 0, -1.0).otherwise(5.0).alias("buffer_m"))
