@@ -2,7 +2,7 @@
 
 Documents are encoded once and written. They are dealt into partitions by ranges of a min-hash of their token pairs
 (copies and texts with much in common so stand together; the last bits are a hash of doc_id, so any group can be
-divided), and each partition is worked through in shards of about ``SHARD`` tokens. A shard has a BM25 inverted index over
+divided), cut so that partitions have like numbers of tokens, and each partition is worked through in shards of about ``SHARD`` tokens. A shard has a BM25 inverted index over
 token ids, with document frequencies and mean length over all documents. The window's first document is the seed; the
 shard's unused documents fill the window in order of their score for all of the seed's terms, then unused ones without
 a common term. The one that reaches over the window's end is cut there, and its rest is the next seed. So every sequence
@@ -46,6 +46,18 @@ def _min_hashes(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (np.minimum.reduceat(x, ends[:-1]) >> np.uint64(2)).astype(np.int64)
 
 
+def distinct_terms(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, occurrences) of the distinct ids of each document in a row of documents, by document and id: one sort of all."""
+    bits = 16 if ids.dtype.itemsize == 2 else 32
+    few = len(ends) <= 1 << 16 and bits == 16
+    kind = np.uint32 if few else np.uint64
+    key = np.repeat(np.arange(len(ends) - 1, dtype=kind), np.diff(ends)) << kind(bits) | ids.astype(kind)
+    key.sort()
+    starts = np.nonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))[0]
+    own = key[starts]
+    return (own >> kind(bits)).astype(np.int64), (own & kind((1 << bits) - 1)).astype(np.int64), np.diff(np.append(starts, len(key)))
+
+
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, remembered: int = REMEMBERED) -> DataFrame:
     """Write (doc_id, place, n_tokens, ids; terms): a row a document, and a row a task with the document frequency of each token id."""
     from tokenizers import Tokenizer
@@ -54,20 +66,15 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, remembered: int =
 
     def run(batches: Iterator[pa.RecordBatch]):
         encoder = piece_encoder(lambda: Tokenizer.from_file(tokenizer_path), "spaces", tokenizer_path, limit=remembered)
-        terms = np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int32)
-        at = np.zeros(len(terms), np.int32)
+        width = encoder.dtype.itemsize
+        terms = np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int64)
         for b in portions(batches, 1):
             coded, ends = encoder.encode(b.column(1))
             coded, ends = np.insert(coded, ends[1:], end_id), ends + np.arange(len(ends))
-            arrays = [coded[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            for a in arrays:
-                # Each id counts at one of its places, whichever was written last.
-                place = np.arange(len(a), dtype=np.int32)
-                at[a] = place
-                terms[a[at[a] == place]] += 1
-            salt = b.column(2).to_pylist()
-            places = (_min_hashes(coded, ends) >> 20 << 20) | np.array(salt, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.int64()), pa.array([len(a) for a in arrays], pa.int64()), pa.array([a.tobytes() for a in arrays], pa.binary()), pa.nulls(len(arrays), pa.list_(pa.int32()))], schema=schema)
+            terms += np.bincount(distinct_terms(coded, ends)[1], minlength=len(terms))
+            places = (_min_hashes(coded, ends) >> 20 << 20) | b.column(2).to_numpy()
+            ids = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(coded)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.int64()), pa.array(np.diff(ends), pa.int64()), ids, pa.nulls(b.num_rows, pa.list_(pa.int32()))], schema=schema)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([terms], pa.list_(pa.int32()))], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("salt"))
@@ -78,19 +85,15 @@ class Shard:
     """A BM25 inverted index over a few documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.terms = []
-        owner, terms, weights = [], [], []
-        for k, ids in enumerate(docs):
-            t, tf = np.unique(ids, return_counts=True)
-            own = idf[t] > 0
-            t, tf = t[own], tf[own]
-            self.terms.append(t)
-            owner.append(np.full(len(t), k, np.int32))
-            terms.append(t)
-            weights.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))
-        term = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-        order = np.argsort(term, kind="stable")
-        self.owner, self.weight = np.concatenate(owner)[order], np.concatenate(weights)[order]
+        size = np.array([len(d) for d in docs], np.int64)
+        owner, term, tf = distinct_terms(np.concatenate(docs), np.concatenate([[0], np.cumsum(size)]))
+        own = idf[term] > 0
+        owner, term, tf = owner[own], term[own], tf[own]
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / mean))
+        #: The terms of each document that are indexed.
+        self.terms = np.split(term, np.searchsorted(owner, np.arange(1, len(docs))))
+        order = np.argsort(term.astype(np.uint16) if len(idf) <= 1 << 16 else term, kind="stable")
+        self.owner, self.weight = owner[order], weight[order]
         n = np.bincount(term, minlength=len(idf))
         self.length, self.start = n, np.cumsum(n) - n
         self.size = len(docs)
@@ -196,7 +199,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW
     mean = total / max(1, n)
     wide = len(df) > 1 << 16
     statistics = spark.sparkContext.broadcast(idf)
-    laid = by_range(own, "place", partitions(spark), "doc_id").select("_part", "doc_id", "ids")
+    laid = by_range(own, "place", partitions(spark), "doc_id", weight="n_tokens").select("_part", "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]):
         forget()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import portions, slices, table
+from .common import portions, slices, table, unused
 from .pieces import encoder as piece_encoder
 
 
@@ -118,9 +118,9 @@ IDS, STARTS, DECODED = T.StructField("ids", T.ArrayType(T.IntegerType())), T.Str
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = True) -> DataFrame:
     """Add ``ids`` array<int> and, with ``offsets``, ``starts`` array<int>: the code point in which each token's first byte lies."""
-    kept = [f for f in docs.schema.fields if f.name not in ("ids", "starts", "_text")]
+    kept = [f for f in docs.schema.fields if f.name not in ("ids", "starts")]
     schema = T.StructType([*kept, IDS, *[STARTS] * offsets])
-    rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).select(*[f.name for f in kept], "_text")
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(text), F.lit("")).alias(unused("_text", *docs.columns)))
     return rows.mapInArrow(lambda batches: _encoded(batches, path, pattern, offsets), schema)
 
 

@@ -48,6 +48,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *columns: str) -> str:
+    """``name``, lengthened until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,25 +90,17 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def by_range(df: DataFrame, key: str, n: int, *ties: str, context: bool = False) -> DataFrame:
+def by_range(df: DataFrame, key: str, n: int, *ties: str, context: bool = False, weight: str | None = None) -> DataFrame:
     """Partition ``df`` by ranges of ``key`` and sort each partition by ``key`` and ``ties`` (nulls first).
 
+    Ranges have like numbers of rows, or like sums of the column ``weight``.
+
     The bounds are quantiles of the key column alone, one value for each partition, so a first job reads no other
     column and every execution deals the rows out alike. With ``context``, column ``_context`` is added: each
     partition also begins with the last row before it (the first partition: with the last row of all), marked true.
     """
-    bounds = quantiles(df, key, n)
-    steps = F.lit([1 << b for b in reversed(range(len(bounds).bit_length()))]) if bounds else None
-
-    def part(of: Column) -> Column:
-        if not bounds:
-            return F.lit(0)
-        edges = F.lit(bounds)
-        # Binary search: how many bounds lie below the key.
-        found = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(edges, at + s - 1) < of), at + s).otherwise(at))
-        return F.coalesce(found, F.lit(0))
-
-    own = df.withColumn("_part", part(F.col(key)))
+    bounds = quantiles(df, key, n) if weight is None else weighted_quantiles(df, key, n, weight)
+    own = df.withColumn("_part", _below(F.col(key), bounds))
     if context:
         # A partition's largest key is its bound, so the row that the next one needs is known here.
         top = df.agg(F.max(key)).first()[0]
@@ -113,6 +113,27 @@ def by_range(df: DataFrame, key: str, n: int, *ties: str, context: bool = False)
     return dealt.sortWithinPartitions(*([F.col("_context").desc()] if context else []), F.col(key).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in ties])
 
 
+def _below(of: Column, bounds: list[int]) -> Column:
+    """How many of the increasing ``bounds`` lie below ``of`` (null: none), by binary search."""
+    if not bounds:
+        return F.lit(0)
+    edges, steps = F.lit(bounds), F.lit([1 << b for b in reversed(range(len(bounds).bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(edges, at + s - 1) < of), at + s).otherwise(at))
+    return F.coalesce(found, F.lit(0))
+
+
+def weighted_quantiles(df: DataFrame, key: str, n: int, weight: str, fine: int = 16) -> list[int]:
+    """As ``quantiles``, for about equal sums of ``weight``: bounds of ``fine`` times as many ranges, of which those nearest to each share stay."""
+    bounds = quantiles(df, key, fine * n)
+    if not bounds:
+        return []
+    # One row a fine range, so at most fine * n of them.
+    sums = dict(df.groupBy(_below(F.col(key), bounds).alias("r")).agg(F.sum(weight)).collect())
+    upto = np.cumsum([float(sums.get(r) or 0) for r in range(len(bounds) + 1)])
+    at = np.searchsorted(upto[:-1], [upto[-1] * k / n for k in range(1, n)])
+    return sorted({bounds[min(int(k), len(bounds) - 1)] for k in at})
+
+
 def quantiles(df: DataFrame, key: str, n: int) -> list[int]:
     """At most n - 1 increasing values of ``key`` that cut its rows into about n equal ranges; the largest value is none of them."""
     if n < 2:

@@ -6,13 +6,19 @@ A piece ends where no merge can cross, so a text's ids are its pieces' ids in a
 * ``spaces``: before each single space that stands between two characters that are no white space; for byte-level
   vocabularies, whose pattern takes a space with the word after it. A text with other runs of spaces is encoded whole.
 
-Pieces not yet known are encoded many at a time. The memory has two halves of at most ``limit`` pieces: a full young half
-becomes the old one, and what is asked for again moves back.
+A piece that is a word with punctuation after it, and for ``spaces`` perhaps a line feed and another such word, is put
+together from the ids of those parts, as no merge crosses from one to the next. Parts not yet known are encoded many at a
+time. The memory has two halves of at most ``limit`` pieces: a full young half becomes the old one, and what is asked for
+again moves back.
+
+Strings of special tokens in a text are ordinary text, as the notes beside the tokenizer files have it
+(``encode_special_tokens``); with ``special`` they become the special ids, and texts that hold one are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -26,13 +32,22 @@ MARK = "\x01"
 REMEMBERED = 500_000
 #: Pieces encoded at a time.
 TOGETHER = 400
+#: A word, punctuation, and perhaps a line feed and another word with or without punctuation. Letters and marks are of
+#: blocks in which all characters are letters; the apostrophe is left out, as it may go with what follows.
+_LETTERS, _MARKS = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+", r"[!-&(-/:-@\[-`{-~]+"
+PARTS = re.compile(rf"({_LETTERS})({_MARKS})?(?:(\n)({_LETTERS})({_MARKS})?)?")
 
 
-def encoder(load: Callable, cut: str, *key: str, limit: int = REMEMBERED) -> "PieceEncoder":
+def encoder(load: Callable, cut: str, *key: str, limit: int = REMEMBERED, special: bool = False) -> "PieceEncoder":
     """The encoder for ``key`` of this process; tasks in one Python worker share it."""
-    if (cut, limit, *key) not in _ENCODERS:
-        _ENCODERS[cut, limit, *key] = PieceEncoder(load, cut, limit)
-    return _ENCODERS[cut, limit, *key]
+    if (cut, limit, special, *key) not in _ENCODERS:
+        _ENCODERS[cut, limit, special, *key] = PieceEncoder(load, cut, limit, special=special)
+    return _ENCODERS[cut, limit, special, *key]
+
+
+def _strings(of: pa.Array) -> list[str]:
+    """As ``to_pylist``, by one conversion of the whole array."""
+    return of.to_numpy(zero_copy_only=False).tolist()
 
 
 def forget() -> None:
@@ -43,16 +58,20 @@ def forget() -> None:
 class PieceEncoder:
     """Encodes texts to little-endian unsigned ids."""
 
-    def __init__(self, load: Callable, cut: str, limit: int = REMEMBERED, longest: int = 48):
+    def __init__(self, load: Callable, cut: str, limit: int = REMEMBERED, longest: int = 48, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = load()
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cut, self.limit, self.longest, self.young, self.old = cut, limit, longest, {}, {}
+        # What is known without a space before it is kept under a key with one; no piece has one.
+        self.bare = "" if cut == "words" else " "
         if cut == "words":
             self.mark = np.frombuffer(self.whole([MARK])[0], self.dtype)
         else:
             vocabulary = self.tokenizer.get_vocab()
+            self.feed = np.frombuffer(self.whole(["\n"])[0], self.dtype)
             self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
             self.spaced[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
 
@@ -76,26 +95,68 @@ class PieceEncoder:
                 out += self.whole(chunk if words else [" " + p for p in chunk])
         return out
 
-    def _look_up(self, pieces: list[str], odd: Callable | None = None) -> list[bytes | None]:
-        """Ids of each of these distinct pieces; None for those that ``odd`` says are none."""
-        got = list(map(self.young.get, pieces))
-        at = [k for k, b in enumerate(got) if b is None]
-        new = []
-        for k in at:
-            p = pieces[k]
-            if (b := self.old.get(p)) is None:
-                if not (odd and odd(p)):
-                    new.append(k)
+    def _bare_together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of these words and marks with no space before it, from texts with a line each."""
+        n, out = self.dtype.itemsize, []
+        for k in range(0, len(pieces), TOGETHER):
+            chunk = pieces[k : k + TOGETHER]
+            coded = self.whole(["\n".join(chunk)])[0]
+            ids = np.frombuffer(coded, self.dtype)
+            at = np.nonzero(ids == self.feed[0])[0]
+            if len(self.feed) == 1 and len(at) == len(chunk) - 1:
+                out += [coded[i * n : j * n] for i, j in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)])]
+            else:
+                out += self.whole(chunk)
+        return out
+
+    def _look_up(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of each of these distinct pieces; with the cut ``spaces``, None for those that are empty or have white space at an end."""
+        young, old, bare, words = self.young, self.old, self.bare, self.cut == "words"
+        got = list(map(young.get, pieces))
+        need: dict[str, bytes] = {}
+        apart, whole = [], []
+        for k, b in enumerate(got):
+            if b is not None:
                 continue
-            got[k] = self.young[p] = b
-        for k, b in zip(new, self._together([pieces[k] for k in new])):
-            got[k] = b
-            if len(pieces[k]) <= self.longest:
-                self.young[pieces[k]] = b
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
+            p = pieces[k]
+            if (b := old.get(p)) is not None:
+                got[k] = young[p] = b
+            elif not words and (not p or p.strip() != p):
+                pass
+            elif (m := PARTS.fullmatch(p)) and m.lastindex > 1:
+                word, mark, feed, second, last = m.groups()
+                parts = [word, *(bare + x for x in (mark, feed, second, last) if x)]
+                apart.append((k, parts))
+                need.update((x, b"") for x in parts if x not in young)
+            else:
+                whole.append(k)
+                need[p] = b""
+        for x in need:
+            if (b := old.get(x)) is not None:
+                need[x] = young[x] = b
+        for own, code in ((lambda x: words or x[:1] != " ", self._together), (lambda x: not words and x[:1] == " ", lambda xs: self._bare_together([x[1:] for x in xs]))):
+            new = [x for x, b in need.items() if not b and own(x)]
+            for x, b in zip(new, code(new)):
+                need[x] = b
+                if len(x) <= self.longest:
+                    young[x] = b
+        for k in whole:
+            got[k] = need[pieces[k]]
+        for k, parts in apart:
+            got[k] = b = b"".join([need[x] if x in need else young[x] for x in parts])
+            if len(parts) == 2 and len(pieces[k]) <= self.longest:
+                young[pieces[k]] = b
+        if len(young) > self.limit:
+            self.young, self.old = {}, young
         return got
 
+    def _special(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold the string of a special token that counts."""
+        hit = np.zeros(len(texts), bool)
+        for s in self.special:
+            hit |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False).astype(bool)
+        return hit
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more at the end). No text may be null."""
         words = self.cut == "words"
@@ -103,21 +164,30 @@ class PieceEncoder:
         flat, at = split.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
         coded = flat.dictionary_encode()
         index = coded.indices.to_numpy()
+        special = self._special(texts)
         if words:
-            found = self._look_up(coded.dictionary.to_pylist())
+            found = self._look_up(_strings(coded.dictionary))
+            if special.any():
+                rows = np.nonzero(special)[0]
+                index = index.copy()
+                for k in rows.tolist():
+                    index[at[k] : at[k + 1]] = len(found)
+                # A text has a piece at least, if an empty one.
+                index[at[rows]] = len(found) + 1 + np.arange(len(rows))
+                found += [b"", *self.whole(_strings(texts.take(pa.array(rows))))]
         else:
             # A text's first piece has no space before it.
-            heads = flat.take(pa.array(at[:-1])).to_pylist()
+            heads = _strings(flat.take(pa.array(at[:-1])))
             follows = np.ones(len(index), bool)
             follows[at[:-1]] = False
             used = np.zeros(len(coded.dictionary), bool)
             used[index[follows]] = True
             known = np.nonzero(used)[0]
             found: list = [b""] * len(used)
-            for k, b in zip(known.tolist(), self._look_up(coded.dictionary.take(pa.array(known)).to_pylist(), lambda p: not p or p[0].isspace() or p[-1].isspace())):
+            for k, b in zip(known.tolist(), self._look_up(_strings(coded.dictionary.take(pa.array(known))))):
                 found[k] = b
             odd = np.array([b is None for b in found])
-            whole = np.array([not h or h[-1].isspace() for h in heads], bool)
+            whole = np.array([not h or h[-1].isspace() for h in heads], bool) | special
             if odd.any():
                 whole |= np.add.reduceat(np.concatenate([(odd[index] & follows).astype(np.int64), [0]]), at[:-1])[: len(heads)] > 0 if len(heads) else whole
                 found = [b or b"" for b in found]
@@ -125,7 +195,7 @@ class PieceEncoder:
             index[at[:-1]] = len(found) + np.arange(len(heads))
             if whole.any():
                 rows = np.nonzero(whole)[0]
-                for k, t in zip(rows.tolist(), texts.take(pa.array(rows)).to_pylist()):
+                for k, t in zip(rows.tolist(), _strings(texts.take(pa.array(rows)))):
                     heads[k] = t
                     index[at[k] + 1 : at[k + 1]] = len(found) + len(heads)
             found = [*found, *self.whole(heads), b""]
