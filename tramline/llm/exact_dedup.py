@@ -2,20 +2,28 @@
 
 The index is a Parquet table, bucketed and sorted by ``digest``, with one row for each distinct text seen so far:
 ``digest`` (SHA-256 of the normalised text), ``keep_id``, ``n_points`` and ``group_size`` at the time it was added.
-A new batch is reduced to one row a digest, joined to the index by a sort-merge anti-join (the index side is neither
-shuffled nor sorted anew), and what is new is appended in the same buckets.
+A new batch is reduced to one row a digest, joined to the index by a sort-merge anti-join, and what is new is appended in
+the same buckets. The index side is not shuffled; while a bucket has one file it is not sorted anew either, after further
+appends Spark sorts the bucket's files together, until ``compact`` has made them one.
+
+The number of buckets and the current generation of files are kept beside the data, in ``_about``: an index opened again, in
+any session and with any settings, has the buckets it was made with. ``compact`` writes a new generation and then names it
+there, so one that is cut off leaves the old one in force. One writer at a time.
 
 Defined cases: a null text counts as empty; texts that differ in ASCII white space alone are equal; of equal texts the
 one with most code points stays, then the smallest id, then (repeated rows) one row of that id, and rows with a null id lose against
-all others. An empty batch appends nothing. Further columns pass through; the ones added here are named with care by the caller.
+all others. An empty batch appends nothing. Further columns pass through ``kept_rows``, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, partitions, scratch, table
+from .common import ASCII_SPACE, partitions, scratch, table, unused
 
 #: Parts into which the rows of one digest are dealt before anything needs them together.
 SALTS = 64
@@ -50,16 +58,35 @@ def groups(hashed: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """The persistent index at ``path``; an existing one is opened again."""
+    """The persistent index at ``path``; an existing one is opened again. ``buckets`` counts for a new one alone."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path = spark, path
-        self.name = "digest_index_" + "".join(c for c in path.rsplit("/", 1)[-1] if c.isalnum())
-        self.buckets = buckets
-        spark.sql(
+        self.spark, self.path = spark, path.rstrip("/")
+        about = f"{self.path}/_about"
+        try:
+            found = spark.read.schema("generation int, buckets int").parquet(about).orderBy(F.desc("generation")).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = None
+        if found is None:
+            self._name(0, buckets)
+            found = (0, buckets)
+        self._open(*found)
+
+    def _name(self, generation: int, buckets: int) -> None:
+        self.spark.createDataFrame([(generation, buckets)], "generation int, buckets int").coalesce(1).write.mode("append").parquet(f"{self.path}/_about")
+
+    def _open(self, generation: int, buckets: int) -> None:
+        self.generation, self.buckets = generation, buckets
+        location = f"{self.path}/generation-{generation}"
+        self.name = "digest_index_" + hashlib.sha256(location.encode()).hexdigest()[:24]
+        self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT, n_points BIGINT, group_size BIGINT) "
-            f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{location}'"
         )
+        # Another session may have appended since this one last looked.
+        self.spark.catalog.refreshTable(self.name)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -71,6 +98,14 @@ class DigestIndex:
         new.sortWithinPartitions("digest").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
+    def compact(self, buckets: int | None = None) -> None:
+        """Write all rows as one file a bucket, as a new generation, with another number of buckets if given. The old files stay."""
+        rows, generation, buckets = self.rows(), self.generation + 1, buckets or self.buckets
+        self._open(generation, buckets)
+        rows.repartition(buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name, overwrite=True)
+        self.spark.catalog.refreshTable(self.name)
+        self._name(generation, buckets)
+
     def dedup(self, docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
         """Append the batch's new texts; return (doc_id, digest, keep_id, group_size, kept) for each of its rows.
 
@@ -90,11 +125,12 @@ class DigestIndex:
 
 def kept_rows(docs: DataFrame, index: DigestIndex, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; one row a text."""
-    kept = index.dedup(docs, text, id_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    rows = docs.withColumn("_digest", F.sha2(normalised(F.col(text)), 256)).withColumn("_id", F.col(id_col))
-    rows = rows.join(kept, (rows["_digest"] == kept["_digest"]) & rows["_id"].eqNullSafe(kept["_id"]), "left_semi")
+    own_id, own_digest = unused("_id", *docs.columns), unused("_digest", *docs.columns)
+    kept = index.dedup(docs, text, id_col).filter("kept").select(F.col("doc_id").alias("i"), F.col("digest").alias("d")).distinct()
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.sha2(normalised(F.col(text)), 256).alias(own_digest), F.col(id_col).alias(own_id))
+    rows = rows.join(kept, (rows[own_digest] == kept["d"]) & rows[own_id].eqNullSafe(kept["i"]), "left_semi")
     # Rows that share id and text are exact repeats as far as this operator goes.
-    return rows.dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")
+    return rows.dropDuplicates([own_id, own_digest]).drop(own_id, own_digest)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
