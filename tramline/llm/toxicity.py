@@ -3,13 +3,14 @@
 Fit, on a bounded sample: ``SAMPLE`` labelled rows of the training part (the smallest hashes of doc_id). Features are words
 and their prefixes of 4 to 6 letters, so inflected forms meet; those that go with the label (chi-square over ``CHI2``,
 at most ``FEATURES`` of them) make the vocabulary. Their document frequencies are counted over all documents. Sample
-rows that have any of them become the examples, as unit vectors of (1 + ln tf) * idf.
+rows that have any of them become the examples, as unit vectors of (1 + ln tf) * idf; rows with equal vectors are one
+example that stands for as many rows, so that no id has a say in a score.
 
 Search: examples are cut into blocks of ``BLOCK``; for each feature and block the index holds the largest weight. A
 query's products with these bound every score in the block, so blocks are taken from the highest bound down until the
-k-th best score is above the next bound: the k nearest come out exactly (ties by the example's rank).
+k-th best score is above the next bound: the k nearest rows come out exactly, and with them all that tie with the k-th.
 
-Score: votes of the k nearest weighted by 1 / (distance + ``SOFT``), together with ``PRIOR`` votes for the rate among
+Score: their votes weighted by 1 / (distance + ``SOFT``), together with ``PRIOR`` votes for the rate among
 texts without features, then an isotonic step function fitted to leave-one-out votes of the sample.
 
 The model that goes to the tasks is bounded by SAMPLE and FEATURES, whatever the input. Defined cases: null and empty
@@ -75,20 +76,25 @@ class Vocabulary:
 
 
 class Examples:
-    """A block-max inverted index over labelled unit vectors."""
+    """A block-max inverted index over labelled unit vectors; rows with equal vectors are one example."""
 
     def __init__(self, idf: np.ndarray, vectors: list[tuple[tuple[int, int], ...]], labels: list[int], ids: list[int]):
         self.idf = idf
+        rows: dict[tuple, list[tuple[int, int]]] = {}
+        for v, y, i in zip(vectors, labels, ids):
+            rows.setdefault(v, []).append((i, y))
         # Examples with the same leading features stand together, so blocks have tight bounds.
-        order = sorted(range(len(vectors)), key=lambda k: (sorted(vectors[k], key=lambda p: -idf[p[0]]), ids[k]))
-        self.labels = np.array([labels[k] for k in order], np.float64)
-        self.ids = np.array([ids[k] for k in order], np.int64)
-        self.rank = {i: r for r, i in enumerate(self.ids.tolist())}
+        order = sorted(rows, key=lambda v: (sorted(v, key=lambda p: (-idf[p[0]], p)), v))
+        self.rank = {v: r for r, v in enumerate(order)}
+        #: (doc_id, label) of the rows of each example; numbers of its rows and of those with label 1.
+        self.rows = [sorted(rows[v]) for v in order]
+        self.size = np.array([len(own) for own in self.rows], np.float64)
+        self.hits = np.array([sum(y for _, y in own) for own in self.rows], np.float64)
         n_blocks = -(-len(order) // BLOCK)
         self.top = np.zeros((len(idf), max(1, n_blocks)))
         postings: dict[tuple[int, int], list] = {}
-        for r, k in enumerate(order):
-            for f, w in zip(*self.unit(vectors[k])):
+        for r, v in enumerate(order):
+            for f, w in zip(*self.unit(v)):
                 self.top[f, r // BLOCK] = max(self.top[f, r // BLOCK], w)
                 postings.setdefault((f, r // BLOCK), []).append((r % BLOCK, w))
         self.postings = {key: (np.array([r for r, _ in ps]), np.array([w for _, w in ps])) for key, ps in postings.items()}
@@ -99,28 +105,42 @@ class Examples:
         return fs, w / max(math.sqrt(float(w @ w)), 1e-12)
 
     def nearest(self, counts, k: int, without: int | None = None) -> list[tuple[int, float]]:
-        """The k examples of largest cosine above 0, as (rank, cosine); ``without`` leaves one out."""
-        if not counts or not len(self.ids):
+        """(rank, cosine) of the examples of largest cosine above 0 that have k rows, and of all that tie with the last; ``without`` leaves out one row of an example."""
+        if not counts or not len(self.rows):
             return []
         fs, q = self.unit(counts)
         bounds = q @ self.top[fs]
         best: list[tuple[float, int]] = []
+        least = 0.0
         for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and -best[-1][0] > bounds[b] + 1e-9:
+            # ``least``: the cosine of the k-th row, once there are k.
+            if bounds[b] <= 0 or least > bounds[b] + 1e-9:
                 break
             scores = np.zeros(BLOCK)
             for f, w in zip(fs, q):
                 if (p := self.postings.get((f, int(b)))) is not None:
                     scores[p[0]] += w * p[1]
-            hits = np.nonzero(scores)[0]
-            best = sorted(best + [(-round(float(scores[h]), 12), int(b) * BLOCK + int(h)) for h in hits if int(b) * BLOCK + int(h) != without])[:k]
-        return [(r, -s) for s, r in best]
-
-    def vote(self, near: list[tuple[int, float]], prior: float) -> float:
-        w = np.array([1 / (1 - min(s, 1.0) + SOFT) for _, s in near])
-        y = self.labels[[r for r, _ in near]] if near else np.zeros(0)
-        # A prior vote weighs as much as an example at distance 1.
-        return float((w @ y + PRIOR / (1 + SOFT) * prior) / (w.sum() + PRIOR / (1 + SOFT)))
+            best = sorted(best + [(-round(float(scores[h]), 12), int(b) * BLOCK + int(h)) for h in np.nonzero(scores)[0]])
+            rows = 0
+            for at, (s, r) in enumerate(best):
+                rows += self.size[r] - (r == without)
+                if rows >= k:
+                    least = -s
+                    best = [x for x in best if -x[0] >= least]
+                    break
+        return [(r, -s) for s, r in best if self.size[r] > (r == without)]
+
+    def vote(self, near: list[tuple[int, float]], prior: float, without: tuple[int, int] | None = None) -> float:
+        """Share of toxic votes; ``without``: rank and label of a row that has none."""
+        top = bottom = 0.0
+        for r, s in near:
+            w = 1 / (1 - min(s, 1.0) + SOFT)
+            n, hits = self.size[r], self.hits[r]
+            if without and r == without[0]:
+                n, hits = n - 1, hits - without[1]
+            top, bottom = top + w * hits, bottom + w * n
+        # A prior vote weighs as much as a row at distance 1.
+        return float((top + PRIOR / (1 + SOFT) * prior) / (bottom + PRIOR / (1 + SOFT)))
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,12 +166,13 @@ class Model:
         self.prior = (sum(plain) + 0.0) / max(1, len(plain))
         own = [r for r in rows if r[2]]
         self.examples = Examples(idf, [v for _, _, v in own], [y for _, y, _ in own], [i for i, _, _ in own])
-        votes = [self.examples.vote(self.examples.nearest(v, K, self.examples.rank[i]), self.prior) for i, _, v in own]
+        at = self.examples.rank
+        votes = [self.examples.vote(self.examples.nearest(v, K, at[v]), self.prior, (at[v], y)) for _, y, v in own]
         self.edges, self.values = isotonic(np.array(votes), np.array([y for _, y, _ in own], np.float64))
         self.seen: dict[tuple, tuple] = {}
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
-        """Calibrated score, and the evidence: (doc_id, cosine, label) of the nearest examples."""
+        """Calibrated score, and the evidence: (doc_id, cosine, label) of the nearest K rows, ties by the vector and the id."""
         counts = self.vocabulary.counts(text)
         if not counts:
             return self.prior, []
@@ -162,7 +183,7 @@ class Model:
             value = float(self.values[max(at, 0)]) if len(self.values) else self.prior
             if len(self.seen) >= 20_000:
                 self.seen.clear()
-            got = self.seen[counts] = (value, [(int(self.examples.ids[r]), s, int(self.examples.labels[r])) for r, s in near])
+            got = self.seen[counts] = (value, [(i, s, y) for r, s in near for i, y in self.examples.rows[r]][:K])
         return got
 
 
