@@ -25,9 +25,11 @@ PORTION = 3 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
+    """The folder that all executors share; a local one only where the session names none and its master is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
