@@ -2,7 +2,9 @@
 
 Sets of 64-bit gram hashes are ordered rare first, by the exact number of distinct sets that a gram is in. Counting takes one
 shuffle of packed postings (five bytes a gram): each bucket of gram hashes finds the grams that more than one set has, and
-sends those, with their counts, to the sets. Equal sets make one node. A node's prefix is its first n - ceil(t n) + 1
+sends those, with their counts, to the sets. Grams that are in ``HOT`` of the documents or more have no bucket: their
+counts (of rows) come from partial counts of the first pass and go with their postings straight to the sets. Equal sets
+make one node. A node's prefix is its first n - ceil(t n) + 1
 grams; grams that no other set has come first and meet nothing, so most nodes have no prefix left to join:
 two nodes that reach the threshold share a gram in both prefixes. They meet in a join on prefix grams under three filters:
 
@@ -10,10 +12,15 @@ two nodes that reach the threshold share a gram in both prefixes. They meet in a
 * positional: the grams from the shared one on suffice for the overlap that the threshold needs;
 * suffix: the parity bits of the sets' grams in ``BITS`` bins bound the symmetric difference from below.
 
-What is left is verified on the whole sets, each pair once. Components need a spanning set of links, not every link, so a large
-group of near copies is first joined in ``ROUNDS`` rounds to one member for each gram, another in each round; only pairs
-whose ends are still apart are then all tried. That is exact: two nodes of one component need no further test, and
-every other pair that shares a prefix gram passes the filters and the test.
+Five bytes and a bucket may fold two grams of a set together. Such a set has so many grams less to show, and its prefix
+is longer by as many, so no pair is lost. Sets whose first digests agree take each other's grams, without the positional
+filter, and are tried as a pair.
+
+What is left is verified on the whole sets, each pair once. Components need a spanning set of links, not every link, so where
+the pairs of all grams are more than ``MANY`` times the rows, a large group of near copies is first joined to one member
+for each gram, another in each of up to ``ROUNDS`` rounds; only pairs whose ends are still apart are then all tried. That is
+exact: two nodes of one component need no further test, and every other pair that shares a prefix gram passes the filters
+and the test. Rows of one gram are dealt by salt, and pairs of a gram by blocks of ``DEAL`` rows, so no task has a whole one.
 
 ``ngram_links`` and ``ngram_link_counts`` give every link between distinct sets, or their number for each row: each lies within
 a component, and there all pairs are counted on the whole sets, block by block.
@@ -33,21 +40,31 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise, partitions, slices, table, text_bytes
+from .common import materialise, partitions, slices, table, text_bytes, unused
 from .pieces import forget
 
 SALTS = 64
 BITS = 512
 ROUNDS = 4
+#: Pairs for each row of the prefix join from which a round against one member a gram comes first.
+MANY = 4
+#: Rows of a gram in one block of the join of all its pairs.
+DEAL = 4096
 #: Members that one task compares with the same node's text.
 FAN = 256
 #: Cells of the filter that keeps texts of nodes without a prefix from being moved: four megabytes, whatever the input.
 CELLS, CHUNKS = 1 << 25, 64
-#: Documents whose postings are packed together.
+#: Bits of a set's first digest, and of a gram in postings (five bytes) besides its bucket.
+DIGEST_BITS, LOW_BITS = 64, 40
+#: Documents whose postings are packed together, at most 2^11.
 PACK = 2000
+#: Share of the documents from which a gram is hot. A gram that is in twice that share of all is found in any case, as
+#: packs in which it has less than the share cannot make up for the rest; hot grams number at most 1 / HOT mean sets.
+HOT = 1 / 250
 #: Sets and grams in a block of a component whose links are all counted; grams that are compared at a time.
-BLOCK, BLOCK_GRAMS, COLUMNS = 64, 1 << 20, 1 << 12
+BLOCK, BLOCK_GRAMS, COLUMNS = 1024, 1 << 19, 1 << 10
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -74,56 +91,116 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _digest(grams: np.ndarray) -> tuple[int, int]:
+def _digest(grams: np.ndarray, bits: int) -> tuple[int, int]:
     raw = grams.tobytes()
-    return _signed(xxhash.xxh3_64_intdigest(raw)), _signed(xxhash.xxh64_intdigest(raw, 7))
+    return _signed(xxhash.xxh3_64_intdigest(raw) >> 64 - bits), _signed(xxhash.xxh64_intdigest(raw, 7))
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, d1, d2): size and digest of each document's set."""
+def _folds(grams: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and low bits of each gram: what is left of it in postings."""
+    return (grams >> np.uint64(40)).astype(np.int64) % buckets, (grams & np.uint64((1 << bits) - 1)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        forget()
-        for b in slices(batches):
-            sets = [gram_set(t, n) for t in b.column(1).to_pylist()]
-            digests = [_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [d for d, _ in digests], [d for _, d in digests]))], ["doc_id", "n", "d1", "d2"])
 
-    return materialise(docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long"), "gram-sets")
+def _sets(docs: DataFrame, n: int, buckets: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, n, folded, d1, d2): size of each document's set, how many of its grams fold into others, and its digest; and the
+    hot grams, folded, with the numbers of rows that have them."""
 
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("folded", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("often", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64()))])
 
-def _postings(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """(bucket, sets, counts, grams), packed: for PACK documents the set digests, their numbers of grams in the bucket, and the low 40 bits of those."""
-    schema = pa.schema([("bucket", pa.int32()), ("sets", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
+    digest_bits, low_bits, share = DIGEST_BITS, LOW_BITS, HOT
 
     def run(batches: Iterator[pa.RecordBatch]):
+        forget()
         for b in slices(batches, PACK):
             sets = [gram_set(t, n) for t in b.column(1).to_pylist()]
-            digests = np.array([_digest(s)[0] for s in sets], np.int64)
+            digests = [_digest(s, digest_bits) for s in sets]
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            owner = np.repeat(np.arange(len(sets), dtype=np.int64), [len(s) for s in sets])
+            at, low = _folds(flat, buckets, low_bits)
+            # Where bucket and bits agree, two grams of a set fold into one; of the bucket 13 bits are looked at, so more may seem to.
+            own = np.sort(owner.astype(np.uint64) << np.uint64(53) | ((at & 8191) << 40 | low).astype(np.uint64))
+            twice = own[1:][own[1:] == own[:-1]] >> np.uint64(53)
+            folded = np.bincount(twice.astype(np.int64), minlength=len(sets))
+            key = np.sort(at << 40 | low)
+            often = np.zeros(0, np.int64)
+            rows = often
+            least = max(2, int(share * len(sets)))
+            if len(key) >= least:
+                # Grams that stand ``least`` places apart in the sorted row.
+                often = np.unique(key[: len(key) - least + 1][key[: len(key) - least + 1] == key[least - 1 :]])
+                rows = np.searchsorted(key, often, "right") - np.searchsorted(key, often, "left")
+            none = pa.nulls(len(sets) - 1, pa.list_(pa.int64())) if len(sets) > 1 else None
+            lists = [pa.concat_arrays([pa.array([x.tolist()], pa.list_(pa.int64())), *([none] if none is not None else [])]) if sets else pa.nulls(0, pa.list_(pa.int64())) for x in (often, rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], folded, [d for d, _ in digests], [d for _, d in digests])), *lists], schema=schema)
+
+    found = materialise(docs.mapInArrow(run, "doc_id long, n long, folded long, d1 long, d2 long, often array<long>, rows array<long>"), "gram-sets")
+    total = found.count()
+    often = found.filter("often is not null").select(F.inline(F.arrays_zip("often", "rows"))).groupBy("often").agg(F.sum("rows").alias("rows")).filter(F.col("rows") >= max(2, HOT * total))
+    # At most 1 / HOT mean sets, whatever the number of documents.
+    return found.drop("often", "rows"), {r["often"]: r["rows"] for r in often.collect()}
+
+
+def _packed(part: np.ndarray, buckets: int, *columns: tuple[np.ndarray, str]) -> Iterator[tuple]:
+    """(part, bytes of each column's values) of each part that has any."""
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(buckets + 1))
+    for p in np.nonzero(np.diff(ends))[0].tolist():
+        yield p, *(c[order[ends[p] : ends[p + 1]]].astype(t).tobytes() for c, t in columns)
+
+
+def _part(digests: np.ndarray, buckets: int) -> np.ndarray:
+    return (digests.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+
+
+def _postings(docs: DataFrame, n: int, buckets: int, hot: dict[int, int]) -> DataFrame:
+    """Packed, for PACK documents: (bucket, sets, counts, grams), the set digests, their numbers of grams in the bucket, and the low 40 bits
+    of those; hot grams as rows (part, sets, grams, counts) as of ``_shared``, with no bucket."""
+    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("sets", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
+    hottest = docs.sparkSession.sparkContext.broadcast(np.array(sorted(hot.items()), np.int64).reshape(-1, 2))
+
+    digest_bits, low_bits = DIGEST_BITS, LOW_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        names, rows = hottest.value.T
+        for b in slices(batches, PACK):
+            sets = [gram_set(t, n) for t in b.column(1).to_pylist()]
+            digests = np.array([_digest(s, digest_bits)[0] for s in sets], np.int64)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            bucket = (flat >> np.uint64(40)).astype(np.int64) % buckets
+            bucket, low = _folds(flat, buckets, low_bits)
+            out = []
+            if len(names):
+                key = bucket << 40 | low
+                at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+                is_hot = names[at] == key
+                own = digests[owner[is_hot]]
+                for p, k, g, c in _packed(_part(own, buckets), buckets, (own, "<i8"), (key[is_hot], "<i8"), (rows[at[is_hot]], "<i8")):
+                    out.append((None, p, k, c, g))
+                low, owner, bucket = low[~is_hot], owner[~is_hot], bucket[~is_hot]
             order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
             counts = np.bincount(bucket * len(sets) + owner, minlength=buckets * len(sets)).reshape(buckets, -1)
-            low = flat[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            low = low[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             ends = np.concatenate([[0], np.cumsum(counts.sum(1))])
-            out = []
             for k in np.nonzero(counts.sum(1))[0].tolist():
                 has = counts[k] > 0
-                out.append((k, digests[has].astype("<i8").tobytes(), counts[k][has].astype("<u4").tobytes() if counts[k].max() > 255 else counts[k][has].astype(np.uint8).tobytes(), low[ends[k] : ends[k + 1]].tobytes()))
+                out.append((k, None, digests[has].astype("<i8").tobytes(), counts[k][has].astype("<u4").tobytes() if counts[k].max() > 255 else counts[k][has].astype(np.uint8).tobytes(), low[ends[k] : ends[k + 1]].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return docs.mapInArrow(run, "bucket int, sets binary, counts binary, grams binary")
+    return docs.mapInArrow(run, "bucket int, part int, sets binary, counts binary, grams binary")
 
 
 def _shared(postings: DataFrame, buckets: int) -> DataFrame:
-    """(part, sets, grams, counts), packed by set digest: the grams that more than one set has, with the number of those sets."""
+    """(part, sets, grams, counts), packed by set digest: the grams that more than one set has, with the number of those sets. Hot ones are passed on."""
     schema = pa.schema([("part", pa.int32()), ("sets", pa.binary()), ("grams", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         grams, sets, at = [], [], 0
         for b in batches:
-            for bucket, keys, counts, low in zip(*(c.to_pylist() for c in b.columns)):
+            hot = b.filter(b.column("bucket").is_null())
+            if hot.num_rows:
+                yield hot.select(["part", "sets", "grams", "counts"])
+            b = b.filter(b.column("bucket").is_valid())
+            for bucket, keys, counts, low in zip(*(b.column(c).to_pylist() for c in ("bucket", "sets", "counts", "grams"))):
                 keys = np.frombuffer(keys, "<i8")
                 counts = np.frombuffer(counts, np.uint8 if len(counts) == len(keys) else "<u4")
                 wide = np.zeros((len(low) // 5, 8), np.uint8)
@@ -144,50 +221,53 @@ def _shared(postings: DataFrame, buckets: int) -> DataFrame:
         df = np.repeat(size, size)
         kept = df > 1
         g, k, df = g[kept] + (at << 40), k[kept], df[kept]
-        part = (k.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[order], np.arange(buckets + 1))
-        rows = [(p, *(c[order[ends[p] : ends[p + 1]]].astype(t).tobytes() for c, t in ((k, "<i8"), (g, "<i8"), (df, "<u4")))) for p in range(buckets) if ends[p] < ends[p + 1]]
-        if rows:
+        if rows := list(_packed(_part(k, buckets), buckets, (k, "<i8"), (g, "<i8"), (df, "<i8"))):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return postings.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "part int, sets binary, grams binary, counts binary")
+    return postings.repartitionById(buckets, F.coalesce("bucket", "part")).mapInArrow(run, "part int, sets binary, grams binary, counts binary")
 
 
-def _prefixes(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, n, alone, grams): the part of each node's prefix that other sets share, rare first, and the number of grams before it. Nodes without one are left out."""
-    buckets = partitions(docs.sparkSession)
-    shared = _shared(_postings(docs, n, buckets), buckets).withColumn("node", F.lit(None).cast("long")).withColumn("n", F.lit(None).cast("long"))
+def _prefixes(docs: DataFrame, nodes: DataFrame, n: int, percent: int, buckets: int, hot: dict[int, int]) -> DataFrame:
+    """(node, n, alone, grams): the part of each node's prefix that other sets share, rare first, and the number of grams before it (null
+    where another node has the same first digest). Nodes without one are left out."""
+    shared = _shared(_postings(docs, n, buckets, hot), buckets)
+    nothing = lambda t: F.lit(None).cast(t)
     part = F.pmod(F.col("d1"), F.lit(buckets))
     # The digest as an unsigned number: 2^64 mod buckets is added for negative ones.
     part = F.pmod(part + F.when(F.col("d1") < 0, F.lit((1 << 64) % buckets)).otherwise(0), F.lit(buckets)).cast("int")
-    own = nodes.select(part.alias("part"), F.lit(None).cast("binary").alias("sets"), F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("counts"), "node", "n", "d1")
-    met = shared.withColumn("d1", F.lit(None).cast("long")).unionByName(own).repartitionById(buckets, F.col("part"))
+    own = nodes.select(part.alias("part"), *[nothing("binary").alias(c) for c in ("sets", "grams", "counts")], "node", "n", "folded", "d1")
+    met = shared.select("*", *[nothing("long").alias(c) for c in ("node", "n", "folded", "d1")]).unionByName(own).repartitionById(buckets, F.col("part"))
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]):
         sets, grams, counts, known = [], [], [], {}
         for b in batches:
-            for k, g, c, node, size, d1 in zip(*(b.column(x).to_pylist() for x in ("sets", "grams", "counts", "node", "n", "d1"))):
+            for k, g, c, node, size, folded, d1 in zip(*(b.column(x).to_pylist() for x in ("sets", "grams", "counts", "node", "n", "folded", "d1"))):
                 if k is None:
-                    known[d1] = (node, size)
+                    known.setdefault(d1, []).append((node, size, folded))
                 else:
                     sets.append(np.frombuffer(k, "<i8"))
                     grams.append(np.frombuffer(g, "<i8"))
-                    counts.append(np.frombuffer(c, "<u4"))
+                    counts.append(np.frombuffer(c, "<i8"))
         if not sets:
             return
         k, g, c = np.concatenate(sets), np.concatenate(grams), np.concatenate(counts)
+        del sets, grams, counts
         order = np.lexsort((g, c, k))
         k, g = k[order], g[order]
+        del c, order
+        # Equal sets bring their hot grams each.
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1])])
+        k, g = k[new], g[new]
         starts = np.nonzero(np.concatenate([[True], k[1:] != k[:-1]]))[0]
         ends = np.concatenate([starts[1:], [len(k)]])
         rows = []
         for i, j in zip(starts.tolist(), ends.tolist()):
-            node, size = known[int(k[i])]
-            take = (j - i) - -(-percent * size // 100) + 1
-            if take > 0:
-                rows.append((node, size, size - (j - i), g[i : i + take].tolist()))
+            own = known[int(k[i])]
+            for node, size, folded in own:
+                take = (j - i) - -(-percent * size // 100) + 1 + folded if len(own) == 1 else j - i
+                if take > 0:
+                    rows.append((node, size, size - (j - i) if len(own) == 1 else None, g[i : min(j, i + take)].tolist()))
         for at in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[at : at + 5000]), schema)], schema=schema)
 
@@ -215,31 +295,35 @@ def _cells(ids: DataFrame) -> np.ndarray:
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, text, bits) of the wanted nodes (node, d1, d2, doc_id). Most other texts are left out before any is moved."""
+    """(node, text, bits) of the wanted nodes (node, d1, d2, n, doc_id). Most other texts are left out before any is moved; the rest
+    meet their nodes by digest."""
     cells = rows.sparkSession.sparkContext.broadcast(_cells(wanted))
+    schema = pa.schema([("id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("text", pa.binary()), ("bits", pa.list_(pa.int64()))])
+
+    digest_bits = DIGEST_BITS
 
     def near(batches: Iterator[pa.RecordBatch]):
-        bits = cells.value
+        bits, seen = cells.value, set()
         for b in slices(batches):
             at = b.column(2).to_numpy()
             hit = bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
-
-    some = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS))).mapInArrow(near, "doc_id long, text binary")
-    met = some.join(wanted, some["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "d1", "d2", "text")
-
-    def own(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches):
+            some = b.filter(pa.array(hit.astype(bool)))
             out = []
-            for node, d1, d2, t in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
                 s = gram_set(t, n)
-                # Ids may repeat with other texts.
-                if _digest(s) == (d1, d2):
-                    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
-                    out.append((node, t, np.packbits(odd.astype(np.uint8)).view(">i8").tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["node", "text", "bits"])
+                d = _digest(s, digest_bits)
+                # Rows without an id: one a set is enough.
+                if doc_id is None:
+                    if d in seen:
+                        continue
+                    seen.add(d)
+                odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+                out.append((doc_id, *d, t, np.packbits(odd.astype(np.uint8)).view(">i8").tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return materialise(met.mapInArrow(own, "node long, text binary, bits array<long>"), "texts")
+    some = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS))).mapInArrow(near, "id long, d1 long, d2 long, text binary, bits array<long>")
+    met = some.join(wanted, ["d1", "d2"]).filter(F.col("id").eqNullSafe(F.col("doc_id")))
+    return materialise(met.select("node", "text", "bits"), "texts")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -249,7 +333,9 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
 
 def _length_and_position(a: str, b: str, percent: int) -> Column:
     n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - i, m - j) >= _needed(n, m, percent) - F.least(i, j))
+    # ``least`` passes over nulls; a node without positions passes.
+    placed = F.when(i.isNotNull() & j.isNotNull(), F.least(n - i, m - j) >= _needed(n, m, percent) - F.least(i, j)).otherwise(True)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & placed
 
 
 def _suffix(a: str, b: str, percent: int) -> Column:
@@ -305,57 +391,90 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else live.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Prefix rows with labels, of the grams whose nodes are in more than one component."""
-    own = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    spread = own.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("gram")
-    return own.join(spread, "gram", "left_semi")
+def _by_gram(rows: DataFrame, *aggregates: tuple, keep: str) -> DataFrame:
+    """Rows (gram, node, ...) of the grams for which ``keep`` holds, with ``aggregates`` of their gram and ``k``, its number of rows.
+
+    Aggregates must be such that those of parts combine (min, max). A gram's rows are dealt by salt, and its aggregates
+    go back to the salts at which it has rows.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    parts = salted.groupBy("gram", "salt").agg(*[f(x).alias(c) for f, x, c in aggregates], F.count(F.lit(1)).alias("k"))
+    whole = parts.groupBy("gram").agg(*[f(c).alias(c) for f, _, c in aggregates], F.sum("k").alias("k"), F.collect_set("salt").alias("salts"))
+    whole = whole.filter(keep).select("gram", *[c for *_, c in aggregates], "k", F.explode("salts").alias("salt"))
+    return salted.join(whole, ["gram", "salt"]).drop("salt")
+
+
+def _apart(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Prefix rows with labels, of the grams whose nodes are in more than one component. Grams that once are in one stay so."""
+    own = rows.drop("k", "label")
+    own = own.withColumn("label", F.col("node")) if labels is None else own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return _by_gram(own, (F.min, "label", "lo"), (F.max, "label", "hi"), keep="lo != hi").drop("lo", "hi")
+
+
+def _first_members(own: DataFrame, step: int, percent: int) -> DataFrame:
+    """(x, y): each prefix row as y beside one member of its gram, the first in an order drawn anew; the same one for most grams of a group."""
+    order = F.struct(F.xxhash64("node", F.lit(step)).alias("o"), "node", "label", "n", "pos")
+    met = _by_gram(own.drop("k"), (F.min, order, "f"), keep="true")
+    met = met.select(F.struct("f.node", "f.label", "f.n", "f.pos").alias("x"), F.struct("node", "label", "n", "pos").alias("y"))
+    return met.filter("x.label != y.label").filter(_length_and_position("x", "y", percent))
+
+
+def _all_members(own: DataFrame, found: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(x, y) for all pairs of a gram's members in different components that pass the filters, at the first gram that both prefixes have."""
+    own = own.join(found.select("node", "grams"), "node").join(texts.select("node", "bits").dropDuplicates(["node"]), "node")
+    blocks = F.ceil(F.col("k") / DEAL).cast("int")
+    own = own.withColumn("at_block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks)
+    row = F.struct("node", "label", "n", "pos", "at", "grams", "bits")
+    x = own.select("gram", F.col("at_block").alias("i"), F.explode(F.sequence(F.col("at_block"), F.col("blocks") - 1)).alias("j"), row.alias("x"))
+    y = own.select("gram", F.explode(F.sequence(F.lit(0), F.col("at_block"))).alias("i"), F.col("at_block").alias("j"), row.alias("y"))
+    once = (F.col("i") < F.col("j")) | (F.col("x.node") < F.col("y.node"))
+    # A pair counts at the first gram that both prefixes have.
+    first = ~F.arrays_overlap(F.slice("x.grams", F.lit(1), F.col("x.at")), F.slice("y.grams", F.lit(1), F.col("y.at")))
+    return x.join(y, ["gram", "i", "j"]).filter((F.col("x.label") != F.col("y.label")) & once & _length_and_position("x", "y", percent) & _suffix("x", "y", percent) & first)
 
 
 def _joined(docs: DataFrame, n: int, percent: int, text: str, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Sets of the rows, their nodes, texts of the nodes that may have links, and labels of those in components."""
+    buckets = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
-    sets = _sets(rows, n).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    sets, hot = _sets(rows, n, buckets)
+    sets = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     # Equal sets are one node; no task holds more of a group than a row for each salt.
-    parts = sets.filter("n > 0").groupBy("d1", "d2", "n", "salt").agg(F.min("doc_id").alias("rep"))
-    nodes = parts.groupBy("d1", "d2", "n").agg(F.min("rep").alias("rep"), F.collect_set("salt").alias("salts"))
+    parts = sets.filter("n > 0").groupBy("d1", "d2", "n", "folded", "salt").agg(F.min("doc_id").alias("rep"))
+    nodes = parts.groupBy("d1", "d2", "n", "folded").agg(F.min("rep").alias("rep"), F.collect_set("salt").alias("salts"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    found = _prefixes(rows, nodes, n, percent)
+    found = _prefixes(rows, nodes, n, percent, buckets, hot)
     spread = found.select("node", "n", "alone", F.posexplode("grams").alias("at", "gram")).withColumn("pos", F.col("alone") + F.col("at"))
-    met = spread.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("gram")
-    shared = materialise(spread.join(met, "gram", "left_semi"), "shared-grams")
-    wanted = shared.select("node").distinct().join(nodes, "node").select("node", "d1", "d2", F.col("rep").alias("doc_id"))
+    shared = materialise(_by_gram(spread, (F.min, "node", "lo"), (F.max, "node", "hi"), keep="lo != hi").drop("lo", "hi"), "shared-grams")
+    # Nodes whose first digests agree stand for each other in the counts, so they are tried in any case. Hardly ever any.
+    twins = materialise(nodes.groupBy("d1").agg(F.sort_array(F.collect_list("node")).alias("own")).filter(F.size("own") > 1), "twins")
+    twins = twins.select(F.explode(F.flatten(F.transform("own", lambda a: F.transform(F.filter("own", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
+    wanted = shared.select("node").unionByName(twins.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = wanted.join(nodes, "node").select("node", "d1", "d2", F.col("rep").alias("doc_id"))
     texts = _texts(rows, materialise(wanted, "wanted"), n)
 
     same = materialise(_same_ids(sets, nodes), "same-ids")
-    verified, labels = None, None
-    own = shared.withColumn("label", F.col("node"))
-    for step in range(ROUNDS + 1):
-        if step < ROUNDS:
-            # One member for each gram, the first in an order drawn anew; the same one for most grams of a group.
-            order = F.struct(F.xxhash64("node", F.lit(step)), "node", "label", "n", "pos")
-            first = own.groupBy("gram").agg(F.min(order).alias("f")).select("gram", F.struct("f.node", "f.label", "f.n", "f.pos").alias("x"))
-            met = own.select("gram", F.struct("node", "label", "n", "pos").alias("y")).join(first, "gram")
-            met = met.filter("x.label != y.label").filter(_length_and_position("x", "y", percent))
-        else:
-            own = own.join(found.select("node", "grams"), "node").join(texts.select("node", "bits").dropDuplicates(["node"]), "node")
-            own = own.select("gram", F.struct("node", "label", "n", "pos", "at", "grams", "bits").alias("x"))
-            other = own.withColumnRenamed("x", "y")
-            apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-            # A pair counts at the first gram that both prefixes have.
-            first = ~F.arrays_overlap(F.slice("x.grams", F.lit(1), F.col("x.at")), F.slice("y.grams", F.lit(1), F.col("y.at")))
-            met = own.join(other, (own["gram"] == other["gram"]) & apart & _length_and_position("x", "y", percent) & _suffix("x", "y", percent) & first)
+    verified, labels, own, step = None, None, shared, 0
+    while True:
+        own = materialise(_apart(own, labels), "apart")
+        # As many rows as there are, and the pairs that they make: one number each.
+        had, pairs = own.agg(F.count(F.lit(1)), F.sum((F.col("k") - 1) / 2)).first()
+        if not had and verified is not None:
+            break
+        last = step == ROUNDS or (pairs or 0) <= MANY * had
+        met = _all_members(own, found, texts, percent) if last else _first_members(own, step, percent)
         pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        if verified is not None:
+        if verified is None:
+            pairs = pairs.unionByName(twins).distinct()
+        else:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
         new = materialise(_verified(materialise(pairs, "pairs"), texts, n, percent), "verified")
         verified = new if verified is None else verified.unionByName(new)
         labels = components(verified.filter("linked").select("a", "b").unionByName(same))
-        if step < ROUNDS:
-            own = materialise(_apart(shared, labels), "apart")
-            if own.isEmpty():
-                break
+        if last:
+            break
+        step += 1
 
     return sets, nodes, texts, labels
 
@@ -372,7 +491,7 @@ def _of_rows(sets: DataFrame, nodes: DataFrame, labels: DataFrame, *more: str) -
 def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     """Numbers of common grams of each of the sets ``xs`` with each of ``ys``."""
     (g, x), (h, y) = ((np.concatenate(s), np.repeat(np.arange(len(s)), [len(a) for a in s])) for s in (xs, ys))
-    out = np.zeros((len(xs), len(ys)), np.int64)
+    out = np.zeros((len(xs), len(ys)), np.int32)
     common = np.intersect1d(g, h)
 
     def placed(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -391,7 +510,7 @@ def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
             side = np.zeros((n, width), np.float32)
             side[owner[lo:hi], k[lo:hi] - at] = 1
             sides.append(side)
-        out += (sides[0] @ sides[1].T).astype(np.int64)
+        out += (sides[0] @ sides[1].T).astype(np.int32)
     return out
 
 
@@ -422,8 +541,9 @@ def _links(texts: DataFrame, labels: DataFrame, n: int, percent: int, count: boo
         (a, xs), (b, zs) = zip(*first), zip(*ys)
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         common = overlaps(list(xs), list(zs))
-        either = np.array([len(x) for x in xs])[:, None] + np.array([len(z) for z in zs])[None, :] - common
-        hit = alike(common, either, common, percent)
+        sizes = [np.array([len(x) for x in side], np.int64) for side in (xs, zs)]
+        # 100 i >= p (a + b - i), row by row, so that no more than the counts are held.
+        hit = np.stack([(100 + percent) * row.astype(np.int64) >= percent * (size + sizes[1]) for row, size in zip(common, sizes[0].tolist())])
         if one:
             hit &= a[:, None] < b[None, :]
         if count:
@@ -474,10 +594,42 @@ def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "tex
     return _links(texts, labels, n, percent, False).join(end("a"), "a").join(end("b"), "b").select("doc_a", "doc_b", "n_a", "n_b", "common")
 
 
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with their columns, that stay when of each component one document does: the one with the smallest id.
+
+    Rows that repeat an id are one document, and stay or go together. Rows with a null id stay only where the whole
+    component has none, one row of it; those without words are components of their own and all stay.
+    """
+    sets, nodes, _, labels = _joined(docs, n, percent, text, id_col)
+    chosen = _of_rows(sets, nodes, labels).filter("doc_id = component_id").select(F.col("doc_id").alias(unused("_kept", *docs.columns))).distinct()
+    named = docs.join(chosen, docs[id_col].cast("long") == chosen[chosen.columns[0]], "left_semi")
+
+    nameless = docs.filter(F.col(id_col).isNull())
+    d1, d2 = unused("_d1", *docs.columns), unused("_d2", *docs.columns)
+    at = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, T.StructField(d1, T.LongType()), T.StructField(d2, T.LongType())])
+
+    digest_bits = DIGEST_BITS
+
+    def digested(batches: Iterator[pa.RecordBatch]):
+        for b in slices(batches):
+            found = [_digest(s, digest_bits) if len(s := gram_set((t or "").encode("utf-8", "surrogatepass"), n)) else (None, None) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))], [f.name for f in schema.fields])
+
+    own = nameless.mapInArrow(digested, schema)
+    label = unused("_label", *docs.columns)
+    of_node = nodes.join(labels, "node", "left").select("d1", "d2", "rep", F.coalesce("label", "node").alias(label))
+    lost = of_node.groupBy(label).agg(F.max("rep").alias("rep")).filter("rep is null").select(label)
+    of_node = of_node.join(lost, label, "left_semi").select(F.col("d1").alias("x"), F.col("d2").alias("y"), label)
+    met = own.join(of_node, (own[d1] == of_node["x"]) & (own[d2] == of_node["y"]))
+    one = met.select(*[own[f"`{c}`"] for c in docs.columns], label).dropDuplicates([label]).drop(label)
+    return named.unionByName(own.filter(F.col(d1).isNull()).drop(d1, d2)).unionByName(one)
+
+
 def _same_ids(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between the nodes of rows that repeat an id."""
     again = sets.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count_distinct("d1", "d2", "n").alias("k")).filter("k > 1").select("doc_id")
-    own = sets.filter("n > 0").join(again, "doc_id", "left_semi").join(nodes.drop("salts", "rep"), ["d1", "d2", "n"]).select("doc_id", "node")
+    own = sets.filter("n > 0").join(again, "doc_id", "left_semi").join(nodes.select("d1", "d2", "n", "node"), ["d1", "d2", "n"]).select("doc_id", "node")
     first = own.groupBy("doc_id").agg(F.min("node").alias("a"))
     return own.join(first, "doc_id").select("a", F.col("node").alias("b")).filter("a != b")
 
