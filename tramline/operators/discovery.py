@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..steps import numbered
+
 SEED = ["slug", "name", "source_url", "direct_download_url", "license_url", "attribution"]
 
 
@@ -88,4 +90,4 @@ def pages_before_stop(pages: DataFrame, max_pages: int | None = None) -> DataFra
 
 
 def ordered_by_slug(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("slug")))
+    return numbered(rows, ["slug"], "place")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import spatial as S
+from ..steps import save
 
 
 def layer_summary(features: DataFrame) -> DataFrame:
@@ -49,11 +53,17 @@ def edge_distance(edges: DataFrame, w: int, h: int, most: float, bins: int = 64)
 def in_polygon(points: DataFrame, edges: DataFrame, point_keys: list[str], polygon: str, cell: float) -> DataFrame:
     """(point keys, polygon) of points inside polygons given as ring edges (polygon, ax, ay, bx, by), holes included: an odd number of edges to the right.
 
-    Points and edges meet by rows of ``cell`` height, since only edges at a point's height count.
+    Points meet the polygons whose box touches their cell of a grid, and those pairs the polygon's edges at the point's
+    height, in rows of ``cell``; both joins are by equality.
     """
-    row = lambda c: F.floor(c / cell)
-    e = edges.select(polygon, "ax", "ay", "bx", "by").withColumn("_row", F.explode(F.sequence(row(F.least("ay", "by")), row(F.greatest("ay", "by")))))
-    met = points.withColumn("_row", row(F.col("y"))).join(e, "_row").filter(S.ring_crosses("x", "y", "ax", "ay", "bx", "by"))
+    at = lambda c: F.floor(c / cell).cast("long")
+    e = edges.select(polygon, "ax", "ay", "bx", "by")
+    box = e.groupBy(polygon).agg(*[f(g(a, b)).alias(n) for n, f, g, a, b in (("_w", F.min, F.least, "ax", "bx"), ("_e", F.max, F.greatest, "ax", "bx"), ("_s", F.min, F.least, "ay", "by"), ("_n", F.max, F.greatest, "ay", "by"))])
+    cells = box.withColumn("_col", F.explode(F.sequence(at(F.col("_w")), at(F.col("_e"))))).withColumn("_row", F.explode(F.sequence(at(F.col("_s")), at(F.col("_n")))))
+    own = points.select(*point_keys, "x", "y", at(F.col("x")).alias("_col"), at(F.col("y")).alias("_row"))
+    near = own.join(cells, ["_col", "_row"]).filter(F.col("x").between(F.col("_w"), F.col("_e")) & F.col("y").between(F.col("_s"), F.col("_n"))).select(*point_keys, "x", "y", "_row", polygon)
+    rows = e.withColumn("_row", F.explode(F.sequence(at(F.least("ay", "by")), at(F.greatest("ay", "by")))))
+    met = near.join(rows, [polygon, "_row"]).filter(S.ring_crosses("x", "y", "ax", "ay", "bx", "by"))
     return met.groupBy(*point_keys, polygon).agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1").drop("_n")
 
 
@@ -106,10 +116,43 @@ def center_by_component(df: DataFrame, component: list[str], value: str) -> Data
     return df.withColumn("centered", F.col(value) - F.avg(value).over(Window.partitionBy(*component)))
 
 
-def knn_direction(points: DataFrame, segs: DataFrame, group: list[str], sigma: float, k: int) -> DataFrame:
+def _nearest(points: DataFrame, segs: DataFrame, group: list[str], k: int, cell: float) -> DataFrame:
+    """Each point (group, point_id, x, y) with its k nearest segments of the same group (all, if there are fewer), and ``_d``, the squared distance; ties by segment_id.
+
+    Segments go to the cells of a grid that their box, grown by a radius, touches, and points meet those of their own cell. A
+    point is done when k of them are within the radius, as no other can be nearer; the others go on with twice the
+    radius and cell. A radius beyond the group's extent ends it.
+    """
+    low, high = lambda a, b: F.least(a, b), lambda a, b: F.greatest(a, b)
+    both = segs.select(*group, low("ax", "bx").alias("w"), high("ax", "bx").alias("e"), low("ay", "by").alias("s"), high("ay", "by").alias("n"))
+    both = both.unionByName(points.select(*group, F.col("x").alias("w"), F.col("x").alias("e"), F.col("y").alias("s"), F.col("y").alias("n")))
+    extent = both.groupBy(*group).agg((F.max("e") - F.min("w") + F.max("n") - F.min("s")).alias("x")).agg(F.max("x")).first()[0]
+    found, left, radius = None, points, cell
+    while True:
+        last = radius > (extent or 0.0)
+        at = lambda c: F.floor(c / radius).cast("long")  # noqa: E731, B023
+        span = lambda a, b: F.sequence(at(F.least(a, b) - radius), at(F.greatest(a, b) + radius))  # noqa: E731, B023
+        if last:
+            met = left.join(segs, group)
+        else:
+            placed = segs.withColumn("_cx", F.explode(span("ax", "bx"))).withColumn("_cy", F.explode(span("ay", "by")))
+            met = left.withColumn("_cx", at(F.col("x"))).withColumn("_cy", at(F.col("y"))).join(placed, [*group, "_cx", "_cy"]).drop("_cx", "_cy")
+        met = met.withColumn("_d", S.seg_dist_sq("x", "y", "ax", "ay", "bx", "by"))
+        near = met.withColumn("_n", F.row_number().over(Window.partitionBy(*group, "point_id").orderBy("_d", "segment_id"))).filter(F.col("_n") <= k)
+        if not last:
+            # Rounding may not decide that a point is done.
+            done = near.withColumn("_far", F.max("_d").over(Window.partitionBy(*group, "point_id"))).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(*group, "point_id")))
+            near = save(done.filter((F.col("_k") == k) & (F.col("_far") < radius * radius * (1 - 1e-9))).drop("_far", "_k"))
+            left = save(left.join(near.select(*group, "point_id").distinct(), [*group, "point_id"], "left_anti"))
+        found = near if found is None else found.unionByName(near)
+        if last or left.isEmpty():
+            return found.drop("_n")
+        radius *= 2
+
+
+def knn_direction(points: DataFrame, segs: DataFrame, group: list[str], sigma: float, k: int, cell: float = 0.125) -> DataFrame:
     """Per point the weighted mean direction of its k nearest segments in the same group: weight exp(-d2 / sigma2) * confidence; null where weight or length is 1e-9 or less."""
-    met = points.join(segs, group).withColumn("_d", S.seg_dist_sq("x", "y", "ax", "ay", "bx", "by"))
-    near = met.withColumn("_n", F.row_number().over(Window.partitionBy(*group, "point_id").orderBy("_d", "segment_id"))).filter(F.col("_n") <= k)
+    near = _nearest(points, segs, group, k, cell)
     w = F.exp(-F.col("_d") / sigma**2) * F.col("confidence")
     length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     sums = near.groupBy(*group, "point_id").agg(F.sum(w).alias("weight"), F.sum(w * (F.col("bx") - F.col("ax")) / length).alias("_x"), F.sum(w * (F.col("by") - F.col("ay")) / length).alias("_y"))
@@ -118,13 +161,11 @@ def knn_direction(points: DataFrame, segs: DataFrame, group: list[str], sigma: f
     return sums.select(*group, "point_id", F.when(ok, F.col("_x") / size).alias("dx"), F.when(ok, F.col("_y") / size).alias("dy"), F.when(ok, size / F.col("weight")).alias("magnitude"), "weight")
 
 
-def nearest_normal(points: DataFrame, boundary: DataFrame, group: list[str]) -> DataFrame:
+def nearest_normal(points: DataFrame, boundary: DataFrame, group: list[str], cell: float = 0.125) -> DataFrame:
     """Normal (left of the direction) of the boundary segment nearest to each point."""
-    met = points.join(boundary, group)
-    d = S.seg_dist_sq("x", "y", "ax", "ay", "bx", "by")
     length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
-    normal = F.struct((-(F.col("by") - F.col("ay")) / length).alias("nx"), ((F.col("bx") - F.col("ax")) / length).alias("ny"))
-    return met.filter(length > 0).groupBy(*group, "point_id").agg(F.min_by(normal, F.struct(d, "segment_id")).alias("n"), F.sqrt(F.min(d)).alias("distance")).select(*group, "point_id", "n.nx", "n.ny", "distance")
+    near = _nearest(points, boundary.filter(length > 0), group, 1, cell)
+    return near.select(*group, "point_id", (-(F.col("by") - F.col("ay")) / length).alias("nx"), ((F.col("bx") - F.col("ax")) / length).alias("ny"), F.sqrt("_d").alias("distance"))
 
 
 def project_tangent(vx, vy, nx, ny) -> Column:
@@ -153,12 +194,39 @@ def building_heights(features: DataFrame, top_keys: tuple[str, ...], base_keys:
 
 
 def repair_feature_ids(features: DataFrame, keys: list[str]) -> DataFrame:
-    """The first feature with an id keeps it; others, and those without one, get 2^63 + place as a decimal, raised past ids that are taken."""
+    """Adds ``new_id`` decimal(20,0): in order of ``place``, a feature keeps an id that none before it in its group (``keys``, a tile and layer) has; others, and
+    those without one, get 2^63 + place, raised by one until it is free.
+
+    Only given ids of 2^63 or more can be in the way; groups that have one are worked through in order, the rest is column arithmetic.
+    """
     order = Window.partitionBy(*keys, "id").orderBy("place")
-    own = features.withColumn("_first", F.col("id").isNotNull() & (F.row_number().over(order) == 1))
     high = (F.lit(1 << 62).cast("decimal(20,0)") * 2 + F.col("place")).cast("decimal(20,0)")
-    out = own.withColumn("new_id", F.when(F.col("_first"), F.col("id").cast("decimal(20,0)")).otherwise(high))
-    return out.drop("_first")
+
+    def apart(rows: DataFrame) -> DataFrame:
+        own = rows.withColumn("_first", F.col("id").isNotNull() & (F.row_number().over(order) == 1))
+        return own.withColumn("new_id", F.when(F.col("_first"), F.col("id").cast("decimal(20,0)")).otherwise(high)).drop("_first")
+
+    if not isinstance(features.schema["id"].dataType, T.DecimalType):
+        # A signed 64-bit id is below 2^63.
+        return apart(features)
+    tall = features.filter(F.col("id") >= F.lit(Decimal(1 << 63))).select(*keys).distinct()
+    schema = T.StructType([*features.schema.fields, T.StructField("new_id", T.DecimalType(20, 0))])
+
+    def in_order(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("place")
+        taken, out = set(), []
+        for own, place in zip(group["id"], group["place"]):
+            new = None if own is None or own in taken else int(own)
+            if new is None:
+                new = (1 << 63) + int(place)
+                while new in taken:
+                    new += 1
+            taken.add(new)
+            out.append(Decimal(new))
+        return group.assign(new_id=out)
+
+    worked = features.join(tall, keys, "left_semi").groupBy(*keys).applyInPandas(in_order, schema)
+    return apart(features.join(tall, keys, "left_anti")).unionByName(worked)
 
 
 def explode_parts(features: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..steps import numbered
+
 
 # Codes of the schedule format.
 CODES = {
@@ -60,28 +62,13 @@ def id_map(mentions: DataFrame) -> DataFrame:
     """(kind, gtfs_id, item_id) of mentions (spec_ord, row_ord, ref_ord, kind, gtfs_id): one counter for all kinds, in order of first mention.
 
     Rows without an id (``gtfs_id`` null) take a number each. First mentions are found by aggregation; the dense
-    numbers come from counts of id-ordered ranges and offsets, so no task sees all ids.
+    numbers come from sorted ranges and their offsets, so no task sees all ids.
     """
     at = F.struct("spec_ord", "row_ord", "ref_ord")
     named = mentions.filter("gtfs_id is not null").groupBy("kind", "gtfs_id").agg(F.min(at).alias("at"))
     bare = mentions.filter("gtfs_id is null").select("kind", "gtfs_id", at.alias("at"))
     firsts = named.unionByName(bare)
-    return dense_rank_by(firsts, "at", "item_id").select("kind", "gtfs_id", "item_id", "at")
-
-
-def dense_rank_by(df: DataFrame, key: str, name: str, buckets: int = 256) -> DataFrame:
-    """Number the rows 1, 2, ... in the order of ``key`` (distinct values): local numbers in buckets of an order-keeping key, and the sizes of the buckets before.
-
-    ``key`` is a struct whose first two fields are a rank and a row number; buckets are ranges of those.
-    """
-    first, second = df.schema[key].dataType.fieldNames()[:2]
-    top = df.groupBy(F.col(f"{key}.{first}").alias("_f")).agg(F.max(f"{key}.{second}").alias("_top"))
-    width = F.greatest(F.ceil((F.col("_top") + 1) / F.lit(buckets)), F.lit(1))
-    cut = df.join(F.broadcast(top), F.col(f"{key}.{first}") == F.col("_f")).withColumn("_b", F.floor(F.col(f"{key}.{second}") / width)).drop("_top")
-    sizes = cut.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    own = F.row_number().over(Window.partitionBy("_f", "_b").orderBy(key))
-    return cut.withColumn("_own", own).join(F.broadcast(before), ["_f", "_b"]).withColumn(name, (F.col("_before") + F.col("_own")).cast("int")).drop("_f", "_b", "_own", "_before")
+    return numbered(firsts, ["at"], "item_id").select("kind", "gtfs_id", F.col("item_id").cast("int").alias("item_id"), "at")
 
 
 def translate(df: DataFrame, ids: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:

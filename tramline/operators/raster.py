@@ -89,14 +89,23 @@ def bilinear(points: DataFrame, px: DataFrame, keys: list[str], bands: list[str]
     return met.select(*points.columns, *[mix(b).alias(b) for b in bands])
 
 
-def mosaic(px: DataFrame, manifest: DataFrame, requests: DataFrame, cols: int, rows: int) -> DataFrame:
+def _in_cells(df: DataFrame, box: str, cell: float) -> DataFrame:
+    """A row for each cell of a grid of ``cell`` degrees that a box touches: adds _cx, _cy."""
+    at = lambda c: F.floor(F.col(f"{box}.{c}") / cell).cast("int")
+    return df.withColumn("_cx", F.explode(F.sequence(at("west"), at("east")))).withColumn("_cy", F.explode(F.sequence(at("south"), at("north"))))
+
+
+def mosaic(px: DataFrame, manifest: DataFrame, requests: DataFrame, cols: int, rows: int, cell: float = 4.0) -> DataFrame:
     """Output pixels (request, row_no, col_no, r, g, b, a) of requests (request, area: box), ``cols`` by ``rows`` each.
 
     Sources (tile_id, path, bounds, width, height) that share area with a request are sampled bilinearly at the pixel
     centres inside them and blended over one another by alpha in the order of their path. Pixels of no source are left out.
+    Requests and sources meet by the cells of ``cell`` degrees that they touch; a pair counts at the first cell of both.
     """
     area = lambda b: F.struct((F.col(f"{b}.east") - F.col(f"{b}.west")).alias("w"), (F.col(f"{b}.north") - F.col(f"{b}.south")).alias("h"))
-    met = requests.join(manifest, S.intersects("area", "bounds"))
+    met = _in_cells(requests, "area", cell).join(_in_cells(manifest, "bounds", cell), ["_cx", "_cy"]).filter(S.intersects("area", "bounds"))
+    first = lambda c: F.greatest(F.floor(F.col(f"area.{c}") / cell), F.floor(F.col(f"bounds.{c}") / cell))
+    met = met.filter((F.col("_cx") == first("west")) & (F.col("_cy") == first("south"))).drop("_cx", "_cy")
     met = met.withColumn("_a", area("area")).withColumn("_b", area("bounds"))
     grid = met.withColumn("row_no", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("col_no", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
     x = F.col("area.west") + (F.col("col_no") + 0.5) / cols * F.col("_a.w")
@@ -148,12 +157,17 @@ def base_tiles(manifest: DataFrame, zoom: int) -> DataFrame:
     return r.withColumn("x", F.explode(F.sequence("_r.x_min", "_r.x_max"))).withColumn("y", F.explode(F.sequence("_r.y_min", "_r.y_max"))).select(F.lit(zoom).alias("z"), "x", "y").distinct()
 
 
-def to_web_mercator(px: DataFrame, manifest: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
-    """Pixels of Mercator tiles from images in degrees: latitude is not linear in a tile's rows, so each output pixel has its own."""
-    grid = tiles.withColumn("row_no", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("col_no", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    at = S.tile_to_lnglat("z", "x", "y", F.col("col_no") + 0.5, F.col("row_no") + 0.5, size)
-    grid = grid.withColumn("_l", at).withColumn("_t", S.tile_bounds("z", "x", "y"))
-    met = grid.join(manifest, S.intersects("_t", "bounds") & S.contains_lon_lat("bounds", "_l.lon", "_l.lat"))
+def to_web_mercator(px: DataFrame, manifest: DataFrame, tiles: DataFrame, size: int, cell: float = 4.0) -> DataFrame:
+    """Pixels of Mercator tiles from images in degrees: latitude is not linear in a tile's rows, so each output pixel has its own.
+
+    Tiles meet the images that their boxes touch by cells of ``cell`` degrees; pixels are made for those pairs alone.
+    """
+    boxed = tiles.withColumn("_t", S.tile_bounds("z", "x", "y"))
+    met = _in_cells(boxed, "_t", cell).join(_in_cells(manifest, "bounds", cell), ["_cx", "_cy"]).filter(S.intersects("_t", "bounds"))
+    first = lambda c: F.greatest(F.floor(F.col(f"_t.{c}") / cell), F.floor(F.col(f"bounds.{c}") / cell))
+    met = met.filter((F.col("_cx") == first("west")) & (F.col("_cy") == first("south"))).drop("_cx", "_cy")
+    met = met.withColumn("row_no", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("col_no", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    met = met.withColumn("_l", S.tile_to_lnglat("z", "x", "y", F.col("col_no") + 0.5, F.col("row_no") + 0.5, size)).filter(S.contains_lon_lat("bounds", "_l.lon", "_l.lat"))
     pos = met.select(
         "z", "x", "y", F.col("row_no").alias("out_row"), F.col("col_no").alias("out_col"), "tile_id", "path",
         ((F.col("_l.lon") - F.col("bounds.west")) / (F.col("bounds.east") - F.col("bounds.west")) * F.col("width") - 0.5).alias("fx"),

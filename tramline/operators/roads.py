@@ -76,10 +76,19 @@ def duplicate_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def typed(value: Column, kind: str) -> Column:
+    """A property value that carries its type: struct of which one of ``text``, ``number``, ``flag`` (``kind``) is set."""
+    types = {"text": "string", "number": "double", "flag": "boolean"}
+    return F.struct(*[(value if k == kind else F.lit(None)).cast(t).alias(k) for k, t in types.items()])
+
+
 def infer_fields(rows: DataFrame) -> DataFrame:
-    """(layer, key, type) of property maps of text: Boolean, Number or String; a key with several types is String."""
-    each = rows.select("layer", F.explode("properties").alias("key", "value")).filter("value is not null")
-    kind = F.when(F.lower("value").isin("true", "false"), "Boolean").when(F.col("value").try_cast("double").isNotNull(), "Number").otherwise("String")
+    """(layer, key, type) of property maps whose values carry their type, as from ``typed``: Boolean, Number or String; a key with several types is String.
+
+    What a text looks like does not count: the text ``true`` is a String.
+    """
+    each = rows.select("layer", F.explode("properties").alias("key", "value")).filter("value.flag is not null or value.number is not null or value.text is not null")
+    kind = F.when(F.col("value.flag").isNotNull(), "Boolean").when(F.col("value.number").isNotNull(), "Number").otherwise("String")
     found = each.groupBy("layer", "key").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi"))
     return found.select("layer", "key", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("String").alias("type"))
 

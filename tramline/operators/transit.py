@@ -5,39 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..steps import new_path, save
+
 # The category (an icon name) of each route type.
 CATEGORIES = {
     0: "tram-front", 1: "train-front", 2: "train-front", 3: "bus-front", 4: "ship", 5: "cable-car", 6: "cable-car", 7: "mountain",
     11: "bus-front", 12: "train-front", 200: "bus-front", 1100: "plane", 1500: "car-taxi-front",
 }
 GENERIC = "route"
+#: Levels of a nested tree that one plan builds.
+STRIDE = 8
 
 
-def stop_tree(stops: DataFrame, agg: DataFrame, roots: DataFrame | None = None, max_depth: int = 32) -> DataFrame:
+def stop_tree(stops: DataFrame, agg: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Every stop with all its descendants: version_id, root_id, stop_id, parent_id, depth, path, route_item_ids.
 
-    A self-join a level until no path grows; a stop that is on its own path already is not entered again.
+    A self-join a level until no path grows, however deep; a stop that is on its own path already is not entered again. Each
+    level is written, so the next one reads it and runs none of those before again.
     ``roots`` (version_id, item_id): where to begin; all stops if not given.
     """
     own = stops.select("version_id", F.col("item_id").alias("stop_id"), F.col("parent_station_item_id").alias("parent_id"))
     start = own if roots is None else own.join(roots.select("version_id", F.col("item_id").alias("stop_id")).distinct(), ["version_id", "stop_id"], "left_semi")
     level = start.select("version_id", F.col("stop_id").alias("root_id"), "stop_id", "parent_id", F.lit(0).alias("depth"), F.array("stop_id").alias("path"))
-    found = level
+    spark, path, depth = stops.sparkSession, new_path(stops.sparkSession), 0
+    at = lambda d: f"{path}/depth-{d}"
+    level.write.parquet(at(0))
     child = own.filter("parent_id is not null")
-    for depth in range(1, max_depth):
+    while True:
+        depth += 1
+        level = spark.read.schema(level.schema).parquet(at(depth - 1))
         up = level.select("version_id", "root_id", F.col("stop_id").alias("parent_id"), "path")
         level = up.join(child, ["version_id", "parent_id"]).filter(~F.array_contains("path", F.col("stop_id")))
         level = level.select("version_id", "root_id", "stop_id", "parent_id", F.lit(depth).alias("depth"), F.concat("path", F.array("stop_id")).alias("path"))
-        if level.isEmpty():
+        level.write.parquet(at(depth))
+        if spark.read.schema(level.schema).parquet(at(depth)).isEmpty():
             break
-        found = found.unionByName(level)
+    found = spark.read.schema(level.schema).parquet(*map(at, range(depth)))
     routes = agg.select("version_id", F.col("stop_item_id").alias("stop_id"), "route_item_ids")
     return found.join(routes, ["version_id", "stop_id"], "left").withColumn("route_item_ids", F.coalesce("route_item_ids", F.array().cast("array<int>")))
 
 
 def nest_stops(tree: DataFrame) -> DataFrame:
-    """One JSON text a root: children inside their parents, built from the deepest level up."""
-    rows = tree.select("version_id", "root_id", "stop_id", "parent_id", "depth", "route_item_ids")
+    """One JSON text a root: children inside their parents, built from the deepest level up; every ``STRIDE`` levels are written, so plans stay short."""
+    rows = save(tree.select("version_id", "root_id", "stop_id", "parent_id", "depth", "route_item_ids"), "depth")
     deepest = rows.agg(F.max("depth")).first()[0]
     node = lambda: F.concat(
         F.lit('{"stop":'), F.col("stop_id").cast("string"), F.lit(',"routes":'), F.to_json("route_item_ids"), F.lit(',"children":['), F.coalesce("kids", F.lit("")), F.lit("]}")
@@ -49,7 +59,8 @@ def nest_stops(tree: DataFrame) -> DataFrame:
         level = level.withColumn("json", node())
         if depth == 0:
             return level.select("version_id", "root_id", "json")
-        kids = level.groupBy("version_id", "root_id", F.col("parent_id").alias("stop_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("stop_id").alias("s"), "json"))), lambda x: x["json"]), ",").alias("kids"))
+        kids = level if depth % STRIDE else save(level)
+        kids = kids.groupBy("version_id", "root_id", F.col("parent_id").alias("stop_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("stop_id").alias("s"), "json"))), lambda x: x["json"]), ",").alias("kids"))
     return rows.select("version_id", "root_id", F.lit("").alias("json")).limit(0)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..steps import numbered
+
 # Media types that a feed may have.
 MEDIA_TYPES = ("application/zip", "application/x-zip-compressed", "application/octet-stream", "binary/octet-stream", "application/x-zip")
 
@@ -32,8 +34,7 @@ def upsert_sources(sources: DataFrame, seed: DataFrame, now: Column, columns: li
     """Sources with the seed's values for ``columns``; new slugs get the next ids by slug; id and created_at stay."""
     top = sources.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     fresh = seed.join(sources.select("slug"), "slug", "left_anti").select("slug")
-    # New slugs are few next to the table; their numbers follow its largest id.
-    fresh = fresh.withColumn("_n", F.row_number().over(Window.orderBy("slug"))).crossJoin(F.broadcast(top)).select("slug", (F.col("_top") + F.col("_n")).alias("_id"))
+    fresh = numbered(fresh, ["slug"], "_n").crossJoin(F.broadcast(top)).select("slug", (F.col("_top") + F.col("_n")).alias("_id"))
     s, d = sources.alias("s"), seed.select("slug", *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_in")).alias("d")
     both = s.join(d, "slug", "full_outer").join(fresh, "slug", "left")
     return both.select(
@@ -68,7 +69,7 @@ def new_versions(decisions: DataFrame, sources: DataFrame, versions: DataFrame,
     """``downloaded`` rows for the new versions, with the next ids by source."""
     top = versions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     own = decisions.filter("outcome = 'new_version'").join(sources.select(F.col("id").alias("source_id"), "slug"), "source_id")
-    own = own.withColumn("_n", F.row_number().over(Window.orderBy("source_id"))).crossJoin(F.broadcast(top))
+    own = numbered(own, ["source_id"], "_n").crossJoin(F.broadcast(top))
     path = F.concat(F.lit("feed-sources/"), "slug", F.lit("/versions/"), "content_hash", F.lit(".zip"))
     return own.select((F.col("_top") + F.col("_n")).cast("int").alias("id"), "source_id", "content_hash", path.alias("file_path"), F.lit("downloaded").alias("status"), fetched_at.alias("fetched_at"))
 

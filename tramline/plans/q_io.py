@@ -13,7 +13,7 @@ from ..sources import readers as R
 from ..sources import sinks as K
 from ..streaming import ingest, rolling_stream
 from .fixtures import fx, run, table, whole
-from .materialise import root
+from ..steps import root
 from .q_spatial import X, Y
 
 QUERIES, SQL = {}, {}
@@ -125,23 +125,27 @@ def tile_sink(spark, sf):
 
 @query()
 def tileset_metadata(spark, sf):
-    from ..operators.roads import infer_fields
+    from ..operators.roads import infer_fields, typed
 
     tiles = L.occupied_tiles(L.stop_points(fx(spark, sf, "fx_stops")), 13)
-    fields = infer_fields(fx(spark, sf, "fx_boxes").select("layer", F.create_map(F.lit("class"), F.col("class"), F.lit("id"), F.col("feature_id").cast("string")).alias("properties")))
+    fields = infer_fields(fx(spark, sf, "fx_boxes").select("layer", F.create_map(F.lit("class"), typed(F.col("class"), "text"), F.lit("id"), typed(F.col("feature_id"), "number")).alias("properties")))
     return K.tileset_metadata(tiles, fields, "stops")
 
 
-@query()
+FRAME = "OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN {} PRECEDING AND CURRENT ROW)"
+
+
+@query(f"""SELECT user_id, event_id, ms AS ended_ms, n_10s, avg_10s, n_300s, max_300s FROM (SELECT user_id, event_id, ms, count(*) {FRAME.format(10_000)} AS n_10s, round(avg(value) {FRAME.format(10_000)}, 6) AS avg_10s, count(*) {FRAME.format(300_000)} AS n_300s, max(value) {FRAME.format(300_000)} AS max_300s, max(ms) OVER () AS newest
+FROM (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, value FROM events)) WHERE ms < newest - 300000""")
 def rolling_stream_replay(spark, sf):
-    """A bounded replay of the stream: one micro-batch, so the result is that of the batch windows."""
+    """A bounded replay of the stream: the result is that of the batch windows, for the samples that the last watermark has passed."""
     e = table(spark, sf, "events")
     stream = spark.readStream.schema(e.schema).parquet(f"{sf}/event[s].parquet")
     samples = stream.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ended_at"), F.col("value").alias("duration_ms"))
     out, mark = _path(spark, "rolling"), _path(spark, "rolling-checkpoint")
     q = rolling_stream.rolling_stream(samples).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(rolling_stream.OUT).parquet(out)
+    return spark.read.schema(rolling_stream.OUT).parquet(out).withColumn("avg_10s", F.round("avg_10s", 6))
 
 
 @query("SELECT event_type AS outcome, count(*) AS n FROM events GROUP BY 1")
@@ -153,3 +157,19 @@ def ingest_stream_replay(spark, sf):
     ingest.ingest_stream(spark, f"{sf}/event[s].parquet", schema, mark, plan, out, "parquet").awaitTermination()
     return spark.read.parquet(out).groupBy("outcome").agg(F.sum("n").alias("n"))
 
+
+LANDED = "SELECT CAST(user_id + 1 AS BIGINT) AS source_id, event_id % 5 = 0 AS not_modified, md5(CAST((event_id * 3) % 50 AS VARCHAR(20))) AS content_hash FROM {}"
+
+
+@query(f"""SELECT c.source_id, c.content_hash, v.id AS active_id, CASE WHEN c.not_modified AND v.id IS NULL THEN 'error' WHEN c.not_modified THEN 'not_modified' WHEN c.content_hash = v.content_hash THEN 'same_hash' ELSE 'new_version' END AS outcome
+FROM ({LANDED.format('events')}) c LEFT JOIN dx_sources s ON s.id = c.source_id LEFT JOIN dx_versions v ON v.id = s.active_version_id AND v.source_id = s.id""")
+def ingest_stream_decisions(spark, sf):
+    """Landed files as a stream; each micro-batch decides what changed against the versions that are active."""
+    from ..operators.versions import decide_changes
+
+    out, mark = _path(spark, "decided"), _path(spark, "decided-checkpoint")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table(spark, sf, "events").schema.fields)
+    sources, versions = fx(spark, sf, "dx_sources"), fx(spark, sf, "dx_versions")
+    plan = lambda batch: decide_changes(spark.sql(LANDED.format("{batch}"), batch=batch), sources, versions)
+    ingest.ingest_stream(spark, f"{sf}/event[s].parquet", schema, mark, plan, out, "parquet").awaitTermination()
+    return spark.read.parquet(out).select("source_id", "content_hash", "active_id", "outcome")

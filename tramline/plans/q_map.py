@@ -11,6 +11,7 @@ from ..operators import raster as A
 from ..operators import roads as R
 from ..operators import rolling as B
 from ..operators import shapes as P
+from ..steps import save
 from .fixtures import fx, run, whole
 from .q_spatial import LAT, X, Y
 
@@ -121,10 +122,11 @@ def duplicate_tiles(spark, sf):
     return R.duplicate_tiles(d)
 
 
-@query("SELECT DISTINCT layer, k AS key, CASE k WHEN 'class' THEN 'String' WHEN 'one_way' THEN 'Boolean' WHEN 'width' THEN 'Number' ELSE 'String' END AS type FROM fx_boxes, (VALUES ('class'), ('one_way'), ('width'), ('mixed')) t(k)")
+@query("SELECT DISTINCT layer, k AS key, CASE k WHEN 'class' THEN 'String' WHEN 'one_way' THEN 'Boolean' WHEN 'width' THEN 'Number' ELSE 'String' END AS type FROM fx_boxes, (VALUES ('class'), ('one_way'), ('width'), ('mixed'), ('digits')) t(k)")
 def inferred_fields(spark, sf):
     k = F.col("feature_id")
-    props = F.create_map(F.lit("class"), F.col("class"), F.lit("one_way"), F.when(k % 2 == 0, "true").otherwise("false"), F.lit("width"), (k % 7).cast("string"), F.lit("mixed"), F.when(k % 2 == 0, "true").otherwise("1.5"))
+    mixed = F.when(k % 2 == 0, R.typed(F.lit(True), "flag")).otherwise(R.typed(F.lit(1.5), "number"))
+    props = F.create_map(F.lit("class"), R.typed(F.col("class"), "text"), F.lit("one_way"), R.typed(k % 2 == 0, "flag"), F.lit("width"), R.typed(k % 7, "number"), F.lit("mixed"), mixed, F.lit("digits"), R.typed(k.cast("string"), "text"))
     return R.infer_fields(fx(spark, sf, "fx_boxes").select("layer", props.alias("properties")))
 
 
@@ -365,8 +367,6 @@ def component_means(spark, sf):
 
 @query()
 def grid_components(spark, sf):
-    from .materialise import save
-
     cells = run(spark, sf, "SELECT tile_id, row_no, col_no FROM dx_bands WHERE band = 0 AND (row_no * 7 + col_no * 5 + tile_id) % 3 <> 0")
     return W.grid_components(cells, ["tile_id"], save)
 

@@ -16,7 +16,7 @@ from ..operators import versions as V
 from ..sources import readers as R
 from ..sources import sinks as K
 from .fixtures import fx, run, whole
-from .materialise import root
+from ..steps import root
 from .q_map import AS_TILES, MANIFEST, _manifest, _tiles
 
 QUERIES, SQL = {}, {}

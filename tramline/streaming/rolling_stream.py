@@ -1,36 +1,69 @@
-"""Rolling statistics over a stream, with state by key that is bounded by the longest window."""
+"""Rolling statistics over a stream in event time, with state by key that is bounded by the longest window and the delay.
+
+Samples wait in the state until the watermark is past their millisecond; then no sample of that or an earlier one can come, and they are
+given out in order of time with the statistics that the batch windows have: frames by range, so samples that tie count for each
+other. So the result does not depend on how samples fall into micro-batches. Samples later than the watermark are left
+out by the engine. Those that the final watermark has not passed are not given out yet.
+
+A key's state holds what waits and what a later frame may still reach; it is removed when the watermark is a window past the last.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-KEEP_MS = 300_000
+SHORT_MS, KEEP_MS = 10_000, 300_000
 OUT = "user_id long, event_id long, ended_ms long, n_10s long, avg_10s double, n_300s long, max_300s double"
+STATE = "event_id array<long>, ms array<long>, value array<double>, given long"
+
+
+def trailing(ms: np.ndarray, value: np.ndarray, first: int) -> list[np.ndarray]:
+    """For the sorted times from place ``first`` on: count and mean over the short window, count and maximum over the long one."""
+    until = np.searchsorted(ms, ms[first:], "right")
+    short, long_ = (np.searchsorted(ms, ms[first:] - width, "left") for width in (SHORT_MS, KEEP_MS))
+    # The largest of each frame, by tables of the largest of 1, 2, 4, ... values.
+    tables = [value]
+    while (step := 1 << len(tables) - 1) * 2 <= len(value):
+        tables.append(np.maximum(tables[-1][:-step], tables[-1][step:]))
+    level = np.frexp((until - long_).astype(np.float64))[1] - 1
+    most = np.empty(len(until))
+    for k in np.unique(level):
+        at = level == k
+        most[at] = np.maximum(tables[k][long_[at]], tables[k][until[at] - (1 << int(k))])
+    # Sums are taken from the first value that a frame can have, so none loses digits to a long past.
+    total = np.concatenate([[0.0], np.cumsum(value - value[0])])
+    n = until - short
+    return [n, (total[until] - total[short]) / n + value[0], until - long_, most]
 
 
 def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    ms, value = state.get if state.exists else ([], [])
-    ms, value = list(ms), list(value)
-    new = pd.concat(list(batches)).sort_values(["ended_ms", "event_id"])
-    out = []
-    for t, event_id, v in zip(new["ended_ms"], new["event_id"], new["duration_ms"]):
-        while ms and ms[0] < t - KEEP_MS:
-            ms.pop(0)
-            value.pop(0)
-        ms.append(int(t))
-        value.append(float(v))
-        short = [x for s, x in zip(ms, value) if s >= t - 10_000]
-        out.append((key[0], int(event_id), int(t), len(short), sum(short) / len(short), len(ms), max(value)))
-    state.update((ms, value))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "ended_ms", "n_10s", "avg_10s", "n_300s", "max_300s"])
-
-
-def rolling_stream(samples: DataFrame) -> DataFrame:
-    """Samples (user_id, event_id, ended_at, duration_ms) with trailing statistics at each, in order of arrival by batch; late rows beyond the watermark are left out."""
-    rows = samples.withWatermark("ended_at", f"{KEEP_MS} milliseconds").select("user_id", "event_id", F.unix_millis("ended_at").alias("ended_ms"), "duration_ms", "ended_at")
-    return rows.groupBy("user_id").applyInPandasWithState(_update, OUT, "ms array<long>, value array<double>", "append", GroupStateTimeout.NoTimeout)
+    event_id, ms, value, given = state.get if state.exists else ([], [], [], 0)
+    new = pd.concat(list(batches)) if not state.hasTimedOut else pd.DataFrame({"event_id": [], "ended_ms": [], "duration_ms": []})
+    waiting = pd.DataFrame({"event_id": np.concatenate([np.array(event_id[given:], np.int64), new["event_id"].to_numpy(np.int64)]), "ms": np.concatenate([np.array(ms[given:], np.int64), new["ended_ms"].to_numpy(np.int64)]), "value": np.concatenate([np.array(value[given:], float), new["duration_ms"].to_numpy(float)])})
+    waiting = waiting.sort_values(["ms", "event_id"], kind="stable")
+    ids, times, values = (np.concatenate([np.array(old[:given], t), waiting[c].to_numpy(t)]) for old, c, t in ((event_id, "event_id", np.int64), (ms, "ms", np.int64), (value, "value", float)))
+    mark = state.getCurrentWatermarkMs()
+    upto = int(np.searchsorted(times, mark, "left"))
+    if upto > given:
+        columns = trailing(times[:upto], values[:upto], given)
+        yield pd.DataFrame(dict(zip(("user_id", "event_id", "ended_ms", "n_10s", "avg_10s", "n_300s", "max_300s"), ([key[0]] * (upto - given), ids[given:upto], times[given:upto], *columns))))
+    # A later sample is after the watermark, so its frame does not reach further back than this.
+    kept = int(np.searchsorted(times, mark - KEEP_MS, "left"))
+    if kept == len(times):
+        state.remove()
+        return
+    state.update((ids[kept:].tolist(), times[kept:].tolist(), values[kept:].tolist(), max(upto, given) - kept))
+    # Next when the first that waits is passed, or when all that is kept has grown too old.
+    state.setTimeoutTimestamp(max(int(times[upto]) if upto < len(times) else int(times[-1]) + KEEP_MS, mark))
+
+
+def rolling_stream(samples: DataFrame, delay_ms: int = KEEP_MS) -> DataFrame:
+    """Samples (user_id, event_id, ended_at, duration_ms) with trailing statistics at each, as soon as the watermark, ``delay_ms`` behind the newest sample, has passed it."""
+    rows = samples.withWatermark("ended_at", f"{delay_ms} milliseconds").select("user_id", "event_id", F.unix_millis("ended_at").alias("ended_ms"), "duration_ms", "ended_at")
+    return rows.groupBy("user_id").applyInPandasWithState(_update, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
