@@ -14,7 +14,7 @@ from ..sources import sinks as K
 from ..streaming import ingest, rolling_stream
 from .fixtures import fx, run, table, whole
 from ..steps import root
-from .q_spatial import X, Y
+from .q_spatial import LAT, X, Y
 
 QUERIES, SQL = {}, {}
 
@@ -123,7 +123,8 @@ def tile_sink(spark, sf):
     return spark.read.parquet(path).select(F.col("z").cast("int").alias("z"), "x", "y")
 
 
-@query()
+@query(f"""SELECT '{{"tilejson":"3.0.0","name":"stops","minzoom":13,"maxzoom":13,"bounds":[' || array_to_string([CAST(round(v, 6) AS VARCHAR) FOR v IN [w, s, e, n]], ',') || '],"center":[' || CAST(round((w + e) / 2, 6) AS VARCHAR) || ',' || CAST(round((s + n) / 2, 6) AS VARCHAR) || '],"vector_layers":[' || (SELECT string_agg('{{"id":"' || layer || '","fields":[{{"key":"class","type":"String"}},{{"key":"id","type":"Number"}}]}}', ',' ORDER BY layer) FROM (SELECT DISTINCT layer FROM fx_boxes)) || ']}}' AS json
+FROM (SELECT min(x) / 8192e0 * 360 - 180 AS w, {LAT('max(y) + 1', 13)} AS s, (max(x) + 1) / 8192e0 * 360 - 180 AS e, {LAT('min(y)', 13)} AS n FROM (SELECT {X('stop_lon', 13)} AS x, {Y('stop_lat', 13)} AS y FROM fx_stops WHERE stop_lon IS NOT NULL AND stop_lat BETWEEN -85.05112878e0 AND 85.05112878e0))""")
 def tileset_metadata(spark, sf):
     from ..operators.roads import infer_fields, typed
 
@@ -170,6 +171,6 @@ def ingest_stream_decisions(spark, sf):
     out, mark = _path(spark, "decided"), _path(spark, "decided-checkpoint")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table(spark, sf, "events").schema.fields)
     sources, versions = fx(spark, sf, "dx_sources"), fx(spark, sf, "dx_versions")
-    plan = lambda batch: decide_changes(spark.sql(LANDED.format("{batch}"), batch=batch), sources, versions)
+    plan = lambda batch: decide_changes(batch.sparkSession.sql(LANDED.format("{batch}"), batch=batch), sources, versions)
     ingest.ingest_stream(spark, f"{sf}/event[s].parquet", schema, mark, plan, out, "parquet").awaitTermination()
     return spark.read.parquet(out).select("source_id", "content_hash", "active_id", "outcome")

@@ -13,6 +13,7 @@ from ..operators import rolling as B
 from ..operators import shapes as P
 from ..steps import save
 from .fixtures import fx, run, whole
+from . import image_sql as I
 from .q_spatial import LAT, X, Y
 
 QUERIES, SQL = {}, {}
@@ -244,7 +245,7 @@ def image_window(spark, sf):
     return A.tile_window(px, 14, 5, 53, 16, 24, 24).select("wx", "wy", "r")
 
 
-MANIFEST = "SELECT tile_id, 'img-' || lpad(CAST(tile_id AS VARCHAR(9)), 6, '0') AS path, (tile_id % 4) * 9e0 AS west, (tile_id - tile_id % 4) * 2e0 AS south, (tile_id % 4) * 9e0 + 10e0 AS east, (tile_id - tile_id % 4) * 2e0 + 10e0 AS north FROM (SELECT DISTINCT tile_id FROM dx_px) t"
+MANIFEST = I.MANIFEST
 
 
 def _manifest(spark, sf):
@@ -257,7 +258,7 @@ def mosaic_bounds(spark, sf):
     return A.mosaic_bounds(A.clip_interest(_manifest(spark, sf), 5.0, 2.0, 20.0, 1000.0))
 
 
-@query()
+@query(I.MOSAIC)
 def mosaic_images(spark, sf):
     m = _manifest(spark, sf)
     requests = m.select(F.col("tile_id").alias("request"), S.box(F.col("bounds.west") + 4.0, F.col("bounds.south") + 1.0, F.col("bounds.west") + 14.0, F.col("bounds.south") + 9.0).alias("area"))
@@ -271,13 +272,13 @@ def _banded(m):
     return m.withColumn("bounds", S.box(F.col("bounds.west") + east, F.col("bounds.south") + north, F.col("bounds.east") + east, F.col("bounds.north") + north))
 
 
-@query()
+@query(I.MERCATOR)
 def mercator_tiles(spark, sf):
     m = _banded(_manifest(spark, sf))
     return A.to_web_mercator(fx(spark, sf, "dx_px"), m, A.base_tiles(m, 5), 16)
 
 
-@query()
+@query(I.UTM)
 def utm_images(spark, sf):
     m = _banded(_manifest(spark, sf))
     p = A.utm_forward(F.col("bounds.west"), F.col("bounds.north"), F.lit(3.0) + F.col("bounds.west"))
@@ -365,7 +366,7 @@ def component_means(spark, sf):
     return d.groupBy("polygon").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.abs("centered")), 4).alias("spread"))
 
 
-@query()
+@query(I.COMPONENTS)
 def grid_components(spark, sf):
     cells = run(spark, sf, "SELECT tile_id, row_no, col_no FROM dx_bands WHERE band = 0 AND (row_no * 7 + col_no * 5 + tile_id) % 3 <> 0")
     return W.grid_components(cells, ["tile_id"], save)

@@ -17,6 +17,7 @@ from ..sources import readers as R
 from ..sources import sinks as K
 from .fixtures import fx, run, whole
 from ..steps import root
+from . import image_sql
 from .q_map import AS_TILES, MANIFEST, _manifest, _tiles
 
 QUERIES, SQL = {}, {}
@@ -95,7 +96,7 @@ def image_pyramid(spark, sf):
     return one(levels[1]).unionByName(one(levels[2]))
 
 
-@query()
+@query(image_sql.TILEJSON)
 def tileset_json(spark, sf):
     return A.tilejson(_tiles(spark, sf).select("z", "x", "y").distinct(), "mosaic")
 
@@ -137,3 +138,6 @@ def tile_local_positions(spark, sf):
     k = F.col("feature_id")
     d = fx(spark, sf, "fx_boxes").select("feature_id", S.tile_to_lnglat(F.lit(13), F.lit(4400), F.lit(2686), k % 100, k % 77).alias("l"))
     return d.select("feature_id", F.round(F.col("l.lon") - (4400 / 8192 * 360 - 180), 9).alias("d_lon"), F.round("l.lat", 7).alias("lat"))
+
+
+SQL["hilbert_order"] = whole(image_sql.HILBERT)
