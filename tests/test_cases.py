@@ -7,6 +7,7 @@ import random
 from decimal import Decimal
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tramline.functions import spatial as S
@@ -154,6 +155,18 @@ def test_import_version_keeps_dangling_ids(spark):
     assert sorted((r.stop_item_id, r.route_item_ids) for r in out["stop_route_agg"].collect()) == [(2, [5]), (4, [5])]
 
 
+@pytest.mark.parametrize("name,rows,column", [("stop_times", [("t", "40000")], "stop_sequence"), ("shapes", [("h", "3000000000")], "shape_pt_sequence"), ("stop_times", [("t", "700000:00:00")], "arrival_time")])
+def test_numbers_out_of_range_fail(spark, name, rows, column):
+    key = "trip_id" if name == "stop_times" else "shape_id"
+    raw = spark.createDataFrame(rows, f"{key} string, {column} string")
+    with pytest.raises(Exception, match="out of range"):
+        gtfs_import.load(raw, gtfs_import.SPECS[name], 1).collect()
+    ok = gtfs_import.load(spark.createDataFrame([("t", "7" if column != "arrival_time" else "1:00:01"), ("u", "x"), ("v", "")], raw.schema), gtfs_import.SPECS[name], 1)
+    assert [r[column] for r in ok.collect()] == [7 if column != "arrival_time" else 3601, None, None]
+    with pytest.raises(Exception, match="not a"):
+        gtfs_import.load(spark.createDataFrame([("t", "x")], raw.schema), gtfs_import.SPECS[name], 1, strict=True).collect()
+
+
 def test_tree_survives_a_cycle(spark):
     s = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 3, 1)], "version_id int, item_id int, parent_station_item_id int")
     agg = gtfs_import.stop_route_agg(s, spark.createDataFrame([], "version_id int, stop_item_id int, route_item_id int"))

@@ -257,6 +257,16 @@ def quad_cover(df: DataFrame, min_x, min_y, max_x, max_y, area: tuple[float, flo
     return out.withColumn("key", quad_key(quad_path(x0 + (F.col("tile_x") + 0.5) * w, y0 + (F.col("tile_y") + 0.5) * h, area, depth)))
 
 
+def quad_keys(df: DataFrame, depth) -> DataFrame:
+    """A row for each of the 4 ** depth keys of a row's ``depth`` (a column or a number): adds key; depth 0 has the empty key alone."""
+    corner = F.array(*map(F.lit, ("BL", "BR", "TR", "TL")))
+    place = df.withColumn("_d", _c(depth) if not isinstance(depth, int) else F.lit(depth)).withColumn("_n", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(4.0), F.col("_d")).cast("long") - 1)))
+    # The digits of a number to base 4, the highest first, are the corners on the way down.
+    steps = F.filter(F.sequence(F.lit(1), F.greatest(F.col("_d"), F.lit(1))), lambda k: k <= F.col("_d"))
+    path = F.transform(steps, lambda k: F.get(corner, (F.floor(F.col("_n") / F.pow(F.lit(4.0), F.col("_d") - k)) % 4).cast("int")))
+    return place.withColumn("key", quad_key(path)).drop("_d", "_n")
+
+
 def quad_min_depth(area_w, area_h, root_w: float, root_h: float, nx, ny) -> Column:
     """Smallest depth at which an area has nx by ny tiles; 0 for an empty area, else 1 at least."""
     d = lambda n, root, size: F.ceil(F.log2(F.greatest(_c(n) * root / _c(size), F.lit(1.0))))

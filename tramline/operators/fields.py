@@ -229,6 +229,11 @@ def repair_feature_ids(features: DataFrame, keys: list[str]) -> DataFrame:
     return apart(features.join(tall, keys, "left_anti")).unionByName(worked)
 
 
+def select_layer(layers: DataFrame, name: str, extent: int = 4096) -> DataFrame:
+    """The rows of one layer; an extent that is missing or not positive is ``extent``."""
+    return layers.filter(F.col("layer") == name).withColumn("extent", F.when(F.col("extent") > 0, F.col("extent")).otherwise(extent))
+
+
 def explode_parts(features: DataFrame, keys: list[str]) -> DataFrame:
     """Parts of multi-geometries as rows; ``parts`` is an array of lines."""
     return features.select(*keys, F.posexplode("parts").alias("part", "line"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..steps import numbered
+from ..steps import numbered, save
 
 
 # Codes of the schedule format.
@@ -79,8 +79,12 @@ def translate(df: DataFrame, ids: DataFrame, columns: dict[str, tuple[str, str]]
     return df
 
 
-def load(raw: DataFrame, spec: dict[str, tuple[str, str]], version_id: int) -> DataFrame:
-    """Typed rows of a raw table: ``spec`` maps a column to (raw column, type or code kind). Raw columns that are missing give nulls."""
+def load(raw: DataFrame, spec: dict[str, tuple[str, str]], version_id: int, strict: bool = False) -> DataFrame:
+    """Typed rows of a raw table: ``spec`` maps a column to (raw column, type or code kind). Raw columns that are missing give nulls.
+
+    A whole number that its type cannot hold is an error, times included. Text that does not read as its type is null, or with
+    ``strict`` an error as well.
+    """
     has = {c.strip().lower(): c for c in raw.columns}
 
     def cell(source: str, kind: str) -> Column:
@@ -91,11 +95,21 @@ def load(raw: DataFrame, spec: dict[str, tuple[str, str]], version_id: int) -> D
             return F.trim(c) == "1"
         if kind == "time":
             hms = F.split(F.trim(c), ":")
-            return F.get(hms, F.lit(0)).try_cast("int") * 3600 + F.get(hms, F.lit(1)).try_cast("int") * 60 + F.get(hms, F.lit(2)).try_cast("int")
+            seconds = F.get(hms, F.lit(0)).try_cast("long") * 3600 + F.get(hms, F.lit(1)).try_cast("long") * 60 + F.get(hms, F.lit(2)).try_cast("long")
+            return checked_cast(decoded(c, seconds, kind), "int")
         if kind == "color":
             return F.upper(F.nullif(F.trim(c), F.lit("")))
         blank = F.nullif(c, F.lit(""))
-        return blank if kind == "string" else blank.try_cast(kind)
+        if kind == "string":
+            return blank
+        if kind in ("short", "int"):
+            return checked_cast(decoded(c, blank.try_cast("decimal(38,0)"), kind), kind)
+        return decoded(c, blank.try_cast(kind), kind)
+
+    def decoded(c: Column, value: Column, kind: str) -> Column:
+        if not strict:
+            return value
+        return F.when(value.isNotNull() | (F.trim(F.coalesce(c, F.lit(""))) == ""), value).otherwise(F.raise_error(F.concat(F.lit(f"not a {kind}: "), c)))
 
     return raw.select(F.lit(version_id).cast("int").alias("version_id"), *[cell(source, kind).alias(name) for name, (source, kind) in spec.items()])
 
@@ -108,14 +122,16 @@ def stop_times_seq(stop_times: DataFrame, columns: list[str], ties: list[str] =
 
 
 def shapes_seq(points: DataFrame) -> DataFrame:
-    """One row a shape: number of points, line of the points with coordinates (null if fewer than two), sequences."""
-    p = F.array_sort(F.collect_list(F.struct("shape_pt_sequence", F.col("shape_pt_lon").alias("lon"), F.col("shape_pt_lat").alias("lat"))))
+    """One row a shape: number of points, line of the points with coordinates (null if fewer than two), sequences, and distances if ``points`` has them."""
+    far = [F.col("shape_dist_traveled").alias("dist")] if "shape_dist_traveled" in points.columns else []
+    p = F.array_sort(F.collect_list(F.struct("shape_pt_sequence", F.col("shape_pt_lon").alias("lon"), F.col("shape_pt_lat").alias("lat"), *far)))
     packed = points.groupBy("version_id", "shape_item_id").agg(p.alias("_p"))
     line = F.transform(F.filter("_p", lambda q: q["lon"].isNotNull() & q["lat"].isNotNull()), lambda q: F.struct(q["lon"].alias("lon"), q["lat"].alias("lat")))
+    more = [F.transform("_p", lambda q: q["dist"]).alias("distances")] if far else []
     return packed.select(
         "version_id", "shape_item_id", F.size("_p").alias("n_points"),
         F.when(F.size(line) >= 2, line).alias("line"),
-        F.transform("_p", lambda q: q["shape_pt_sequence"]).alias("sequences"),
+        F.transform("_p", lambda q: q["shape_pt_sequence"]).alias("sequences"), *more,
     )
 
 
@@ -159,7 +175,7 @@ SPECS: dict[str, dict[str, tuple[str, str]]] = {
     "stops": {"gtfs_id": ("stop_id", "string"), "stop_code": ("stop_code", "string"), "stop_name": ("stop_name", "string"), "stop_desc": ("stop_desc", "string"), "stop_lat": ("stop_lat", "double"), "stop_lon": ("stop_lon", "double"), "zone_id": ("zone_id", "string"), "stop_url": ("stop_url", "string"), "location_type": ("location_type", "location_type"), "parent_gtfs_id": ("parent_station", "string"), "wheelchair_boarding": ("wheelchair_boarding", "availability"), "platform_code": ("platform_code", "string")},
     "routes": {"gtfs_id": ("route_id", "string"), "agency_gtfs_id": ("agency_id", "string"), "route_short_name": ("route_short_name", "string"), "route_long_name": ("route_long_name", "string"), "route_desc": ("route_desc", "string"), "route_type": ("route_type", "route_type"), "route_url": ("route_url", "string"), "route_color": ("route_color", "color"), "route_text_color": ("route_text_color", "color")},
     "trips": {"gtfs_id": ("trip_id", "string"), "route_gtfs_id": ("route_id", "string"), "service_gtfs_id": ("service_id", "string"), "trip_headsign": ("trip_headsign", "string"), "direction_id": ("direction_id", "direction"), "block_id": ("block_id", "string"), "shape_gtfs_id": ("shape_id", "string")},
-    "stop_times": {"trip_gtfs_id": ("trip_id", "string"), "arrival_time": ("arrival_time", "time"), "departure_time": ("departure_time", "time"), "stop_gtfs_id": ("stop_id", "string"), "stop_sequence": ("stop_sequence", "int"), "pickup_type": ("pickup_type", "pickup_type"), "drop_off_type": ("drop_off_type", "drop_off_type"), "shape_dist_traveled": ("shape_dist_traveled", "double"), "timepoint": ("timepoint", "timepoint")},
+    "stop_times": {"trip_gtfs_id": ("trip_id", "string"), "arrival_time": ("arrival_time", "time"), "departure_time": ("departure_time", "time"), "stop_gtfs_id": ("stop_id", "string"), "stop_sequence": ("stop_sequence", "short"), "pickup_type": ("pickup_type", "pickup_type"), "drop_off_type": ("drop_off_type", "drop_off_type"), "shape_dist_traveled": ("shape_dist_traveled", "double"), "timepoint": ("timepoint", "timepoint")},
     "shapes": {"shape_gtfs_id": ("shape_id", "string"), "shape_pt_lat": ("shape_pt_lat", "double"), "shape_pt_lon": ("shape_pt_lon", "double"), "shape_pt_sequence": ("shape_pt_sequence", "int"), "shape_dist_traveled": ("shape_dist_traveled", "double")},
     "calendar": {"service_gtfs_id": ("service_id", "string"), **{d: (d, "flag") for d in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")}, "start_date": ("start_date", "string"), "end_date": ("end_date", "string")},
     "calendar_dates": {"service_gtfs_id": ("service_id", "string"), "date": ("date", "string"), "exception_type": ("exception_type", "exception_type")},
@@ -190,13 +206,14 @@ def mentions(tables: dict[str, DataFrame], ordinal: str = "row_ord") -> DataFram
     return reduce(DataFrame.unionByName, out)
 
 
-def import_version(raw: dict[str, DataFrame], version_id: int) -> dict[str, DataFrame]:
-    """All tables of a feed version, with item ids, from raw text tables that each have a column ``row_ord``."""
+def import_version(raw: dict[str, DataFrame], version_id: int, strict: bool = False) -> dict[str, DataFrame]:
+    """All tables of a feed version, with item ids, from raw text tables that each have a column ``row_ord``. ``strict``: as of ``load``."""
     loaded = {}
     for name, spec in SPECS.items():
         if name in raw:
-            loaded[name] = load(raw[name], spec | {"row_ord": ("row_ord", "long")}, version_id)
-    ids = id_map(mentions(loaded))
+            loaded[name] = load(raw[name], spec | {"row_ord": ("row_ord", "long")}, version_id, strict)
+    # Each reference joins the ids, which are written once.
+    ids = save(id_map(mentions(loaded)))
     own = {n: loaded[n] for n in loaded}
     refs = {name: {f"{column.removesuffix('gtfs_id')}item_id": (kind, column) for kind, column in spec} for name, spec in MENTIONS}
     out = {name: translate(df, ids, refs[name]) if name in refs else df for name, df in own.items()}
@@ -207,6 +224,9 @@ def import_version(raw: dict[str, DataFrame], version_id: int) -> dict[str, Data
         out["stop_route_agg"] = stop_route_agg(out["stops"].withColumnRenamed("parent_item_id", "parent_station_item_id"), out["stop_route_refs"])
     if "shapes" in out:
         out["shapes_seq"] = shapes_seq(out["shapes"])
+        # One item for each shape id, where it first occurs.
+        items = out["shapes"].groupBy("version_id", F.col("shape_item_id").alias("item_id")).agg(F.min_by("shape_gtfs_id", "row_ord").alias("gtfs_id"))
+        out["shape_items"] = items.filter("item_id is not null")
     return out
 
 

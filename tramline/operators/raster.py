@@ -67,6 +67,15 @@ def split_tiles(px: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     )
 
 
+def split_bounds(manifest: DataFrame, most: int) -> DataFrame:
+    """(tile_id, name, i, j, bounds) of the sub-tiles that ``split_tiles`` makes of images (tile_id, bounds, width, height); row j = 0 is the southern one."""
+    s = manifest.withColumn("_dw", smallest_divisor("width", most)).withColumn("_dh", smallest_divisor("height", most))
+    s = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_dw") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_dh") - 1)))
+    at = lambda a, b, k, n: F.col(f"bounds.{a}") + (F.col(f"bounds.{b}") - F.col(f"bounds.{a}")) * k / n
+    box = S.box(at("west", "east", F.col("i"), F.col("_dw")), at("south", "north", F.col("j"), F.col("_dh")), at("west", "east", F.col("i") + 1, F.col("_dw")), at("south", "north", F.col("j") + 1, F.col("_dh")))
+    return s.select("tile_id", F.concat_ws("_", F.col("tile_id").cast("string"), F.col("i").cast("string"), F.col("j").cast("string")).alias("name"), "i", "j", box.alias("bounds"))
+
+
 def _corners(px: DataFrame, keys: list[str]) -> DataFrame:
     """Each pixel with its right, lower and lower right neighbours; edges repeat themselves. Two windows, no self-join."""
     vals = [c for c in px.columns if c not in (*keys, "row_no", "col_no")]
@@ -140,7 +149,8 @@ def tile_size(px: DataFrame) -> int:
 
 
 def parent_tiles(px: DataFrame, how: str = "box", size: int | None = None) -> DataFrame:
-    """Tiles (z, x, y, pixels) of the next zoom out: each child shrunk to half; missing children are transparent. ``box`` averages 2 by 2, ``nearest`` takes the first.
+    """Tiles (z, x, y, pixels) of the next zoom out: each child shrunk to half; missing children are transparent. ``box`` averages 2 by 2, ``nearest``
+    takes the first, ``triangle`` weighs four by four pixels of the child by 1, 3, 3, 1 each way (those beyond its edge have no weight).
 
     ``size``: pixels a side; needed where no tile is full."""
     p, half = px, (size or tile_size(px)) // 2
@@ -148,6 +158,17 @@ def parent_tiles(px: DataFrame, how: str = "box", size: int | None = None) -> Da
     key = [(F.col("z") - 1).alias("z"), F.floor(F.col("x") / 2).cast("int").alias("x"), F.floor(F.col("y") / 2).cast("int").alias("y"), place("y", "row_no").alias("row_no"), place("x", "col_no").alias("col_no")]
     if how == "nearest":
         return p.filter("row_no % 2 = 0 and col_no % 2 = 0").select(*key, *"rgba")
+    if how == "triangle":
+        # A pixel goes to its own half-size pixel with weight 3 and to the next one on its side with weight 1.
+        def taps(at):
+            own, other = F.floor(F.col(at) / 2), F.floor(F.col(at) / 2) + F.when(F.col(at) % 2 == 0, -1).otherwise(1)
+            both = F.array(F.struct(own.alias("k"), F.lit(3).alias("w")), F.struct(other.alias("k"), F.lit(1).alias("w")))
+            return F.explode(F.filter(both, lambda t: (t["k"] >= 0) & (t["k"] < half)))
+
+        spread = p.withColumn("_r", taps("row_no")).withColumn("_c", taps("col_no")).withColumn("_w", F.col("_r.w") * F.col("_c.w"))
+        place = lambda tile, k: ((F.col(tile) % 2) * half + F.col(k)).cast("int")
+        key = [*key[:3], place("y", "_r.k").alias("row_no"), place("x", "_c.k").alias("col_no")]
+        return spread.groupBy(*key).agg(*[F.floor(F.sum(F.col(c) * F.col("_w")) / F.sum("_w") + 0.5).cast("int").alias(c) for c in "rgba"])
     return p.groupBy(*key).agg(*[F.floor(F.avg(c) + 0.5).cast("int").alias(c) for c in "rgba"])
 
 

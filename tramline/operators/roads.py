@@ -54,6 +54,11 @@ def tile_jobs(chunks: DataFrame, zoom: int) -> DataFrame:
     return reach.select(F.col("x").alias("tx"), F.col("y").alias("ty"), "chunk").join(tiles, ["tx", "ty"])
 
 
+def tiles_without_chunk(tiles: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Requested output tiles (tx, ty) that no chunk reaches: each is an error."""
+    return tiles.select("tx", "ty").distinct().join(jobs.select("tx", "ty").distinct(), ["tx", "ty"], "left_anti").withColumn("error", F.lit("no chunk reaches the tile"))
+
+
 def tile_layer_features(features: DataFrame, tiles: DataFrame, zoom: int, content: list[str]) -> DataFrame:
     """Features of each tile (tx, ty) and layer; equal content once."""
     f = S.tiles_for_bounds(features, "west", "south", "east", "north", zoom).withColumnsRenamed({"x": "tx", "y": "ty"})

@@ -116,6 +116,13 @@ def extent(points: DataFrame) -> DataFrame:
     return points.agg(lon(F.min("stop_lon")).alias("west"), lat(F.min("stop_lat")).alias("south"), lon(F.max("stop_lon")).alias("east"), lat(F.max("stop_lat")).alias("north"))
 
 
+def tiling_summary(sources: DataFrame, attempts: DataFrame) -> DataFrame:
+    """One row: sources tried, and those whose tiling (source_id, error) ended well, failed, or was not tried."""
+    own = sources.select(F.col("id").alias("source_id")).join(attempts.groupBy("source_id").agg(F.max(F.col("error").isNotNull()).alias("_bad")), "source_id", "left")
+    n = lambda c: F.count(F.when(c, 1))
+    return own.agg(n(F.col("_bad").isNotNull()).alias("tried"), n(~F.col("_bad")).alias("succeeded"), n(F.col("_bad")).alias("failed"), n(F.col("_bad").isNull()).alias("skipped"))
+
+
 def occupied_tiles(points: DataFrame, zoom: int) -> DataFrame:
     """Tiles with a stop in them or on their edge. No candidate is listed: each point names its tiles."""
     return tile_points(points, zoom).select("z", "x", "y").distinct()

@@ -140,4 +140,44 @@ def tile_local_positions(spark, sf):
     return d.select("feature_id", F.round(F.col("l.lon") - (4400 / 8192 * 360 - 180), 9).alias("d_lon"), F.round("l.lat", 7).alias("lat"))
 
 
+@query("SELECT feature_id, array_to_string([['BL', 'BR', 'TR', 'TL'][(n // CAST(pow(4, feature_id % 4 - k) AS BIGINT)) % 4 + 1] FOR k IN range(1, feature_id % 4 + 1)], '_') AS key FROM fx_boxes, LATERAL (SELECT unnest(range(CAST(pow(4, feature_id % 4) AS BIGINT))) AS n)")
+def keys_of_depth(spark, sf):
+    """All quadtree keys of a depth that each row asks for."""
+    d = fx(spark, sf, "fx_boxes").select("feature_id", (F.col("feature_id") % 4).cast("int").alias("depth"))
+    return S.quad_keys(d, "depth").select("feature_id", "key")
+
+
+@query("SELECT count(*) FILTER (WHERE bad IS NOT NULL) AS tried, count(*) FILTER (WHERE NOT bad) AS succeeded, count(*) FILTER (WHERE bad) AS failed, count(*) FILTER (WHERE bad IS NULL) AS skipped FROM dx_sources s LEFT JOIN (SELECT source_id, bool_or(id % 13 = 0) AS bad FROM dx_versions WHERE status <> 'downloaded' GROUP BY 1) a ON a.source_id = s.id")
+def tiling_summary(spark, sf):
+    attempts = fx(spark, sf, "dx_versions").filter("status != 'downloaded'").select("source_id", F.when(F.col("id") % 13 == 0, "no stops").alias("error"))
+    return L.tiling_summary(fx(spark, sf, "dx_sources"), attempts)
+
+
+@query(f"SELECT tile_id, tile_id || '_' || i || '_' || j AS name, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(west + (east - west) * i / 3, 9) AS west, round(south + (north - south) * j / 3, 9) AS south, round(west + (east - west) * (i + 1) / 3, 9) AS east, round(south + (north - south) * (j + 1) / 3, 9) AS north FROM ({MANIFEST}), range(3) a(i), range(3) b(j)")
+def split_image_bounds(spark, sf):
+    d = A.split_bounds(_manifest(spark, sf), 10)
+    return d.select("tile_id", "name", "i", "j", *[F.round(f"bounds.{c}", 9).alias(c) for c in ("west", "south", "east", "north")])
+
+
+@query(f"""SELECT CAST(z - 1 AS INT) AS z, CAST(x // 2 AS INT) AS x, CAST(y // 2 AS INT) AS y, CAST((y % 2) * 12 + kr AS INT) AS row_no, CAST((x % 2) * 12 + kc AS INT) AS col_no, CAST(floor(sum(r * wr * wc) / sum(wr * wc) + 0.5e0) AS INT) AS r, CAST(floor(sum(a * wr * wc) / sum(wr * wc) + 0.5e0) AS INT) AS a
+FROM (SELECT t.*, kr, kc, CASE abs(2 * kr + 0.5e0 - row_no) WHEN 0.5e0 THEN 3e0 ELSE 1e0 END AS wr, CASE abs(2 * kc + 0.5e0 - col_no) WHEN 0.5e0 THEN 3e0 ELSE 1e0 END AS wc FROM ({AS_TILES}) t, range(12) i(kr), range(12) k(kc) WHERE abs(2 * kr + 0.5e0 - row_no) < 2 AND abs(2 * kc + 0.5e0 - col_no) < 2) GROUP BY 1, 2, 3, 4, 5""")
+def parent_tiles_triangle(spark, sf):
+    return A.parent_tiles(_tiles(spark, sf), "triangle").select("z", "x", "y", "row_no", "col_no", "r", "a")
+
+
+@query("SELECT DISTINCT CAST(feature_id % 300 AS INT) AS tx, CAST(feature_id % 7 AS INT) AS ty FROM fx_boxes WHERE feature_id % 300 >= 200 OR feature_id % 7 = 6")
+def tiles_without_chunk(spark, sf):
+    from ..operators.roads import tiles_without_chunk as lost
+
+    d = fx(spark, sf, "fx_boxes").select((F.col("feature_id") % 300).cast("int").alias("tx"), (F.col("feature_id") % 7).cast("int").alias("ty"))
+    return lost(d, d.filter("tx < 200 and ty < 6")).select("tx", "ty")
+
+
+@query("SELECT feature_id, CAST(CASE WHEN feature_id % 2 = 0 THEN 512 ELSE 4096 END AS INT) AS extent FROM fx_boxes WHERE layer = 'network'")
+def selected_layer(spark, sf):
+    k = F.col("feature_id")
+    d = fx(spark, sf, "fx_boxes").withColumn("extent", F.when(k % 2 == 0, 512).when(k % 5 == 0, 0))
+    return W.select_layer(d, "network").select("feature_id", "extent")
+
+
 SQL["hilbert_order"] = whole(image_sql.HILBERT)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 FLAGSHIP = "tile_stops_with_routes"
-MODULES: tuple[str, ...] = tuple(f"tramline.plans.q_{m}" for m in ("spatial", "transit", "feeds", "map", "io", "more"))
+MODULES: tuple[str, ...] = tuple(f"tramline.plans.q_{m}" for m in ("spatial", "transit", "feeds", "map", "io", "more", "import"))
 
 
 def _modules():
