@@ -729,6 +729,12 @@ def test_neighbours_share_a_window(spark):
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     pieces = bm25_packing.pack(d, P.path("byte_bpe_50k.json"), 1, window=256).collect()
     check_packing(pieces, texts, 256)
+    rows = {}
+    for p in pieces:
+        rows.setdefault(p.sequence_id, []).append((p.offset, p.doc_id % 3))
+    following = [a == b for own in rows.values() for (_, a), (_, b) in zip(sorted(own), sorted(own)[1:])]
+    # By chance a third would be of one topic.
+    assert len(following) > 10 and sum(following) >= 0.7 * len(following)
 
 
 def test_packing_of_odd_rows(spark, none):
@@ -759,6 +765,44 @@ def test_pipeline_stages(spark, sf):
     assert [n for n, _ in cp.STAGES] == ["toxicity", "exact_dedup", "ngram_join", "secret_scan", "packing"]
 
 
+def test_stages_on_odd_and_empty_tables(spark, sf, odd, none):
+    import corpus_pipeline as cp
+
+    for name, stage in cp.STAGES[:-1]:
+        for docs in (odd, none):
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns, name
+            rows = out.collect()
+            # What a stage does not decide on passes through.
+            assert {(r.score, r.spans, r.node, r.part) for r in rows} == ({(0.5, "x", 1, 2)} if docs is odd else set()), name
+            ids = [r.doc_id for r in rows]
+            assert len(ids) == len(ODD) if docs is odd and name in ("toxicity", "secret_scan") else set(ids) <= {i for i, _ in ODD}
+
+
+def test_warc_and_chat_ignore_further_columns(spark):
+    big = "<p>" + "x" * 1200 + "</p>"
+    pages = spark.createDataFrame([(k, "u", big, "a", 7, "b") for k in range(3)], "page_id long, url string, html string, digest string, salt int, payload string")
+    got = warc.read_records(warc.read_index(warc.normalise(warc.write_archives(warc.with_revisits(pages), scratch(spark, "w")), scratch(spark, "w")))).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(0, "revisit", 2), (1, "revisit", 2), (2, "response", None)]
+    turns = spark.createDataFrame([(1, 0, "user", "hi", 5, "w"), (1, 1, "assistant", "yes", 6, "v")], "conv_id long, turn long, role string, text string, window int, n_tokens string")
+    back = chat_windows.read_back(chat_windows.chat_windows(turns)).collect()
+    assert [(t.role, t.text) for w in back for t in w.turns] == [("user", "hi"), ("assistant", "yes")]
+
+
+def test_special_strings_are_text_unless_asked_for(spark):
+    from tramline.llm.pieces import PieceEncoder
+
+    import pyarrow as pa
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain words, and more.\nNew line", "", "x<|endoftext|>"]
+    for cut, name in (("words", "word_bpe_49k.json"), ("spaces", "byte_bpe_50k.json")):
+        for special in (False, True):
+            t = Tokenizer.from_file(P.path(name))
+            t.encode_special_tokens = not special
+            ids, ends = PieceEncoder(lambda: Tokenizer.from_file(P.path(name)), cut, special=special).encode(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_pipeline_runs_whole(spark, sf):
     import corpus_pipeline as cp
 

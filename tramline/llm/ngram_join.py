@@ -18,7 +18,7 @@ filter, and are tried as a pair.
 
 What is left is verified on the whole sets, each pair once. Components need a spanning set of links, not every link, so where
 the pairs of all grams are more than ``MANY`` times the rows, a large group of near copies is first joined to one member
-for each gram, another in each of up to ``ROUNDS`` rounds; only pairs whose ends are still apart are then all tried. That is
+for each gram, another in each of up to ``ROUNDS`` rounds, as long as that halves the pairs; only pairs whose ends are still apart are then all tried. That is
 exact: two nodes of one component need no further test, and every other pair that shares a prefix gram passes the filters
 and the test. Rows of one gram are dealt by salt, and pairs of a gram by blocks of ``DEAL`` rows, so no task has a whole one.
 
@@ -33,6 +33,7 @@ an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -391,43 +392,40 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else live.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def _by_gram(rows: DataFrame, *aggregates: tuple, keep: str) -> DataFrame:
-    """Rows (gram, node, ...) of the grams for which ``keep`` holds, with ``aggregates`` of their gram and ``k``, its number of rows.
-
-    Aggregates must be such that those of parts combine (min, max). A gram's rows are dealt by salt, and its aggregates
-    go back to the salts at which it has rows.
-    """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    parts = salted.groupBy("gram", "salt").agg(*[f(x).alias(c) for f, x, c in aggregates], F.count(F.lit(1)).alias("k"))
-    whole = parts.groupBy("gram").agg(*[f(c).alias(c) for f, _, c in aggregates], F.sum("k").alias("k"), F.collect_set("salt").alias("salts"))
-    whole = whole.filter(keep).select("gram", *[c for *_, c in aggregates], "k", F.explode("salts").alias("salt"))
-    return salted.join(whole, ["gram", "salt"]).drop("salt")
-
-
-def _apart(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Prefix rows with labels, of the grams whose nodes are in more than one component. Grams that once are in one stay so."""
-    own = rows.drop("k", "label")
-    own = own.withColumn("label", F.col("node")) if labels is None else own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return _by_gram(own, (F.min, "label", "lo"), (F.max, "label", "hi"), keep="lo != hi").drop("lo", "hi")
+def _apart(found: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Prefix rows (gram, node, label, n, at, pos) of the grams whose nodes are in more than one component; and of their gram ``k``, its number of rows,
+    ``main``, the component with most of them, and ``rest``, the number of rows in others."""
+    own = found.withColumn("label", F.col("node")) if labels is None else found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = own.select("node", "label", "n", "alone", F.posexplode("grams").alias("at", "gram")).withColumn("pos", F.col("alone") + F.col("at")).drop("alone")
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    sizes = salted.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy("gram").agg(F.sum("n").alias("k"), F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    whole = whole.select("gram", "k", F.col("m.label").alias("main"), (F.col("k") - F.col("m.n")).alias("rest"))
+    return salted.join(salted.select("gram", "salt").distinct().join(whole, "gram"), ["gram", "salt"]).drop("salt")
 
 
 def _first_members(own: DataFrame, step: int, percent: int) -> DataFrame:
     """(x, y): each prefix row as y beside one member of its gram, the first in an order drawn anew; the same one for most grams of a group."""
     order = F.struct(F.xxhash64("node", F.lit(step)).alias("o"), "node", "label", "n", "pos")
-    met = _by_gram(own.drop("k"), (F.min, order, "f"), keep="true")
+    salted = own.select("gram", "node", "label", "n", "pos", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    # A gram's rows are dealt by salt, and the first of all goes back to the salts at which it has rows.
+    parts = salted.groupBy("gram", "salt").agg(F.min(order).alias("f"))
+    first = parts.groupBy("gram").agg(F.min("f").alias("f"), F.collect_set("salt").alias("salts")).select("gram", "f", F.explode("salts").alias("salt"))
+    met = salted.join(first, ["gram", "salt"])
     met = met.select(F.struct("f.node", "f.label", "f.n", "f.pos").alias("x"), F.struct("node", "label", "n", "pos").alias("y"))
     return met.filter("x.label != y.label").filter(_length_and_position("x", "y", percent))
 
 
 def _all_members(own: DataFrame, found: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(x, y) for all pairs of a gram's members in different components that pass the filters, at the first gram that both prefixes have."""
+    # Two rows of the main component make no pair, so one of each pair is of another; those are x. Each side is dealt into blocks.
     own = own.join(found.select("node", "grams"), "node").join(texts.select("node", "bits").dropDuplicates(["node"]), "node")
-    blocks = F.ceil(F.col("k") / DEAL).cast("int")
-    own = own.withColumn("at_block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks)
+    left, right = (F.ceil(F.col(c) / DEAL).cast("int") for c in ("rest", "k"))
+    place = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
     row = F.struct("node", "label", "n", "pos", "at", "grams", "bits")
-    x = own.select("gram", F.col("at_block").alias("i"), F.explode(F.sequence(F.col("at_block"), F.col("blocks") - 1)).alias("j"), row.alias("x"))
-    y = own.select("gram", F.explode(F.sequence(F.lit(0), F.col("at_block"))).alias("i"), F.col("at_block").alias("j"), row.alias("y"))
-    once = (F.col("i") < F.col("j")) | (F.col("x.node") < F.col("y.node"))
+    x = own.filter("label != main").select("gram", place(left).alias("i"), F.explode(F.sequence(F.lit(0), right - 1)).alias("j"), row.alias("x"))
+    y = own.select("gram", F.explode(F.sequence(F.lit(0), left - 1)).alias("i"), place(right).alias("j"), (F.col("label") == F.col("main")).alias("is_main"), row.alias("y"))
+    once = F.col("is_main") | (F.col("x.node") < F.col("y.node"))
     # A pair counts at the first gram that both prefixes have.
     first = ~F.arrays_overlap(F.slice("x.grams", F.lit(1), F.col("x.at")), F.slice("y.grams", F.lit(1), F.col("y.at")))
     return x.join(y, ["gram", "i", "j"]).filter((F.col("x.label") != F.col("y.label")) & once & _length_and_position("x", "y", percent) & _suffix("x", "y", percent) & first)
@@ -445,24 +443,26 @@ def _joined(docs: DataFrame, n: int, percent: int, text: str, id_col: str) -> tu
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     found = _prefixes(rows, nodes, n, percent, buckets, hot)
-    spread = found.select("node", "n", "alone", F.posexplode("grams").alias("at", "gram")).withColumn("pos", F.col("alone") + F.col("at"))
-    shared = materialise(_by_gram(spread, (F.min, "node", "lo"), (F.max, "node", "hi"), keep="lo != hi").drop("lo", "hi"), "shared-grams")
+    own = materialise(_apart(found, None), "shared-grams")
     # Nodes whose first digests agree stand for each other in the counts, so they are tried in any case. Hardly ever any.
     twins = materialise(nodes.groupBy("d1").agg(F.sort_array(F.collect_list("node")).alias("own")).filter(F.size("own") > 1), "twins")
     twins = twins.select(F.explode(F.flatten(F.transform("own", lambda a: F.transform(F.filter("own", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
-    wanted = shared.select("node").unionByName(twins.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = own.select("node").unionByName(twins.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     wanted = wanted.join(nodes, "node").select("node", "d1", "d2", F.col("rep").alias("doc_id"))
     texts = _texts(rows, materialise(wanted, "wanted"), n)
 
     same = materialise(_same_ids(sets, nodes), "same-ids")
-    verified, labels, own, step = None, None, shared, 0
+    verified, labels, step, before = None, None, 0, math.inf
     while True:
-        own = materialise(_apart(own, labels), "apart")
-        # As many rows as there are, and the pairs that they make: one number each.
-        had, pairs = own.agg(F.count(F.lit(1)), F.sum((F.col("k") - 1) / 2)).first()
+        if labels is not None:
+            own = materialise(_apart(found, labels), "apart")
+        # Rows, and the pairs that a join of all would look at: one number each.
+        had, many = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("rest").cast("double")), F.lit(0.0))).first()
         if not had and verified is not None:
             break
-        last = step == ROUNDS or (pairs or 0) <= MANY * had
+        # Where a round has not halved the pairs, another would not help either.
+        last = step == ROUNDS or many <= MANY * had or many > before / 2
+        before = many
         met = _all_members(own, found, texts, percent) if last else _first_members(own, step, percent)
         pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if verified is None:
