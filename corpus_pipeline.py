@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm import bm25_packing, exact_dedup, ngram_join, secret_scan, toxicity
-from tramline.llm.common import materialise, partitions, scratch, table
+from tramline.llm.common import materialise, partitions, scratch, table, unused
 
 #: What stands in a text where a secret stood.
 MARK = "[SECRET]"
@@ -14,10 +14,17 @@ MARK = "[SECRET]"
 REMEMBERED = 100_000
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns of these names, which a stage makes anew, under other ones; and the way back."""
+    taken = {c: unused(f"_{c}", *docs.columns) for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(taken), {v: k for k, v in taken.items()}
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the model is fitted to the training part of ``labels``."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scores(docs, model, evidence=False).filter(F.col("score") < toxicity.TOXIC).select(*docs.columns)
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    own, back = _aside(docs, "score", "evidence")
+    return toxicity.scores(own, model, evidence=False).filter(F.col("score") < toxicity.TOXIC).select(*own.columns).withColumnsRenamed(back)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +40,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; each secret's span is replaced by MARK, and n_chars follows."""
-    clean = secret_scan.scan(docs, redact=MARK).drop("spans")
+    own, back = _aside(docs, "spans")
+    clean = secret_scan.scan(own, redact=MARK).drop("spans").withColumnsRenamed(back)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return clean.select(*docs.columns)
