@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bm25_packing, byte_bpe, chat_windows, exact_dedup, merkle, ngram_join, secret_scan, token_files, toxicity, warc
+from . import bm25_packing, byte_bpe, chat_windows, collocations, exact_dedup, merkle, ngram_join, pivot_topk, secret_scan, token_files, toxicity, warc, whitening
 
 
 def queries() -> dict[str, Callable]:
@@ -19,8 +19,14 @@ def queries() -> dict[str, Callable]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_chat_windows": chat_windows.op9_chat_windows,
         "op10_bm25_packing": bm25_packing.op10_bm25_packing,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_pivot_topk": pivot_topk.op12_pivot_topk,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_normaliser": warc.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op9_chat_windows": chat_windows.OP9_SQL}
+    return {
+        "op4_warc_normaliser": warc.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op9_chat_windows": chat_windows.OP9_SQL,
+        "op12_pivot_topk": pivot_topk.OP12_SQL, "op13_collocations": collocations.OP13_SQL,
+    }
