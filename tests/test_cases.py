@@ -187,6 +187,7 @@ def test_latest_revision_rules(spark):
 
 def test_stream_is_batch_over_many_batches(spark, tmp_path):
     """Out of order within the delay, tied and late samples, ten micro-batches: exactly the batch frames of what was not late."""
+    from tramline.plans.q_io import conf
     from tramline.streaming import rolling_stream as R
 
     rng = random.Random(41)
@@ -204,7 +205,9 @@ def test_stream_is_batch_over_many_batches(spark, tmp_path):
         both = spark.createDataFrame([(u, i, ms, v) for u, i, ms, v in rows + late_rows], "user_id long, event_id long, ms long, duration_ms double")
         both.select("user_id", "event_id", F.timestamp_millis("ms").alias("ended_at"), "duration_ms").coalesce(1).write.mode("append").parquet(source)
         stream = R.rolling_stream(spark.readStream.schema(schema).parquet(source), 120_000)
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        with conf(spark, R.STORE):
+            query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
         now = spark.read.schema(R.OUT).parquet(out).count()
         assert now >= seen
         seen = now
@@ -212,9 +215,12 @@ def test_stream_is_batch_over_many_batches(spark, tmp_path):
     got = {(r.user_id, r.event_id): r for r in spark.read.schema(R.OUT).parquet(out).collect()}
     assert set(got) == {(u, i) for u, i, ms, _ in on_time if ms < last} and seen == len(got) > 700
     for (u, i), r in got.items():
-        frame = lambda width: [v for w, _, ms, v in on_time if w == u and r.ended_ms - width <= ms <= r.ended_ms]  # noqa: E731, B023
-        short, long_ = frame(10_000), frame(300_000)
-        assert (r.n_10s, r.n_300s, r.max_300s) == (len(short), len(long_), max(long_)) and abs(r.avg_10s - sum(short) / len(short)) < 1e-9
+        frame = lambda width: sorted(v for w, _, ms, v in on_time if w == u and r.ended_ms - width <= ms <= r.ended_ms)  # noqa: E731, B023
+        assert r.rate == len(frame(1_000))
+        for name, width in R.WINDOWS.items():
+            own = frame(width)
+            assert (r[f"n_{name}"], r[f"min_{name}"], r[f"max_{name}"]) == (len(own), own[0], own[-1]) and abs(r[f"avg_{name}"] - sum(own) / len(own)) < 1e-9
+            assert abs(r[f"p90_{name}"] - own[math.ceil(len(own) * 0.9) - 1]) < 1e-9
 
 
 def test_deep_chain_and_cycle(spark):

@@ -94,22 +94,54 @@ def segments_inside(segs: DataFrame, edges: DataFrame, polygon: str, cell: float
     return hit.groupBy("segment_id", polygon).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 2").drop("_n")
 
 
+def components(edges: DataFrame, nodes: DataFrame, keys: list[str], save) -> DataFrame:
+    """``nodes`` (keys, node) with ``label``: the smallest node that links of ``edges`` (keys, a, b) lead to.
+
+    In a round each node goes to the neighbour (or itself) whose hash of node and round is smallest, and links between what they have become stay. About
+    half of the nodes of a path are left after each, so rounds grow with the logarithm of the nodes, whatever their order.
+    Each step is an aggregate or an equality join. ``save`` writes a step and reads it back.
+    """
+    links = save(edges.filter("a != b").select(*keys, "a", "b").distinct())
+    steps, round_no = [], 0
+    while not links.isEmpty():
+        both = links.unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(round_no)).alias("h"), F.col(c).alias("node"))  # noqa: E731, B023
+        to = both.groupBy(*keys, "a").agg(F.least(F.min(rank("b")), F.first(rank("a"))).alias("t"))
+        step = save(to.select(*keys, "a", F.col("t.node").alias("to")))
+        steps.append(step)
+        renamed = links.join(step.withColumnRenamed("to", "_a"), [*keys, "a"]).join(step.select(*keys, F.col("a").alias("b"), F.col("to").alias("_b")), [*keys, "b"])
+        pair = renamed.filter("_a != _b").select(*keys, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+        links = save(pair.distinct())
+        round_no += 1
+    # From the last round back: what a node has become is what its successor has become.
+    end = None
+    for step in reversed(steps):
+        if end is None:
+            end = step.select(*keys, "a", F.col("to").alias("end"))
+        else:
+            # A node of this round that is in no later one is its own end.
+            own = step.join(end.select(*keys, F.col("a").alias("to"), F.col("end").alias("_end")), [*keys, "to"], "left")
+            end = own.select(*keys, "a", F.coalesce("_end", "to").alias("end"))
+        end = save(end)
+    if end is None:
+        return nodes.withColumn("label", F.col("node"))
+    named = save(nodes.join(end.withColumnRenamed("a", "node"), [*keys, "node"], "left").withColumn("end", F.coalesce("end", "node")))
+    least = named.groupBy(*keys, "end").agg(F.min("node").alias("label"))
+    return named.join(least, [*keys, "end"]).drop("end")
+
+
 def grid_components(mask: DataFrame, keys: list[str], save) -> DataFrame:
-    """Cells with the smallest cell number of their 4-connected component, by taking the smallest label of row and column runs in turn until none changes. ``save``: writes a round and reads it back, so lineage stays short."""
-    n = mask.agg(F.max("col_no")).first()[0]
-    cells = save(mask.select(*keys, "row_no", "col_no").withColumn("label", F.col("row_no").cast("long") * ((n or 0) + 1) + F.col("col_no")))
-    while True:
-        nxt = cells
-        for fixed, moving in (("row_no", "col_no"), ("col_no", "row_no")):
-            line = Window.partitionBy(*keys, fixed).orderBy(moving)
-            run = F.sum(F.when(F.lag(moving).over(line) == F.col(moving) - 1, 0).otherwise(1)).over(line)
-            nxt = nxt.withColumn("_run", run)
-            nxt = nxt.withColumn("label", F.min("label").over(Window.partitionBy(*keys, fixed, "_run"))).drop("_run")
-        nxt = save(nxt.select(*keys, "row_no", "col_no", "label"))
-        # Labels only fall, so their sum tells whether any did.
-        if nxt.agg(F.sum("label")).first() == cells.agg(F.sum("label")).first():
-            return nxt
-        cells = nxt
+    """Cells (keys, row_no, col_no) with the smallest cell number of their 4-connected component. Runs of cells in a row are the nodes, runs that touch in neighbouring
+    rows the links of ``components``. ``save``: writes a step and reads it back, so lineage stays short."""
+    n = (mask.agg(F.max("col_no")).first()[0] or 0) + 1
+    line = Window.partitionBy(*keys, "row_no").orderBy("col_no")
+    start = F.when(F.coalesce(F.lag("col_no").over(line) == F.col("col_no") - 1, F.lit(False)), F.lit(None)).otherwise(F.col("col_no"))
+    runs = mask.select(*keys, "row_no", "col_no").withColumn("_start", F.last(start, ignorenulls=True).over(line))
+    cells = save(runs.select(*keys, "row_no", "col_no", (F.col("row_no").cast("long") * n + F.col("_start")).alias("node")))
+    below = cells.select(*keys, (F.col("row_no") - 1).alias("row_no"), "col_no", F.col("node").alias("b"))
+    links = cells.withColumnRenamed("node", "a").join(below, [*keys, "row_no", "col_no"]).select(*keys, "a", "b")
+    labels = components(links, cells.select(*keys, "node").distinct(), keys, save)
+    return cells.join(labels, [*keys, "node"]).select(*keys, "row_no", "col_no", "label")
 
 
 def center_by_component(df: DataFrame, component: list[str], value: str) -> DataFrame:

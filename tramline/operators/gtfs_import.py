@@ -60,58 +60,106 @@ def optional_reference(c) -> Column:
 
 def id_map(mentions: DataFrame) -> DataFrame:
     """(kind, gtfs_id, item_id) of mentions (spec_ord, row_ord, ref_ord, kind, gtfs_id): one counter for all kinds, in order of first mention.
+    With a column ``version_id`` each version has a counter of its own.
 
     Rows without an id (``gtfs_id`` null) take a number each. First mentions are found by aggregation; the dense
     numbers come from sorted ranges and their offsets, so no task sees all ids.
     """
     at = F.struct("spec_ord", "row_ord", "ref_ord")
-    named = mentions.filter("gtfs_id is not null").groupBy("kind", "gtfs_id").agg(F.min(at).alias("at"))
-    bare = mentions.filter("gtfs_id is null").select("kind", "gtfs_id", at.alias("at"))
-    firsts = named.unionByName(bare)
-    return numbered(firsts, ["at"], "item_id").select("kind", "gtfs_id", F.col("item_id").cast("int").alias("item_id"), "at")
+    by = ["version_id"] if "version_id" in mentions.columns else []
+    named = mentions.filter("gtfs_id is not null").groupBy(*by, "kind", "gtfs_id").agg(F.min(at).alias("at"))
+    bare = mentions.filter("gtfs_id is null").select(*by, "kind", "gtfs_id", at.alias("at"))
+    firsts = numbered(named.unionByName(bare), [*by, "at"], "item_id")
+    if by:
+        before = firsts.groupBy(*by).agg((F.min("item_id") - 1).alias("_before"))
+        firsts = firsts.join(before, by).withColumn("item_id", F.col("item_id") - F.col("_before"))
+    return firsts.select(*by, "kind", "gtfs_id", F.col("item_id").cast("int").alias("item_id"), "at")
 
 
 def translate(df: DataFrame, ids: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
-    """Add item ids: ``columns`` maps a new name to (kind, column of text ids). Empty references give null; ids that no row defines have numbers too."""
+    """Add item ids: ``columns`` maps a new name to (kind, column of text ids). Empty references give null; ids that no row defines have numbers too.
+    Ids with a ``version_id`` are those of that version."""
     for name, (kind, column) in columns.items():
-        own = ids.filter(F.col("kind") == kind).select(F.col("gtfs_id").alias("_ref"), F.col("item_id").alias(name))
-        df = df.withColumn("_key", optional_reference(column)).join(own, F.col("_key") == F.col("_ref"), "left").drop("_key", "_ref")
+        own = ids.filter(F.col("kind") == kind).select(F.col("gtfs_id").alias("_ref"), F.col("item_id").alias(name), *([F.col("version_id").alias("_version")] if "version_id" in ids.columns else []))
+        met = F.col("_key") == F.col("_ref")
+        if "_version" in own.columns:
+            met &= F.col("version_id") == F.col("_version")
+        df = df.withColumn("_key", optional_reference(column)).join(own, met, "left").drop("_key", "_ref", "_version")
     return df
 
 
-def load(raw: DataFrame, spec: dict[str, tuple[str, str]], version_id: int, strict: bool = False) -> DataFrame:
+#: What stands for bytes that are no UTF-8 in a text that was read.
+UNREADABLE = "\ufffd"
+_RANGES = {"short": 15, "int": 31}
+
+
+def _cell(c: Column, kind: str) -> tuple[Column, Column]:
+    """The value of a text cell, null where it does not read as its type, and whether that is so (not in an empty cell)."""
+    filled = F.trim(F.coalesce(c, F.lit(""))) != ""
+    garbled = F.coalesce(c.contains(UNREADABLE), F.lit(False))
+    if kind in CODES:
+        return code(c, kind), garbled
+    if kind == "flag":
+        return F.trim(c) == "1", garbled
+    if kind == "color":
+        return F.upper(F.nullif(F.trim(c), F.lit(""))), garbled
+    if kind == "string":
+        return F.nullif(c, F.lit("")), garbled
+    if kind == "time":
+        hms = F.split(F.trim(c), ":")
+        value = F.get(hms, F.lit(0)).try_cast("long") * 3600 + F.get(hms, F.lit(1)).try_cast("long") * 60 + F.get(hms, F.lit(2)).try_cast("long")
+    else:
+        value = F.nullif(c, F.lit("")).try_cast("decimal(38,0)" if kind in _RANGES else kind)
+    return value, garbled | (value.isNull() & filled)
+
+
+def _raw_cells(raw: DataFrame, spec: dict[str, tuple[str, str]]) -> dict[str, tuple[Column, str]]:
+    """Each column's raw cell as text (null where the raw table lacks it) and its kind."""
+    has = {c.strip().lower(): c for c in raw.columns}
+    return {name: (F.col(f"`{has[source]}`").cast("string") if source in has else F.lit(None).cast("string"), kind) for name, (source, kind) in spec.items()}
+
+
+def _place(raw: DataFrame) -> Column:
+    """Where a row stands, for messages: its file and row place, as far as the table has them."""
+    return F.concat_ws(" row ", *[F.col(c).cast("string") for c in ("file", "row_ord") if c in raw.columns])
+
+
+def load(raw: DataFrame, spec: dict[str, tuple[str, str]], version_id: int | None, strict: bool = False) -> DataFrame:
     """Typed rows of a raw table: ``spec`` maps a column to (raw column, type or code kind). Raw columns that are missing give nulls.
+    Without a ``version_id`` each row has its own, in that column.
 
     A whole number that its type cannot hold is an error, times included. Text that does not read as its type is null, or with
-    ``strict`` an error as well.
+    ``strict`` an error as well, which names file and row.
     """
-    has = {c.strip().lower(): c for c in raw.columns}
+    where = F.concat(F.lit(" at "), _place(raw)) if {"file", "row_ord"} & set(raw.columns) else F.lit("")
+
+    def value(c: Column, kind: str) -> Column:
+        own, bad = _cell(c, kind)
+        bits = "int" if kind == "time" else kind
+        if strict:
+            own = F.when(bad, F.raise_error(F.concat(F.lit(f"not a {kind}: "), c, where))).otherwise(own)
+        return checked_cast(own, bits) if bits in _RANGES else own
 
-    def cell(source: str, kind: str) -> Column:
-        c = F.col(f"`{has[source]}`").cast("string") if source in has else F.lit(None).cast("string")
-        if kind in CODES:
-            return code(c, kind)
-        if kind == "flag":
-            return F.trim(c) == "1"
-        if kind == "time":
-            hms = F.split(F.trim(c), ":")
-            seconds = F.get(hms, F.lit(0)).try_cast("long") * 3600 + F.get(hms, F.lit(1)).try_cast("long") * 60 + F.get(hms, F.lit(2)).try_cast("long")
-            return checked_cast(decoded(c, seconds, kind), "int")
-        if kind == "color":
-            return F.upper(F.nullif(F.trim(c), F.lit("")))
-        blank = F.nullif(c, F.lit(""))
-        if kind == "string":
-            return blank
-        if kind in ("short", "int"):
-            return checked_cast(decoded(c, blank.try_cast("decimal(38,0)"), kind), kind)
-        return decoded(c, blank.try_cast(kind), kind)
-
-    def decoded(c: Column, value: Column, kind: str) -> Column:
-        if not strict:
-            return value
-        return F.when(value.isNotNull() | (F.trim(F.coalesce(c, F.lit(""))) == ""), value).otherwise(F.raise_error(F.concat(F.lit(f"not a {kind}: "), c)))
-
-    return raw.select(F.lit(version_id).cast("int").alias("version_id"), *[cell(source, kind).alias(name) for name, (source, kind) in spec.items()])
+    version = F.col("version_id") if version_id is None else F.lit(version_id)
+    return raw.select(version.cast("int").alias("version_id"), *[value(c, kind).alias(name) for name, (c, kind) in _raw_cells(raw, spec).items()])
+
+
+def sorted_out(raw: DataFrame, spec: dict[str, tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """The raw rows that ``load`` takes with ``strict``, and the cells for which it would fail: (file, row_ord, column, kind, value), one row each.
+
+    Cells that are no UTF-8, do not read as their type, or hold a number beyond its range. Rows of uneven width are no fault: what a short
+    one lacks is null, and what a long one has besides is left out.
+    """
+    def fault(name: str, c: Column, kind: str) -> Column:
+        own, bad = _cell(c, kind)
+        bits = _RANGES.get("int" if kind == "time" else kind)
+        if bits:
+            bad |= F.coalesce(~own.between(-(1 << bits), (1 << bits) - 1), F.lit(False))
+        return F.when(bad, F.struct(F.lit(name).alias("column"), F.lit(kind).alias("kind"), c.alias("value")))
+
+    marked = raw.withColumn("_faults", F.array_compact(F.array(*[fault(n, c, k) for n, (c, k) in _raw_cells(raw, spec).items()])))
+    keys = [c for c in ("file", "row_ord") if c in raw.columns]
+    return marked.filter(F.size("_faults") == 0).drop("_faults"), marked.select(*keys, F.inline("_faults"))
 
 
 def stop_times_seq(stop_times: DataFrame, columns: list[str], ties: list[str] = []) -> DataFrame:
@@ -194,26 +242,29 @@ MENTIONS: list[tuple[str, list[tuple[str, str]]]] = [
 ]
 
 
-def mentions(tables: dict[str, DataFrame], ordinal: str = "row_ord") -> DataFrame:
-    """Mentions of all tables (loaded with a row number ``ordinal``) in import order. An agency without an id counts as a nameless row."""
+def mentions(tables: dict[str, DataFrame], ordinal: str = "row_ord", by: tuple[str, ...] = ()) -> DataFrame:
+    """Mentions of all tables (loaded with a row number ``ordinal``) in import order, with the columns ``by``. An agency without an id counts as a nameless row."""
     out = []
     for k, (name, refs) in enumerate(MENTIONS):
         if name not in tables:
             continue
         for j, (kind, column) in enumerate(refs):
-            own = tables[name].select(F.lit(k).alias("spec_ord"), F.col(ordinal).cast("long").alias("row_ord"), F.lit(j).alias("ref_ord"), F.lit(kind).alias("kind"), optional_reference(column).alias("gtfs_id"))
+            own = tables[name].select(*by, F.lit(k).alias("spec_ord"), F.col(ordinal).cast("long").alias("row_ord"), F.lit(j).alias("ref_ord"), F.lit(kind).alias("kind"), optional_reference(column).alias("gtfs_id"))
             out.append(own if name == "agency" else own.filter("gtfs_id is not null"))
     return reduce(DataFrame.unionByName, out)
 
 
-def import_version(raw: dict[str, DataFrame], version_id: int, strict: bool = False) -> dict[str, DataFrame]:
-    """All tables of a feed version, with item ids, from raw text tables that each have a column ``row_ord``. ``strict``: as of ``load``."""
+def import_version(raw: dict[str, DataFrame], version_id: int | None, strict: bool = False) -> dict[str, DataFrame]:
+    """All tables of a feed version, with item ids, from raw text tables that each have a column ``row_ord``. ``strict``: as of ``load``.
+
+    With ``version_id`` None the tables hold many versions, named by a column ``version_id``; each is numbered by itself, by the same jobs.
+    """
     loaded = {}
     for name, spec in SPECS.items():
         if name in raw:
             loaded[name] = load(raw[name], spec | {"row_ord": ("row_ord", "long")}, version_id, strict)
     # Each reference joins the ids, which are written once.
-    ids = save(id_map(mentions(loaded)))
+    ids = save(id_map(mentions(loaded, by=() if version_id is not None else ("version_id",))))
     own = {n: loaded[n] for n in loaded}
     refs = {name: {f"{column.removesuffix('gtfs_id')}item_id": (kind, column) for kind, column in spec} for name, spec in MENTIONS}
     out = {name: translate(df, ids, refs[name]) if name in refs else df for name, df in own.items()}

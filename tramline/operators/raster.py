@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,7 +200,7 @@ def to_web_mercator(px: DataFrame, manifest: DataFrame, tiles: DataFrame, size:
     return top.select("z", "x", "y", F.col("out_row").alias("row_no"), F.col("out_col").alias("col_no"), *[F.round(f"p.{c}").cast("int").alias(c) for c in "rgba"])
 
 
-def quad_pyramid(px: DataFrame, levels: int) -> list[DataFrame]:
+def xyz_pyramid(px: DataFrame, levels: int) -> list[DataFrame]:
     """Tiles of each zoom from the base (z, x, y, pixels) up to ``levels`` zooms further out."""
     out, size = [px], tile_size(px)
     for _ in range(levels):
@@ -207,6 +208,56 @@ def quad_pyramid(px: DataFrame, levels: int) -> list[DataFrame]:
     return out
 
 
+#: Longitudes and latitudes of the root of the quadtree.
+WORLD = (-180.0, -90.0, 180.0, 90.0)
+QUAD = "level int, key string, tile_x long, tile_y long, row_no int, col_no int, r int, g int, b int, a int"
+
+
+def quad_requests(manifest: DataFrame, depth: int, area: tuple[float, float, float, float] = WORLD) -> DataFrame:
+    """(key, tile_x, tile_y, bounds) of the tiles of ``depth`` that share area with an image; the root's key is ``R``."""
+    x0, y0, x1, y1 = area
+    w, h = (x1 - x0) / 2**depth, (y1 - y0) / 2**depth
+    if depth:
+        found = S.quad_cover(manifest.select("bounds"), "bounds.west", "bounds.south", "bounds.east", "bounds.north", area, depth)
+    else:
+        inside = (F.col("bounds.east") > x0) & (F.col("bounds.west") < x1) & (F.col("bounds.north") > y0) & (F.col("bounds.south") < y1)
+        found = manifest.filter(inside).select(F.lit(0).cast("long").alias("tile_x"), F.lit(0).cast("long").alias("tile_y"), F.lit("R").alias("key"))
+    at = lambda o, t, s: F.lit(o) + F.col(t) * s
+    box = S.box(at(x0, "tile_x", w), at(y0, "tile_y", h), at(x0 + w, "tile_x", w), at(y0 + h, "tile_y", h))
+    return found.select("key", "tile_x", "tile_y").distinct().withColumn("bounds", box)
+
+
+def quad_pyramid(px: DataFrame, manifest: DataFrame, size: int, depth: int, path: str, area: tuple[float, float, float, float] = WORLD) -> DataFrame:
+    """Tiles of a quadtree over degrees, ``size`` pixels a side, written below ``path`` and read back: (level, key, tile_x, tile_y, pixels).
+
+    The deepest level is sampled from the images (tile_id, path, bounds, width, height) that overlap a tile, each further one from the
+    tiles of the level below, bilinearly and blended in the order of paths. A tile exists where an image does; its pixels that no image
+    covers are transparent. Levels are written one after the other. Tiles that are found below ``path`` are not made again, so
+    a pyramid that was broken off goes on where it stopped; a level's new tiles appear all at once.
+    """
+    spark = px.sparkSession
+    schema = ", ".join(c for c in QUAD.split(", ") if not c.startswith("level"))
+
+    def stored(level: int) -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(f"{path}/level={level}")
+        except AnalysisException:
+            return spark.createDataFrame([], schema)
+
+    for level in range(depth, -1, -1):
+        tiles = pending(quad_requests(manifest, level, area), stored(level).select("key").distinct(), ["key"])
+        got = mosaic(px, manifest, tiles.select(F.col("key").alias("request"), F.col("bounds").alias("area")), size, size, cell=max(4.0, (area[2] - area[0]) / 2**level)).withColumnRenamed("request", "key")
+        grid = tiles.select("key", "tile_x", "tile_y", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("row_no")).withColumn("col_no", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+        whole = grid.join(got, ["key", "row_no", "col_no"], "left").select("key", "tile_x", "tile_y", "row_no", "col_no", *[F.coalesce(c, F.lit(0)).alias(c) for c in "rgba"])
+        whole.write.mode("append").parquet(f"{path}/level={level}")
+        px = stored(level).withColumnRenamed("key", "tile_id").drop("tile_x", "tile_y")
+        made = stored(level).select("key", "tile_x", "tile_y").distinct()
+        w, h = (area[2] - area[0]) / 2**level, (area[3] - area[1]) / 2**level
+        bounds = S.box(F.lit(area[0]) + F.col("tile_x") * w, F.lit(area[1]) + F.col("tile_y") * h, F.lit(area[0] + w) + F.col("tile_x") * w, F.lit(area[1] + h) + F.col("tile_y") * h)
+        manifest = made.select(F.col("key").alias("tile_id"), F.col("key").alias("path"), bounds.alias("bounds"), F.lit(size).alias("width"), F.lit(size).alias("height"))
+    return spark.read.schema(QUAD).parquet(path)
+
+
 def tilejson(tiles: DataFrame, name: str) -> DataFrame:
     """One row: TileJSON text with zooms and bounds inside the Mercator limits."""
     b = tiles.withColumn("_b", S.tile_bounds("z", "x", "y"))
@@ -226,6 +277,47 @@ def tile_window(px: DataFrame, left: int, top: int, right: int, bottom: int, wid
     return px.filter(tiles).withColumn("wx", x - left).withColumn("wy", y - top).filter((F.col("wx") >= 0) & (F.col("wx") < right - left) & (F.col("wy") >= 0) & (F.col("wy") < bottom - top))
 
 
+def with_halo(px: DataFrame, width: int, height: int) -> DataFrame:
+    """Pixels of tiles (tx, ty) with the first column of the tile to the right, the first row of the tile below, and the corner pixel of
+    the one below on the right: what bilinear sampling next to an edge reads. Each edge pixel is sent to its neighbours once."""
+    left, up = (F.col("col_no") == 0) & (F.col("tx") > 0), (F.col("row_no") == 0) & (F.col("ty") > 0)
+    to = lambda dx, dy: F.struct((F.col("tx") - dx).alias("tx"), (F.col("ty") - dy).alias("ty"), (F.col("row_no") + dy * height).alias("row_no"), (F.col("col_no") + dx * width).alias("col_no"))
+    copies = F.array_compact(F.array(to(0, 0), F.when(left, to(1, 0)), F.when(up, to(0, 1)), F.when(left & up, to(1, 1))))
+    values = [c for c in px.columns if c not in ("tx", "ty", "row_no", "col_no")]
+    return px.select(*values, F.inline(copies))
+
+
+def tile_resample(px: DataFrame, windows: DataFrame, bounds: tuple[float, float, float, float], width: int, height: int, tiles_x: int, tiles_y: int, cols: int, rows: int, bands: str = "rgb") -> DataFrame:
+    """Pixels (request, row_no, col_no, bands) of world windows (request, area: box), ``cols`` by ``rows`` each, of an image that is cut into
+    ``tiles_x`` by ``tiles_y`` tiles (tx, ty, from the north-west) of ``width`` by ``height`` and fills ``bounds`` (west, south, east, north).
+
+    Values are bilinear at the centres of output pixels. A window reads from the pixel of its north-west corner to the one after
+    its south-east corner, and what lies beyond those is the edge pixel. Tiles exchange edge pixels first, so each
+    position needs the pixels of one tile; where a tile is not there its neighbour's edge repeats, and positions in it give no pixel.
+    """
+    west, south, east, north = bounds
+    across, down = width * tiles_x, height * tiles_y
+    px_x = lambda lon: (lon - west) / (east - west) * across
+    px_y = lambda lat: (1.0 - (lat - south) / (north - south)) * down
+    low = lambda c: F.greatest(F.floor(c), F.lit(0)).cast("long")
+    high = lambda c, n: F.least(F.floor(c) + 1, F.lit(n - 1)).cast("long")
+    w = windows.select(
+        "request", "area", low(px_x(F.col("area.west"))).alias("_x0"), low(px_y(F.col("area.north"))).alias("_y0"),
+        high(px_x(F.col("area.east")), across).alias("_x1"), high(px_y(F.col("area.south")), down).alias("_y1"),
+    )
+    at = w.withColumn("row_no", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("col_no", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    lon = F.col("area.west") + (F.col("area.east") - F.col("area.west")) * ((F.col("col_no") + 0.5) / cols)
+    lat = F.col("area.south") + (F.col("area.north") - F.col("area.south")) * ((F.lit(rows) - F.col("row_no") - 1 + 0.5) / rows)
+    within = lambda c, lo, hi: F.least(F.greatest(c - 0.5, F.col(lo).cast("double")), F.col(hi).cast("double"))
+    at = at.select("request", F.col("row_no").alias("_row"), F.col("col_no").alias("_col"), within(px_x(lon), "_x0", "_x1").alias("_fx"), within(px_y(lat), "_y0", "_y1").alias("_fy"))
+    at = at.withColumn("_gx", F.floor("_fx").cast("int")).withColumn("_gy", F.floor("_fy").cast("int"))
+    at = at.select("*", F.floor(F.col("_gx") / width).cast("int").alias("tx"), F.floor(F.col("_gy") / height).cast("int").alias("ty"), (F.col("_gx") % width).alias("col_no"), (F.col("_gy") % height).alias("row_no"))
+    met = at.join(_corners(with_halo(px.select("tx", "ty", "row_no", "col_no", *bands), width, height), ["tx", "ty"]), ["tx", "ty", "row_no", "col_no"])
+    u, v = F.col("_fx") - F.col("_gx"), F.col("_fy") - F.col("_gy")
+    mix = lambda b: (F.col(f"v00.{b}") * (1 - u) + F.col(f"v01.{b}") * u) * (1 - v) + (F.col(f"v10.{b}") * (1 - u) + F.col(f"v11.{b}") * u) * v
+    return met.select("request", F.col("_row").alias("row_no"), F.col("_col").alias("col_no"), *[F.round(mix(b)).cast("int").alias(b) for b in bands])
+
+
 def elevation_at(points: DataFrame, dem: DataFrame, exaggeration: float = 1.0) -> DataFrame:
     """Points (tile_id, u, v in 0..1) with the bilinear elevation of their tile; points outside 0..1 are left out."""
     size = dem.groupBy("tile_id").agg(F.max("col_no").alias("_n"))

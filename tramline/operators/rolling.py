@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET_MS, CAP_MS = 0.1, 1000.0
+#: Fine buckets under one coarse count.
+COARSE = 100
+#: Windows that a block of a key's time spans; its rows go to one task, with those of the window before it.
+SPAN = 4
 
 
 def _trailing(key: str, ms: str, width: int):
@@ -28,14 +37,82 @@ def rolling_stats(df: DataFrame, key: str, ms: str, value: str, widths: dict[str
 
 
 def bucket(value) -> Column:
+    """The nearest step of 0.1 ms, from 0 to one second."""
     c = F.col(value) if isinstance(value, str) else value
-    return F.least(F.floor(c / BUCKET_MS), F.lit(int(CAP_MS / BUCKET_MS))).cast("int")
+    return F.when(c.isNotNull(), F.least(F.greatest(F.floor(c / BUCKET_MS + 0.5), F.lit(0)), F.lit(int(CAP_MS / BUCKET_MS)))).cast("int")
+
+
+class Histogram:
+    """Counts of buckets on two levels: samples are added and taken out one by one, and a rank is found by two short walks."""
+
+    def __init__(self) -> None:
+        last = int(CAP_MS / BUCKET_MS)
+        self.fine, self.coarse, self.n = [0] * (last + 1), [0] * (last // COARSE + 1), 0
+
+    def add(self, b: int, times: int = 1) -> None:
+        self.fine[b] += times
+        self.coarse[b // COARSE] += times
+        self.n += times
+
+    def rank(self, share: float) -> int:
+        """The bucket of the sample with nearest rank ceil(n * share), at least the first."""
+        left, c = max(1, math.ceil(self.n * share)), 0
+        while left > self.coarse[c]:
+            left -= self.coarse[c]
+            c += 1
+        b = c * COARSE
+        while left > self.fine[b]:
+            left -= self.fine[b]
+            b += 1
+        return b
+
+
+def percentiles(ms: np.ndarray, buckets: np.ndarray, first: int, width: int, share: float) -> np.ndarray:
+    """For the sorted times from place ``first`` on: the percentile bucket of the trailing frame by range, -1 where it has no sample. Buckets below 0 are no samples.
+
+    Each sample goes into the histogram once and out of it once.
+    """
+    out = np.empty(len(ms) - first, np.int64)
+    times, own = ms.tolist(), buckets.tolist()
+    h, start, end, known = Histogram(), 0, 0, None
+    for at in range(first, len(times)):
+        now = times[at]
+        if now != known:
+            known = now
+            while end < len(times) and times[end] <= now:
+                if own[end] >= 0:
+                    h.add(own[end])
+                end += 1
+            while times[start] < now - width:
+                if own[start] >= 0:
+                    h.add(own[start], -1)
+                start += 1
+            value = h.rank(share) if h.n else -1
+        out[at - first] = value
+    return out
 
 
 def rolling_p90(df: DataFrame, key: str, ms: str, value: str, width: int, share: float = 0.9) -> DataFrame:
-    """Nearest-rank percentile over buckets of 0.1 ms, capped at one second."""
-    own = F.array_sort(F.collect_list(bucket(value)).over(_trailing(key, ms, width)))
-    return df.withColumn("_b", own).withColumn("p90", F.element_at("_b", F.ceil(F.size("_b") * F.lit(share) - 1e-9).cast("int")) * BUCKET_MS).drop("_b")
+    """Nearest-rank percentile over buckets of 0.1 ms, capped at one second, of each trailing frame by range: linear in the rows of a key.
+
+    A key's time is cut into blocks of ``SPAN`` windows, and each block also gets the window before it, so a hot key is many tasks. Frames
+    without a value, and rows without a time, have null.
+    """
+    span = SPAN * width
+    block, again = F.floor(F.col(ms) / span), F.floor((F.col(ms) + width) / span)
+    names = df.columns
+    dealt = df.withColumn("_k", bucket(value)).select("*", F.explode(F.when(again > block, F.array(block, again)).otherwise(F.array(block))).alias("_block")).withColumn("_own", F.coalesce(F.col("_block") == block, F.lit(True)))
+    schema = T.StructType([*df.schema.fields, T.StructField("p90", T.DoubleType())])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows[ms].isna().all():
+            return rows[names].assign(p90=np.nan).replace({np.nan: None})
+        rows = rows.sort_values(["_own", ms], kind="stable")
+        first = int((~rows["_own"]).sum())
+        found = percentiles(rows[ms].to_numpy(np.int64), rows["_k"].fillna(-1).to_numpy(np.int64), first, width, share)
+        return rows[names].iloc[first:].assign(p90=np.where(found < 0, np.nan, found * BUCKET_MS)).replace({np.nan: None})
+
+    return dealt.groupBy(key, "_block").applyInPandas(run, schema)
 
 
 def recent(df: DataFrame, key: str, ms: str, width: int) -> DataFrame:

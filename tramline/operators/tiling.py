@@ -65,16 +65,15 @@ def sequence_refs(candidates: DataFrame, features: DataFrame, lines: DataFrame)
     return candidates.join(kept, ["version_id", "route_item_id", "stop_item_ids"]).select("version_id", "trip_item_id", "line_trip_item_id")
 
 
-def with_feature_ids(points: DataFrame, shaped: DataFrame, sequenced: DataFrame) -> DataFrame:
-    """(version_id, kind, k1, k2, feature_id): ids are unique over the three tables and the same in each run.
+def with_feature_ids(points: DataFrame, shaped: DataFrame | None = None, sequenced: DataFrame | None = None) -> DataFrame:
+    """(version_id, kind, k1, k2, feature_id): ids are unique over the three tables and the same in each run. Points come first, so theirs do not depend on the others.
 
     Numbers are counted in each (version, kind, hash bucket) and shifted by the sizes of those before.
     """
-    rows = (
-        points.select("version_id", F.lit(0).alias("kind"), F.col("item_id").alias("k1"), F.lit(0).alias("k2"))
-        .unionByName(shaped.select("version_id", F.lit(1).alias("kind"), F.col("route_item_id").alias("k1"), F.col("shape_item_id").alias("k2")))
-        .unionByName(sequenced.select("version_id", F.lit(2).alias("kind"), F.col("route_item_id").alias("k1"), F.col("trip_item_id").alias("k2")))
-    )
+    rows = points.select("version_id", F.lit(0).alias("kind"), F.col("item_id").alias("k1"), F.lit(0).alias("k2"))
+    for kind, lines, own in ((1, shaped, "shape_item_id"), (2, sequenced, "trip_item_id")):
+        if lines is not None:
+            rows = rows.unionByName(lines.select("version_id", F.lit(kind).alias("kind"), F.col("route_item_id").alias("k1"), F.col(own).alias("k2")))
     rows = rows.withColumn("_b", F.floor(F.col("k1") / 4096))
     group = ["version_id", "kind", "_b"]
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
@@ -167,21 +166,28 @@ def route_summary(agg: DataFrame, routes: DataFrame) -> DataFrame:
     return met.groupBy("version_id", "stop_item_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("route_type").cast("string"))), ",").alias("route_types"), F.max("route_count").alias("route_count"))
 
 
-def tile_features(points: DataFrame, agg: DataFrame, routes: DataFrame, stops: DataFrame, zoom: int = ZOOM) -> DataFrame:
-    """A row for each tile and stop with all attributes; absent texts are empty."""
+#: What a stop carries in a tile, besides its tile and place.
+ATTRIBUTES = ("feature_id", "source_slug", "stop_item_id", "stop_id", "stop_code", "stop_name", "stop_desc", "parent_station_id", "location_type", "wheelchair_boarding", "platform_code", "route_types", "route_count")
+
+
+def tile_features(points: DataFrame, agg: DataFrame, routes: DataFrame, stops: DataFrame, tilings: DataFrame, zoom: int = ZOOM) -> DataFrame:
+    """A row for each tile and stop with all attributes; absent texts are empty, absent numbers 0.
+
+    ``tilings`` (version_id, slug) are those that are exported: stops of other versions are left out.
+    """
     parents = stops.select("version_id", F.col("item_id").alias("parent_station_item_id"), F.col("item_gtfs_id").alias("_parent"))
-    rows = tile_points(points, zoom).withColumnRenamed("item_id", "stop_item_id")
-    rows = rows.join(route_summary(agg, routes), ["version_id", "stop_item_id"], "left").join(parents, ["version_id", "parent_station_item_id"], "left")
-    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return rows.select(
-        "version_id", "z", "x", "y", "stop_item_id", F.col("item_gtfs_id").alias("stop_id"), blank("stop_name").alias("stop_name"), blank("stop_code").alias("stop_code"),
-        F.coalesce("location_type", F.lit(0)).alias("location_type"), blank("_parent").alias("parent_station_id"), blank("route_types").alias("route_types"), F.coalesce("route_count", F.lit(0)).alias("route_count"), "px", "py",
-    )
+    numbers = with_feature_ids(points).select("version_id", F.col("k1").alias("stop_item_id"), "feature_id")
+    rows = tile_points(points, zoom).withColumnRenamed("item_id", "stop_item_id").join(tilings.select("version_id", F.col("slug").alias("source_slug")), "version_id")
+    rows = rows.join(numbers, ["version_id", "stop_item_id"]).join(route_summary(agg, routes), ["version_id", "stop_item_id"], "left").join(parents, ["version_id", "parent_station_item_id"], "left")
+    text = {"stop_code": "stop_code", "stop_name": "stop_name", "stop_desc": "stop_desc", "parent_station_id": "_parent", "platform_code": "platform_code", "route_types": "route_types"}
+    number = ("location_type", "wheelchair_boarding", "route_count")
+    rows = rows.withColumn("stop_id", F.col("item_gtfs_id")).withColumns({c: F.coalesce(own, F.lit("")) for c, own in text.items()} | {c: F.coalesce(c, F.lit(0)) for c in number})
+    return rows.select("version_id", "z", "x", "y", *ATTRIBUTES, "px", "py")
 
 
 def tiles(features: DataFrame) -> DataFrame:
-    """One row a tile: its features as JSON, by stop."""
-    own = F.struct("stop_item_id", "stop_id", "stop_name", "stop_code", "location_type", "parent_station_id", "route_types", "route_count", "px", "py")
+    """One row a tile: its features as JSON, by feature id."""
+    own = F.struct(*ATTRIBUTES, "px", "py")
     return features.groupBy("version_id", "z", "x", "y").agg(F.count(F.lit(1)).alias("n_features"), F.to_json(F.array_sort(F.collect_list(own))).alias("payload"))
 
 

@@ -51,7 +51,7 @@ def prune_missing(sources: DataFrame, versions: DataFrame, seed: DataFrame) -> t
 
 def hash_artifacts(files: DataFrame) -> DataFrame:
     """SHA-256 and size of files as from the ``binaryFile`` source."""
-    return files.select("path", F.sha2("content", 256).alias("content_sha256"), F.length("content").cast("long").alias("file_bytes"))
+    return files.select("path", F.sha2("content", 256).alias("content_sha256"), F.octet_length("content").cast("long").alias("file_bytes"))
 
 
 def decide_changes(candidates: DataFrame, sources: DataFrame, versions: DataFrame) -> DataFrame:

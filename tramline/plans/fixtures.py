@@ -9,23 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 VIEWS: dict[str, str] = {
-    "fx_feed_sources": r"""
-SELECT CAST(r_regionkey + 1 AS BIGINT) AS id,
-       lower(replace(r_name, ' ', '-')) AS slug,
-       r_name AS name,
-       'https://feeds.example/' || CAST(r_regionkey AS STRING) || '.zip' AS direct_download_url,
-       CASE WHEN r_regionkey < 4 THEN CAST((r_regionkey * 16) % 20 + 1 AS INT) END AS active_version_id
-FROM region
-""",
-    "fx_feed_versions": r"""
-SELECT CAST(n_nationkey + 1 AS INT) AS id,
-       CAST(n_regionkey + 1 AS BIGINT) AS source_id,
-       md5(n_name) AS content_hash,
-       CASE WHEN n_nationkey % 3 = 0 THEN 'etag-' || CAST(n_nationkey AS STRING) END AS http_etag,
-       CASE n_nationkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'imported' WHEN 2 THEN 'downloaded' ELSE 'import_failed' END AS status,
-       TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * CAST((n_nationkey * 7) % 11 AS INT) AS fetched_at
-FROM nation
-""",
     "fx_versions": r"""
 SELECT DISTINCT CAST(r_regionkey % 2 + 1 AS INT) AS version_id FROM region
 """,
@@ -39,7 +22,10 @@ SELECT v.version_id,
             ELSE 35e0 + ((s_suppkey * 53) % 250) / 1e1 END AS stop_lat,
        CASE WHEN s_suppkey % 23 = 22 THEN NULL ELSE -10e0 + ((s_suppkey * 37) % 400) / 1e1 END AS stop_lon,
        CAST(CASE s_suppkey % 5 WHEN 0 THEN 1 WHEN 4 THEN 4 ELSE 0 END AS INT) AS location_type,
-       CAST(CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 4 THEN s_suppkey ELSE s_suppkey - s_suppkey % 5 + 1 END AS INT) AS parent_station_item_id
+       CAST(CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 4 THEN s_suppkey ELSE s_suppkey - s_suppkey % 5 + 1 END AS INT) AS parent_station_item_id,
+       CASE WHEN s_suppkey % 6 = 1 THEN 'Near ' || s_name END AS stop_desc,
+       CAST(CASE WHEN s_suppkey % 4 < 3 THEN s_suppkey % 4 END AS INT) AS wheelchair_boarding,
+       CASE WHEN s_suppkey % 3 = 1 THEN 'P' || CAST(s_suppkey % 12 AS STRING) END AS platform_code
 FROM supplier CROSS JOIN fx_versions v
 """,
     "fx_routes": r"""
@@ -52,13 +38,13 @@ SELECT v.version_id,
        CAST(CASE p_partkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 1100 ELSE NULL END AS INT) AS route_type,
        CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'FF00AA' END AS route_color
 FROM part CROSS JOIN fx_versions v
-WHERE p_partkey < 150
+WHERE p_partkey % 37 <> 0
 """,
     "fx_trips": r"""
 SELECT CAST(o_orderkey % 2 + 1 AS INT) AS version_id,
        CAST(o_orderkey + 1 AS INT) AS item_id,
        'T' || CAST(o_orderkey AS STRING) AS item_gtfs_id,
-       CAST(CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE o_custkey % 160 + 1 END AS INT) AS route_item_id,
+       CAST(CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE o_custkey + 1 END AS INT) AS route_item_id,
        CAST(o_orderkey % 9 + 1 AS INT) AS service_item_id,
        CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 22 + 1 END AS INT) AS shape_item_id
 FROM orders
@@ -100,14 +86,6 @@ SELECT CAST(c_custkey AS BIGINT) AS feature_id,
        13e0 + ((c_custkey * 29) % 700) / 1e3 + (c_custkey % 7) / 1e3 AS east,
        52e0 + ((c_custkey * 41) % 700) / 1e3 + (c_custkey % 5) / 1e3 AS north
 FROM customer
-""",
-    "fx_bands": r"""
-SELECT CAST(t.r_regionkey AS INT) AS tile_id, CAST(b.r_regionkey AS INT) AS band,
-       CAST(y.n_nationkey AS INT) AS row_no, CAST(x.n_nationkey AS INT) AS col_no,
-       CAST(CASE WHEN (y.n_nationkey * 25 + x.n_nationkey + t.r_regionkey) % 41 = 0 THEN -32768
-            ELSE (y.n_nationkey * 397 + x.n_nationkey * 211 + b.r_regionkey * 1301 + t.r_regionkey * 97) % 6000 - 50 END AS INT) AS dn
-FROM region t CROSS JOIN region b CROSS JOIN nation y CROSS JOIN nation x
-WHERE b.r_regionkey < 3 AND y.n_nationkey < 24 AND x.n_nationkey < 24
 """,
     "fx_segments": r"""
 SELECT CAST(s_suppkey AS INT) AS segment_id,

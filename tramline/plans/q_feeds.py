@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import discovery as D
 from ..operators import versions as V
+from ..steps import new_path
 from .fixtures import fx, run, whole
 
 QUERIES, SQL = {}, {}
@@ -160,11 +161,25 @@ def sync_summary(spark, sf):
     return V.sync_summary(_promoted(spark, sf)[2], ("promoted", "already_active"))
 
 
-@query("""SELECT c_custkey, c_custkey % 4 <> 1 AS ok, sha256(c_name) AS content_sha256, CAST(length(c_name) AS BIGINT) AS file_bytes FROM customer""")
+ARTIFACTS = "SELECT CAST(floor(c_custkey / 100e0) AS BIGINT) AS feed, c_custkey, c_name || ',' || c_mktsegment AS line FROM customer"
+
+
+@query(f"SELECT 'feed-' || CAST(feed AS VARCHAR) || '.zip' AS artifact, sha256(string_agg(line, chr(10) ORDER BY c_custkey)) AS content_sha256, CAST(sum(length(line) + 1) - 1 AS BIGINT) AS file_bytes FROM ({ARTIFACTS}) GROUP BY feed")
 def artifact_hashes(spark, sf):
-    c = run(spark, sf, "SELECT c_custkey, c_name, CASE c_custkey % 4 WHEN 0 THEN ' Application/ZIP ; charset=x' WHEN 1 THEN 'text/html' WHEN 2 THEN 'application/octet-stream' END AS ct FROM customer")
-    files = c.select(F.col("c_custkey").cast("string").alias("path"), F.col("c_name").cast("binary").alias("content"))
-    return V.hash_artifacts(files).withColumn("c_custkey", F.col("path").cast("long")).drop("path").join(c.select("c_custkey", V.is_feed_media_type("ct").alias("ok")), "c_custkey")
+    """Artifacts and notes as files; hash and size of the artifacts."""
+    from ..sources import readers, sinks
+
+    d = run(spark, sf, ARTIFACTS).groupBy("feed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))), lambda r: r["line"]), "\n").alias("content"))
+    root = new_path(spark)
+    name = F.concat(F.lit("feed-"), F.col("feed").cast("string"))
+    sinks.write_files(d.select(F.concat(name, F.lit(".zip")).alias("path"), "content").unionByName(d.select(F.concat(name, F.lit(".note")).alias("path"), F.lit("not a feed").alias("content"))), root)
+    return V.hash_artifacts(readers.read_artifacts(spark, root)).select(F.element_at(F.split("path", "/"), -1).alias("artifact"), "content_sha256", "file_bytes")
+
+
+@query("SELECT c_custkey, c_custkey % 4 <> 1 AS ok FROM customer")
+def artifact_types(spark, sf):
+    c = run(spark, sf, "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ' Application/ZIP ; charset=x' WHEN 1 THEN 'text/html' WHEN 2 THEN 'application/octet-stream' END AS ct FROM customer")
+    return c.select("c_custkey", V.is_feed_media_type("ct").alias("ok"))
 
 
 @query("SELECT slug FROM dx_sources")

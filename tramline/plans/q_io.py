@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -11,9 +12,10 @@ from ..operators import gtfs_import as G
 from ..operators import tiling as L
 from ..sources import readers as R
 from ..sources import sinks as K
-from ..streaming import ingest, rolling_stream
+from ..streaming import ingest, revisions, rolling_stream
 from .fixtures import fx, run, table, whole
 from ..steps import root
+from .q_map import LATEST, RESULTS
 from .q_spatial import LAT, X, Y
 
 QUERIES, SQL = {}, {}
@@ -29,21 +31,58 @@ def query(sql: str | None = None):
     return add
 
 
+@contextmanager
+def conf(spark, settings: dict[str, str]):
+    """The session with these settings, which are put back afterwards: a stream keeps those that it has started with."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _path(spark, name: str) -> str:
     return posixpath.join(root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-@query("""SELECT item_id - 1 AS stop_no, item_gtfs_id AS gtfs_id, stop_name, stop_code, stop_lat, stop_lon, location_type, 'S' || CAST(parent_station_item_id - 1 AS VARCHAR) AS parent_gtfs_id, CAST(0 AS INT) AS wheelchair_boarding FROM fx_stops WHERE version_id = 1""")
-def schedule_files(spark, sf):
-    """Stops as a schedule file with odd headers, read and typed again."""
-    d = fx(spark, sf, "fx_stops").filter("version_id = 1").select(
-        F.col("item_gtfs_id").alias(" stop_id "), F.col("stop_name").alias("stop_name"), F.col("stop_code").alias("stop_code "), F.col("stop_lat").cast("string").alias("stop_lat"), F.col("stop_lon").cast("string").alias(" stop_lon"),
-        F.col("location_type").cast("string").alias("location_type"), F.concat(F.lit("S"), (F.col("parent_station_item_id") - 1).cast("string")).alias("parent_station"), (F.col("item_id") - 1).cast("string").alias("vendor_extra"))
+#: Every ninth stop's row is short of two cells, the next one has two too many, and the one after that a latitude that is no number.
+_ODD = "CASE (item_id - 1) % 9 WHEN 0 THEN 'short' WHEN 1 THEN 'long' WHEN 2 THEN 'bad' ELSE '' END"
+_HEAD = "vendor_extra, stop_id ,stop_name,stop_code ,stop_lat, stop_lon,location_type,parent_station"
+
+
+def _stop_rows(spark, sf):
+    """Stops as schedule files with odd headers, rows of uneven width and some that do not read; read as text again."""
+    d = fx(spark, sf, "fx_stops").filter("version_id = 1").withColumn("odd", F.expr(_ODD))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    first = F.concat_ws(",", (F.col("item_id") - 1).cast("string"), "item_gtfs_id", text("stop_name"), text("stop_code"), F.when(F.col("odd") == "bad", F.lit("north")).otherwise(text("stop_lat")), text("stop_lon"))
+    rest = F.concat(F.lit(","), text("location_type"), F.lit(",S"), (F.col("parent_station_item_id") - 1).cast("string"))
+    line = F.when(F.col("odd") == "short", first).otherwise(F.concat(first, F.coalesce(rest, F.concat(F.lit(","), text("location_type"), F.lit(","))), F.when(F.col("odd") == "long", F.lit(",more,cells")).otherwise(F.lit(""))))
     path = _path(spark, "stops")
-    d.write.option("header", True).csv(path)
-    raw = R.read_gtfs(spark, path)
-    out = G.load(raw, G.SPECS["stops"] | {"stop_no": ("vendor_extra", "int")}, 1)
-    return out.select("stop_no", "gtfs_id", "stop_name", "stop_code", "stop_lat", "stop_lon", "location_type", "parent_gtfs_id", "wheelchair_boarding")
+    # The lines are the one column of a file that is cut nowhere, so its header is the line above them.
+    d.select(line.alias(_HEAD)).write.option("header", True).option("sep", "\u0001").csv(path)
+    return R.read_gtfs(spark, path)
+
+
+_STOP_SPEC = G.SPECS["stops"] | {"stop_no": ("vendor_extra", "int")}
+
+
+@query(f"""SELECT stop_no, gtfs_id, stop_name, stop_code, stop_lat, stop_lon, CASE WHEN odd = 'short' THEN 0 ELSE location_type END AS location_type, CASE WHEN odd <> 'short' THEN parent_gtfs_id END AS parent_gtfs_id, wheelchair_boarding
+FROM (SELECT item_id - 1 AS stop_no, item_gtfs_id AS gtfs_id, stop_name, stop_code, stop_lat, stop_lon, location_type, 'S' || CAST(parent_station_item_id - 1 AS VARCHAR) AS parent_gtfs_id, CAST(0 AS INT) AS wheelchair_boarding, {_ODD} AS odd FROM fx_stops WHERE version_id = 1) WHERE odd <> 'bad'""")
+def schedule_files(spark, sf):
+    """The rows that read, typed: none of them may fail."""
+    good, _ = G.sorted_out(_stop_rows(spark, sf), _STOP_SPEC)
+    return G.load(good, _STOP_SPEC, 1, strict=True).select("stop_no", "gtfs_id", "stop_name", "stop_code", "stop_lat", "stop_lon", "location_type", "parent_gtfs_id", "wheelchair_boarding")
+
+
+@query(f"SELECT 'stop_lat' AS \"column\", 'double' AS kind, 'north' AS value, TRUE AS placed, count(*) AS n FROM fx_stops WHERE version_id = 1 AND {_ODD} = 'bad' HAVING count(*) > 0")
+def schedule_quarantine(spark, sf):
+    """The cells that do not read, each with its file and row."""
+    _, bad = G.sorted_out(_stop_rows(spark, sf), _STOP_SPEC)
+    placed = F.col("file").endswith(".csv") & F.col("row_ord").isNotNull()
+    return bad.groupBy("column", "kind", "value").agg(F.bool_and(placed).alias("placed"), F.count(F.lit(1)).alias("n"))
 
 
 LISTING = "SELECT o_orderkey AS ordinal, 'feed-' || CAST(o_custkey % 50 AS VARCHAR(20)) || '/' || CASE o_orderkey % 4 WHEN 0 THEN 'a/' ELSE '' END || CASE o_orderkey % 7 WHEN 0 THEN 'stops.txt' WHEN 1 THEN 'routes.txt' WHEN 2 THEN 'trips.txt' WHEN 3 THEN 'readme.md' WHEN 4 THEN 'shapes.txt' WHEN 5 THEN 'agency.txt' ELSE 'Stop_times.txt' END AS path FROM orders"
@@ -59,19 +98,56 @@ def missing_members(spark, sf):
     return R.missing_required(R.feed_members(run(spark, sf, LISTING)))
 
 
-@query("SELECT CAST(o_orderkey AS BIGINT) AS id, 'f-' || CAST(o_orderkey AS VARCHAR) AS onestop_id FROM orders WHERE floor(o_orderkey / 1000e0) <= 9")
+@query("SELECT CAST(o_orderkey AS BIGINT) AS id, 'f-' || CAST(o_orderkey AS VARCHAR) AS onestop_id FROM orders WHERE floor(o_orderkey / 1000e0) <= (SELECT floor(max(o_orderkey) / 2000e0) FROM orders)")
 def catalogue_pages(spark, sf):
+    """Pages that landed as files named by their numbers; the one halfway says that no other follows."""
     from ..operators.discovery import pages_before_stop
 
-    d = run(spark, sf, "SELECT o_orderkey, CAST(floor(o_orderkey / 1000e0) AS INT) AS page_no FROM orders")
+    d = run(spark, sf, "SELECT o_orderkey, CAST(floor(o_orderkey / 1000e0) AS INT) AS page_no, CAST((SELECT floor(max(o_orderkey) / 2000e0) FROM orders) AS INT) AS last_no FROM orders")
     feed = F.struct(F.col("o_orderkey").alias("id"), F.concat(F.lit("f-"), F.col("o_orderkey").cast("string")).alias("onestop_id"))
-    pages = d.groupBy("page_no").agg(F.collect_list(feed).alias("feeds")).withColumn("meta", F.when(F.col("page_no") != 9, F.struct(F.col("page_no").alias("after"))))
-    # A page is a landed file; here each page's folder carries its number.
+    meta = F.struct(F.when(F.col("page_no") != F.col("last_no"), F.col("page_no")).alias("after"))
+    pages = d.groupBy("page_no", "last_no").agg(F.collect_list(feed).alias("feeds")).withColumn("meta", meta)
     path = _path(spark, "pages")
-    pages.write.partitionBy("page_no").json(path)
-    read = spark.read.schema(f"feeds array<{R.FEED}>, meta struct<after: long>, page_no int").json(path)
-    got = read.select("page_no", "feeds", F.col("meta.after").alias("after"))
-    return pages_before_stop(got).select("feed.id", "feed.onestop_id")
+    K.write_files(pages.select(F.format_string("page-%06d.json", "page_no").alias("path"), F.to_json(F.struct("feeds", "meta")).alias("content")), path)
+    return pages_before_stop(R.read_catalog_pages(spark, path)).select("feed.id", "feed.onestop_id")
+
+
+#: Chunks of zoom 11, each with its boxes as the layers of its folder; every third folder has no meta.json, every other one no extraction bounds.
+_CHUNKS = f"SELECT z, x, y, 'c-' || CAST(x AS VARCHAR(20)) || '-' || CAST(y AS VARCHAR(20)) AS dir, layer, (x + y) % 3 <> 0 AS described, (x + y) % 2 = 0 AS bare, n FROM (SELECT 11 AS z, {X('west', 11)} AS x, {Y('north', 11)} AS y, layer, count(*) AS n FROM fx_boxes GROUP BY 1, 2, 3, 4) t"
+
+
+@query(f"SELECT dir, z, x, y, layer, n AS n_features, x / 2048e0 * 360e0 - 180e0 AS west, x / 2048e0 * 360e0 - 180e0 - CASE WHEN bare THEN 0e0 ELSE 0.5e0 END AS extraction_west, CASE WHEN bare THEN 0e0 ELSE 100e0 END AS buffer_meters FROM ({_CHUNKS}) WHERE described")
+def chunk_layers(spark, sf):
+    """Chunk folders as they are listed: metadata, and a GeoJSON file a layer, whose features are counted."""
+    from ..functions.spatial import lat_to_tile_y, lon_to_tile_x, tile_bounds
+
+    d = fx(spark, sf, "fx_boxes").select(F.lit(11).alias("z"), lon_to_tile_x("west", 11).alias("x"), lat_to_tile_y("north", 11).alias("y"), "layer", "west", "north", "class")
+    d = d.withColumn("dir", F.concat_ws("-", F.lit("c"), "x", "y"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("class").alias("properties"), F.struct(F.lit("Point").alias("type"), F.array("west", "north").alias("coordinates")).alias("geometry"))
+    layers = d.groupBy("dir", "layer").agg(F.collect_list(feature).alias("f"))
+    files = layers.select(F.concat("dir", F.lit("/"), "layer", F.lit(".geojson")).alias("path"), F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.col("f").alias("features"))).alias("content"))
+    chunks = d.select("z", "x", "y", "dir").distinct().filter((F.col("x") + F.col("y")) % 3 != 0).withColumn("bounds", tile_bounds("z", "x", "y"))
+    b = F.col("bounds")
+    whole_ = (F.col("x") + F.col("y")) % 2 != 0
+    wide = F.when(whole_, F.struct((b["west"] - 0.5).alias("west"), b["south"].alias("south"), b["east"].alias("east"), b["north"].alias("north")))
+    meta = F.to_json(F.struct(F.struct("z", "x", "y").alias("tile"), F.struct(*[b[c].alias(c) for c in ("west", "south", "east", "north")]).alias("bounds"), wide.alias("extraction_bounds"), F.when(whole_, F.lit(100.0)).alias("buffer_meters")))
+    path = _path(spark, "chunks")
+    K.write_files(files.unionByName(chunks.select(F.concat("dir", F.lit("/meta.json")).alias("path"), meta.alias("content"))), path)
+    listed = R.read_chunk_layers(spark, path)
+    inside = R.read_geojson(spark, f"{path}/*/*.geojson").groupBy(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("_at")).agg(F.count(F.lit(1)).alias("n_features"))
+    own = listed.withColumn("_at", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)).join(inside, "_at")
+    return own.select("dir", "z", "x", "y", "layer", "n_features", F.col("bounds.west").alias("west"), F.col("extraction.west").alias("extraction_west"), "buffer_meters")
+
+
+@query("SELECT 'box-' || CAST(feature_id AS VARCHAR) || '.png' AS image, west, south, east, north FROM fx_boxes WHERE feature_id % 5 <> 0")
+def image_sidecars(spark, sf):
+    """Images with a side-car each, listed by those; images without one (every fifth) are not."""
+    d = fx(spark, sf, "fx_boxes").withColumn("path", F.concat(F.lit("box-"), F.col("feature_id").cast("string"), F.lit(".png")))
+    side = F.to_json(F.struct(F.array("west", "south").alias("min"), F.array("east", "north").alias("max")))
+    path = _path(spark, "sidecars")
+    files = d.select("path", F.lit("pixels").alias("content")).unionByName(d.filter("feature_id % 5 != 0").select(F.concat("path", F.lit(".meta.json")).alias("path"), side.alias("content")))
+    K.write_files(files, path)
+    return R.read_manifest(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("image"), "bounds.*")
 
 
 @query("SELECT feature_id, CASE feature_id % 3 WHEN 0 THEN 'Point' ELSE 'LineString' END AS geom_type, CASE WHEN feature_id % 3 <> 2 THEN class END AS class, round(west, 6) AS west, round(south, 6) AS south, round(CASE WHEN feature_id % 3 = 0 THEN west ELSE east END, 6) AS east, round(CASE WHEN feature_id % 3 = 0 THEN south ELSE north END, 6) AS north FROM fx_boxes")
@@ -115,6 +191,13 @@ def count_reconciliation(spark, sf):
     return K.reconcile_counts(t, t.filter("item_id % 5 != 0 or version_id = 1"), ["version_id"])
 
 
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS produced, count(*) AS written FROM {t}" for t in ("fx_stops", "fx_trips", "fx_stop_times")))
+def counted_writes(spark, sf):
+    """Three tables written, each with the rows that were counted on the way and those in its files."""
+    made = [(t, *K.write_counted(fx(spark, sf, t), _path(spark, t))) for t in ("fx_stops", "fx_trips", "fx_stop_times")]
+    return spark.createDataFrame(made, "table_name string, produced long, written long")
+
+
 @query(f"SELECT DISTINCT 13 AS z, {X('stop_lon', 13)} AS x, {Y('stop_lat', 13)} AS y FROM fx_stops WHERE stop_lon <> 0 AND stop_lat BETWEEN -85 AND 85")
 def tile_sink(spark, sf):
     t = L.occupied_tiles(L.stop_points(fx(spark, sf, "fx_stops")).filter("stop_lon <> 0"), 13)
@@ -134,19 +217,33 @@ def tileset_metadata(spark, sf):
 
 
 FRAME = "OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN {} PRECEDING AND CURRENT ROW)"
+_RATE = f"round(count(*) {FRAME.format(1000)} / (least(1000, greatest(ms - min(ms) {FRAME.format(1000)}, 1000)) / 1000e0), 6) AS rate"
+_P90 = "CAST(least(greatest(floor(value / 0.1e0 + 0.5e0), 0), 10000) AS INT)"
+_STATS = ", ".join(
+    f"count(*) {FRAME.format(w)} AS n_{n}, min(value) {FRAME.format(w)} AS min_{n}, round(avg(value) {FRAME.format(w)}, 6) AS avg_{n}, list({_P90}) {FRAME.format(w)} AS l_{n}, max(value) {FRAME.format(w)} AS max_{n}"
+    for n, w in rolling_stream.WINDOWS.items()
+)
+_RANKS = ", ".join(f"round(list_sort(l_{n})[CAST(greatest(ceil(len(l_{n}) * 0.9e0), 1) AS INT)] * 0.1e0, 6) AS p90_{n}" for n in rolling_stream.WINDOWS)
 
 
-@query(f"""SELECT user_id, event_id, ms AS ended_ms, n_10s, avg_10s, n_300s, max_300s FROM (SELECT user_id, event_id, ms, count(*) {FRAME.format(10_000)} AS n_10s, round(avg(value) {FRAME.format(10_000)}, 6) AS avg_10s, count(*) {FRAME.format(300_000)} AS n_300s, max(value) {FRAME.format(300_000)} AS max_300s, max(ms) OVER () AS newest
+@query(f"""SELECT user_id, event_id, ms AS ended_ms, rate, {', '.join(f'n_{n}, min_{n}, avg_{n}, max_{n}' for n in rolling_stream.WINDOWS)}, {_RANKS} FROM (SELECT user_id, event_id, ms, {_RATE}, {_STATS}, max(ms) OVER () AS newest
 FROM (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, value FROM events)) WHERE ms < newest - 300000""")
 def rolling_stream_replay(spark, sf):
-    """A bounded replay of the stream: the result is that of the batch windows, for the samples that the last watermark has passed."""
+    """A bounded replay of the stream, in micro-batches of some files each: the result is that of the batch windows, for the samples that the last watermark has passed."""
     e = table(spark, sf, "events")
-    stream = spark.readStream.schema(e.schema).parquet(f"{sf}/event[s].parquet")
+    landed, out, mark = _path(spark, "samples"), _path(spark, "rolling"), _path(spark, "rolling-checkpoint")
+    # Files land in the order of time, a third of it after another.
+    low, high = e.agg(F.min(F.unix_millis(F.col("ts").cast("timestamp"))), F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()
+    third = F.least(F.floor((F.unix_millis(F.col("ts").cast("timestamp")) - (low or 0)) * 3 / max(1, (high or 0) - (low or 0))), F.lit(2))
+    for k in range(3):
+        e.filter(third == k).coalesce(2).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(landed)
     samples = stream.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ended_at"), F.col("value").alias("duration_ms"))
-    out, mark = _path(spark, "rolling"), _path(spark, "rolling-checkpoint")
-    q = rolling_stream.rolling_stream(samples).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
+    with conf(spark, rolling_stream.STORE):
+        q = rolling_stream.rolling_stream(samples).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(rolling_stream.OUT).parquet(out).withColumn("avg_10s", F.round("avg_10s", 6))
+    rounded = [F.round(c, 6).alias(c) for c in ("rate", *[f"{k}_{n}" for n in rolling_stream.WINDOWS for k in ("avg", "p90")])]
+    return spark.read.schema(rolling_stream.OUT).parquet(out).withColumns(dict(zip(("rate", *[f"{k}_{n}" for n in rolling_stream.WINDOWS for k in ("avg", "p90")]), rounded)))
 
 
 @query("SELECT event_type AS outcome, count(*) AS n FROM events GROUP BY 1")
@@ -174,3 +271,82 @@ def ingest_stream_decisions(spark, sf):
     plan = lambda batch: decide_changes(batch.sparkSession.sql(LANDED.format("{batch}"), batch=batch), sources, versions)
     ingest.ingest_stream(spark, f"{sf}/event[s].parquet", schema, mark, plan, out, "parquet").awaitTermination()
     return spark.read.parquet(out).select("source_id", "content_hash", "active_id", "outcome")
+
+
+@query(LATEST)
+def revision_stream_replay(spark, sf):
+    """Requests and results as one stream in four landed files, in no order; what each tile shows in the end is what the batch finds."""
+    asked = run(spark, sf, "SELECT user_id AS tile, event_id % 4 AS revision, event_id FROM events").select("tile", "revision", F.lit(0).alias("seq"), F.lit(None).cast("boolean").alias("ok"), F.lit(None).cast("string").alias("payload"), "event_id")
+    results = run(spark, sf, RESULTS).select("tile", "revision", "seq", "ok", "payload", F.col("seq").alias("event_id"))
+    both = asked.unionByName(results).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in revisions.IN.split(", ")], (F.xxhash64("event_id", "ok") % 4).alias("part"))
+    landed, out, mark = _path(spark, "parsed"), _path(spark, "shown"), _path(spark, "shown-checkpoint")
+    both.repartition(4, "part").drop("part").write.parquet(landed)
+    stream = spark.readStream.schema(revisions.IN).option("maxFilesPerTrigger", 1).parquet(landed)
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    with conf(spark, rolling_stream.STORE):
+        q = revisions.latest_revisions(stream).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", mark).trigger(availableNow=True).start()
+    q.awaitTermination()
+    shown = spark.read.schema(f"{revisions.OUT}, batch long").parquet(out)
+    return shown.groupBy("tile").agg(F.max_by(F.struct("payload"), "batch").alias("s")).select("tile", "s.payload")
+
+
+#: Two deliveries of each supplier's feed; every third supplier delivers the first content again, every seventh's second one lacks its trips.
+CONTENT = "'c' || CAST(l_suppkey AS VARCHAR(20)) || '-' || CAST(CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_orderkey % 2 END AS VARCHAR(20))"
+ARRIVALS = "SELECT CAST(s_suppkey + 1 AS BIGINT) AS source_id, 'c' || CAST(s_suppkey AS VARCHAR(20)) || '-' || CAST(CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE d.n END AS VARCHAR(20)) AS content_hash, FALSE AS not_modified, d.n AS delivery FROM supplier CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n) d"
+LEGS = f"SELECT {CONTENT} AS content_hash, l_suppkey, l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS row_ord FROM lineitem"
+_HAS = "NOT (l_suppkey % 7 = 1 AND content_hash LIKE '%-1')"
+FEEDS: dict[str, str] = {
+    "agency": f"SELECT DISTINCT content_hash, CAST(0 AS BIGINT) AS row_ord, 'A' AS agency_id, 'agency' AS agency_name FROM ({LEGS}) t",
+    "stops": f"SELECT content_hash, min(row_ord) AS row_ord, 'P' || CAST(l_partkey AS VARCHAR(20)) AS stop_id, 'stop' AS stop_name FROM ({LEGS}) t GROUP BY content_hash, l_partkey",
+    "routes": f"SELECT content_hash, min(row_ord) AS row_ord, 'R' || CAST(l_orderkey % 7 AS VARCHAR(20)) AS route_id, 'A' AS agency_id, '3' AS route_type FROM ({LEGS}) t GROUP BY content_hash, l_orderkey % 7",
+    "trips": f"SELECT content_hash, min(row_ord) AS row_ord, 'T' || CAST(l_orderkey AS VARCHAR(20)) AS trip_id, 'R' || CAST(l_orderkey % 7 AS VARCHAR(20)) AS route_id FROM ({LEGS}) t WHERE {_HAS} GROUP BY content_hash, l_orderkey",
+    "stop_times": f"SELECT content_hash, row_ord, 'T' || CAST(l_orderkey AS VARCHAR(20)) AS trip_id, 'P' || CAST(l_partkey AS VARCHAR(20)) AS stop_id, CAST(l_linenumber AS VARCHAR(20)) AS stop_sequence FROM ({LEGS}) t",
+}
+
+
+def feed_sync(spark, sf, fail_at: str | None = None):
+    """The version store after both deliveries. ``fail_at``: a table whose writing fails the first time that the second batch comes to it; the stream is then started again."""
+    arrivals = run(spark, sf, ARRIVALS).withColumn("fetched_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("delivery")))
+    landed, mark = _path(spark, "arrivals"), _path(spark, "sync-checkpoint")
+    for k in range(2):
+        arrivals.filter(F.col("delivery") == k).coalesce(1).write.mode("append").parquet(landed)
+    sources = run(spark, sf, "SELECT CAST(s_suppkey + 1 AS BIGINT) AS id, 'feed-' || CAST(s_suppkey AS VARCHAR(20)) AS slug, CAST(NULL AS INT) AS active_version_id FROM supplier")
+    store = ingest.VersionStore(spark, _path(spark, "versions"))
+    contents = lambda fresh: {t: run(spark, sf, sql).join(fresh, "content_hash") for t, sql in FEEDS.items()}
+    failed, write = [], store.write
+
+    def once(table, number, rows):
+        if table == fail_at and number == 1 and not failed:
+            failed.append(table)
+            raise RuntimeError("the disk is full")
+        write(table, number, rows)
+
+    store.write = once
+    for _ in range(2 if fail_at else 1):
+        stream = spark.readStream.schema("source_id long, content_hash string, not_modified boolean, delivery int, fetched_at timestamp").option("maxFilesPerTrigger", 1).parquet(landed)
+        q = ingest.sync_stream(stream, store, mark, sources, contents)
+        try:
+            q.awaitTermination()
+        except Exception:
+            if not failed:
+                raise
+    return store
+
+
+#: Number and state of each version: the first delivery's in order of sources, then those that the second one changed.
+SYNCED = f"""SELECT *, CASE WHEN failed THEN 'import_failed' WHEN delivery = 0 AND bool_or(delivery = 1 AND NOT failed) OVER (PARTITION BY source_id) THEN 'imported' ELSE 'active' END AS status
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY delivery, source_id) AS INT) AS version_id, delivery = 1 AND (source_id - 1) % 7 = 1 AS failed FROM ({ARRIVALS}) WHERE delivery = 0 OR (source_id - 1) % 3 <> 0)"""
+
+
+@query(f"SELECT version_id, source_id, content_hash, status, CASE WHEN failed THEN 'required files are missing: trips.txt' END AS error_message FROM ({SYNCED})")
+def synced_versions(spark, sf):
+    return feed_sync(spark, sf).versions().select(F.col("id").alias("version_id"), "source_id", "content_hash", "status", "error_message")
+
+
+@query(f"SELECT v.version_id, 'T' || CAST(l_orderkey AS VARCHAR) AS trip_gtfs_id, 'P' || CAST(l_partkey AS VARCHAR) AS stop_gtfs_id, CAST(l_linenumber AS SMALLINT) AS stop_sequence FROM ({LEGS}) t JOIN ({SYNCED}) v ON v.content_hash = t.content_hash WHERE NOT failed")
+def synced_stop_times(spark, sf):
+    """Stop times of all imported versions, each with the text ids of its items, by the item ids of its own version."""
+    store = feed_sync(spark, sf)
+    named = lambda t, kind: store.read(t).select("version_id", F.col("item_id").alias(f"{kind}_item_id"), F.col("gtfs_id").alias(f"{kind}_gtfs_id"))
+    times = store.read("stop_times").select("version_id", "trip_item_id", "stop_item_id", "stop_sequence")
+    return times.join(named("trips", "trip"), ["version_id", "trip_item_id"]).join(named("stops", "stop"), ["version_id", "stop_item_id"]).select("version_id", "trip_gtfs_id", "stop_gtfs_id", "stop_sequence")

@@ -471,7 +471,7 @@ def rolling_stats(spark, sf):
     return d.select("event_id", "n_a", F.round("avg_a", 6).alias("avg_a"), "max_a", "n_b", "min_b")
 
 
-@query(f"SELECT event_id, round(list_sort(l)[CAST(ceil(len(l) * 0.9e0 - 1e-9) AS INT)] * 0.1e0, 6) AS p90 FROM (SELECT event_id, list(CAST(least(floor(duration_ms / 0.1e0), 10000) AS INT)) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN {W60} PRECEDING AND CURRENT ROW) AS l FROM ({EVENTS}))")
+@query(f"SELECT event_id, round(list_sort(l)[CAST(greatest(ceil(len(l) * 0.9e0), 1) AS INT)] * 0.1e0, 6) AS p90 FROM (SELECT event_id, list(CAST(least(greatest(floor(duration_ms / 0.1e0 + 0.5e0), 0), 10000) AS INT)) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN {W60} PRECEDING AND CURRENT ROW) AS l FROM ({EVENTS}))")
 def rolling_p90(spark, sf):
     return B.rolling_p90(_samples(spark, sf), "user_id", "ms", "duration_ms", W60).select("event_id", F.round("p90", 6).alias("p90"))
 
@@ -484,8 +484,11 @@ def recent_samples(spark, sf):
 RESULTS = "SELECT user_id AS tile, event_id AS seq, event_id % 5 AS revision, event_id % 7 <> 0 AS ok, CASE WHEN event_id % 11 = 0 THEN '' ELSE 'p' || CAST(event_id AS VARCHAR(20)) END AS payload FROM events"
 
 
-@query(f"""WITH r AS ({RESULTS}), q AS (SELECT tile, max(revision) AS last FROM (SELECT user_id AS tile, event_id % 4 AS revision FROM events) GROUP BY 1), n AS (SELECT r.tile, arg_max((ok, payload), seq) AS now FROM r JOIN q ON q.tile = r.tile AND q.last = r.revision GROUP BY 1), b AS (SELECT r.tile, arg_max(payload, (revision, seq)) AS before FROM r JOIN q ON q.tile = r.tile WHERE ok AND payload <> '' AND revision < last GROUP BY 1)
-SELECT q.tile, CASE WHEN n.tile IS NULL OR (now[1] AND now[2] = '') THEN before WHEN now[1] THEN now[2] END AS payload FROM q LEFT JOIN n ON n.tile = q.tile LEFT JOIN b ON b.tile = q.tile""")
+LATEST = f"""WITH r AS ({RESULTS}), q AS (SELECT tile, max(revision) AS last FROM (SELECT user_id AS tile, event_id % 4 AS revision FROM events) GROUP BY 1), n AS (SELECT r.tile, arg_max((ok, payload), seq) AS now FROM r JOIN q ON q.tile = r.tile AND q.last = r.revision GROUP BY 1), b AS (SELECT r.tile, arg_max(payload, (revision, seq)) AS before FROM r JOIN q ON q.tile = r.tile WHERE ok AND payload <> '' AND revision < last GROUP BY 1)
+SELECT q.tile, CASE WHEN n.tile IS NULL OR (now[1] AND now[2] = '') THEN before WHEN now[1] THEN now[2] END AS payload FROM q LEFT JOIN n ON n.tile = q.tile LEFT JOIN b ON b.tile = q.tile"""
+
+
+@query(LATEST)
 def latest_revisions(spark, sf):
     asked = run(spark, sf, "SELECT user_id AS tile, event_id % 4 AS revision FROM events")
     return B.latest_revision(run(spark, sf, RESULTS), asked, "tile")

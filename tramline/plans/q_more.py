@@ -18,7 +18,7 @@ from ..sources import sinks as K
 from .fixtures import fx, run, whole
 from ..steps import root
 from . import image_sql
-from .q_map import AS_TILES, MANIFEST, _manifest, _tiles
+from .q_map import AS_TILES, MANIFEST, _banded, _manifest, _tiles
 
 QUERIES, SQL = {}, {}
 
@@ -89,11 +89,30 @@ def band_sizes(spark, sf):
     return A.check_band_dims(d).select("tile_id")
 
 
-@query(f"SELECT CAST(4 AS INT) AS z, count(*) AS n FROM (SELECT DISTINCT x // 2, y // 2, (y % 2) * 12 + row_no // 2, (x % 2) * 12 + col_no // 2 FROM ({AS_TILES})) HAVING count(*) > 0 UNION ALL SELECT CAST(3 AS INT), count(*) FROM (SELECT DISTINCT x // 4, y // 4, ((y // 2) % 2) * 12 + ((y % 2) * 12 + row_no // 2) // 2, ((x // 2) % 2) * 12 + ((x % 2) * 12 + col_no // 2) // 2 FROM ({AS_TILES})) HAVING count(*) > 0")
+UP = """SELECT CAST(z - 1 AS INT) AS z, CAST(x // 2 AS INT) AS x, CAST(y // 2 AS INT) AS y, CAST((y % 2) * 12 + row_no // 2 AS INT) AS row_no, CAST((x % 2) * 12 + col_no // 2 AS INT) AS col_no, CAST(floor(avg(r) + 0.5) AS INT) AS r, CAST(floor(avg(g) + 0.5) AS INT) AS g, CAST(floor(avg(b) + 0.5) AS INT) AS b, CAST(floor(avg(a) + 0.5) AS INT) AS a FROM ({}) GROUP BY 1, 2, 3, 4, 5"""
+
+
+@query(f"WITH four AS ({UP.format(AS_TILES)}) SELECT * FROM four UNION ALL {UP.format('SELECT * FROM four')}")
 def image_pyramid(spark, sf):
-    levels = A.quad_pyramid(_tiles(spark, sf), 2)
-    one = lambda d: d.groupBy("z").agg(F.count(F.lit(1)).alias("n"))
-    return one(levels[1]).unionByName(one(levels[2]))
+    levels = A.xyz_pyramid(_tiles(spark, sf), 2)
+    return levels[1].unionByName(levels[2])
+
+
+@query(image_sql.QUADTREE)
+def quad_pyramid(spark, sf):
+    """The images between 0 and 80 degrees north as a quadtree of three levels, 16 pixels a side."""
+    return A.quad_pyramid(fx(spark, sf, "dx_px"), _banded(_manifest(spark, sf)), 16, 2, _path(spark, "quadtree"))
+
+
+@query(image_sql.RESAMPLED)
+def tile_resample(spark, sf):
+    """Windows about the lower right corner of every tile of the image whose tiles stand two abreast."""
+    px = fx(spark, sf, "dx_px").withColumn("tx", (F.col("tile_id") % 2).cast("int")).withColumn("ty", F.floor(F.col("tile_id") / 2).cast("int"))
+    tiles = px.select("tile_id", "tx", "ty").distinct()
+    down = (tiles.agg(F.max("ty")).first()[0] or 0) + 1
+    x, y = F.col("tx") * 24.0, F.col("ty") * -24.0
+    windows = tiles.select(F.col("tile_id").alias("request"), S.box(x + 15.25, y - 29.5, x + 33.0, y - 11.75).alias("area"))
+    return A.tile_resample(px, windows, (0.0, -24.0 * down, 48.0, 0.0), 24, 24, 2, down, 11, 9)
 
 
 @query(image_sql.TILEJSON)

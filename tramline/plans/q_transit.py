@@ -71,7 +71,8 @@ def tree_(spark, sf):
 
 def features_(spark, sf):
     s = stops_(spark, sf)
-    return L.tile_features(L.stop_points(s), agg_(spark, sf), fx(spark, sf, "fx_routes"), s)
+    tilings = L.selected_tilings(fx(spark, sf, "fx_versions").withColumn("source_id", F.col("version_id").cast("long") + 6), fx(spark, sf, "dx_sources"))
+    return L.tile_features(L.stop_points(s), agg_(spark, sf), fx(spark, sf, "fx_routes"), s, tilings)
 
 
 QUERIES, SQL = {}, {}
@@ -87,11 +88,12 @@ def query(sql: str | None = None):
     return add
 
 
-FEATURES = """SELECT p.version_id, 13 AS z, p.x, p.y, p.item_id AS stop_item_id, p.item_gtfs_id AS stop_id, coalesce(p.stop_name, '') AS stop_name, coalesce(p.stop_code, '') AS stop_code, p.location_type,
-  coalesce(u.item_gtfs_id, '') AS parent_station_id, s.route_types, CAST(s.route_count AS INT) AS route_count,
+FEATURES = """SELECT p.version_id, 13 AS z, p.x, p.y, d.feature_id, o.slug AS source_slug, p.item_id AS stop_item_id, p.item_gtfs_id AS stop_id, coalesce(p.stop_code, '') AS stop_code, coalesce(p.stop_name, '') AS stop_name, coalesce(p.stop_desc, '') AS stop_desc,
+  coalesce(u.item_gtfs_id, '') AS parent_station_id, p.location_type, coalesce(p.wheelchair_boarding, 0) AS wheelchair_boarding, coalesce(p.platform_code, '') AS platform_code, s.route_types, CAST(s.route_count AS INT) AS route_count,
   CAST(floor(((p.stop_lon + 180e0) / 360e0 * 8192e0 - p.x) * 4096 + 0.5e0) AS INT) AS px,
   CAST(floor(((1e0 - ln(tan(radians(p.stop_lat)) + 1e0 / cos(radians(p.stop_lat))) / pi()) / 2e0 * 8192e0 - p.y) * 4096 + 0.5e0) AS INT) AS py
-FROM placed p LEFT JOIN summary s ON s.version_id = p.version_id AND s.stop_item_id = p.item_id LEFT JOIN fx_stops u ON u.version_id = p.version_id AND u.item_id = p.parent_station_item_id"""
+FROM placed p JOIN (SELECT version_id, item_id, row_number() OVER (PARTITION BY version_id ORDER BY item_id) AS feature_id FROM points) d ON d.version_id = p.version_id AND d.item_id = p.item_id JOIN dx_sources o ON o.id = p.version_id + 6
+LEFT JOIN summary s ON s.version_id = p.version_id AND s.stop_item_id = p.item_id LEFT JOIN fx_stops u ON u.version_id = p.version_id AND u.item_id = p.parent_station_item_id"""
 
 
 @query(FEATURES)
@@ -99,11 +101,13 @@ def tile_stops_with_routes(spark, sf):
     return features_(spark, sf)
 
 
-@query(f"SELECT version_id, z, x, y, count(*) AS n_features, sum(route_count) AS n_routes FROM ({FEATURES}) GROUP BY 1, 2, 3, 4")
+@query(f"SELECT *, count(*) OVER (PARTITION BY version_id, z, x, y) AS n_features FROM ({FEATURES})")
 def tiles_assembled(spark, sf):
+    """What stands in the payload of each tile."""
     t = L.tiles(features_(spark, sf))
-    counts = F.aggregate(F.from_json("payload", "array<struct<route_count: int>>"), F.lit(0).cast("long"), lambda a, f: a + f["route_count"])
-    return t.select("version_id", "z", "x", "y", "n_features", counts.alias("n_routes"))
+    kinds = {f: "long" if f == "feature_id" else "int" for f in ("feature_id", "stop_item_id", "location_type", "wheelchair_boarding", "route_count", "px", "py")}
+    schema = ", ".join(f"{f}: {kinds.get(f, 'string')}" for f in (*L.ATTRIBUTES, "px", "py"))
+    return t.select("version_id", "z", "x", "y", "n_features", F.inline(F.from_json("payload", f"array<struct<{schema}>>")))
 
 
 @query(f"SELECT x >> 6 AS chunk_x, y >> 6 AS chunk_y, count(*) AS n_tiles, CAST((y >> 6) * 128 + (x >> 6) + 1 AS BIGINT) AS progress, CAST(16384 AS BIGINT) AS \"of\" FROM (SELECT DISTINCT x, y FROM ({FEATURES})) GROUP BY 1, 2, 4")
@@ -112,9 +116,9 @@ def export_progress(spark, sf):
 
 
 @query(f"""SELECT version_id, stop_item_id, x, y, parent_station_id = '' AND location_type IN (0, 1) AND route_types IN ('0','1','2','3','4','5','6','7','11','12','200','1100','1500') AS root,
-CASE location_type WHEN 1 THEN 'station' WHEN 2 THEN 'entrance_exit' WHEN 3 THEN 'generic_node' WHEN 4 THEN 'boarding_area' ELSE CASE WHEN stop_code <> '' THEN 'stop' ELSE 'unknown' END END AS symbol FROM ({FEATURES})""")
+CASE location_type WHEN 1 THEN 'station' WHEN 2 THEN 'entrance_exit' WHEN 3 THEN 'generic_node' WHEN 4 THEN 'boarding_area' ELSE CASE WHEN platform_code <> '' THEN 'platform' WHEN stop_code <> '' THEN 'stop' ELSE 'unknown' END END AS symbol FROM ({FEATURES})""")
 def stop_symbols(spark, sf):
-    d = features_(spark, sf).withColumn("platform_code", F.lit(""))
+    d = features_(spark, sf)
     return d.select("version_id", "stop_item_id", "x", "y", L.is_root_stop().alias("root"), L.stop_symbol().alias("symbol"))
 
 

@@ -16,16 +16,26 @@ MARK = "﻿"
 
 
 def read_gtfs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All columns as text, headers without mark and outer space, values as they stand; with file and row place in ``row_ord``."""
+    """All columns as text, headers without mark and outer space, values as they stand; with ``file`` (base name) and row place in ``row_ord``.
+
+    Rows may be of any width: cells that a short row lacks are null, those that a long one has beyond the header are left out. What does not
+    read as its type is for ``gtfs_import.load`` (``strict``: fails with file and row) or ``gtfs_import.sorted_out`` to find.
+    """
     raw = spark.read.option("header", True).option("multiLine", True).option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("nullValue", "").option("inferSchema", False).csv(paths)
     named = raw.toDF(*[c.lstrip(MARK).strip() for c in raw.columns])
-    return named.withColumn("row_ord", F.monotonically_increasing_id())
+    return named.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).withColumn("row_ord", F.monotonically_increasing_id())
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
     """No rows, with the raw columns of a file: what an absent optional file stands for."""
     fields = [T.StructField(source, T.StringType()) for source, _ in SPECS[name].values()]
-    return spark.createDataFrame([], T.StructType([*fields, T.StructField("row_ord", T.LongType())]))
+    return spark.createDataFrame([], T.StructType([*fields, T.StructField("file", T.StringType()), T.StructField("row_ord", T.LongType())]))
+
+
+def read_artifacts(spark: SparkSession, root: str, pattern: str = "*.zip") -> DataFrame:
+    """(path, modified_at, length, content) of the files below ``root`` whose names match; columns that a job doesn't use are not read. Empty files are not listed."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
+    return files.select("path", F.col("modificationTime").alias("modified_at"), "length", "content")
 
 
 def feed_members(listing: DataFrame) -> DataFrame:
@@ -58,9 +68,9 @@ FEED = "struct<id: long, name: string, onestop_id: string, urls: struct<static_c
 
 
 def read_catalog_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed API pages as (page_no, feeds, after); the page number is in the file's name."""
-    pages = spark.read.schema(f"feeds array<{FEED}>, meta struct<after: long>").option("multiLine", True).json(path)
-    return pages.select(F.regexp_extract(F.input_file_name(), r"(\d+)\D*$", 1).cast("int").alias("page_no"), F.coalesce("feeds", F.array().cast(f"array<{FEED}>")).alias("feeds"), F.col("meta.after").alias("after"))
+    """Landed API pages as (page_no, feeds, after); the page number is the last one in the file's base name."""
+    pages = spark.read.schema(f"feeds array<{FEED}>, meta struct<after: long>").option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    return pages.select(F.regexp_extract(F.input_file_name(), r"(\d+)[^\d/]*$", 1).cast("int").alias("page_no"), F.coalesce("feeds", F.array().cast(f"array<{FEED}>")).alias("feeds"), F.col("meta.after").alias("after"))
 
 
 SEED = "slug string, name string, source_url string, direct_download_url string, license_url string, attribution string"
@@ -112,7 +122,13 @@ CHUNK = "tile struct<z: int, x: int, y: int>, bounds struct<west: double, south:
 def read_chunks(spark: SparkSession, root: str) -> DataFrame:
     """Chunks below ``root``: folders with a meta.json; extraction bounds default to the bounds, the buffer to 0."""
     meta = spark.read.schema(CHUNK).option("multiLine", True).json(f"{root}/*/meta.json").withColumn("dir", F.regexp_extract(F.input_file_name(), r"([^/]+)/meta\.json$", 1))
-    return meta.select("dir", "tile.*", "bounds", F.coalesce("extraction_bounds", "bounds").alias("extraction"), F.coalesce("buffer_meters", F.lit(0.0)).alias("buffer_meters")).orderBy("z", "x", "y", "dir")
+    return meta.select("dir", "tile.*", "bounds", F.coalesce("extraction_bounds", "bounds").alias("extraction"), F.coalesce("buffer_meters", F.lit(0.0)).alias("buffer_meters"))
+
+
+def read_chunk_layers(spark: SparkSession, root: str) -> DataFrame:
+    """A row for each chunk and layer: chunks as of ``read_chunks`` with ``layer`` and ``path`` of each ``layer.geojson`` in their folder, by (z, x, y, dir, layer). The listing reads no file; folders without a meta.json are left out."""
+    listed = read_artifacts(spark, root, "*.geojson").select("path", F.regexp_extract("path", r"([^/]+)/([^/]+)\.geojson$", 1).alias("dir"), F.regexp_extract("path", r"([^/]+)/([^/]+)\.geojson$", 2).alias("layer"))
+    return read_chunks(spark, root).join(listed, "dir").orderBy("z", "x", "y", "dir", "layer")
 
 
 def read_manifest(spark: SparkSession, folder: str, cache: str | None = None) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Sinks: versions replaced whole, tiles in order, manifests appended."""
+"""Sinks: versions replaced whole, counted writes, tiles in order, named files, manifests appended."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import spatial as S
@@ -20,6 +23,49 @@ def reconcile_counts(produced: DataFrame, written: DataFrame, keys: list[str]) -
     return both.filter("produced != written")
 
 
+class CountMismatch(Exception):
+    """A write took another number of rows than were produced."""
+
+
+def write_counted(df: DataFrame, path: str, accepted: Column | None = None) -> tuple[int, int]:
+    """Write ``df`` (of which only the rows that are ``accepted``) and give the numbers of rows produced and written; that they differ is an error.
+
+    Rows are counted while they are written, so ``df`` is computed once; what was written is counted from the files' footers.
+    """
+    seen = Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    (rows if accepted is None else rows.filter(accepted)).write.mode("overwrite").parquet(path)
+    produced, written = int(seen.get["n"]), df.sparkSession.read.schema(df.schema).parquet(path).count()
+    if produced != written:
+        raise CountMismatch(f"{produced} rows were produced, {written} are in {path}")
+    return produced, written
+
+
+def write_files(df: DataFrame, root: str) -> int:
+    """One file for each row of (path, content): texts or bytes below ``root``, written by the tasks that have the rows; their number.
+
+    A path may not leave ``root``. A task that runs again writes the same files again; of rows with one path any is left.
+    """
+    uri = root if "://" in root else root.replace("file:", "file://", 1) if root.startswith("file:") else f"file://{root}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(uri)
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                parts = path.split("/")
+                if ".." in parts or not parts[-1]:
+                    raise ValueError(f"not a path below the root: {path}")
+                target = "/".join([base.rstrip("/"), *[p for p in parts if p]])
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(target) as out:
+                    out.write(bytes(content or b""))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return df.select("path", F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_tiles(df: DataFrame, path: str, partitions: int = 64) -> None:
     """Tiles (z, x, y, ...) in ranges of their address, sorted; no tile at all is an error."""
     if df.isEmpty():

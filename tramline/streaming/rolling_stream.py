@@ -1,11 +1,18 @@
-"""Rolling statistics over a stream in event time, with state by key that is bounded by the longest window and the delay.
+"""Rolling statistics over a stream in event time, with state by key that a batch appends to.
 
-Samples wait in the state until the watermark is past their millisecond; then no sample of that or an earlier one can come, and they are
-given out in order of time with the statistics that the batch windows have: frames by range, so samples that tie count for each
+Samples wait in a list state until the watermark is past their millisecond; then no sample of that or an earlier one can come, and they
+are given out in order of time with the statistics that the batch windows have: frames by range, so samples that tie count for each
 other. So the result does not depend on how samples fall into micro-batches. Samples later than the watermark are left
-out by the engine. Those that the final watermark has not passed are not given out yet.
+out. Those that the final watermark has not passed are not given out yet.
 
-A key's state holds what waits and what a later frame may still reach; it is removed when the watermark is a window past the last.
+State of a key:
+
+* ``arrived``: a list of samples that wait, to which a batch appends; a timer stands at the first of them;
+* ``samples``: what has been given out and a later frame may reach, by chunks of ``CHUNK_MS`` of event time, so that a chunk is written
+  as often as the watermark stops in it; a timer ends each;
+* ``given``: the time up to which samples have been given out.
+
+A timer that fires reads the chunks from a window before the first sample to be given out, and gives out what the watermark has passed.
 """
 
 from __future__ import annotations
@@ -16,54 +23,105 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-SHORT_MS, KEEP_MS = 10_000, 300_000
-OUT = "user_id long, event_id long, ended_ms long, n_10s long, avg_10s double, n_300s long, max_300s double"
-STATE = "event_id array<long>, ms array<long>, value array<double>, given long"
+from ..operators.rolling import BUCKET_MS, CAP_MS, percentiles
 
+RATE_MS, RATE_LEAST = 1_000, 1_000
+#: The trailing windows, in milliseconds.
+WINDOWS = {"10s": 10_000, "1m": 60_000, "5m": 300_000}
+KEEP_MS = max(WINDOWS.values())
+CHUNK_MS = 60_000
+OUT = "user_id long, event_id long, ended_ms long, rate double, " + ", ".join(f"n_{w} long, min_{w} double, avg_{w} double, p90_{w} double, max_{w} double" for w in WINDOWS)
+#: The state store that list and map states and timers need.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
-def trailing(ms: np.ndarray, value: np.ndarray, first: int) -> list[np.ndarray]:
-    """For the sorted times from place ``first`` on: count and mean over the short window, count and maximum over the long one."""
-    until = np.searchsorted(ms, ms[first:], "right")
-    short, long_ = (np.searchsorted(ms, ms[first:] - width, "left") for width in (SHORT_MS, KEEP_MS))
-    # The largest of each frame, by tables of the largest of 1, 2, 4, ... values.
+
+def _most(value: np.ndarray, start: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """The largest of value[start:until], by tables of the largest of 1, 2, 4, ... values."""
     tables = [value]
     while (step := 1 << len(tables) - 1) * 2 <= len(value):
         tables.append(np.maximum(tables[-1][:-step], tables[-1][step:]))
-    level = np.frexp((until - long_).astype(np.float64))[1] - 1
+    level = np.frexp((until - start).astype(np.float64))[1] - 1
     most = np.empty(len(until))
     for k in np.unique(level):
         at = level == k
-        most[at] = np.maximum(tables[k][long_[at]], tables[k][until[at] - (1 << int(k))])
+        most[at] = np.maximum(tables[k][start[at]], tables[k][until[at] - (1 << int(k))])
+    return most
+
+
+def trailing(ms: np.ndarray, value: np.ndarray, first: int) -> dict[str, np.ndarray]:
+    """For the sorted times from place ``first`` on: the rate, and count, least, mean, percentile and largest of each window."""
+    until = np.searchsorted(ms, ms[first:], "right")
+    since = np.searchsorted(ms, ms[first:] - RATE_MS, "left")
+    elapsed = np.minimum(RATE_MS, np.maximum(ms[first:] - ms[since], RATE_LEAST))
+    out = {"rate": (until - since) / (elapsed / 1000.0)}
+    buckets = np.clip(np.floor(value / BUCKET_MS + 0.5), 0, int(CAP_MS / BUCKET_MS)).astype(np.int64)
     # Sums are taken from the first value that a frame can have, so none loses digits to a long past.
     total = np.concatenate([[0.0], np.cumsum(value - value[0])])
-    n = until - short
-    return [n, (total[until] - total[short]) / n + value[0], until - long_, most]
-
-
-def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    event_id, ms, value, given = state.get if state.exists else ([], [], [], 0)
-    new = pd.concat(list(batches)) if not state.hasTimedOut else pd.DataFrame({"event_id": [], "ended_ms": [], "duration_ms": []})
-    waiting = pd.DataFrame({"event_id": np.concatenate([np.array(event_id[given:], np.int64), new["event_id"].to_numpy(np.int64)]), "ms": np.concatenate([np.array(ms[given:], np.int64), new["ended_ms"].to_numpy(np.int64)]), "value": np.concatenate([np.array(value[given:], float), new["duration_ms"].to_numpy(float)])})
-    waiting = waiting.sort_values(["ms", "event_id"], kind="stable")
-    ids, times, values = (np.concatenate([np.array(old[:given], t), waiting[c].to_numpy(t)]) for old, c, t in ((event_id, "event_id", np.int64), (ms, "ms", np.int64), (value, "value", float)))
-    mark = state.getCurrentWatermarkMs()
-    upto = int(np.searchsorted(times, mark, "left"))
-    if upto > given:
-        columns = trailing(times[:upto], values[:upto], given)
-        yield pd.DataFrame(dict(zip(("user_id", "event_id", "ended_ms", "n_10s", "avg_10s", "n_300s", "max_300s"), ([key[0]] * (upto - given), ids[given:upto], times[given:upto], *columns))))
-    # A later sample is after the watermark, so its frame does not reach further back than this.
-    kept = int(np.searchsorted(times, mark - KEEP_MS, "left"))
-    if kept == len(times):
-        state.remove()
-        return
-    state.update((ids[kept:].tolist(), times[kept:].tolist(), values[kept:].tolist(), max(upto, given) - kept))
-    # Next when the first that waits is passed, or when all that is kept has grown too old.
-    state.setTimeoutTimestamp(max(int(times[upto]) if upto < len(times) else int(times[-1]) + KEEP_MS, mark))
+    for name, width in WINDOWS.items():
+        start = np.searchsorted(ms, ms[first:] - width, "left")
+        n = until - start
+        out |= {
+            f"n_{name}": n, f"min_{name}": -_most(-value, start, until), f"avg_{name}": (total[until] - total[start]) / n + value[0],
+            f"p90_{name}": percentiles(ms, buckets, first, width, 0.9) * BUCKET_MS, f"max_{name}": _most(value, start, until),
+        }
+    return out
+
+
+class Diagnostics(StatefulProcessor):
+    """Samples of one user: kept by chunk, given out when a timer finds them behind the watermark."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.arrived = handle.getListState("arrived", "event_id long, ms long, value double")
+        self.samples = handle.getMapState("samples", "chunk long", "event_id array<long>, ms array<long>, value array<double>")
+        self.given = handle.getValueState("given", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        given = self.given.get()
+        new = pd.concat(list(rows))
+        new = new[new["ended_ms"] >= max(given[0] if given else -(1 << 62), timerValues.getCurrentWatermarkInMs())]
+        if len(new):
+            self.arrived.appendList([(int(e), int(m), float(v)) for e, m, v in zip(new["event_id"], new["ended_ms"], new["duration_ms"])])
+            self.handle.registerTimer(int(new["ended_ms"].min()))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        arrived = [tuple(r) for r in self.arrived.get()] if self.arrived.exists() else []
+        due, wait = sorted((r for r in arrived if r[1] < mark), key=lambda r: (r[1], r[0])), [r for r in arrived if r[1] >= mark]
+        if due:
+            # What still waits is put back: at most what came in a delay.
+            self.arrived.put(wait) if wait else self.arrived.clear()
+            yield self._given_out(key, due)
+            self.given.update((mark,))
+        if wait:
+            self.handle.registerTimer(max(min(r[1] for r in wait), expiredTimerInfo.getExpiryTimeInMs() + 1))
+        # A later sample is after the watermark, so its frame does not reach further back than this.
+        for chunk in [k[0] for k in self.samples.keys()] if self.samples.exists() else []:
+            if (chunk + 1) * CHUNK_MS <= mark - KEEP_MS:
+                self.samples.removeKey((chunk,))
+        yield pd.DataFrame()
+
+    def _given_out(self, key, due: list[tuple]) -> pd.DataFrame:
+        reach = (due[0][1] - KEEP_MS) // CHUNK_MS
+        kept = {k[0]: v for k, v in self.samples.iterator() if k[0] >= reach} if self.samples.exists() else {}
+        parts = [[np.asarray(kept[c][i]) for c in sorted(kept)] + [np.array([r[i] for r in due])] for i in range(3)]
+        ids, ms, value = (np.concatenate(p).astype(t) for p, t in zip(parts, (np.int64, np.int64, float)))
+        first = len(ids) - len(due)
+        for chunk in sorted({r[1] // CHUNK_MS for r in due}):
+            own = ms // CHUNK_MS == chunk
+            self.samples.updateValue((chunk,), (ids[own].tolist(), ms[own].tolist(), value[own].tolist()))
+            self.handle.registerTimer((chunk + 1) * CHUNK_MS + KEEP_MS)
+        return pd.DataFrame({"user_id": [key[0]] * len(due), "event_id": ids[first:], "ended_ms": ms[first:]} | trailing(ms, value, first))
+
+    def close(self) -> None:
+        pass
 
 
 def rolling_stream(samples: DataFrame, delay_ms: int = KEEP_MS) -> DataFrame:
-    """Samples (user_id, event_id, ended_at, duration_ms) with trailing statistics at each, as soon as the watermark, ``delay_ms`` behind the newest sample, has passed it."""
+    """Samples (user_id, event_id, ended_at, duration_ms) with trailing statistics at each, as soon as the watermark, ``delay_ms`` behind the newest sample, has
+    passed it. The session's state store must be that of ``STORE``."""
     rows = samples.withWatermark("ended_at", f"{delay_ms} milliseconds").select("user_id", "event_id", F.unix_millis("ended_at").alias("ended_ms"), "duration_ms", "ended_at")
-    return rows.groupBy("user_id").applyInPandasWithState(_update, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("user_id").transformWithStateInPandas(Diagnostics(), OUT, "Append", "EventTime")
