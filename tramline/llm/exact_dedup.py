@@ -7,7 +7,7 @@ the same buckets. The index side is not shuffled; while a bucket has one file it
 appends Spark sorts the bucket's files together, until ``compact`` has made them one.
 
 The number of buckets and the current generation of files are kept beside the data, in ``_about``: an index opened again, in
-any session and with any settings, has the buckets it was made with. ``compact`` writes a new generation and then names it
+any session and with any settings, has the buckets it was made with. ``compact`` writes a new generation, in a new folder, and then names it
 there, so one that is cut off leaves the old one in force. One writer at a time.
 
 Defined cases: a null text counts as empty; texts that differ in ASCII white space alone are equal; of equal texts the
@@ -18,15 +18,18 @@ all others. An empty batch appends nothing. Further columns pass through ``kept_
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, partitions, scratch, table, unused
+from .common import ASCII_SPACE, materialise, partitions, scratch, table, unused
 
 #: Parts into which the rows of one digest are dealt before anything needs them together.
 SALTS = 64
+#: What is kept beside an index: its generations, each with its buckets and its folder.
+ABOUT = "generation int, buckets int, folder string"
 
 
 def normalised(text: Column) -> Column:
@@ -39,7 +42,8 @@ def digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
         F.col(id_col).alias("doc_id"),
         F.sha2(normalised(F.col(text)), 256).alias("digest"),
         F.coalesce(F.char_length(F.col(text)), F.lit(0)).cast("long").alias("n_points"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int").alias("salt"),
+        # Rows without an id are dealt by their place, so what this gives must be written before it is used twice.
+        F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(F.col(id_col))), F.lit(SALTS)).cast("int").alias("salt"),
     )
 
 
@@ -58,35 +62,46 @@ def groups(hashed: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """The persistent index at ``path``; an existing one is opened again. ``buckets`` counts for a new one alone."""
+    """The persistent index at ``path``; an existing one is opened again. ``buckets`` counts for a new one alone.
+
+    Each generation of it has a folder of a name of its own, which ``_about`` names, with the number of buckets, once it is whole. So a
+    compaction that is broken off anywhere leaves the index as it was, and nothing that it left is ever looked at.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         self.spark, self.path = spark, path.rstrip("/")
         about = f"{self.path}/_about"
         try:
-            found = spark.read.schema("generation int, buckets int").parquet(about).orderBy(F.desc("generation")).first()
+            found = spark.read.schema(ABOUT).parquet(about).orderBy(F.desc("generation"), "folder").first()
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             found = None
         if found is None:
-            self._name(0, buckets)
-            found = (0, buckets)
+            found = (0, buckets, self._folder(0))
+            self._name(*found)
         self._open(*found)
 
-    def _name(self, generation: int, buckets: int) -> None:
-        self.spark.createDataFrame([(generation, buckets)], "generation int, buckets int").coalesce(1).write.mode("append").parquet(f"{self.path}/_about")
+    def _folder(self, generation: int) -> str:
+        return f"generation-{generation}-{uuid.uuid4().hex[:12]}"
+
+    def _name(self, generation: int, buckets: int, folder: str) -> None:
+        self.spark.createDataFrame([(generation, buckets, folder)], ABOUT).coalesce(1).write.mode("append").parquet(f"{self.path}/_about")
 
-    def _open(self, generation: int, buckets: int) -> None:
-        self.generation, self.buckets = generation, buckets
-        location = f"{self.path}/generation-{generation}"
-        self.name = "digest_index_" + hashlib.sha256(location.encode()).hexdigest()[:24]
+    def _entry(self, buckets: int, folder: str) -> str:
+        """The catalogue's entry of a folder, made where it is not there."""
+        location = f"{self.path}/{folder}"
+        name = "digest_index_" + hashlib.sha256(location.encode()).hexdigest()[:24]
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT, n_points BIGINT, group_size BIGINT) "
+            f"CREATE TABLE IF NOT EXISTS {name} (digest STRING, keep_id BIGINT, n_points BIGINT, group_size BIGINT) "
             f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{location}'"
         )
         # Another session may have appended since this one last looked.
-        self.spark.catalog.refreshTable(self.name)
+        self.spark.catalog.refreshTable(name)
+        return name
+
+    def _open(self, generation: int, buckets: int, folder: str) -> None:
+        self.generation, self.buckets, self.name = generation, buckets, self._entry(buckets, folder)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -100,19 +115,22 @@ class DigestIndex:
 
     def compact(self, buckets: int | None = None) -> None:
         """Write all rows as one file a bucket, as a new generation, with another number of buckets if given. The old files stay."""
-        rows, generation, buckets = self.rows(), self.generation + 1, buckets or self.buckets
-        self._open(generation, buckets)
-        rows.repartition(buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name, overwrite=True)
-        self.spark.catalog.refreshTable(self.name)
-        self._name(generation, buckets)
+        generation, buckets = self.generation + 1, buckets or self.buckets
+        folder = self._folder(generation)
+        name = self._entry(buckets, folder)
+        self.rows().repartition(buckets, "digest").sortWithinPartitions("digest").write.insertInto(name, overwrite=True)
+        self.spark.catalog.refreshTable(name)
+        self._name(generation, buckets, folder)
+        self._open(generation, buckets, folder)
 
     def dedup(self, docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
         """Append the batch's new texts; return (doc_id, digest, keep_id, group_size, kept) for each of its rows.
 
-        ``group_size`` counts the rows of the batch that first brought the text. In later batches nothing equal to
-        an indexed text is kept.
+        ``group_size`` counts the rows of the batch that first brought the text. In later batches nothing equal to an indexed text is
+        kept but the row with the id that stays: a batch that is given again, as after a failure, has the results that it had. Texts are
+        read and hashed once; ids and digests are written.
         """
-        hashed = digests(docs, text, id_col)
+        hashed = materialise(digests(docs, text, id_col), "hashed")
         found = groups(hashed)
         self.append(found)
         # A digest's row is repeated only for the salts at which it has rows, so a hot one meets its rows in SALTS tasks.

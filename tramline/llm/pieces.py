@@ -32,9 +32,10 @@ MARK = "\x01"
 REMEMBERED = 500_000
 #: Pieces encoded at a time.
 TOGETHER = 400
-#: A word, punctuation, and perhaps a line feed and another word with or without punctuation. Letters and marks are of
-#: blocks in which all characters are letters; the apostrophe is left out, as it may go with what follows.
-_LETTERS, _MARKS = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+", r"[!-&(-/:-@\[-`{-~]+"
+#: A word, punctuation, and perhaps a line feed and another word with or without punctuation. Letters are of blocks in which
+#: all characters are letters, and only those that stay letters under each vocabulary's normaliser: U+0130 is left out, as its lower case
+#: ends in a combining mark, which goes with punctuation after it. The apostrophe is left out, as it may go with what follows.
+_LETTERS, _MARKS = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+", r"[!-&(-/:-@\[-`{-~]+"
 PARTS = re.compile(rf"({_LETTERS})({_MARKS})?(?:(\n)({_LETTERS})({_MARKS})?)?")
 
 
