@@ -235,9 +235,8 @@ def test_revisions_in_any_order(spark, tmp_path):
     assert shown == {r.tile: r.payload for r in batch.collect()}
 
 
-@pytest.mark.parametrize("fail_at", ["stop_times", "versions"])
-def test_sync_that_fails_midway_gives_the_tables_of_import_version(spark, sf, fail_at):
-    whole, broken = q_io.feed_sync(spark, sf), q_io.feed_sync(spark, sf, fail_at)
+def test_sync_that_fails_midway_gives_the_tables_of_import_version(spark, sf):
+    whole, broken = q_io.feed_sync(spark, sf), q_io.feed_sync(spark, sf, "stop_times")
     assert broken.committed() == whole.committed() == [0, 1]
     rows = lambda d: sorted(map(str, d.collect()))
     assert rows(broken.versions()) == rows(whole.versions()) and rows(broken.pointers()) == rows(whole.pointers())

@@ -63,11 +63,11 @@ def merged_sources(spark, sf):
     return D.merge_sources(D.discover(_api(spark, sf), _catalog(spark, sf))).select("slug", "name", "source_url", "direct_download_url")
 
 
-@query("""SELECT page_no, pos AS "at", feed FROM (SELECT CAST(floor(o_orderkey / 100e0) AS INT) AS page_no, o_orderkey % 100 AS pos, o_orderkey AS feed FROM orders) WHERE page_no <= least(50, (SELECT floor(max(o_orderkey) / 200e0) FROM orders))""")
+@query("""SELECT page_no, pos AS "at", feed FROM (SELECT CAST(floor(o_orderkey / 100e0) AS INT) AS page_no, o_orderkey % 100 AS pos, o_orderkey AS feed FROM orders) WHERE page_no <= (SELECT floor(max(o_orderkey) / 200e0) FROM orders)""")
 def feed_pages(spark, sf):
     d = run(spark, sf, "SELECT CAST(floor(o_orderkey / 100e0) AS INT) AS page_no, CAST(o_orderkey % 100 AS INT) AS pos, o_orderkey, (SELECT CAST(floor(max(o_orderkey) / 200e0) AS INT) FROM orders) AS stop FROM orders")
     pages = d.groupBy("page_no", "stop").agg(F.array_sort(F.collect_list(F.struct("pos", "o_orderkey"))).alias("feeds")).withColumn("after", F.when(F.col("page_no") != F.col("stop"), F.col("page_no")))
-    return D.pages_before_stop(pages.drop("stop"), 50).select("page_no", F.col("feed.pos").cast("long").alias("at"), F.col("feed.o_orderkey").alias("feed"))
+    return D.pages_before_stop(pages.drop("stop")).select("page_no", F.col("feed.pos").cast("long").alias("at"), F.col("feed.o_orderkey").alias("feed"))
 
 
 @query("SELECT s.id AS source_id, s.slug, v.id, v.content_hash FROM dx_sources s JOIN dx_versions v ON v.id = s.active_version_id AND v.source_id = s.id")

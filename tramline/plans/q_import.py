@@ -19,7 +19,7 @@ RAW: dict[str, str] = {
     "stops": "SELECT CAST(s_suppkey AS BIGINT) AS row_ord, 'S' || CAST(s_suppkey AS VARCHAR(20)) AS stop_id, s_name AS stop_name, CASE s_suppkey % 5 WHEN 2 THEN 'S' || CAST(s_suppkey + 1 AS VARCHAR(20)) WHEN 3 THEN 'X' || CAST(s_suppkey AS VARCHAR(20)) ELSE '' END AS parent_station, CAST(s_suppkey % 80 AS VARCHAR(20)) || '.25' AS stop_lat, '-' || CAST(s_suppkey % 90 AS VARCHAR(20)) || '.5' AS stop_lon, CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN '1' WHEN 2 THEN '0' ELSE '4' END AS location_type FROM supplier",
     "routes": "SELECT CAST(p_partkey AS BIGINT) AS row_ord, 'R' || CAST(p_partkey AS VARCHAR(20)) AS route_id, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'A' || CAST(p_partkey % 60 + 40 AS VARCHAR(20)) END AS agency_id, p_brand AS route_short_name, CASE p_partkey % 3 WHEN 0 THEN '0' WHEN 1 THEN '3' ELSE '1100' END AS route_type, CASE WHEN p_partkey % 2 = 0 THEN 'ffaa0' || CAST(p_partkey % 10 AS VARCHAR(20)) ELSE '' END AS route_color FROM part",
     "trips": "SELECT CAST(o_orderkey AS BIGINT) AS row_ord, 'T' || CAST(o_orderkey AS VARCHAR(20)) AS trip_id, 'R' || CAST(o_custkey AS VARCHAR(20)) AS route_id, 'V' || CAST(o_orderkey % 9 AS VARCHAR(20)) AS service_id, o_orderpriority AS trip_headsign, CAST(o_orderkey % 2 AS VARCHAR(20)) AS direction_id, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'H' || CAST(o_orderkey % 22 AS VARCHAR(20)) END AS shape_id FROM orders",
-    "stop_times": "SELECT CAST(l_orderkey AS BIGINT) AS row_ord, 'T' || CAST(l_orderkey AS VARCHAR(20)) AS trip_id, CASE WHEN l_partkey % 31 = 0 THEN '' ELSE 'S' || CAST(l_suppkey AS VARCHAR(20)) END AS stop_id, CAST(l_linenumber AS VARCHAR(20)) AS stop_sequence, CASE WHEN l_partkey % 7 = 0 THEN '' ELSE CAST(20 + l_linenumber AS VARCHAR(20)) || ':05:30' END AS arrival_time, CAST(l_partkey % 4 AS VARCHAR(20)) AS pickup_type, CAST(l_linenumber AS VARCHAR(20)) || '.5' AS shape_dist_traveled FROM lineitem",
+    "stop_times": "SELECT CAST(l_orderkey AS BIGINT) AS row_ord, 'T' || CAST(l_orderkey AS VARCHAR(20)) AS trip_id, CASE WHEN l_partkey % 31 = 0 THEN '' ELSE 'S' || CAST(l_suppkey AS VARCHAR(20)) END AS stop_id, CAST(l_linenumber AS VARCHAR(20)) AS stop_sequence, CASE WHEN l_partkey % 7 = 0 THEN '' ELSE CAST(20 + l_linenumber AS VARCHAR(20)) || ':05:30' END AS arrival_time, CASE WHEN l_partkey % 5 = 0 THEN '' ELSE CAST(20 + l_linenumber AS VARCHAR(20)) || ':06:00' END AS departure_time, CAST(l_partkey % 4 AS VARCHAR(20)) AS pickup_type, CASE l_partkey % 3 WHEN 0 THEN '' ELSE CAST(l_partkey % 3 AS VARCHAR(20)) END AS drop_off_type, CASE l_suppkey % 3 WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE '' END AS timepoint, CAST(l_linenumber AS VARCHAR(20)) || '.5' AS shape_dist_traveled FROM lineitem",
     "shapes": "SELECT CAST(p_partkey AS BIGINT) AS row_ord, 'H' || CAST(p_partkey % 25 AS VARCHAR(20)) AS shape_id, CAST(p_partkey % 80 AS VARCHAR(20)) || '.125' AS shape_pt_lat, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE CAST(p_partkey % 70 AS VARCHAR(20)) || '.75' END AS shape_pt_lon, CAST(p_partkey AS VARCHAR(20)) AS shape_pt_sequence, CAST(p_partkey AS VARCHAR(20)) || '.5' AS shape_dist_traveled FROM part",
     "calendar": "SELECT CAST(c_custkey AS BIGINT) AS row_ord, 'V' || CAST(c_custkey AS VARCHAR(20)) AS service_id, CAST(c_custkey % 2 AS VARCHAR(20)) AS monday, CAST(c_custkey % 3 AS VARCHAR(20)) AS tuesday, '1' AS wednesday, '0' AS thursday, '1' AS friday, '' AS saturday, '0' AS sunday, '20240101' AS start_date, '20241231' AS end_date FROM customer",
     "calendar_dates": "SELECT CAST(o_orderkey AS BIGINT) AS row_ord, 'V' || CAST(o_custkey + 7 AS VARCHAR(20)) AS service_id, '202405' || lpad(CAST(o_orderkey % 28 + 1 AS VARCHAR(20)), 2, '0') AS date, CAST(o_orderkey % 2 + 1 AS VARCHAR(20)) AS exception_type FROM orders",
@@ -62,8 +62,23 @@ query(f"SELECT 3 AS version_id, {of('route', 'route_id', 'item_id')}, {of('agenc
       "version_id", "item_id", "agency_item_id", "route_short_name", "route_type", "route_color", table="routes")
 query(f"SELECT 3 AS version_id, {of('trip', 'trip_id', 'item_id')}, {of('route', 'route_id', 'route_item_id')}, {of('service', 'service_id', 'service_item_id')}, {of('shape', 'shape_id', 'shape_item_id')}, trip_headsign, CAST(direction_id AS INT) AS direction_id FROM ({RAW['trips']}) r",
       "version_id", "item_id", "route_item_id", "service_item_id", "shape_item_id", "trip_headsign", "direction_id", table="trips")
-query(f"SELECT 3 AS version_id, {of('trip', 'trip_id', 'trip_item_id')}, {of('stop', 'stop_id', 'stop_item_id')}, CAST(stop_sequence AS INT) AS stop_sequence, CASE WHEN arrival_time <> '' THEN CAST(substr(arrival_time, 1, 2) AS INT) * 3600 + 330 END AS arrival_time, CAST(pickup_type AS INT) AS pickup_type, CAST(shape_dist_traveled AS DOUBLE) AS shape_dist_traveled FROM ({RAW['stop_times']}) r",
-      "version_id", "trip_item_id", "stop_item_id", "stop_sequence", "arrival_time", "pickup_type", "shape_dist_traveled", table="stop_times")
+_CLOCK = "CASE WHEN {0} <> '' THEN CAST(substr({0}, 1, 2) AS INT) * 3600 + {1} END"
+_TIMES = f"""SELECT {of('trip', 'trip_id', 'trip_item_id')}, {of('stop', 'stop_id', 'stop_item_id')}, CAST(stop_sequence AS INT) AS stop_sequence, {_CLOCK.format('arrival_time', 330)} AS arrival_time, {_CLOCK.format('departure_time', 360)} AS departure_time,
+CAST(pickup_type AS INT) AS pickup_type, CAST(coalesce(nullif(drop_off_type, ''), '0') AS INT) AS drop_off_type, CAST(coalesce(nullif(timepoint, ''), '1') AS INT) AS timepoint, CAST(shape_dist_traveled AS DOUBLE) AS shape_dist_traveled, row_ord FROM ({RAW['stop_times']}) r"""
+_ARRAYS = ("stop_item_id", "stop_sequence", "arrival_time", "departure_time", "pickup_type", "drop_off_type", "shape_dist_traveled", "timepoint")
+query(f"SELECT 3 AS version_id, * EXCLUDE (row_ord) FROM ({_TIMES})", "version_id", "trip_item_id", *_ARRAYS, table="stop_times")
+
+
+def imported_stop_times_seq(spark, sf):
+    """All eight arrays of each trip."""
+    text = lambda c: F.array_join(F.transform(c, lambda v: F.coalesce(v.cast("string"), F.lit("-"))), ",").alias(c)
+    return _imported(spark, sf)["stop_times_seq"].select("version_id", "trip_item_id", *[text(f"{c}s") for c in _ARRAYS])
+
+
+QUERIES["imported_stop_times_seq"] = imported_stop_times_seq
+# Rows of one place in a file and one sequence, which a real file has not, are in the order of what they hold.
+_PLACES = ", ".join(f"{c} NULLS FIRST" for c in ("stop_sequence", "row_ord", *(c for c in _ARRAYS if c != "stop_sequence")))
+SQL["imported_stop_times_seq"] = f"WITH {IDS} SELECT 3 AS version_id, trip_item_id, " + ", ".join(f"string_agg(coalesce(CAST({c} AS VARCHAR), '-'), ',' ORDER BY {_PLACES}) AS {c}s" for c in _ARRAYS) + f" FROM ({_TIMES}) GROUP BY trip_item_id"
 query(f"SELECT 3 AS version_id, {of('shape', 'shape_id', 'shape_item_id')}, CAST(shape_pt_lat AS DOUBLE) AS shape_pt_lat, CAST(nullif(shape_pt_lon, '') AS DOUBLE) AS shape_pt_lon, CAST(shape_pt_sequence AS INT) AS shape_pt_sequence FROM ({RAW['shapes']}) r",
       "version_id", "shape_item_id", "shape_pt_lat", "shape_pt_lon", "shape_pt_sequence", table="shapes")
 query(f"SELECT DISTINCT 3 AS version_id, {of('shape', 'shape_id', 'item_id')}, shape_id AS gtfs_id FROM ({RAW['shapes']}) r", "version_id", "item_id", "gtfs_id", table="shape_items")

@@ -14,7 +14,7 @@ from ..sources import readers as R
 from ..sources import sinks as K
 from ..streaming import ingest, revisions, rolling_stream
 from .fixtures import fx, run, table, whole
-from ..steps import root
+from ..steps import root, save
 from .q_map import LATEST, RESULTS
 from .q_spatial import LAT, X, Y
 
@@ -312,7 +312,8 @@ def feed_sync(spark, sf, fail_at: str | None = None):
         arrivals.filter(F.col("delivery") == k).coalesce(1).write.mode("append").parquet(landed)
     sources = run(spark, sf, "SELECT CAST(s_suppkey + 1 AS BIGINT) AS id, 'feed-' || CAST(s_suppkey AS VARCHAR(20)) AS slug, CAST(NULL AS INT) AS active_version_id FROM supplier")
     store = ingest.VersionStore(spark, _path(spark, "versions"))
-    contents = lambda fresh: {t: run(spark, sf, sql).join(fresh, "content_hash") for t, sql in FEEDS.items()}
+    raw = {t: save(run(spark, sf, sql)) for t, sql in FEEDS.items()}
+    contents = lambda fresh: {t: d.join(fresh, "content_hash") for t, d in raw.items()}
     failed, write = [], store.write
 
     def once(table, number, rows):

@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 # Roads.
 TOUCH = "b.west <= t.east AND b.east >= t.west AND b.south <= t.north AND b.north >= t.south"
-AREAS = "SELECT feature_id, west, south, east, north FROM fx_boxes WHERE feature_id % 50 = 0"
+AREAS = "SELECT feature_id, west, south, east, north FROM fx_boxes"
 
 
 def _areas(spark, sf):
@@ -104,11 +104,13 @@ def tile_jobs(spark, sf):
 LAYERED = f"SELECT layer, class, feature_id % 3 AS v, CAST(x AS INT) AS tx, CAST(y AS INT) AS ty FROM fx_boxes, LATERAL (SELECT unnest(range({X('west', 12)}, {X('east', 12)} + 1)) AS x), LATERAL (SELECT unnest(range({Y('north', 12)}, {Y('south', 12)} + 1)) AS y)"
 
 
-@query(f"SELECT tx, ty, layer, count(*) AS n FROM (SELECT DISTINCT * FROM ({LAYERED}) SEMI JOIN (SELECT DISTINCT x >> 1 AS tx, y >> 1 AS ty FROM ({CHUNKS})) USING (tx, ty)) GROUP BY 1, 2, 3")
+@query(f"SELECT DISTINCT tx, ty, layer, class, v FROM ({LAYERED}) SEMI JOIN (SELECT DISTINCT x >> 1 AS tx, y >> 1 AS ty FROM ({CHUNKS})) USING (tx, ty)")
 def tile_layers(spark, sf):
+    """What the features of each tile and layer hold: equal content once, whichever feature stands for it."""
     f = fx(spark, sf, "fx_boxes").withColumn("v", F.col("feature_id") % 3)
     rows = R.tile_layer_features(f, R.target_tiles(_chunks(spark, sf), 12), 12, ["class", "v"])
-    return R.tile_layers(rows).select("tx", "ty", "layer", F.size("feature_ids").cast("long").alias("n"))
+    held = R.tile_layers(rows).select("tx", "ty", "layer", F.explode("feature_ids").alias("feature_id"))
+    return held.join(f.select("feature_id", "layer", "class", "v"), ["feature_id", "layer"]).select("tx", "ty", "layer", "class", "v")
 
 
 @query(f"SELECT CAST(min(z) AS INT) AS min_zoom, CAST(max(z) AS INT) AS max_zoom, round(min(x) / 8192e0 * 360 - 180, 9) AS west, round({LAT('max(y) + 1', 13)}, 9) AS south, round((max(x) + 1) / 8192e0 * 360 - 180, 9) AS east, round({LAT('min(y)', 13)}, 9) AS north FROM ({CHUNKS})")
@@ -289,14 +291,13 @@ def utm_images(spark, sf):
 DEM = "SELECT tile_id, row_no, col_no, (row_no * 100 + col_no * 10 + tile_id + 10000) * 10 AS packed FROM dx_px"
 
 
-@query("""SELECT stop, tile_id, round(e * 1.5e0, 5) AS elevation FROM (SELECT stop, tile_id, (v * 23) * 100 + (u * 23) * 10 + tile_id AS e FROM (SELECT s.segment_id AS stop, t.tile_id, s.ax AS u, s.ay AS v FROM fx_segments s, (SELECT DISTINCT tile_id FROM dx_px) t))""")
+STOPS_ON_TILES = "SELECT segment_id AS stop, CAST(segment_id % greatest((SELECT count(DISTINCT tile_id) FROM dx_px), 1) AS INT) AS tile_id, ax AS u, ay AS v FROM fx_segments"
+
+
+@query(f"SELECT stop, tile_id, round(((v * 23) * 100 + (u * 23) * 10 + tile_id) * 1.5e0, 5) AS elevation FROM ({STOPS_ON_TILES}) SEMI JOIN dx_px USING (tile_id)")
 def point_elevations(spark, sf):
-    tiles = fx(spark, sf, "dx_px").select("tile_id").distinct()
-    pts = fx(spark, sf, "fx_segments").select(F.col("segment_id").alias("stop"), F.col("ax").alias("u"), F.col("ay").alias("v"))
-    dem = run(spark, sf, DEM)
-    # One tile for each stop and place: every tile is asked at every stop's position.
-    asked = pts.withColumn("tile_id", F.explode(F.sequence(F.lit(0), F.lit(tiles.count() - 1))))
-    return A.elevation_at(asked, dem, 1.5).select("stop", "tile_id", F.round("elevation", 5).alias("elevation"))
+    """Each stop's elevation on the tile that it is on."""
+    return A.elevation_at(run(spark, sf, STOPS_ON_TILES), run(spark, sf, DEM), 1.5).select("stop", "tile_id", F.round("elevation", 5).alias("elevation"))
 
 
 # Tile measures.
@@ -334,22 +335,35 @@ def _rings(spark, sf):
     return run(spark, sf, RINGS).withColumnRenamed("by_", "by")
 
 
-@query(f"SELECT feature_id, p AS polygon FROM (SELECT feature_id, (west - 13e0) / 0.7001e0 AS x, (south - 52e0) / 0.7003e0 AS y FROM fx_boxes), {POLYGONS} WHERE {INSIDE}")
+# On a plane two polygons share a square, and squares stand side by side, two units apart.
+SQUARE = "floor({} / 2e0)"
+POINTS_ON_SQUARES = f"SELECT feature_id, feature_id % greatest((SELECT {SQUARE.format('max(p)')} + 1 FROM {POLYGONS} n), 1) AS q, (west - 13e0) / 0.7001e0 AS x, (south - 52e0) / 0.7003e0 AS y FROM fx_boxes"
+SEGMENTS_ON_SQUARES = "SELECT segment_id, floor(segment_id / 50e0) AS q, ax, ay, bx, by_ FROM fx_segments"
+
+
+def _spread(spark, sf):
+    at = F.floor(F.col("polygon") / 2) * 2.0
+    return _rings(spark, sf).withColumns({c: F.col(c) + at for c in ("ax", "bx")})
+
+
+def _segments_on_squares(spark, sf):
+    return run(spark, sf, SEGMENTS_ON_SQUARES).withColumnRenamed("by_", "by").withColumns({c: F.col(c) + F.col("q") * 2.0 for c in ("ax", "bx")}).drop("q")
+
+
+@query(f"SELECT feature_id, p AS polygon FROM ({POINTS_ON_SQUARES}) JOIN {POLYGONS} m ON {SQUARE.format('p')} = q WHERE {INSIDE}")
 def points_in_polygons(spark, sf):
-    pts = fx(spark, sf, "fx_boxes").select("feature_id", ((F.col("west") - 13.0) / 0.7001).alias("x"), ((F.col("south") - 52.0) / 0.7003).alias("y"))
-    return W.in_polygon(pts, _rings(spark, sf), ["feature_id"], "polygon", 0.05)
+    pts = run(spark, sf, POINTS_ON_SQUARES).withColumn("x", F.col("x") + F.col("q") * 2.0).drop("q")
+    return W.in_polygon(pts, _spread(spark, sf), ["feature_id"], "polygon", 0.05)
 
 
-@query(f"SELECT segment_id, p AS polygon FROM fx_segments, {POLYGONS} WHERE ({INSIDE.replace('x ', 'ax ').replace('y ', 'ay ')}) AND ({INSIDE.replace('x ', 'bx ').replace('y ', 'by_ ')})")
+@query(f"SELECT segment_id, p AS polygon FROM ({SEGMENTS_ON_SQUARES}) JOIN {POLYGONS} m ON {SQUARE.format('p')} = q WHERE ({INSIDE.replace('x ', 'ax ').replace('y ', 'ay ')}) AND ({INSIDE.replace('x ', 'bx ').replace('y ', 'by_ ')})")
 def segments_in_polygons(spark, sf):
-    s = fx(spark, sf, "fx_segments").withColumnRenamed("by_", "by")
-    return W.segments_inside(s, _rings(spark, sf), "polygon", 0.05)
+    return W.segments_inside(_segments_on_squares(spark, sf), _spread(spark, sf), "polygon", 0.05)
 
 
-@query(f"SELECT DISTINCT segment_id, p AS polygon FROM (SELECT segment_id, ax AS x, ay AS y FROM fx_segments UNION ALL SELECT segment_id, bx, by_ FROM fx_segments UNION ALL SELECT segment_id, (ax + bx) / 2, (ay + by_) / 2 FROM fx_segments), {POLYGONS} WHERE {INSIDE}")
+@query(f"SELECT DISTINCT segment_id, p AS polygon FROM (SELECT segment_id, q, ax AS x, ay AS y FROM ({SEGMENTS_ON_SQUARES}) a UNION ALL SELECT segment_id, q, bx, by_ FROM ({SEGMENTS_ON_SQUARES}) b UNION ALL SELECT segment_id, q, (ax + bx) / 2, (ay + by_) / 2 FROM ({SEGMENTS_ON_SQUARES}) c) JOIN {POLYGONS} m ON {SQUARE.format('p')} = q WHERE {INSIDE}")
 def segments_of_components(spark, sf):
-    s = fx(spark, sf, "fx_segments").withColumnRenamed("by_", "by")
-    return W.component_segments(s, _rings(spark, sf), "polygon", 0.05)
+    return W.component_segments(_segments_on_squares(spark, sf), _spread(spark, sf), "polygon", 0.05)
 
 
 MASK = f"SELECT CAST(r AS INT) AS row_no, CAST(c AS INT) AS col_no, p AS polygon FROM (SELECT r, c, (c + 0.5e0) / 40 AS x, (r + 0.5e0) / 40 AS y FROM range(40) a(r), range(40) b(c)), {POLYGONS} WHERE {INSIDE}"
@@ -360,10 +374,10 @@ def raster_masks(spark, sf):
     return W.raster_mask(_rings(spark, sf), "polygon", 40)
 
 
-@query(f"SELECT m.polygon, count(*) AS n, round(sum(abs(c - a)), 4) AS spread FROM (SELECT polygon, col_no AS c, avg(col_no) OVER (PARTITION BY polygon) AS a FROM ({MASK})) m GROUP BY 1")
+@query(f"SELECT row_no, col_no, polygon, round(col_no - avg(col_no) OVER (PARTITION BY polygon), 6) AS centered FROM ({MASK})")
 def component_means(spark, sf):
     d = W.center_by_component(W.raster_mask(_rings(spark, sf), "polygon", 40), ["polygon"], "col_no")
-    return d.groupBy("polygon").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.abs("centered")), 4).alias("spread"))
+    return d.select("row_no", "col_no", "polygon", F.round("centered", 6).alias("centered"))
 
 
 @query(I.COMPONENTS)
@@ -404,12 +418,30 @@ def nearest_normals(spark, sf):
     return n.select("tile_id", "point_id", F.round("nx", 6).alias("nx"), F.round("ny", 6).alias("ny"), F.round(W.project_tangent("x", "y", "nx", "ny")["x"], 6).alias("tx"))
 
 
-@query("SELECT CAST(shape_item_id AS INT) AS shape_item_id, version_id, CAST(count(*) - 1 AS INT) AS n FROM fx_shape_points WHERE shape_pt_lon IS NOT NULL AND shape_item_id <> 8 GROUP BY 1, 2 HAVING count(*) > 1")
-def line_segments(spark, sf):
+_LINES = "SELECT version_id, shape_item_id, shape_pt_lon AS ax, shape_pt_lat AS ay, CAST(row_number() OVER w - 1 AS INT) AS seg, {} AS bx, {} AS by_ FROM fx_shape_points WHERE shape_pt_lon IS NOT NULL AND shape_pt_lat IS NOT NULL WINDOW w AS (PARTITION BY version_id, shape_item_id ORDER BY shape_pt_sequence), v AS (PARTITION BY version_id, shape_item_id ORDER BY shape_pt_sequence ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+_LEAD = [f"lead({c}) OVER w" for c in ("shape_pt_lon", "shape_pt_lat")]
+_RING = [f"coalesce({x}, first_value({c}) OVER v)" for x, c in zip(_LEAD, ("shape_pt_lon", "shape_pt_lat"))]
+_DIRECTED = "SELECT version_id, shape_item_id, seg, ax, ay, bx, by_ AS \"by\", round((bx - ax) / sqrt((bx - ax) ** 2 + (by_ - ay) ** 2), 6) AS dx, round((by_ - ay) / sqrt((bx - ax) ** 2 + (by_ - ay) ** 2), 6) AS dy FROM ({}) WHERE (bx <> ax OR by_ <> ay)"
+
+
+def _lines(spark, sf):
     from ..operators.gtfs_import import shapes_seq
 
-    s = shapes_seq(fx(spark, sf, "fx_shape_points")).filter("line is not null").withColumn("line", F.transform("line", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))))
-    return W.segments(s, ["version_id", "shape_item_id"]).groupBy("version_id", "shape_item_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return shapes_seq(fx(spark, sf, "fx_shape_points")).filter("line is not null").withColumn("line", F.transform("line", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))))
+
+
+def _directed(segs):
+    return segs.select("version_id", "shape_item_id", "seg", "ax", "ay", "bx", "by", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+
+
+@query(_DIRECTED.format(_LINES.format(*_LEAD)))
+def line_segments(spark, sf):
+    return _directed(W.segments(_lines(spark, sf), ["version_id", "shape_item_id"]))
+
+
+@query(_DIRECTED.format(_LINES.format(*_RING)))
+def ring_segments(spark, sf):
+    return _directed(W.segments(_lines(spark, sf), ["version_id", "shape_item_id"], closed=True))
 
 
 # Shapes.

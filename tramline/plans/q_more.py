@@ -133,11 +133,14 @@ def merged_tags(spark, sf):
     return m.select("osm_type", "osm_key", F.size("all").alias("n"), O.first_tag("all", "amenity").alias("amenity"))
 
 
-@query("SELECT version_id, shape_item_id, CAST(part AS INT) AS part, CAST(CASE part WHEN 0 THEN 2 ELSE n - 2 END AS INT) AS n FROM (SELECT version_id, shape_item_id, count(*) AS n FROM fx_shape_points WHERE shape_pt_lon IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 2), range(2) t(part)")
+@query("""SELECT version_id, shape_item_id, CAST(CASE WHEN k <= 2 THEN 0 ELSE 1 END AS INT) AS part, string_agg(CAST(shape_pt_sequence AS VARCHAR), ',' ORDER BY k) AS points, round(sum(shape_pt_lon), 6) AS lons
+FROM (SELECT *, row_number() OVER (PARTITION BY version_id, shape_item_id ORDER BY shape_pt_sequence) AS k, count(*) OVER (PARTITION BY version_id, shape_item_id) AS n FROM fx_shape_points WHERE shape_pt_lon IS NOT NULL) WHERE n > 2 GROUP BY 1, 2, 3""")
 def exploded_parts(spark, sf):
     p = fx(spark, sf, "fx_shape_points").filter("shape_pt_lon is not null").groupBy("version_id", "shape_item_id").agg(F.array_sort(F.collect_list(F.struct("shape_pt_sequence", "shape_pt_lon"))).alias("l")).filter("size(l) > 2")
     parts = p.select("version_id", "shape_item_id", F.array(F.slice("l", 1, 2), F.slice("l", F.lit(3), F.size("l"))).alias("parts"))
-    return W.explode_parts(parts, ["version_id", "shape_item_id"]).select("version_id", "shape_item_id", "part", F.size("line").alias("n"))
+    points = F.array_join(F.transform("line", lambda q: q["shape_pt_sequence"].cast("string")), ",")
+    lons = F.aggregate("line", F.lit(0.0), lambda a, q: a + q["shape_pt_lon"])
+    return W.explode_parts(parts, ["version_id", "shape_item_id"]).select("version_id", "shape_item_id", "part", points.alias("points"), F.round(lons, 6).alias("lons"))
 
 
 @query("SELECT r.id, v.status, v.id IS NOT NULL AS known FROM (SELECT CAST(p_partkey * 9 AS INT) AS id FROM part) r LEFT JOIN dx_versions v ON v.id = r.id")
