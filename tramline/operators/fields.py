@@ -148,41 +148,41 @@ def center_by_component(df: DataFrame, component: list[str], value: str) -> Data
     return df.withColumn("centered", F.col(value) - F.avg(value).over(Window.partitionBy(*component)))
 
 
-def _nearest(points: DataFrame, segs: DataFrame, group: list[str], k: int, cell: float) -> DataFrame:
+def _nearest(points: DataFrame, segs: DataFrame, group: list[str], k: int, cell: float | None = None) -> DataFrame:
     """Each point (group, point_id, x, y) with its k nearest segments of the same group (all, if there are fewer), and ``_d``, the squared distance; ties by segment_id.
 
     Segments go to the cells of a grid that their box, grown by a radius, touches, and points meet those of their own cell. A
-    point is done when k of them are within the radius, as no other can be nearer; the others go on with twice the
-    radius and cell. A radius beyond the group's extent ends it.
+    point is done when k of them are within the radius, as no other can be nearer, or when it has met all segments of its group; the others go on with twice the
+    radius and cell. Each group begins with a radius by its own density, at which most points have k segments (or with ``cell``). Points and segments without a
+    finite place are left out.
     """
-    low, high = lambda a, b: F.least(a, b), lambda a, b: F.greatest(a, b)
-    both = segs.select(*group, low("ax", "bx").alias("w"), high("ax", "bx").alias("e"), low("ay", "by").alias("s"), high("ay", "by").alias("n"))
-    both = both.unionByName(points.select(*group, F.col("x").alias("w"), F.col("x").alias("e"), F.col("y").alias("s"), F.col("y").alias("n")))
-    extent = both.groupBy(*group).agg((F.max("e") - F.min("w") + F.max("n") - F.min("s")).alias("x")).agg(F.max("x")).first()[0]
-    found, left, radius = None, points, cell
+    finite = lambda d, *cs: d.filter(" and ".join(f"{c} between -1e300 and 1e300" for c in cs))
+    points, segs = finite(points, "x", "y"), finite(segs, "ax", "ay", "bx", "by")
+    box = segs.groupBy(*group).agg(F.count(F.lit(1)).alias("_all"), *[(F.max(F.greatest(a, b)) - F.min(F.least(a, b))).alias(n) for n, a, b in (("_w", "ax", "bx"), ("_h", "ay", "by"))])
+    own = F.greatest(1.2 * F.sqrt(F.col("_w") * F.col("_h") * k / F.col("_all")), (F.col("_w") + F.col("_h")) * 1e-3)
+    first = save(box.select(*group, "_all", (F.lit(float(cell)) if cell else F.when(own > 0, own).otherwise(1.0)).alias("_r")))
+    left, segs = points.join(first, group), segs.join(first.select(*group, "_r"), group)
+    at = lambda c: F.floor(c / F.col("_r")).cast("long")
+    span = lambda a, b: F.sequence(at(F.least(a, b) - F.col("_r")), at(F.greatest(a, b) + F.col("_r")))
+    mine = Window.partitionBy(*group, "point_id")
+    found = None
     while True:
-        last = radius > (extent or 0.0)
-        at = lambda c: F.floor(c / radius).cast("long")  # noqa: E731, B023
-        span = lambda a, b: F.sequence(at(F.least(a, b) - radius), at(F.greatest(a, b) + radius))  # noqa: E731, B023
-        if last:
-            met = left.join(segs, group)
-        else:
-            placed = segs.withColumn("_cx", F.explode(span("ax", "bx"))).withColumn("_cy", F.explode(span("ay", "by")))
-            met = left.withColumn("_cx", at(F.col("x"))).withColumn("_cy", at(F.col("y"))).join(placed, [*group, "_cx", "_cy"]).drop("_cx", "_cy")
+        placed = segs.withColumn("_cx", F.explode(span("ax", "bx"))).withColumn("_cy", F.explode(span("ay", "by"))).drop("_r")
+        met = left.withColumn("_cx", at(F.col("x"))).withColumn("_cy", at(F.col("y"))).join(placed, [*group, "_cx", "_cy"]).drop("_cx", "_cy")
         met = met.withColumn("_d", S.seg_dist_sq("x", "y", "ax", "ay", "bx", "by"))
-        near = met.withColumn("_n", F.row_number().over(Window.partitionBy(*group, "point_id").orderBy("_d", "segment_id"))).filter(F.col("_n") <= k)
-        if not last:
-            # Rounding may not decide that a point is done.
-            done = near.withColumn("_far", F.max("_d").over(Window.partitionBy(*group, "point_id"))).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(*group, "point_id")))
-            near = save(done.filter((F.col("_k") == k) & (F.col("_far") < radius * radius * (1 - 1e-9))).drop("_far", "_k"))
-            left = save(left.join(near.select(*group, "point_id").distinct(), [*group, "point_id"], "left_anti"))
+        near = met.withColumn("_n", F.row_number().over(mine.orderBy("_d", "segment_id"))).filter(F.col("_n") <= k)
+        # Rounding may not decide that a point is done.
+        done = near.withColumn("_far", F.max("_d").over(mine)).withColumn("_k", F.count(F.lit(1)).over(mine))
+        done = done.filter(((F.col("_k") == k) & (F.col("_far") < F.col("_r") * F.col("_r") * (1 - 1e-9))) | (F.col("_k") == F.col("_all")))
+        near = save(done.drop("_far", "_k", "_n", "_r", "_all"))
         found = near if found is None else found.unionByName(near)
-        if last or left.isEmpty():
-            return found.drop("_n")
-        radius *= 2
+        left = save(left.join(near.select(*group, "point_id").distinct(), [*group, "point_id"], "left_anti").withColumn("_r", F.col("_r") * 2))
+        if left.isEmpty():
+            return found
+        segs = segs.join(left.select(*group).distinct(), group, "left_semi").withColumn("_r", F.col("_r") * 2)
 
 
-def knn_direction(points: DataFrame, segs: DataFrame, group: list[str], sigma: float, k: int, cell: float = 0.125) -> DataFrame:
+def knn_direction(points: DataFrame, segs: DataFrame, group: list[str], sigma: float, k: int, cell: float | None = None) -> DataFrame:
     """Per point the weighted mean direction of its k nearest segments in the same group: weight exp(-d2 / sigma2) * confidence; null where weight or length is 1e-9 or less."""
     near = _nearest(points, segs, group, k, cell)
     w = F.exp(-F.col("_d") / sigma**2) * F.col("confidence")
@@ -193,7 +193,7 @@ def knn_direction(points: DataFrame, segs: DataFrame, group: list[str], sigma: f
     return sums.select(*group, "point_id", F.when(ok, F.col("_x") / size).alias("dx"), F.when(ok, F.col("_y") / size).alias("dy"), F.when(ok, size / F.col("weight")).alias("magnitude"), "weight")
 
 
-def nearest_normal(points: DataFrame, boundary: DataFrame, group: list[str], cell: float = 0.125) -> DataFrame:
+def nearest_normal(points: DataFrame, boundary: DataFrame, group: list[str], cell: float | None = None) -> DataFrame:
     """Normal (left of the direction) of the boundary segment nearest to each point."""
     length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     near = _nearest(points, boundary.filter(length > 0), group, 1, cell)

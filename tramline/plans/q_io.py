@@ -226,7 +226,7 @@ _STATS = ", ".join(
 _RANKS = ", ".join(f"round(list_sort(l_{n})[CAST(greatest(ceil(len(l_{n}) * 0.9e0), 1) AS INT)] * 0.1e0, 6) AS p90_{n}" for n in rolling_stream.WINDOWS)
 
 
-@query(f"""SELECT user_id, event_id, ms AS ended_ms, rate, {', '.join(f'n_{n}, min_{n}, avg_{n}, max_{n}' for n in rolling_stream.WINDOWS)}, {_RANKS} FROM (SELECT user_id, event_id, ms, {_RATE}, {_STATS}, max(ms) OVER () AS newest
+@query(f"""SELECT user_id, event_id, ms AS ended_ms, recent_from, rate, {', '.join(f'n_{n}, min_{n}, avg_{n}, max_{n}' for n in rolling_stream.WINDOWS)}, {_RANKS} FROM (SELECT user_id, event_id, ms, arg_min(event_id, (ms, event_id)) {FRAME.format(10_000)} AS recent_from, {_RATE}, {_STATS}, max(ms) OVER () AS newest
 FROM (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, value FROM events)) WHERE ms < newest - 300000""")
 def rolling_stream_replay(spark, sf):
     """A bounded replay of the stream, in micro-batches of some files each: the result is that of the batch windows, for the samples that the last watermark has passed."""

@@ -31,8 +31,10 @@ RATE_MS, RATE_LEAST = 1_000, 1_000
 #: The trailing windows, in milliseconds.
 WINDOWS = {"10s": 10_000, "1m": 60_000, "5m": 300_000}
 KEEP_MS = max(WINDOWS.values())
+TIMELINE_MS = 10_000
 CHUNK_MS = 60_000
-OUT = "user_id long, event_id long, ended_ms long, rate double, " + ", ".join(f"n_{w} long, min_{w} double, avg_{w} double, p90_{w} double, max_{w} double" for w in WINDOWS)
+#: ``recent_from``: the first sample of the timeline, which are those of the last ten seconds.
+OUT = "user_id long, event_id long, ended_ms long, recent_from long, rate double, " + ", ".join(f"n_{w} long, min_{w} double, avg_{w} double, p90_{w} double, max_{w} double" for w in WINDOWS)
 #: The state store that list and map states and timers need.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
@@ -114,7 +116,8 @@ class Diagnostics(StatefulProcessor):
             own = ms // CHUNK_MS == chunk
             self.samples.updateValue((chunk,), (ids[own].tolist(), ms[own].tolist(), value[own].tolist()))
             self.handle.registerTimer((chunk + 1) * CHUNK_MS + KEEP_MS)
-        return pd.DataFrame({"user_id": [key[0]] * len(due), "event_id": ids[first:], "ended_ms": ms[first:]} | trailing(ms, value, first))
+        recent = ids[np.searchsorted(ms, ms[first:] - TIMELINE_MS, "left")]
+        return pd.DataFrame({"user_id": [key[0]] * len(due), "event_id": ids[first:], "ended_ms": ms[first:], "recent_from": recent} | trailing(ms, value, first))
 
     def close(self) -> None:
         pass
