@@ -193,13 +193,12 @@ def station_categories(spark, sf):
     return Q.station_category(L.route_summary(agg_(spark, sf), fx(spark, sf, "fx_routes")), ["version_id", "stop_item_id"], "route_types")
 
 
-@query("SELECT version_id, item_id, coalesce(nullif(stop_name, ''), nullif(stop_code, ''), item_gtfs_id) AS title FROM fx_stops")
+@query("SELECT version_id, item_id, coalesce(nullif(stop_name, ''), nullif(platform_code, ''), nullif(stop_code, ''), item_gtfs_id) AS title FROM fx_stops")
 def stop_titles(spark, sf):
-    d = stops_(spark, sf).withColumn("platform_code", F.lit(""))
-    return d.select("version_id", "item_id", Q.stop_title("stop_name", "platform_code", "stop_code", "item_gtfs_id").alias("title"))
+    return stops_(spark, sf).select("version_id", "item_id", Q.stop_title("stop_name", "platform_code", "stop_code", "item_gtfs_id").alias("title"))
 
 
-@query("SELECT version_id, item_id, k AS key, coalesce(v, '') AS value FROM (SELECT version_id, item_id, unnest(['item_gtfs_id', 'stop_name', 'stop_code', 'location_type']) AS k, unnest([item_gtfs_id, stop_name, stop_code, CAST(location_type AS VARCHAR)]) AS v FROM fx_stops)")
+@query("SELECT version_id, item_id, k AS key, coalesce(v, '') AS value FROM (SELECT version_id, item_id, unnest(['item_gtfs_id', 'stop_name', 'stop_code', 'location_type', 'stop_desc', 'wheelchair_boarding', 'platform_code']) AS k, unnest([item_gtfs_id, stop_name, stop_code, CAST(location_type AS VARCHAR), stop_desc, CAST(wheelchair_boarding AS VARCHAR), platform_code]) AS v FROM fx_stops)")
 def stop_records(spark, sf):
     return Q.record_rows(stops_(spark, sf).drop("stop_lat", "stop_lon", "parent_station_item_id"), ["version_id", "item_id"])
 
