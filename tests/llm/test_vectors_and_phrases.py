@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tests.compare import same
 from tramline.llm import collocations, pivot_topk, whitening
-from tramline.llm.queries import oracle_sql
 
 
 # -- spectrum ------------------------------------------------------------------------------------
@@ -249,10 +248,3 @@ def test_words_that_share_a_hash_fail(spark, monkeypatch):
     monkeypatch.setattr(collocations, "_texts", folded)
     with pytest.raises(Exception, match="share a hash"):
         collocations.mine(spark.createDataFrame([("en", f"word{i}") for i in range(100)], "lang string, text string"), 1)
-
-
-@pytest.mark.parametrize("name", ["op12_pivot_topk", "op13_collocations"])
-def test_new_queries_by_sql(spark, sf, duck, name):
-    from tramline.llm.queries import queries
-
-    same(queries()[name](spark, sf).toPandas(), duck.execute(oracle_sql()[name]).df())

@@ -117,7 +117,7 @@ IDS, STARTS, DECODED = T.StructField("ids", T.ArrayType(T.IntegerType())), T.Str
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = True) -> DataFrame:
-    """Add ``ids`` array<int> and, with ``offsets``, ``starts`` array<int>: the code point in which each token's first byte lies."""
+    """Add ``ids`` array<int> and, with ``offsets``, ``starts`` array<int>: the code point in which each token's first byte lies. Columns of these names are replaced."""
     kept = [f for f in docs.schema.fields if f.name not in ("ids", "starts")]
     schema = T.StructType([*kept, IDS, *[STARTS] * offsets])
     rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(text), F.lit("")).alias(unused("_text", *docs.columns)))
@@ -125,7 +125,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """Add ``decoded`` binary: the bytes of the tokens in ``ids`` (null: none)."""
+    """Add ``decoded`` binary: the bytes of the tokens in ``ids`` (null: none). A column of that name is replaced."""
     kept = [f for f in coded.schema.fields if f.name != "decoded"]
     at = [f.name for f in kept].index(ids)
     return coded.select(*[f.name for f in kept]).mapInArrow(lambda batches: _decoded(batches, path, at), T.StructType([*kept, DECODED]))

@@ -11,7 +11,8 @@ tokens before it. The loss mask lists the assistant texts of a window's own turn
 assistant text is a target once.
 
 Defined cases: null role or text is empty; null ids make a conversation of their own; turns that tie are ordered by role, then
-text; repeated rows are separate turns; an empty table gives no rows; further columns are ignored.
+text; repeated rows are separate turns; an empty table gives no rows; further columns are ignored. A block has a quarter of the budget at
+least, so windows of a conversation whose history and system turn leave less go over the budget by that.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ All spans of these kinds are candidates, any start and end, so the segmentation
 ``changeme`` or ``qwerty12345`` are cheap and so left alone; a span that a base ``assign`` span covers is not given again.
 
 Spans are in code points, end exclusive, over whole texts. Defined cases: null or empty text has no spans; repeated rows are
-scanned each; values of any length are priced whole, in time proportional to their length; further columns pass through.
+scanned each; values of any length are priced whole, in time proportional to their length; further columns pass through, but one
+named ``spans``, which is replaced.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ texts without features, then an isotonic step function fitted to leave-one-out v
 The model that goes to the tasks is bounded by SAMPLE and FEATURES, whatever the input. Defined cases: null and empty
 texts, and texts without features, get the rate of such texts in the sample; rows without a doc_id are never learned from;
 labels that are null are left out, a doc_id labelled twice counts as toxic if any row says so; without a usable label every score is 0; repeated
-rows are scored each; further columns pass through.
+rows are scored each; further columns pass through, but columns named ``score`` or ``evidence``, which are replaced.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ sidecar index (JSON lines: archive, offset, length, record id, type, target URI)
 rest. Both work in pieces of a megabyte and hold one record at a time. Files get names of their own in each attempt;
 only those in the manifests count, so a task may run twice.
 
-Defined cases: null html is an empty payload; null url is an empty target; a null page id is written as ``null`` and read back as null;
+Defined cases: null html is an empty payload; null url is an empty target; line breaks in a url are left out,
+so that no header can be forged; a null page id is written as ``null`` and read back as null;
 repeated rows each give a record; an empty table gives no archives; further columns are ignored.
 """
 
