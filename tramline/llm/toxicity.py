@@ -1,26 +1,30 @@
 """Toxicity by the nearest labelled examples, in exact TF-IDF cosine, with calibrated scores and evidence.
 
-Fit, on a bounded sample: ``SAMPLE`` labelled rows of the training part (the smallest hashes of doc_id). Features are words
-and their prefixes of 4 to 6 letters, so inflected forms meet; those that go with the label (chi-square over ``CHI2``,
-at most ``FEATURES`` of them) make the vocabulary. Their document frequencies are counted over all documents. Sample
-rows that have any of them become the examples, as unit vectors of (1 + ln tf) * idf; rows with equal vectors are one
-example that stands for as many rows, so that no id has a say in a score.
+Fit, on a bounded sample: ``SAMPLE`` labelled rows of the training part (the smallest hashes of doc_id). Features are all
+words of these rows, and those of their prefixes of 4 to 6 letters that go with the label (chi-square of ``CHI2`` or more
+in ``LEAST_DF`` rows or more), so inflected forms meet. Their document frequencies are counted over all documents. The
+rows become the examples, as unit vectors of (1 + ln tf) * idf * r, where r is the absolute correlation of the feature
+with the label in the sample, and ``FLOOR`` at least: a word that says nothing of the label weighs little, but counts.
+Rows with equal vectors are one example that stands for as many rows, so that no id has a say in a score.
 
 Search: examples are cut into blocks of ``BLOCK``; for each feature and block the index holds the largest weight. A
 query's products with these bound every score in the block, so blocks are taken from the highest bound down until the
 k-th best score is above the next bound: the k nearest rows come out exactly, and with them all that tie with the k-th.
+Blocks are read in groups that grow (``WAVES``), each group by one pass over the postings of the query's features.
 
-Score: their votes weighted by 1 / (distance + ``SOFT``), together with ``PRIOR`` votes for the rate among
-texts without features, then an isotonic step function fitted to leave-one-out votes of the sample.
+Score: the votes of these rows weighted by 1 / (distance + ``SOFT``), together with ``PRIOR`` votes for the rate of texts
+without features, then an isotonic step function fitted to leave-one-out votes of the sample.
 
-The model that goes to the tasks is bounded by SAMPLE and FEATURES, whatever the input. Defined cases: null and empty
-texts, and texts without features, get the rate of such texts in the sample; rows without a doc_id are never learned from;
-labels that are null are left out, a doc_id labelled twice counts as toxic if any row says so; without a usable label every score is 0; repeated
-rows are scored each; further columns pass through, but columns named ``score`` or ``evidence``, which are replaced.
+The model that goes to the tasks is bounded by the words of SAMPLE rows, whatever the input. Defined cases: null and
+empty texts, and texts without a word of the sample, get the rate of such texts in the sample, drawn to the rate of all
+of it by one row; rows without a doc_id are never learned from; labels that are null are left out, a doc_id labelled
+twice counts as toxic if any row says so; without a usable label every score is 0; repeated rows are scored each;
+further columns pass through, but columns named ``score`` or ``evidence``, which are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -34,8 +38,12 @@ from pyspark.sql import types as T
 from .common import materialise, slices, table
 from .pieces import forget
 
-SAMPLE, FEATURES, CHI2, LEAST_DF = 6000, 1024, 25.0, 3
+SAMPLE, FLOOR = 6000, 0.01
+#: What a prefix needs to be a feature; words need nothing.
+CHI2, LEAST_DF = 25.0, 3
 K, BLOCK, SOFT, PRIOR = 15, 64, 0.05, 1.0
+#: Blocks of a search's first groups; the last group is all that remain.
+WAVES = (1, 4, 16)
 #: Score from which a text counts as toxic.
 TOXIC = 0.3
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -62,46 +70,59 @@ class Vocabulary:
         """(feature, occurrences) of a text, by feature."""
         if not text:
             return ()
-        found: Counter = Counter()
+        found: dict[int, int] = {}
         known, ids = self.known, self.ids
-        for w in words(text):
+        for w, n in Counter(words(text)).items():
             got = known.get(w)
             if got is None:
                 if len(known) >= self.limit:
                     known.clear()
                 got = known[w] = tuple(ids[f] for f in features_of(w) if f in ids)
-            if got:
-                found.update(got)
+            for f in got:
+                found[f] = found.get(f, 0) + n
         return tuple(sorted(found.items()))
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 class Examples:
     """A block-max inverted index over labelled unit vectors; rows with equal vectors are one example."""
 
-    def __init__(self, idf: np.ndarray, vectors: list[tuple[tuple[int, int], ...]], labels: list[int], ids: list[int]):
-        self.idf = idf
+    def __init__(self, weight: np.ndarray, vectors: list[tuple[tuple[int, int], ...]], labels: list[int], ids: list[int]):
+        self.weight = weight
         rows: dict[tuple, list[tuple[int, int]]] = {}
         for v, y, i in zip(vectors, labels, ids):
             rows.setdefault(v, []).append((i, y))
         # Examples with the same leading features stand together, so blocks have tight bounds.
-        order = sorted(rows, key=lambda v: (sorted(v, key=lambda p: (-idf[p[0]], p)), v))
+        order = sorted(rows, key=lambda v: (sorted(v, key=lambda p: (-weight[p[0]], p)), v))
         self.rank = {v: r for r, v in enumerate(order)}
         #: (doc_id, label) of the rows of each example; numbers of its rows and of those with label 1.
         self.rows = [sorted(rows[v]) for v in order]
         self.size = np.array([len(own) for own in self.rows], np.float64)
         self.hits = np.array([sum(y for _, y in own) for own in self.rows], np.float64)
-        n_blocks = -(-len(order) // BLOCK)
-        self.top = np.zeros((len(idf), max(1, n_blocks)))
-        postings: dict[tuple[int, int], list] = {}
-        for r, v in enumerate(order):
-            for f, w in zip(*self.unit(v)):
-                self.top[f, r // BLOCK] = max(self.top[f, r // BLOCK], w)
-                postings.setdefault((f, r // BLOCK), []).append((r % BLOCK, w))
-        self.postings = {key: (np.array([r for r, _ in ps]), np.array([w for _, w in ps])) for key, ps in postings.items()}
-
-    def unit(self, counts) -> tuple[list[int], np.ndarray]:
-        fs = [f for f, _ in counts]
-        w = (1 + np.log(np.array([n for _, n in counts], np.float64))) * self.idf[fs]
+        self.n_blocks = -(-len(order) // BLOCK)
+        units = [self.unit(v) for v in order] or [(np.zeros(0, np.int64), np.zeros(0))]
+        feature = np.concatenate([f for f, _ in units])
+        row = np.repeat(np.arange(len(units)), [len(f) for f, _ in units])
+        by = np.lexsort((row, feature))
+        #: Postings by feature and example.
+        self.row, self.share = row[by].astype(np.int32), np.concatenate([w for _, w in units])[by]
+        # A segment holds the postings of one feature in one block.
+        key = feature[by] * max(1, self.n_blocks) + self.row // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.start, self.length = first.astype(np.int32), np.diff(first, append=len(key)).astype(np.int32)
+        self.block = (self.row[first] // BLOCK).astype(np.int32)
+        self.top = np.maximum.reduceat(self.share, first) if len(first) else np.zeros(0)
+        #: Segments of each feature, as bounds.
+        self.segments = np.searchsorted(feature[by][first], np.arange(len(weight) + 1))
+
+    def unit(self, counts) -> tuple[np.ndarray, np.ndarray]:
+        fs, n = np.array(counts, np.int64).reshape(-1, 2).T
+        w = (1 + np.log(n)) * self.weight[fs]
         return fs, w / max(math.sqrt(float(w @ w)), 1e-12)
 
     def nearest(self, counts, k: int, without: int | None = None) -> list[tuple[int, float]]:
@@ -109,26 +130,34 @@ class Examples:
         if not counts or not len(self.rows):
             return []
         fs, q = self.unit(counts)
-        bounds = q @ self.top[fs]
-        best: list[tuple[float, int]] = []
-        least = 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            # ``least``: the cosine of the k-th row, once there are k.
-            if bounds[b] <= 0 or least > bounds[b] + 1e-9:
+        sizes = self.segments[fs + 1] - self.segments[fs]
+        segments, q = _ranges(self.segments[fs], sizes), np.repeat(q, sizes)
+        blocks = self.block[segments]
+        bounds = np.bincount(blocks, q * self.top[segments], self.n_blocks)
+        order = np.argsort(-bounds, kind="stable")
+        best, scores = np.zeros(0, np.int64), np.zeros(len(self.rows))
+        # ``least``: the cosine of the k-th row, once there are k.
+        least, at = 0.0, 0
+        for wave in (*WAVES, self.n_blocks):
+            group = order[at : at + wave]
+            group = group[(bounds[group] > 0) & (bounds[group] + 1e-9 >= least)]
+            if not len(group):
                 break
-            scores = np.zeros(BLOCK)
-            for f, w in zip(fs, q):
-                if (p := self.postings.get((f, int(b)))) is not None:
-                    scores[p[0]] += w * p[1]
-            best = sorted(best + [(-round(float(scores[h]), 12), int(b) * BLOCK + int(h)) for h in np.nonzero(scores)[0]])
-            rows = 0
-            for at, (s, r) in enumerate(best):
-                rows += self.size[r] - (r == without)
-                if rows >= k:
-                    least = -s
-                    best = [x for x in best if -x[0] >= least]
-                    break
-        return [(r, -s) for s, r in best if self.size[r] > (r == without)]
+            at += wave
+            chosen = np.zeros(self.n_blocks, bool)
+            chosen[group] = True
+            own = chosen[blocks]
+            sizes = self.length[segments[own]]
+            postings = _ranges(self.start[segments[own]], sizes)
+            new = np.round(np.bincount(self.row[postings], np.repeat(q[own], sizes) * self.share[postings], len(self.rows)), 12)
+            scores += new
+            best = np.concatenate([best, np.flatnonzero((new > 0) & (new >= least))])
+            best = best[np.lexsort((best, -scores[best]))]
+            full = np.flatnonzero(np.cumsum(self.size[best] - (best == without)) >= k)
+            if len(full):
+                least = float(scores[best[full[0]]])
+                best = best[scores[best] >= least]
+        return [(int(r), float(scores[r])) for r in best if self.size[r] > (r == without)]
 
     def vote(self, near: list[tuple[int, float]], prior: float, without: tuple[int, int] | None = None) -> float:
         """Share of toxic votes; ``without``: rank and label of a row that has none."""
@@ -160,32 +189,39 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
-    def __init__(self, names: list[str], idf: np.ndarray, rows: list[tuple[int, int, tuple]]):
+    def __init__(self, names: list[str], weight: np.ndarray, rows: list[tuple[int, int, tuple]]):
         self.vocabulary = Vocabulary(names)
         plain = [y for _, y, v in rows if not v]
-        self.prior = (sum(plain) + 0.0) / max(1, len(plain))
+        self.prior = (sum(plain) + sum(y for _, y, _ in rows) / max(1, len(rows))) / (len(plain) + 1)
         own = [r for r in rows if r[2]]
-        self.examples = Examples(idf, [v for _, _, v in own], [y for _, y, _ in own], [i for i, _, _ in own])
-        at = self.examples.rank
+        self.examples = Examples(weight, [v for _, _, v in own], [y for _, y, _ in own], [i for i, _, _ in own])
+        # The vectors themselves are needed here alone.
+        at = self.examples.__dict__.pop("rank")
         votes = [self.examples.vote(self.examples.nearest(v, K, at[v]), self.prior, (at[v], y)) for _, y, v in own]
         self.edges, self.values = isotonic(np.array(votes), np.array([y for _, y, _ in own], np.float64))
-        self.seen: dict[tuple, tuple] = {}
+        self.seen: dict[bytes, tuple] = {}
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
         """Calibrated score, and the evidence: (doc_id, cosine, label) of the nearest K rows, ties by the vector and the id."""
-        counts = self.vocabulary.counts(text)
-        if not counts:
+        if not text:
             return self.prior, []
-        if (got := self.seen.get(counts)) is None:
-            near = self.examples.nearest(counts, K)
-            vote = self.examples.vote(near, self.prior)
-            at = int(np.searchsorted(self.edges, vote, "right")) - 1
-            value = float(self.values[max(at, 0)]) if len(self.values) else self.prior
-            if len(self.seen) >= 20_000:
+        # Copies of a text are scored once, as long as it is remembered.
+        digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if (got := self.seen.get(digest)) is None:
+            if len(self.seen) >= 5_000:
                 self.seen.clear()
-            got = self.seen[counts] = (value, [(i, s, y) for r, s in near for i, y in self.examples.rows[r]][:K])
+            got = self.seen[digest] = self._score(self.vocabulary.counts(text))
         return got
 
+    def _score(self, counts) -> tuple[float, list[tuple[int, float, int]]]:
+        if not counts:
+            return self.prior, []
+        near = self.examples.nearest(counts, K)
+        vote = self.examples.vote(near, self.prior)
+        at = int(np.searchsorted(self.edges, vote, "right")) - 1
+        value = float(self.values[max(at, 0)]) if len(self.values) else self.prior
+        return value, [(i, s, y) for r, s in near for i, y in self.examples.rows[r]][:K]
+
 
 def held_out():
     """A row's part: remainder 2 of the id's crc32 is held out."""
@@ -215,8 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     a, b = F.col("hits").cast("double"), (F.col("n") - F.col("hits")).cast("double")
     c, d = positive - a, (n - positive) - b
     chi2 = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
-    ranked = table_.filter(F.col("n") >= LEAST_DF).withColumn("chi2", F.when((F.col("n") < n) & F.lit(0 < positive < n), chi2)).filter(F.col("chi2") >= CHI2)
-    names = [r["feature"] for r in ranked.orderBy(F.desc("chi2"), "feature").limit(FEATURES).collect()]
+    told = table_.withColumn("chi2", F.when((F.col("n") < n) & F.lit(0 < positive < n), chi2)).filter(~F.col("feature").endswith("*") | ((F.col("n") >= LEAST_DF) & (F.col("chi2") >= CHI2)))
+    # All words of at most ``sample`` rows.
+    chosen = told.select("feature", F.greatest(F.lit(FLOOR), F.sqrt(F.col("chi2") / n)).alias("r")).orderBy("feature").toArrow()
+    names, r = chosen["feature"].to_pylist(), chosen["r"].to_numpy()
 
     def document_frequencies(batches: Iterator[pa.RecordBatch]):
         forget()
@@ -226,12 +264,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 found[-1] += 1
                 for f, _ in vocabulary.counts(t):
                     found[f] += 1
-        yield pa.RecordBatch.from_pydict({"f": np.arange(len(found), dtype=np.int32), "n": found})
+        own = np.flatnonzero(found)
+        for at in range(0, len(own), 10_000):
+            part = own[at : at + 10_000]
+            yield pa.RecordBatch.from_pydict({"f": part.astype(np.int32), "n": found[part]})
 
     spread = docs.select(F.coalesce("text", F.lit(""))).mapInArrow(document_frequencies, "f int, n long").groupBy("f").agg(F.sum("n").alias("n"))
     df = np.zeros(len(names) + 1)
-    for f, k in spread.collect():
-        df[f] = k
+    counted = spread.toArrow()
+    df[counted["f"].to_numpy()] = counted["n"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]):
@@ -243,9 +284,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 ["doc_id", "toxic", "f", "k"],
             )
 
-    # At most ``sample`` rows of at most FEATURES features.
-    rows = texts.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, f array<int>, k array<int>").collect()
-    return Model(names, idf, sorted((r["doc_id"], r["toxic"], tuple(zip(r["f"], r["k"]))) for r in rows))
+    # At most ``sample`` rows.
+    rows = texts.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, f array<int>, k array<int>").toArrow()
+    found = sorted((i, y, tuple(zip(f, k))) for b in rows.to_batches(500) for i, y, f, k in zip(*(c.to_pylist() for c in b.columns)))
+    return Model(names, idf * r, found)
 
 
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))
