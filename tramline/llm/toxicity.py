@@ -10,7 +10,8 @@ Rows with equal vectors are one example that stands for as many rows, so that no
 Search: examples are cut into blocks of ``BLOCK``; for each feature and block the index holds the largest weight. A
 query's products with these bound every score in the block, so blocks are taken from the highest bound down until the
 k-th best score is above the next bound: the k nearest rows come out exactly, and with them all that tie with the k-th.
-Blocks are read in groups that grow (``WAVES``), each group by one pass over the postings of the query's features.
+Blocks are read in groups that grow (``WAVES``). Where the bounds leave a quarter of the blocks or more after the first
+group, the postings of each feature are read in one piece, which costs less than as many segments.
 
 Score: the votes of these rows weighted by 1 / (distance + ``SOFT``), together with ``PRIOR`` votes for the rate of texts
 without features, then an isotonic step function fitted to leave-one-out votes of the sample.
@@ -41,9 +42,9 @@ from .pieces import forget
 SAMPLE, FLOOR = 6000, 0.01
 #: What a prefix needs to be a feature; words need nothing.
 CHI2, LEAST_DF = 25.0, 3
-K, BLOCK, SOFT, PRIOR = 15, 64, 0.05, 1.0
+K, BLOCK, SOFT, PRIOR = 15, 128, 0.05, 1.0
 #: Blocks of a search's first groups; the last group is all that remain.
-WAVES = (1, 4, 16)
+WAVES = (1, 4)
 #: Score from which a text counts as toxic.
 TOXIC = 0.3
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -110,14 +111,15 @@ class Examples:
         row = np.repeat(np.arange(len(units)), [len(f) for f, _ in units])
         by = np.lexsort((row, feature))
         #: Postings by feature and example.
-        self.row, self.share = row[by].astype(np.int32), np.concatenate([w for _, w in units])[by]
+        self.row, self.share = row[by], np.concatenate([w for _, w in units])[by]
         # A segment holds the postings of one feature in one block.
         key = feature[by] * max(1, self.n_blocks) + self.row // BLOCK
         first = np.flatnonzero(np.diff(key, prepend=-1))
         self.start, self.length = first.astype(np.int32), np.diff(first, append=len(key)).astype(np.int32)
         self.block = (self.row[first] // BLOCK).astype(np.int32)
         self.top = np.maximum.reduceat(self.share, first) if len(first) else np.zeros(0)
-        #: Segments of each feature, as bounds.
+        #: Segments and postings of each feature, as bounds.
+        self.postings = np.searchsorted(feature[by], np.arange(len(weight) + 1))
         self.segments = np.searchsorted(feature[by][first], np.arange(len(weight) + 1))
 
     def unit(self, counts) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +131,9 @@ class Examples:
         """(rank, cosine) of the examples of largest cosine above 0 that have k rows, and of all that tie with the last; ``without`` leaves out one row of an example."""
         if not counts or not len(self.rows):
             return []
-        fs, q = self.unit(counts)
+        fs, unit = self.unit(counts)
         sizes = self.segments[fs + 1] - self.segments[fs]
-        segments, q = _ranges(self.segments[fs], sizes), np.repeat(q, sizes)
+        segments, q = _ranges(self.segments[fs], sizes), np.repeat(unit, sizes)
         blocks = self.block[segments]
         bounds = np.bincount(blocks, q * self.top[segments], self.n_blocks)
         order = np.argsort(-bounds, kind="stable")
@@ -139,19 +141,22 @@ class Examples:
         # ``least``: the cosine of the k-th row, once there are k.
         least, at = 0.0, 0
         for wave in (*WAVES, self.n_blocks):
-            group = order[at : at + wave]
-            group = group[(bounds[group] > 0) & (bounds[group] + 1e-9 >= least)]
-            if not len(group):
+            left = order[at:][(bounds[order[at:]] > 0) & (bounds[order[at:]] + 1e-9 >= least)]
+            if not len(left):
                 break
-            at += wave
-            chosen = np.zeros(self.n_blocks, bool)
-            chosen[group] = True
-            own = chosen[blocks]
-            sizes = self.length[segments[own]]
-            postings = _ranges(self.start[segments[own]], sizes)
-            new = np.round(np.bincount(self.row[postings], np.repeat(q[own], sizes) * self.share[postings], len(self.rows)), 12)
-            scores += new
-            best = np.concatenate([best, np.flatnonzero((new > 0) & (new >= least))])
+            if at and 4 * len(left) >= self.n_blocks:
+                scores, at = self.all_scores(fs, unit), self.n_blocks
+                best = np.flatnonzero((scores > 0) & (scores >= least))
+            else:
+                group, at = left[:wave], at + wave
+                chosen = np.zeros(self.n_blocks, bool)
+                chosen[group] = True
+                own = chosen[blocks]
+                sizes = self.length[segments[own]]
+                postings = _ranges(self.start[segments[own]], sizes)
+                new = np.round(np.bincount(self.row[postings], np.repeat(q[own], sizes) * self.share[postings], len(self.rows)), 12)
+                scores += new
+                best = np.concatenate([best, np.flatnonzero((new > 0) & (new >= least))])
             best = best[np.lexsort((best, -scores[best]))]
             full = np.flatnonzero(np.cumsum(self.size[best] - (best == without)) >= k)
             if len(full):
@@ -159,6 +164,14 @@ class Examples:
                 best = best[scores[best] >= least]
         return [(int(r), float(scores[r])) for r in best if self.size[r] > (r == without)]
 
+    def all_scores(self, fs: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Cosines of all examples."""
+        bounds = list(zip(self.postings[fs].tolist(), self.postings[fs + 1].tolist()))
+        row = np.concatenate([self.row[a:b] for a, b in bounds])
+        share = np.concatenate([self.share[a:b] for a, b in bounds])
+        share *= np.repeat(unit, self.postings[fs + 1] - self.postings[fs])
+        return np.round(np.bincount(row, share, len(self.rows)), 12)
+
     def vote(self, near: list[tuple[int, float]], prior: float, without: tuple[int, int] | None = None) -> float:
         """Share of toxic votes; ``without``: rank and label of a row that has none."""
         top = bottom = 0.0
@@ -262,8 +275,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for b in slices(batches):
             for t in b.column(0).to_pylist():
                 found[-1] += 1
-                for f, _ in vocabulary.counts(t):
-                    found[f] += 1
+                if counts := vocabulary.counts(t):
+                    found[[f for f, _ in counts]] += 1
         own = np.flatnonzero(found)
         for at in range(0, len(own), 10_000):
             part = own[at : at + 10_000]
