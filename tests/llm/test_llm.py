@@ -613,6 +613,54 @@ def test_toxicity_query(spark, sf):
     assert held and (not pos or not neg or np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg]) > 0.8)
 
 
+def test_toxicity_against_brute_force(spark, sf):
+    """Neighbours, cosines and scores of all documents by dense vectors over all words of the sample; whoever shares a word has evidence."""
+    sf = os.path.join(os.path.dirname(sf), "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and r.doc_id in texts}
+    sample = sorted(i for i in toxic if zlib.crc32(str(i).encode()) % 4 != 2)
+    tokens = {i: " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())).split() for i, t in texts.items()}
+    parts = {i: Counter(f for w in ws for f in [w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)]) for i, ws in tokens.items()}
+    n, positive = len(sample), sum(toxic[i] for i in sample)
+    count, hits, spread = Counter(f for i in sample for f in parts[i]), Counter(f for i in sample if toxic[i] for f in parts[i]), Counter(f for c in parts.values() for f in c)
+
+    def told(f):
+        a, m = hits[f], count[f]
+        return n * (a * (n - positive - m + a) - (m - a) * (positive - a)) ** 2 / (m * (n - m) * positive * (n - positive)) if m < n else 0.0
+
+    weight = {f: (np.log((1 + len(texts)) / (1 + spread[f])) + 1) * max(0.01, (told(f) / n) ** 0.5) for f in count if not f.endswith("*") or (count[f] >= 3 and told(f) >= 25)}
+    place = {f: k for k, f in enumerate(weight)}
+
+    def unit(i):
+        out = np.zeros(len(place))
+        for f, k in parts[i].items():
+            if f in place:
+                out[place[f]] = (1 + np.log(k)) * weight[f]
+        return out / max(np.linalg.norm(out), 1e-12)
+
+    matrix = np.array([unit(i) for i in sample])
+    y = np.array([toxic[i] for i in sample])
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.scores(docs, model).collect()}
+    assert 0 < positive < n and set(got) == set(texts)
+    for i, r in got.items():
+        s = np.round(matrix @ unit(i), 12)
+        assert bool(r.evidence) == bool(set(tokens[i]) & set(place)) == bool(s.max() > 0)
+        if not r.evidence:
+            assert r.score == model.prior
+            continue
+        last = np.sort(s)[::-1][toxicity.K - 1]
+        near = np.flatnonzero((s > 0) & (s >= last - 1e-10))
+        assert np.allclose([e.cosine for e in r.evidence], np.sort(s[near])[::-1][: toxicity.K], atol=1e-9, rtol=0)
+        assert all(e.label == toxic[e.doc_id] and e.doc_id in set(np.array(sample)[near].tolist()) for e in r.evidence)
+        w, p = 1 / (1 - np.minimum(s[near], 1) + toxicity.SOFT), toxicity.PRIOR / (1 + toxicity.SOFT)
+        vote = (w @ y[near] + p * model.prior) / (w.sum() + p)
+        steps = [model.values[max(int(np.searchsorted(model.edges, v, "right")) - 1, 0)] for v in (vote - 1e-9, vote, vote + 1e-9)]
+        assert any(abs(r.score - v) < 1e-9 for v in steps)
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(6)
     v = rng.random(300)
