@@ -8,10 +8,13 @@ with the label in the sample, and ``FLOOR`` at least: a word that says nothing o
 Rows with equal vectors are one example that stands for as many rows, so that no id has a say in a score.
 
 Search: examples are cut into blocks of ``BLOCK``; for each feature and block the index holds the largest weight. A
-query's products with these bound every score in the block, so blocks are taken from the highest bound down until the
-k-th best score is above the next bound: the k nearest rows come out exactly, and with them all that tie with the k-th.
-Blocks are read in groups that grow (``WAVES``). Where the bounds leave a quarter of the blocks or more after the first
-group, the postings of each feature are read in one piece, which costs less than as many segments.
+query's products with these bound every score in the block, so blocks are taken from the highest bound down, in groups
+that grow (``WAVES``), until the k-th best score is above the next bound: the k nearest rows come out exactly, and with
+them all that tie with the k-th. Queries go through the blocks together: postings of features that a tenth of the examples
+or more have (``DENSE`` of them at most) stand in a block as rows of a matrix, the others as lists.
+
+Words are looked up by 64-bit hashes of their bytes, taken for all words of a batch of texts at once; those of the
+vocabulary differ from each other, and one of 10^9 other words meets one of theirs with a chance below 10^-4.
 
 Score: the votes of these rows weighted by 1 / (distance + ``SOFT``), together with ``PRIOR`` votes for the rate of texts
 without features, then an isotonic step function fitted to leave-one-out votes of the sample.
@@ -29,6 +32,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, slices, table
+from .common import materialise, portions, slices, table
 from .pieces import forget
 
 SAMPLE, FLOOR = 6000, 0.01
@@ -45,6 +49,12 @@ CHI2, LEAST_DF = 25.0, 3
 K, BLOCK, SOFT, PRIOR = 15, 128, 0.05, 1.0
 #: Blocks of a search's first groups; the last group is all that remain.
 WAVES = (1, 4)
+#: Features that are held as rows of a matrix: the share of examples that have one, and how many at most.
+COMMON, DENSE = 0.1, 512
+#: Postings that are read together, unless one text alone has more.
+POSTINGS = 1 << 20
+#: Bytes of text that are hashed together, unless one word alone is longer.
+CHUNK = 1 << 20
 #: Score from which a text counts as toxic.
 TOXIC = 0.3
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -59,37 +69,118 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-class Vocabulary:
-    """Feature ids of words; what was looked up stays known, up to ``limit`` words."""
-
-    def __init__(self, names: list[str], limit: int = 150_000):
-        self.ids = {f: k for k, f in enumerate(names)}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.limit = limit
-
-    def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        """(feature, occurrences) of a text, by feature."""
-        if not text:
-            return ()
-        found: dict[int, int] = {}
-        known, ids = self.known, self.ids
-        for w, n in Counter(words(text)).items():
-            got = known.get(w)
-            if got is None:
-                if len(known) >= self.limit:
-                    known.clear()
-                got = known[w] = tuple(ids[f] for f in features_of(w) if f in ids)
-            for f in got:
-                found[f] = found.get(f, 0) + n
-        return tuple(sorted(found.items()))
-
-
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of each range, one range after the other."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def _bytes(text: str | None) -> bytes:
+    """A text's words, parted by spaces."""
+    text = (text or "").lower()
+    # Spaces beyond ASCII part words, too.
+    return (text if text.isascii() else " ".join(text.split())).encode("utf-8", "surrogatepass").translate(_SPLIT)
+
+
+#: An odd number that leaves 3 when divided by 4.
+_BASE = 0x9E3779B97F4A7C17
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of ``_BASE`` and of its inverse, modulo 2^64."""
+    factors = [np.full(n, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    for f in factors:
+        f[0] = 1
+    return tuple(np.cumprod(f, dtype=np.uint64) for f in factors)
+
+
+class Hashes:
+    """Hashes of the parts of a row of bytes: sums of a random number for each byte times a power of its place in the part."""
+
+    def __init__(self, text: np.ndarray, values: np.ndarray):
+        powers, self.inverse = _powers(1 << max(CHUNK, len(text)).bit_length())
+        self.upto = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum(values[text] * powers[: len(text)], out=self.upto[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.upto[ends] - self.upto[starts]) * self.inverse[starts]
+
+
+def _edges(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a row of bytes that ends in a space begin and end."""
+    edges = np.flatnonzero(np.diff((text != 32).view(np.int8), prepend=0))
+    return edges[::2], edges[1::2]
+
+
+class Vocabulary:
+    """Feature ids of words."""
+
+    def __init__(self, names: list[str]):
+        self.size = len(names)
+        ids = {f: k for k, f in enumerate(names)}
+        own = [f for f in names if not f.endswith("*")]
+        prefixes = [f for f in names if f.endswith("*")]
+        for seed in range(100):
+            self.values = np.random.default_rng(seed).integers(0, 1 << 64, 256, np.uint64)
+            hashed, begun = self._hashes(own), self._hashes([f[:-1] for f in prefixes])
+            if len(np.unique(hashed)) == len(own) and len(np.unique(begun)) == len(prefixes):
+                break
+        else:
+            raise ValueError("words of the vocabulary can't be told apart")
+        order = np.argsort(hashed)
+        self.hash = hashed[order]
+        # The features of each word, by its place in ``hash``.
+        found = [[ids[f] for f in features_of(own[k]) if f in ids] for k in order.tolist()]
+        self.first = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
+        self.features = np.array([f for fs in found for f in fs], np.int64)
+        order = np.argsort(begun)
+        self.begun, self.prefix = begun[order], np.array([ids[prefixes[k]] for k in order.tolist()], np.int64)
+
+    def _hashes(self, names: list[str]) -> np.ndarray:
+        text = np.frombuffer("".join(f"{f} " for f in names).encode("utf-8", "surrogatepass"), np.uint8)
+        return Hashes(text, self.values).of(*_edges(text))
+
+    @staticmethod
+    def _find(among: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes in a sorted row of them, and whether they are there."""
+        if not len(among):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(among, hashes), len(among) - 1)
+        return at, among[at] == hashes
+
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, feature, occurrences) of the features of each text, by text and feature."""
+        each = [_bytes(t) for t in texts]
+        data = b" ".join(each) + b" "
+        begins = np.cumsum([0] + [len(t) + 1 for t in each[:-1]])
+        keys, at = [np.zeros(0, np.int64)], 0
+        while at < len(data):
+            to = (data.rfind(b" ", at, at + CHUNK) if at + CHUNK < len(data) else len(data) - 1) + 1 or data.find(b" ", at + CHUNK) + 1
+            own = np.frombuffer(data, np.uint8, to - at, at)
+            starts, ends = _edges(own)
+            hashes = Hashes(own, self.values)
+            owner = (np.searchsorted(begins, starts + at, "right") - 1) * self.size
+            place, known = self._find(self.hash, hashes.of(starts, ends))
+            place = place[known]
+            sizes = self.first[place + 1] - self.first[place]
+            keys.append(np.repeat(owner[known], sizes) + self.features[_ranges(self.first[place], sizes)])
+            if len(self.begun) and not known.all():
+                starts, ends, owner = starts[~known], ends[~known], owner[~known]
+                leads = (own & 0xC0) != 0x80
+                letter, places = np.cumsum(leads) - 1, np.flatnonzero(leads)
+                for n in PREFIXES:
+                    longer = letter[ends] - letter[starts] > n
+                    from_ = starts[longer]
+                    place, there = self._find(self.begun, hashes.of(from_, places[letter[from_] + n]))
+                    keys.append(owner[longer][there] + self.prefix[place[there]])
+            at = to
+        key = np.concatenate(keys)
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        return key[first] // max(1, self.size), key[first] % max(1, self.size), np.diff(first, append=len(key))
+
+
 class Examples:
     """A block-max inverted index over labelled unit vectors; rows with equal vectors are one example."""
 
@@ -109,16 +200,29 @@ class Examples:
         units = [self.unit(v) for v in order] or [(np.zeros(0, np.int64), np.zeros(0))]
         feature = np.concatenate([f for f, _ in units])
         row = np.repeat(np.arange(len(units)), [len(f) for f, _ in units])
+        share = np.concatenate([w for _, w in units])
+        # Common features: their places in the matrices of blocks, -1 for others.
+        spread = np.bincount(feature, minlength=len(weight))
+        common = np.flatnonzero(spread >= max(1, COMMON * len(order)))
+        common = np.sort(common[np.argsort(-spread[common], kind="stable")][:DENSE])
+        self.column = np.full(len(weight), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        own = self.column[feature] >= 0
+        #: The shares of common features by block, feature and example of the block, and the largest by feature and block.
+        self.dense = np.zeros((self.n_blocks, len(common), BLOCK))
+        self.dense[row[own] // BLOCK, self.column[feature[own]], row[own] % BLOCK] = share[own]
+        self.dense_top = self.dense.max(axis=2, initial=0).T
+        feature, row, share = feature[~own], row[~own], share[~own]
         by = np.lexsort((row, feature))
-        #: Postings by feature and example.
-        self.row, self.share = row[by], np.concatenate([w for _, w in units])[by]
+        #: Postings of the other features by feature and example.
+        self.row, self.share = row[by].astype(np.int32), share[by]
         # A segment holds the postings of one feature in one block.
         key = feature[by] * max(1, self.n_blocks) + self.row // BLOCK
         first = np.flatnonzero(np.diff(key, prepend=-1))
         self.start, self.length = first.astype(np.int32), np.diff(first, append=len(key)).astype(np.int32)
         self.block = (self.row[first] // BLOCK).astype(np.int32)
         self.top = np.maximum.reduceat(self.share, first) if len(first) else np.zeros(0)
-        #: Segments and postings of each feature, as bounds.
+        #: Postings and segments of each feature, as bounds.
         self.postings = np.searchsorted(feature[by], np.arange(len(weight) + 1))
         self.segments = np.searchsorted(feature[by][first], np.arange(len(weight) + 1))
 
@@ -128,49 +232,72 @@ class Examples:
         return fs, w / max(math.sqrt(float(w @ w)), 1e-12)
 
     def nearest(self, counts, k: int, without: int | None = None) -> list[tuple[int, float]]:
-        """(rank, cosine) of the examples of largest cosine above 0 that have k rows, and of all that tie with the last; ``without`` leaves out one row of an example."""
-        if not counts or not len(self.rows):
-            return []
-        fs, unit = self.unit(counts)
+        """As ``nearest_of_all`` for one query."""
+        fs, n = np.array(counts, np.int64).reshape(-1, 2).T
+        return self.nearest_of_all(np.zeros(len(fs), np.int64), fs, n, 1, k, None if without is None else [without])[0]
+
+    def nearest_of_all(self, query: np.ndarray, fs: np.ndarray, n: np.ndarray, queries: int, k: int, without: list[int] | None = None) -> list[list[tuple[int, float]]]:
+        """For each of the queries, given as rows (query, feature, occurrences) by query: (rank, cosine) of the examples of
+        largest cosine above 0 that have k rows, and of all that tie with the last; ``without`` leaves out one row of an example of each."""
+        if not len(self.rows):
+            return [[] for _ in range(queries)]
+        q = (1 + np.log(n)) * self.weight[fs]
+        q /= np.maximum(np.sqrt(np.bincount(query, q * q, queries)), 1e-12)[query]
+        upto = np.concatenate([[0], np.cumsum(np.bincount(query, self.postings[fs + 1] - self.postings[fs] + 1, queries))])
+        bounds = np.searchsorted(query, np.arange(queries + 1))
+        # About as many cells of scores as postings.
+        together = max(1, POSTINGS // (BLOCK * self.n_blocks))
+        out, at = [], 0
+        while at < queries:
+            to = min(at + together, max(at + 1, int(np.searchsorted(upto, upto[at] + POSTINGS, "right")) - 1), queries)
+            own = slice(bounds[at], bounds[to])
+            out += self._nearest(query[own] - at, fs[own], q[own], to - at, k, without and without[at:to])
+            at = to
+        return out
+
+    def _nearest(self, query: np.ndarray, fs: np.ndarray, q: np.ndarray, queries: int, k: int, without: list[int] | None) -> list[list[tuple[int, float]]]:
+        width, n_rows = BLOCK * self.n_blocks, len(self.rows)
+        common = self.column[fs] >= 0
+        dense = np.zeros((queries, self.dense.shape[1]))
+        dense[query[common], self.column[fs[common]]] = q[common]
+        query, fs, q = query[~common], fs[~common], q[~common]
         sizes = self.segments[fs + 1] - self.segments[fs]
-        segments, q = _ranges(self.segments[fs], sizes), np.repeat(unit, sizes)
-        blocks = self.block[segments]
-        bounds = np.bincount(blocks, q * self.top[segments], self.n_blocks)
-        order = np.argsort(-bounds, kind="stable")
-        best, scores = np.zeros(0, np.int64), np.zeros(len(self.rows))
-        # ``least``: the cosine of the k-th row, once there are k.
-        least, at = 0.0, 0
+        segments, query, q = _ranges(self.segments[fs], sizes), np.repeat(query, sizes), np.repeat(q, sizes)
+        block = self.block[segments]
+        bounds = dense @ self.dense_top + np.bincount(query * self.n_blocks + block, q * self.top[segments], queries * self.n_blocks).reshape(queries, -1)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(self.n_blocks)[None, :], 1)
+        scores = np.zeros((queries, width))
+        # One row of an example may be left out, so one example more may be needed.
+        most = min(n_rows, k + (without is not None))
+        least, done = np.zeros(queries), 0
         for wave in (*WAVES, self.n_blocks):
-            left = order[at:][(bounds[order[at:]] > 0) & (bounds[order[at:]] + 1e-9 >= least)]
-            if not len(left):
-                break
-            if at and 4 * len(left) >= self.n_blocks:
-                scores, at = self.all_scores(fs, unit), self.n_blocks
-                best = np.flatnonzero((scores > 0) & (scores >= least))
-            else:
-                group, at = left[:wave], at + wave
-                chosen = np.zeros(self.n_blocks, bool)
-                chosen[group] = True
-                own = chosen[blocks]
-                sizes = self.length[segments[own]]
-                postings = _ranges(self.start[segments[own]], sizes)
-                new = np.round(np.bincount(self.row[postings], np.repeat(q[own], sizes) * self.share[postings], len(self.rows)), 12)
-                scores += new
-                best = np.concatenate([best, np.flatnonzero((new > 0) & (new >= least))])
-            best = best[np.lexsort((best, -scores[best]))]
-            full = np.flatnonzero(np.cumsum(self.size[best] - (best == without)) >= k)
-            if len(full):
-                least = float(scores[best[full[0]]])
-                best = best[scores[best] >= least]
-        return [(int(r), float(scores[r])) for r in best if self.size[r] > (r == without)]
-
-    def all_scores(self, fs: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        """Cosines of all examples."""
-        bounds = list(zip(self.postings[fs].tolist(), self.postings[fs + 1].tolist()))
-        row = np.concatenate([self.row[a:b] for a, b in bounds])
-        share = np.concatenate([self.share[a:b] for a, b in bounds])
-        share *= np.repeat(unit, self.postings[fs + 1] - self.postings[fs])
-        return np.round(np.bincount(row, share, len(self.rows)), 12)
+            chosen = (place >= done) & (place < done + wave) & (bounds > 0) & (bounds + 1e-9 >= least[:, None])
+            done += wave
+            if not chosen.any():
+                continue
+            for b in np.flatnonzero(chosen.any(axis=0)):
+                of = np.flatnonzero(chosen[:, b])
+                scores[of, b * BLOCK : (b + 1) * BLOCK] = dense[of] @ self.dense[b]
+            own = chosen[query, block]
+            read = segments[own]
+            sizes = self.length[read]
+            postings = _ranges(self.start[read], sizes)
+            scores += np.bincount(np.repeat(query[own] * width, sizes) + self.row[postings], np.repeat(q[own], sizes) * self.share[postings], queries * width).reshape(queries, -1)
+            least = np.partition(scores, width - most, axis=1)[:, width - most]
+        out = []
+        for d in range(queries):
+            best = np.flatnonzero((scores[d] >= least[d] - 1e-11) & (scores[d] > 0))
+            score = np.round(scores[d, best], 12)
+            best, score = best[score > 0], score[score > 0]
+            by = np.lexsort((best, -score))
+            best, score = best[by], score[by]
+            size = self.size[best] - (best == without[d]) if without else self.size[best]
+            full = np.flatnonzero(np.cumsum(size) >= k)
+            near = (size > 0) & (score >= (score[full[0]] if len(full) else 0))
+            out.append(list(zip(best[near].tolist(), score[near].tolist())))
+        return out
 
     def vote(self, near: list[tuple[int, float]], prior: float, without: tuple[int, int] | None = None) -> float:
         """Share of toxic votes; ``without``: rank and label of a row that has none."""
@@ -202,34 +329,37 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
-    def __init__(self, names: list[str], weight: np.ndarray, rows: list[tuple[int, int, tuple]]):
-        self.vocabulary = Vocabulary(names)
+    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, rows: list[tuple[int, int, tuple]]):
+        self.vocabulary = vocabulary
         plain = [y for _, y, v in rows if not v]
         self.prior = (sum(plain) + sum(y for _, y, _ in rows) / max(1, len(rows))) / (len(plain) + 1)
         own = [r for r in rows if r[2]]
         self.examples = Examples(weight, [v for _, _, v in own], [y for _, y, _ in own], [i for i, _, _ in own])
         # The vectors themselves are needed here alone.
-        at = self.examples.__dict__.pop("rank")
-        votes = [self.examples.vote(self.examples.nearest(v, K, at[v]), self.prior, (at[v], y)) for _, y, v in own]
+        rank = self.examples.__dict__.pop("rank")
+        at = [rank[v] for _, _, v in own]
+        query = np.repeat(np.arange(len(own)), [len(v) for _, _, v in own])
+        fs, n = np.array([p for _, _, v in own for p in v], np.int64).reshape(-1, 2).T
+        near = self.examples.nearest_of_all(query, fs, n, len(own), K, at)
+        votes = [self.examples.vote(s, self.prior, (r, y)) for s, r, (_, y, _) in zip(near, at, own)]
         self.edges, self.values = isotonic(np.array(votes), np.array([y for _, y, _ in own], np.float64))
         self.seen: dict[bytes, tuple] = {}
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
-        """Calibrated score, and the evidence: (doc_id, cosine, label) of the nearest K rows, ties by the vector and the id."""
-        if not text:
-            return self.prior, []
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float, int]]]]:
+        """Calibrated scores, and the evidence: (doc_id, cosine, label) of the nearest K rows, ties by the vector and the id."""
         # Copies of a text are scored once, as long as it is remembered.
-        digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        if (got := self.seen.get(digest)) is None:
-            if len(self.seen) >= 5_000:
-                self.seen.clear()
-            got = self.seen[digest] = self._score(self.vocabulary.counts(text))
-        return got
-
-    def _score(self, counts) -> tuple[float, list[tuple[int, float, int]]]:
-        if not counts:
-            return self.prior, []
-        near = self.examples.nearest(counts, K)
+        digests = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+        if len(self.seen) >= 5_000:
+            self.seen.clear()
+        new = {d: t for d, t in zip(digests, texts) if d not in self.seen}
+        query, fs, n = self.vocabulary.counts(list(new.values()))
+        some = np.bincount(query, minlength=len(new)) > 0
+        near = self.examples.nearest_of_all(query, fs, n, len(new), K)
+        for d, any_, found in zip(new, some.tolist(), near):
+            self.seen[d] = self._scored(found) if any_ else (self.prior, [])
+        return [self.seen[d] for d in digests]
+
+    def _scored(self, near: list[tuple[int, float]]) -> tuple[float, list[tuple[int, float, int]]]:
         vote = self.examples.vote(near, self.prior)
         at = int(np.searchsorted(self.edges, vote, "right")) - 1
         value = float(self.values[max(at, 0)]) if len(self.values) else self.prior
@@ -269,14 +399,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = told.select("feature", F.greatest(F.lit(FLOOR), F.sqrt(F.col("chi2") / n)).alias("r")).orderBy("feature").toArrow()
     names, r = chosen["feature"].to_pylist(), chosen["r"].to_numpy()
 
+    vocabulary = Vocabulary(names)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
     def document_frequencies(batches: Iterator[pa.RecordBatch]):
         forget()
-        vocabulary, found = Vocabulary(names), np.zeros(len(names) + 1, np.int64)
-        for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                found[-1] += 1
-                if counts := vocabulary.counts(t):
-                    found[[f for f, _ in counts]] += 1
+        found = np.zeros(len(names) + 1, np.int64)
+        for b in portions(batches, 0):
+            found[-1] += b.num_rows
+            found[:-1] += np.bincount(shared.value.counts(b.column(0).to_pylist())[1], minlength=len(names))
         own = np.flatnonzero(found)
         for at in range(0, len(own), 10_000):
             part = own[at : at + 10_000]
@@ -289,18 +420,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]):
-        vocabulary = Vocabulary(names)
-        for b in slices(batches):
-            found = [vocabulary.counts(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([[f for f, _ in v] for v in found], pa.list_(pa.int32())), pa.array([[k for _, k in v] for v in found], pa.list_(pa.int32()))],
-                ["doc_id", "toxic", "f", "k"],
-            )
+        for b in portions(batches, 1):
+            query, fs, n = shared.value.counts(b.column(1).to_pylist())
+            ends = pa.array(np.searchsorted(query, np.arange(b.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (fs, n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists], ["doc_id", "toxic", "f", "k"])
 
     # At most ``sample`` rows.
     rows = texts.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, f array<int>, k array<int>").toArrow()
     found = sorted((i, y, tuple(zip(f, k))) for b in rows.to_batches(500) for i, y, f, k in zip(*(c.to_pylist() for c in b.columns)))
-    return Model(names, idf * r, found)
+    return Model(vocabulary, idf * r, found)
 
 
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))
@@ -317,14 +446,13 @@ def scores(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         forget()
         own = shared.value
-        for b in slices(batches):
-            found = [own.score(t) for t in b.column(at).to_pylist()]
+        for b in portions(batches, at, 500):
+            found = own.score(b.column(at).to_pylist())
             new = [pa.array([s for s, _ in found], pa.float64())]
             if evidence:
                 new.append(pa.array([[{"doc_id": i, "cosine": c, "label": y} for i, c, y in e] for _, e in found], arrow))
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [f.name for f in schema.fields])
-        # The model stays with the worker; what it has looked up need not.
-        own.vocabulary.known.clear()
+        # The model stays with the worker; what it has scored need not.
         own.seen.clear()
 
     return docs.select(*[f.name for f in kept]).mapInArrow(run, schema)
