@@ -10,8 +10,9 @@ Rows with equal vectors are one example that stands for as many rows, so that no
 Search: examples are cut into blocks of ``BLOCK``; for each feature and block the index holds the largest weight. A
 query's products with these bound every score in the block, so blocks are taken from the highest bound down, in groups
 that grow (``WAVES``), until the k-th best score is above the next bound: the k nearest rows come out exactly, and with
-them all that tie with the k-th. Queries go through the blocks together: postings of features that a tenth of the examples
-or more have (``DENSE`` of them at most) stand in a block as rows of a matrix, the others as lists.
+them all that tie with the k-th. Queries go through the blocks together: postings of features that a twentieth of the
+examples or more have (``DENSE`` of them at most) stand in a block as rows of a matrix, the others as lists. The matrices
+are in single precision; whatever may be among the nearest by that is scored again in double precision.
 
 Words are looked up by 64-bit hashes of their bytes, taken for all words of a batch of texts at once; those of the
 vocabulary differ from each other, and one of 10^9 other words meets one of theirs with a chance below 10^-4.
@@ -32,7 +33,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,11 @@ SAMPLE, FLOOR = 6000, 0.01
 CHI2, LEAST_DF = 25.0, 3
 K, BLOCK, SOFT, PRIOR = 15, 128, 0.05, 1.0
 #: Blocks of a search's first groups; the last group is all that remain.
-WAVES = (1, 4)
+WAVES = (4,)
 #: Features that are held as rows of a matrix: the share of examples that have one, and how many at most.
-COMMON, DENSE = 0.1, 512
+COMMON, DENSE = 0.05, 1024
+#: How far a score in single precision may be off, as a share of it: no term is below 0.
+OFF = (DENSE + 8) * 2.0**-24
 #: Postings that are read together, unless one text alone has more.
 POSTINGS = 1 << 20
 #: Bytes of text that are hashed together, unless one word alone is longer.
@@ -208,10 +211,10 @@ class Examples:
         self.column = np.full(len(weight), -1, np.int32)
         self.column[common] = np.arange(len(common))
         own = self.column[feature] >= 0
-        #: The shares of common features by block, feature and example of the block, and the largest by feature and block.
-        self.dense = np.zeros((self.n_blocks, len(common), BLOCK))
-        self.dense[row[own] // BLOCK, self.column[feature[own]], row[own] % BLOCK] = share[own]
-        self.dense_top = self.dense.max(axis=2, initial=0).T
+        #: The shares of common features by example, and the largest by feature and block.
+        self.dense = np.zeros((self.n_blocks * BLOCK, len(common)))
+        self.dense[row[own], self.column[feature[own]]] = share[own]
+        self.dense_top = self.dense.reshape(self.n_blocks, BLOCK, len(common)).max(axis=1, initial=0).T
         feature, row, share = feature[~own], row[~own], share[~own]
         by = np.lexsort((row, feature))
         #: Postings of the other features by feature and example.
@@ -226,6 +229,14 @@ class Examples:
         self.postings = np.searchsorted(feature[by], np.arange(len(weight) + 1))
         self.segments = np.searchsorted(feature[by][first], np.arange(len(weight) + 1))
 
+    @cached_property
+    def matrices(self) -> np.ndarray:
+        """The shares of common features by block, feature and example of the block, in single precision."""
+        return np.ascontiguousarray(self.dense.reshape(self.n_blocks, BLOCK, self.dense.shape[1]).transpose(0, 2, 1), np.float32)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "matrices"}
+
     def unit(self, counts) -> tuple[np.ndarray, np.ndarray]:
         fs, n = np.array(counts, np.int64).reshape(-1, 2).T
         w = (1 + np.log(n)) * self.weight[fs]
@@ -260,6 +271,7 @@ class Examples:
         common = self.column[fs] >= 0
         dense = np.zeros((queries, self.dense.shape[1]))
         dense[query[common], self.column[fs[common]]] = q[common]
+        single = dense.astype(np.float32)
         query, fs, q = query[~common], fs[~common], q[~common]
         sizes = self.segments[fs + 1] - self.segments[fs]
         segments, query, q = _ranges(self.segments[fs], sizes), np.repeat(query, sizes), np.repeat(q, sizes)
@@ -268,28 +280,33 @@ class Examples:
         order = np.argsort(-bounds, axis=1, kind="stable")
         place = np.empty_like(order)
         np.put_along_axis(place, order, np.arange(self.n_blocks)[None, :], 1)
-        scores = np.zeros((queries, width))
+        # By lists, exact; by lists and matrices.
+        listed, scores = np.zeros((queries, width)), np.zeros((queries, width), np.float32)
         # One row of an example may be left out, so one example more may be needed.
         most = min(n_rows, k + (without is not None))
         least, done = np.zeros(queries), 0
         for wave in (*WAVES, self.n_blocks):
-            chosen = (place >= done) & (place < done + wave) & (bounds > 0) & (bounds + 1e-9 >= least[:, None])
+            chosen = (place >= done) & (place < done + wave) & (bounds > 0) & (bounds + 1e-9 >= least[:, None] * (1 - 3 * OFF))
             done += wave
             if not chosen.any():
                 continue
             for b in np.flatnonzero(chosen.any(axis=0)):
                 of = np.flatnonzero(chosen[:, b])
-                scores[of, b * BLOCK : (b + 1) * BLOCK] = dense[of] @ self.dense[b]
+                scores[of, b * BLOCK : (b + 1) * BLOCK] = single[of] @ self.matrices[b]
             own = chosen[query, block]
             read = segments[own]
             sizes = self.length[read]
             postings = _ranges(self.start[read], sizes)
-            scores += np.bincount(np.repeat(query[own] * width, sizes) + self.row[postings], np.repeat(q[own], sizes) * self.share[postings], queries * width).reshape(queries, -1)
-            least = np.partition(scores, width - most, axis=1)[:, width - most]
+            new = np.bincount(np.repeat(query[own] * width, sizes) + self.row[postings], np.repeat(q[own], sizes) * self.share[postings], queries * width).reshape(queries, -1)
+            listed += new
+            scores += new
+            read = scores if done >= self.n_blocks else scores.reshape(queries, -1, BLOCK)[np.arange(queries)[:, None], order[:, :done]].reshape(queries, -1)
+            if read.shape[1] >= most:
+                least = np.partition(read, -most, axis=1)[:, -most].astype(np.float64)
         out = []
         for d in range(queries):
-            best = np.flatnonzero((scores[d] >= least[d] - 1e-11) & (scores[d] > 0))
-            score = np.round(scores[d, best], 12)
+            best = np.flatnonzero((scores[d] >= least[d] * (1 - 3 * OFF) - 1e-11) & (scores[d] > 0))
+            score = np.round(listed[d, best] + self.dense[best] @ dense[d], 12)
             best, score = best[score > 0], score[score > 0]
             by = np.lexsort((best, -score))
             best, score = best[by], score[by]
