@@ -572,7 +572,7 @@ def test_nearest_examples_are_exact():
         order = np.sort(s)[::-1]
         # The rows that are as near as the k-th, whatever their ids.
         want = [k for k in range(500) if s[k] > 0 and s[k] >= order[toxicity.K - 1] - 1e-10]
-        at = index.rank[vectors[without]] if without is not None else None
+        at = index.rank[without] if without is not None else None
         got = index.nearest(q, toxicity.K, at)
         rows = [i for r, _ in got for i, _ in index.rows[r] if i != without]
         assert sorted(rows) == want and all(abs(x - s[i]) < 1e-9 for r, x in got for i, _ in index.rows[r] if i != without)

@@ -102,7 +102,7 @@ class Hashes:
     """Hashes of the parts of a row of bytes: sums of a random number for each byte times a power of its place in the part."""
 
     def __init__(self, text: np.ndarray, values: np.ndarray):
-        powers, self.inverse = _powers(1 << max(CHUNK, len(text)).bit_length())
+        powers, self.inverse = _powers(1 << (max(CHUNK, len(text)) - 1).bit_length())
         self.upto = np.zeros(len(text) + 1, np.uint64)
         np.cumsum(values[text] * powers[: len(text)], out=self.upto[1:])
 
@@ -141,8 +141,11 @@ class Vocabulary:
         self.begun, self.prefix = begun[order], np.array([ids[prefixes[k]] for k in order.tolist()], np.int64)
 
     def _hashes(self, names: list[str]) -> np.ndarray:
-        text = np.frombuffer("".join(f"{f} " for f in names).encode("utf-8", "surrogatepass"), np.uint8)
-        return Hashes(text, self.values).of(*_edges(text))
+        found = [np.zeros(0, np.uint64)]
+        for at in range(0, len(names), 20_000):
+            text = np.frombuffer("".join(f"{f} " for f in names[at : at + 20_000]).encode("utf-8", "surrogatepass"), np.uint8)
+            found.append(Hashes(text, self.values).of(*_edges(text)))
+        return np.concatenate(found)
 
     @staticmethod
     def _find(among: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,23 +190,32 @@ class Vocabulary:
 class Examples:
     """A block-max inverted index over labelled unit vectors; rows with equal vectors are one example."""
 
-    def __init__(self, weight: np.ndarray, vectors: list[tuple[tuple[int, int], ...]], labels: list[int], ids: list[int]):
+    def __init__(self, weight: np.ndarray, vectors: list, labels: list[int], ids: list[int]):
+        """``vectors``: (feature, occurrences) pairs of each row, by feature."""
         self.weight = weight
-        rows: dict[tuple, list[tuple[int, int]]] = {}
-        for v, y, i in zip(vectors, labels, ids):
-            rows.setdefault(v, []).append((i, y))
+        place = np.empty(len(weight), ">u4")
+        place[np.argsort(-weight, kind="stable")] = np.arange(len(weight))
+        kept: dict[tuple[bytes, bytes], list[int]] = {}
+        for k, v in enumerate(vectors):
+            fs, n = np.array(v, np.int64).reshape(-1, 2).T
+            by = np.argsort(place[fs])
+            kept.setdefault((place[fs[by]].tobytes(), n[by].astype(">u4").tobytes()), []).append(k)
         # Examples with the same leading features stand together, so blocks have tight bounds.
-        order = sorted(rows, key=lambda v: (sorted(v, key=lambda p: (-weight[p[0]], p)), v))
-        self.rank = {v: r for r, v in enumerate(order)}
+        order = [kept[v] for v in sorted(kept)]
+        #: The example of each row.
+        self.rank = np.zeros(len(vectors), np.int64)
+        for r, own in enumerate(order):
+            self.rank[own] = r
         #: (doc_id, label) of the rows of each example; numbers of its rows and of those with label 1.
-        self.rows = [sorted(rows[v]) for v in order]
+        self.rows = [sorted((ids[k], labels[k]) for k in own) for own in order]
         self.size = np.array([len(own) for own in self.rows], np.float64)
         self.hits = np.array([sum(y for _, y in own) for own in self.rows], np.float64)
         self.n_blocks = -(-len(order) // BLOCK)
-        units = [self.unit(v) for v in order] or [(np.zeros(0, np.int64), np.zeros(0))]
+        units = [self.unit(vectors[own[0]]) for own in order] or [(np.zeros(0, np.int64), np.zeros(0))]
         feature = np.concatenate([f for f, _ in units])
         row = np.repeat(np.arange(len(units)), [len(f) for f, _ in units])
         share = np.concatenate([w for _, w in units])
+        del units, kept
         # Common features: their places in the matrices of blocks, -1 for others.
         spread = np.bincount(feature, minlength=len(weight))
         common = np.flatnonzero(spread >= max(1, COMMON * len(order)))
@@ -346,19 +358,22 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, rows: list[tuple[int, int, tuple]]):
+    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, rows: list[tuple[int, int, np.ndarray]]):
         self.vocabulary = vocabulary
-        plain = [y for _, y, v in rows if not v]
+        plain = [y for _, y, v in rows if not len(v)]
         self.prior = (sum(plain) + sum(y for _, y, _ in rows) / max(1, len(rows))) / (len(plain) + 1)
-        own = [r for r in rows if r[2]]
+        own = [r for r in rows if len(r[2])]
         self.examples = Examples(weight, [v for _, _, v in own], [y for _, y, _ in own], [i for i, _, _ in own])
-        # The vectors themselves are needed here alone.
-        rank = self.examples.__dict__.pop("rank")
-        at = [rank[v] for _, _, v in own]
-        query = np.repeat(np.arange(len(own)), [len(v) for _, _, v in own])
-        fs, n = np.array([p for _, _, v in own for p in v], np.int64).reshape(-1, 2).T
-        near = self.examples.nearest_of_all(query, fs, n, len(own), K, at)
-        votes = [self.examples.vote(s, self.prior, (r, y)) for s, r, (_, y, _) in zip(near, at, own)]
+        # The rows' examples are needed here alone.
+        at = self.examples.__dict__.pop("rank").tolist()
+        votes = []
+        for k in range(0, len(own), 500):
+            part = own[k : k + 500]
+            fs, n = np.concatenate([v for _, _, v in part]).astype(np.int64).T
+            query = np.repeat(np.arange(len(part)), [len(v) for _, _, v in part])
+            near = self.examples.nearest_of_all(query, fs, n, len(part), K, at[k : k + 500])
+            votes += [self.examples.vote(s, self.prior, (r, y)) for s, r, (_, y, _) in zip(near, at[k:], part)]
+        self.examples.__dict__.pop("matrices", None)
         self.edges, self.values = isotonic(np.array(votes), np.array([y for _, y, _ in own], np.float64))
         self.seen: dict[bytes, tuple] = {}
 
@@ -416,22 +431,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = told.select("feature", F.greatest(F.lit(FLOOR), F.sqrt(F.col("chi2") / n)).alias("r")).orderBy("feature").toArrow()
     names, r = chosen["feature"].to_pylist(), chosen["r"].to_numpy()
 
-    vocabulary = Vocabulary(names)
+    vocabulary, size = Vocabulary(names), len(names)
+    del names, chosen
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def document_frequencies(batches: Iterator[pa.RecordBatch]):
         forget()
-        found = np.zeros(len(names) + 1, np.int64)
+        found = np.zeros(size + 1, np.int64)
         for b in portions(batches, 0):
             found[-1] += b.num_rows
-            found[:-1] += np.bincount(shared.value.counts(b.column(0).to_pylist())[1], minlength=len(names))
+            found[:-1] += np.bincount(shared.value.counts(b.column(0).to_pylist())[1], minlength=size)
         own = np.flatnonzero(found)
         for at in range(0, len(own), 10_000):
             part = own[at : at + 10_000]
             yield pa.RecordBatch.from_pydict({"f": part.astype(np.int32), "n": found[part]})
 
     spread = docs.select(F.coalesce("text", F.lit(""))).mapInArrow(document_frequencies, "f int, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    df = np.zeros(len(names) + 1)
+    df = np.zeros(size + 1)
     counted = spread.toArrow()
     df[counted["f"].to_numpy()] = counted["n"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
@@ -445,7 +461,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # At most ``sample`` rows.
     rows = texts.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, f array<int>, k array<int>").toArrow()
-    found = sorted((i, y, tuple(zip(f, k))) for b in rows.to_batches(500) for i, y, f, k in zip(*(c.to_pylist() for c in b.columns)))
+    found = []
+    for b in rows.to_batches():
+        ends = b.column(2).offsets.to_numpy()
+        pairs = np.stack([c.values.to_numpy() for c in b.columns[2:]], 1)
+        found += [(i, y, pairs[p:q].copy()) for i, y, p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends, ends[1:])]
+    found.sort(key=lambda x: x[0])
     return Model(vocabulary, idf * r, found)
 
 
