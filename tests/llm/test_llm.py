@@ -582,6 +582,25 @@ def test_nearest_examples_are_exact():
         assert abs(index.vote(got, 0.1, None if without is None else (at, labels[without])) - vote) < 1e-9
 
 
+@pytest.mark.parametrize("chunk", [16, 64, 1 << 20])
+def test_words_are_counted_as_one_by_one(monkeypatch, chunk):
+    """Features of many texts at once against a dictionary, wherever the bytes are cut: letters of one to four bytes, spaces beyond ASCII, long words."""
+    monkeypatch.setattr(toxicity, "CHUNK", chunk)
+    toxicity._powers.cache_clear()
+    rng = random.Random(36)
+    letters = "abcXYZ019éßİΣ\u00a0\u3000中文\U0001f600\U00010400 \t\n.,-_*"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "", " ", "a" * 500, "é" * 300 + " abc", "ab " * 200, "ΑΣ", "ΑΣ."]
+    every = sorted({f for t in texts for w in toxicity.words(t or "") for f in toxicity.features_of(w)})
+    names = sorted(rng.sample(every, len(every) // 2))
+    want = []
+    for k, t in enumerate(texts):
+        found = Counter(f for w in toxicity.words(t or "") for f in toxicity.features_of(w))
+        want += [(k, j, found[f]) for j, f in enumerate(names) if f in found]
+    assert list(zip(*(x.tolist() for x in toxicity.Vocabulary(names).counts(texts)))) == want
+    assert not len(toxicity.Vocabulary([]).counts(texts)[0]) and not len(toxicity.Vocabulary(names).counts([])[0])
+    toxicity._powers.cache_clear()
+
+
 def test_scores_do_not_depend_on_ids(spark):
     rng = random.Random(35)
     texts = [" ".join(rng.choice(["zqvile", "grumbad", "plain", "word", "tree", "house"]) for _ in range(rng.randrange(1, 5))) for _ in range(400)]
