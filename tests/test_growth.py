@@ -39,3 +39,32 @@ def more_stops(tmp_path_factory, sf):
 def test_a_stop_on_an_edge_is_in_one_tile(name, spark, more_stops):
     assert more_stops[1].execute("SELECT count(*) FROM supplier WHERE (s_suppkey * 37) % 400 = 325 AND s_suppkey % 23 <> 22 AND s_suppkey % 17 <> 16").fetchone()[0]
     agree(name, spark, more_stops)
+
+
+def test_every_stop_is_asked_on_every_tile(spark, sf):
+    path = sf.replace("sf0.001", "sf0.01")
+    tiles = duckdb.connect().execute(f"SELECT floor(count(*) / 576) FROM '{path}/part.parquet'").fetchone()[0]
+    stops = duckdb.connect().execute(f"SELECT count(*) FROM '{path}/supplier.parquet'").fetchone()[0]
+    assert tiles > 1 and Q["point_elevations"](spark, path).count() == tiles * stops
+
+
+@pytest.mark.parametrize("name", ("points_in_polygons", "segments_in_polygons", "segments_of_components"))
+def test_every_row_meets_every_polygon(name, spark, more_stops):
+    """Polygons lie over one another, so a place is in most of 32 and more of them, not in two."""
+    agree(name, spark, more_stops)
+    path, c = more_stops
+    key = "feature_id" if name.startswith("points") else "segment_id"
+    assert c.execute(f"SELECT max(n) FROM (SELECT count(*) AS n FROM ({S[name]}) GROUP BY {key})").fetchone()[0] > 2
+
+
+def test_long_shapes_are_looked_at_once(spark):
+    """Whether a shape of 60,000 places has two distinct ones: minutes where all are compared with all."""
+    import time
+
+    from tramline.operators import gtfs_import, tiling
+
+    points = spark.range(60_000).selectExpr("1 AS version_id", "1 AS shape_item_id", "CAST(id AS INT) AS shape_pt_sequence", "id / 1e4 AS shape_pt_lat", "id / 2e4 AS shape_pt_lon")
+    still = points.selectExpr("1 AS version_id", "2 AS shape_item_id", "shape_pt_sequence", "5e0 AS shape_pt_lat", "6e0 AS shape_pt_lon")
+    began = time.monotonic()
+    assert [r[0] for r in tiling.valid_shapes(gtfs_import.shapes_seq(points.unionByName(still))).select("shape_item_id").collect()] == [1]
+    assert time.monotonic() - began < 60
