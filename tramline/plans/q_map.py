@@ -291,13 +291,12 @@ def utm_images(spark, sf):
 DEM = "SELECT tile_id, row_no, col_no, (row_no * 100 + col_no * 10 + tile_id + 10000) * 10 AS packed FROM dx_px"
 
 
-STOPS_ON_TILES = "SELECT segment_id AS stop, CAST(segment_id % greatest((SELECT count(DISTINCT tile_id) FROM dx_px), 1) AS INT) AS tile_id, ax AS u, ay AS v FROM fx_segments"
-
-
-@query(f"SELECT stop, tile_id, round(((v * 23) * 100 + (u * 23) * 10 + tile_id) * 1.5e0, 5) AS elevation FROM ({STOPS_ON_TILES}) SEMI JOIN dx_px USING (tile_id)")
+@query("""SELECT stop, tile_id, round(e * 1.5e0, 5) AS elevation FROM (SELECT stop, tile_id, (v * 23) * 100 + (u * 23) * 10 + tile_id AS e FROM (SELECT s.segment_id AS stop, t.tile_id, s.ax AS u, s.ay AS v FROM fx_segments s, (SELECT DISTINCT tile_id FROM dx_px) t))""")
 def point_elevations(spark, sf):
-    """Each stop's elevation on the tile that it is on."""
-    return A.elevation_at(run(spark, sf, STOPS_ON_TILES), run(spark, sf, DEM), 1.5).select("stop", "tile_id", F.round("elevation", 5).alias("elevation"))
+    """Each stop's elevation on every tile."""
+    tiles = fx(spark, sf, "dx_px").select("tile_id").distinct()
+    pts = fx(spark, sf, "fx_segments").select(F.col("segment_id").alias("stop"), F.col("ax").alias("u"), F.col("ay").alias("v"))
+    return A.elevation_at(pts.crossJoin(tiles), run(spark, sf, DEM), 1.5).select("stop", "tile_id", F.round("elevation", 5).alias("elevation"))
 
 
 # Tile measures.
