@@ -53,18 +53,22 @@ def edge_distance(edges: DataFrame, w: int, h: int, most: float, bins: int = 64)
 def in_polygon(points: DataFrame, edges: DataFrame, point_keys: list[str], polygon: str, cell: float) -> DataFrame:
     """(point keys, polygon) of points inside polygons given as ring edges (polygon, ax, ay, bx, by), holes included: an odd number of edges to the right.
 
-    Points meet the polygons whose box touches their cell of a grid, and those pairs the polygon's edges at the point's
-    height, in rows of ``cell``; both joins are by equality.
+    Points meet the polygons whose box touches their cell of a grid, and each polygon brings the edges that pass the cell's row and
+    end to the right of its left side: one join by equality, after which no pair is moved.
     """
     at = lambda c: F.floor(c / cell).cast("long")
     e = edges.select(polygon, "ax", "ay", "bx", "by")
     box = e.groupBy(polygon).agg(*[f(g(a, b)).alias(n) for n, f, g, a, b in (("_w", F.min, F.least, "ax", "bx"), ("_e", F.max, F.greatest, "ax", "bx"), ("_s", F.min, F.least, "ay", "by"), ("_n", F.max, F.greatest, "ay", "by"))])
-    cells = box.withColumn("_col", F.explode(F.sequence(at(F.col("_w")), at(F.col("_e"))))).withColumn("_row", F.explode(F.sequence(at(F.col("_s")), at(F.col("_n")))))
+    rows = e.withColumn("_row", F.explode(F.sequence(at(F.least("ay", "by")), at(F.greatest("ay", "by"))))).withColumn("_last", at(F.greatest("ax", "bx")))
+    each = rows.join(box, polygon).withColumn("_col", F.explode(F.sequence(at(F.col("_w")), F.col("_last"))))
+    cells = each.groupBy(polygon, "_col", "_row").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("_edges"), *[F.first(c).alias(c) for c in ("_w", "_e", "_s", "_n")])
     own = points.select(*point_keys, "x", "y", at(F.col("x")).alias("_col"), at(F.col("y")).alias("_row"))
-    near = own.join(cells, ["_col", "_row"]).filter(F.col("x").between(F.col("_w"), F.col("_e")) & F.col("y").between(F.col("_s"), F.col("_n"))).select(*point_keys, "x", "y", "_row", polygon)
-    rows = e.withColumn("_row", F.explode(F.sequence(at(F.least("ay", "by")), at(F.greatest("ay", "by")))))
-    met = near.join(rows, [polygon, "_row"]).filter(S.ring_crosses("x", "y", "ax", "ay", "bx", "by"))
-    return met.groupBy(*point_keys, polygon).agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1").drop("_n")
+    # A point may meet many polygons: few rows are much work, so both sides are dealt out whatever their size.
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own, cells = own.repartition(n, *point_keys), cells.repartition(n, polygon, "_col", "_row")
+    near = own.join(cells, ["_col", "_row"]).filter(F.col("x").between(F.col("_w"), F.col("_e")) & F.col("y").between(F.col("_s"), F.col("_n")))
+    crossed = F.size(F.filter("_edges", lambda q: S.ring_crosses("x", "y", q["ax"], q["ay"], q["bx"], q["by"])))
+    return near.filter(crossed % 2 == 1).select(*point_keys, polygon)
 
 
 def raster_mask(edges: DataFrame, polygon: str, n: int) -> DataFrame:
