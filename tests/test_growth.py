@@ -68,3 +68,28 @@ def test_long_shapes_are_looked_at_once(spark):
     began = time.monotonic()
     assert [r[0] for r in tiling.valid_shapes(gtfs_import.shapes_seq(points.unionByName(still))).select("shape_item_id").collect()] == [1]
     assert time.monotonic() - began < 60
+
+
+def test_polylines_are_decoded_in_place(spark):
+    from tramline.operators import shapes
+
+    legs = spark.createDataFrame([(1, "_p~iF~ps|U_ulLnnqC_mqNvxq`@"), (2, ""), (3, None), (4, "_p~iF"), (5, "??")], "leg int, shape string")
+    d = shapes.polyline_points(legs, ["leg"], 5)
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, d.collect())) == [(1, 0, 38.5, -120.2), (1, 1, 40.7, -120.95), (1, 2, 43.252, -126.453), (4, 0, 38.5, None), (5, 0, 0.0, 0.0)]
+
+
+def test_boxes_of_one_place_meet_once(spark, monkeypatch):
+    """Ten places with forty boxes each: places are compared, not boxes, and packs of boxes lose and repeat none."""
+    from tramline.functions import spatial
+    from tramline.operators import roads
+
+    monkeypatch.setattr(roads, "PACK", 7)
+    rows = [(i, 13 + i % 10 * 0.004, 52.0, 13 + i % 10 * 0.004 + 0.006, 52.3) for i in range(400)]
+    f = spark.createDataFrame(rows, "feature_id long, west double, south double, east double, north double")
+    b = f.select(f.feature_id.alias("box_id"), spatial.box("west", "south", "east", "north").alias("box"))
+    want = sorted((p[0], q[0]) for p in rows for q in rows if p[1] <= q[3] and p[3] >= q[1])
+    assert sorted((r.feature_id, r.box_id) for r in roads.features_touching(f, b, ["box_id"]).collect()) == want
+    counted = {r.box_id: r.n for r in roads.count_touching(f, b, ["box_id"]).collect()}
+    assert sum(counted.values()) == len(want) and len(counted) == 400
+    assert roads._places_touching(f, b, 12).count() <= 100

@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spatial as S
 
 
+def _decoded(shapes: pd.Series, precision: int) -> list:
+    """The points of each encoded text, all texts at once: values end at a character below 32, and odd ones are negative."""
+    texts = [s or "" for s in shapes]
+    size = np.array([len(s) for s in texts], np.int64)
+    v = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) - 63
+    leg = np.repeat(np.arange(len(texts)), size)
+    start = np.ones(len(v), bool)
+    start[1:] = (v[:-1] < 32) | (leg[1:] != leg[:-1])
+    at = np.flatnonzero(start)
+    if not len(at):
+        return [[] for _ in texts]
+    place = np.arange(len(v)) - np.repeat(at, np.diff(np.append(at, len(v))))
+    z = np.add.reduceat(np.left_shift(v & 31, 5 * place % 64), at)
+    delta, own = np.where(z % 2 == 1, -(z >> 1) - 1, z >> 1), leg[at]
+    # A leg's values alternate between the axes; the sums before it are taken off.
+    first = np.searchsorted(own, own)
+    number = np.arange(len(own)) - first
+    sums = []
+    for axis in (0, 1):
+        total = np.cumsum(np.where(number % 2 == axis, delta, 0))
+        before = np.where(first > 0, total[first - 1], 0)
+        sums.append((total - before) / float(10**precision))
+    lat, lon = np.flatnonzero(number % 2 == 0), sums[1]
+    # The last point of a text that ends midway has no longitude.
+    paired = np.append(own[1:], -1)[lat] == own[lat]
+    points = list(zip((number[lat] // 2).tolist(), sums[0][lat].tolist(), [x if ok else None for x, ok in zip(lon[np.minimum(lat + 1, len(lon) - 1)].tolist(), paired.tolist())]))
+    ends = np.searchsorted(own[lat], np.arange(len(texts) + 1)).tolist()
+    return [points[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def polyline_points(legs: DataFrame, keys: list[str], precision: int = 6) -> DataFrame:
-    """(keys, point, lat, lon) of legs with an encoded ``shape``: characters, then values, then running sums, each a window over one leg."""
-    chars = legs.select(*keys, F.posexplode(F.split("shape", "")).alias("at", "c")).filter("c != ''").withColumn("v", F.ascii("c") - 63)
-    leg = Window.partitionBy(*keys).orderBy("at")
-    # A value ends with a character below 32; the number of ends before a character is its value's place.
-    chars = chars.withColumn("value_no", F.sum((F.col("v") < 32).cast("int")).over(leg) - (F.col("v") < 32).cast("int"))
-    bits = F.expr("shiftleft(cast(v & 31 as bigint), cast(5 * (row_number() over (partition by {} order by at) - 1) as int))".format(", ".join([*keys, "value_no"])))
-    values = chars.withColumn("bits", bits).groupBy(*keys, "value_no").agg(F.sum("bits").alias("z"))
-    delta = F.when(F.col("z") % 2 == 1, -F.floor(F.col("z") / 2) - 1).otherwise(F.floor(F.col("z") / 2))
-    axis = Window.partitionBy(*keys, F.col("value_no") % 2).orderBy("value_no")
-    sums = values.withColumn("s", F.sum(delta).over(axis) / float(10**precision))
-    return sums.groupBy(*keys, F.floor(F.col("value_no") / 2).cast("int").alias("point")).agg(F.max(F.when(F.col("value_no") % 2 == 0, F.col("s"))).alias("lat"), F.max(F.when(F.col("value_no") % 2 == 1, F.col("s"))).alias("lon"))
+    """(keys, point, lat, lon) of legs with an encoded ``shape``: decoded where a leg lies, so nothing is moved or sorted."""
+
+    @F.pandas_udf("array<struct<point: int, lat: double, lon: double>>")
+    def decode(shape: pd.Series) -> pd.Series:
+        return pd.Series(_decoded(shape, precision))
+
+    return legs.select(*keys, F.inline(decode("shape")))
 
 
 def trip_lines_from_legs(points: DataFrame, trip: str, leg: str) -> DataFrame:

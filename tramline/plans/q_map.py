@@ -68,7 +68,7 @@ def features_in_boxes(spark, sf):
 @query(f"SELECT t.feature_id AS box_id, count(*) AS n FROM fx_boxes b JOIN fx_boxes t ON {TOUCH} GROUP BY t.feature_id")
 def features_in_all_boxes(spark, sf):
     boxes = fx(spark, sf, "fx_boxes").select(F.col("feature_id").alias("box_id"), S.box("west", "south", "east", "north").alias("box"))
-    return R.features_touching(fx(spark, sf, "fx_boxes"), boxes, ["box_id"]).groupBy("box_id").agg(F.count(F.lit(1)).alias("n"))
+    return R.count_touching(fx(spark, sf, "fx_boxes"), boxes, ["box_id"])
 
 
 @query("""SELECT feature_id, CASE WHEN NOT (west < 13.5e0 AND east > 13.1e0 AND south < 52.5e0 AND north > 52.1e0) THEN 'area outside the source' WHEN feature_id % 9 = 0 THEN 'negative buffer' END AS error FROM fx_boxes""")
