@@ -93,3 +93,22 @@ def test_boxes_of_one_place_meet_once(spark, monkeypatch):
     counted = {r.box_id: r.n for r in roads.count_touching(f, b, ["box_id"]).collect()}
     assert sum(counted.values()) == len(want) and len(counted) == 400
     assert roads._places_touching(f, b, 12).count() <= 100
+
+
+def test_percentiles_of_blocks_that_are_cut_by_batches(spark):
+    from tramline.operators import rolling
+
+    rows = [(k if k else None, e, e * 350 if e % 9 else None, None if e % 7 == 3 else float((e * 37 + k) % 90)) for k in range(5) for e in range(40)]
+    d = spark.createDataFrame(rows, "k int, e int, ms long, v double")
+    want = {}
+    for k, e, t, _ in rows:
+        own = sorted(v for j, _, u, v in rows if j == k and u is not None and t is not None and t - 3000 <= u <= t and v is not None)
+        want[k, e] = round(own[max(1, -(-len(own) * 9 // 10)) - 1], 6) if own else None
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = rolling.rolling_p90(d, "k", "ms", "v", 3000)
+        # One Python function over all blocks of a task: a group each cost some 5 ms, whatever its size.
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {(r.k, r.e): None if r.p90 is None else round(r.p90, 6) for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,8 +97,8 @@ def percentiles(ms: np.ndarray, buckets: np.ndarray, first: int, width: int, sha
 def rolling_p90(df: DataFrame, key: str, ms: str, value: str, width: int, share: float = 0.9) -> DataFrame:
     """Nearest-rank percentile over buckets of 0.1 ms, capped at one second, of each trailing frame by range: linear in the rows of a key.
 
-    A key's time is cut into blocks of ``SPAN`` windows, and each block also gets the window before it, so a hot key is many tasks. Frames
-    without a value, and rows without a time, have null.
+    A key's time is cut into blocks of ``SPAN`` windows, and each block also gets the window before it, so a hot key is many tasks; a task
+    takes the blocks it has one after another, as small ones are many. Frames without a value, and rows without a time, have null.
     """
     span = SPAN * width
     block, again = F.floor(F.col(ms) / span), F.floor((F.col(ms) + width) / span)
@@ -104,15 +106,43 @@ def rolling_p90(df: DataFrame, key: str, ms: str, value: str, width: int, share:
     dealt = df.withColumn("_k", bucket(value)).select("*", F.explode(F.when(again > block, F.array(block, again)).otherwise(F.array(block))).alias("_block")).withColumn("_own", F.coalesce(F.col("_block") == block, F.lit(True)))
     schema = T.StructType([*df.schema.fields, T.StructField("p90", T.DoubleType())])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if rows[ms].isna().all():
-            return rows[names].assign(p90=np.nan).replace({np.nan: None})
-        rows = rows.sort_values(["_own", ms], kind="stable")
-        first = int((~rows["_own"]).sum())
-        found = percentiles(rows[ms].to_numpy(np.int64), rows["_k"].fillna(-1).to_numpy(np.int64), first, width, share)
-        return rows[names].iloc[first:].assign(p90=np.where(found < 0, np.nan, found * BUCKET_MS)).replace({np.nan: None})
-
-    return dealt.groupBy(key, "_block").applyInPandas(run, schema)
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        """The rows of one block, sorted, that are its own."""
+        first = rows.num_rows - pc.sum(rows["_own"]).as_py()
+        own = rows.slice(first)
+        if rows[ms].null_count:
+            p90 = pa.nulls(own.num_rows, pa.float64())
+        else:
+            got = percentiles(rows[ms].to_numpy().astype(np.int64), pc.fill_null(rows["_k"], -1).to_numpy().astype(np.int64), first, width, share)
+            p90 = pa.array(got * BUCKET_MS, mask=got < 0)
+        return own.select(names).append_column("p90", p90)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for b in batches:
+            rows = pa.Table.from_batches([b])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows]).combine_chunks()
+            starts = [0, *_changes(rows, (key, "_block")), rows.num_rows]
+            done = [found(rows.slice(a, z - a)) for a, z in zip(starts[:-2], starts[1:-1]) if z > a]
+            # The last block may go on in the next batch.
+            waiting = rows.slice(starts[-2])
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+        if waiting is not None and waiting.num_rows:
+            yield from found(waiting).combine_chunks().to_batches()
+
+    return dealt.repartition(key, "_block").sortWithinPartitions(key, "_block", "_own", ms).mapInArrow(run, schema)
+
+
+def _changes(rows: pa.Table, columns: tuple[str, ...]) -> list[int]:
+    """Places at which the value of one of ``columns`` is another than in the row before; null is a value."""
+    n = rows.num_rows
+    changed = np.zeros(max(0, n - 1), bool)
+    for c in columns:
+        a, b = rows[c].slice(0, n - 1), rows[c].slice(1)
+        differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy()
+        changed |= differ | (pc.is_null(a).to_numpy() != pc.is_null(b).to_numpy())
+    return (np.flatnonzero(changed) + 1).tolist()
 
 
 def recent(df: DataFrame, key: str, ms: str, width: int) -> DataFrame:
