@@ -36,29 +36,36 @@ class Revisions(StatefulProcessor):
         request = new["ok"].isna()
         old = self.asked.get()
         asked = max([*([old[0]] if old else []), *map(int, new.loc[request, "revision"])], default=None)
+        # State is read once and written once a batch, however many rows there are: results are brought together before.
+        known = {k[0]: tuple(v) for k, v in self.results.iterator()} if self.results.exists() else {}
+        entries, before = dict(known), None
         for revision, seq, ok, payload in new.loc[~request, ["revision", "seq", "ok", "payload"]].itertuples(index=False):
             revision, seq, ok = int(revision), int(seq), bool(ok)
             shows = ok and payload != ""
             if asked is not None and revision < asked:
-                if shows:
-                    self._show(revision, seq, payload)
+                if shows and (before is None or before[:2] < (revision, seq)):
+                    before = (revision, seq, payload)
                 continue
-            known = self.results.getValue((revision,)) if self.results.containsKey((revision,)) else (-(1 << 62), False, "", -(1 << 62), None)
-            last = (seq, ok, payload) if seq > known[0] else tuple(known[:3])
-            shown = (seq, payload) if shows and seq > known[3] else tuple(known[3:])
-            self.results.updateValue((revision,), (*last, *shown))
+            entry = entries.get(revision, (-(1 << 62), False, "", -(1 << 62), None))
+            last = (seq, ok, payload) if seq > entry[0] else entry[:3]
+            shown = (seq, payload) if shows and seq > entry[3] else entry[3:]
+            entries[revision] = (*last, *shown)
         if asked is not None and (old is None or old[0] != asked):
             self.asked.update((asked,))
-            for revision in [k[0] for k in self.results.keys()] if self.results.exists() else []:
-                if revision < asked:
-                    done = self.results.getValue((revision,))
-                    if done[4] is not None:
-                        self._show(revision, done[3], done[4])
-                    self.results.removeKey((revision,))
+            for revision in [r for r in entries if r < asked]:
+                done = entries.pop(revision)
+                if done[4] is not None and (before is None or before[:2] < (revision, done[3])):
+                    before = (revision, done[3], done[4])
+        for revision in known.keys() - entries.keys():
+            self.results.removeKey((revision,))
+        for revision, entry in entries.items():
+            if known.get(revision) != entry:
+                self.results.updateValue((revision,), entry)
+        if before is not None:
+            self._show(*before)
         if asked is None:
-            yield pd.DataFrame()
             return
-        now = self.results.getValue((asked,)) if self.results.containsKey((asked,)) else None
+        now = entries.get(asked)
         before = self.before.get()
         if now is None or (now[1] and now[2] == ""):
             payload = before[2] if before else None
