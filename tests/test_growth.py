@@ -112,3 +112,43 @@ def test_percentiles_of_blocks_that_are_cut_by_batches(spark):
         assert {(r.k, r.e): None if r.p90 is None else round(r.p90, 6) for r in got.collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ids_are_broadcast_only_where_they_are_few(spark):
+    from tramline.operators import gtfs_import as G
+    from tramline.steps import save
+
+    rows = spark.createDataFrame([("a",), ("b",), ("",), (None,)], "stop string")
+    ids = save(G.id_map(spark.createDataFrame([(0, r, 0, "stop", i) for r, i in enumerate(("b", "a", "b"))], "spec_ord int, row_ord long, ref_ord int, kind string, gtfs_id string")))
+    many, few = (G.translate(rows, ids, {"item_id": ("stop", "stop")}, f) for f in ((), ("stop",)))
+    for d, kept in ((many, False), (few, True)):
+        assert ("BroadcastHashJoin" in d._jdf.queryExecution().executedPlan().toString()) == kept
+        assert {r.stop: r.item_id for r in d.collect()} == {"a": 2, "b": 1, "": None, None: None}
+
+
+def test_rows_are_read_once_for_all_that_they_mention(spark, tmp_path):
+    from tramline.operators import gtfs_import as G
+
+    spark.createDataFrame([(1, "t2", "r", "v", ""), (2, "t1", "r", "", "h")], "row_ord long, trip_id string, route_id string, service_id string, shape_id string").coalesce(1).write.parquet(str(tmp_path / "trips"))
+    trips = G.load(spark.read.parquet(str(tmp_path / "trips")), G.SPECS["trips"] | {"row_ord": ("row_ord", "long")}, 1)
+    found = G.mentions({"trips": trips})
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted(map(tuple, found.collect())) == [(3, 1, 0, "trip", "t2"), (3, 1, 1, "route", "r"), (3, 1, 2, "service", "v"), (3, 2, 0, "trip", "t1"), (3, 2, 1, "route", "r"), (3, 2, 3, "shape", "h")]
+    assert {(r.kind, r.gtfs_id): r.item_id for r in G.id_map(found).collect()} == {("trip", "t2"): 1, ("route", "r"): 2, ("service", "v"): 3, ("trip", "t1"): 4, ("shape", "h"): 5}
+
+
+def test_trips_are_moved_once_before_they_are_packed(spark, sf):
+    from tramline.plans import q_import
+
+    plan = q_import._imported(spark, sf)["stop_times_seq"]._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(trip_item_id" in line for line in plan.splitlines()) == 1
+
+
+def test_cells_are_read_once(spark):
+    """A time names its parts once, not once for each comparison with a bound, and empty cells are not cast."""
+    from tramline.operators import gtfs_import as G
+
+    raw = spark.createDataFrame([("1:02:03", ""), ("", " 1 "), (" 25:00:00", None), ("1:02", "x"), ("a:b:c", "7")], "arrival_time string, pickup_type string")
+    d = G.load(raw, {"at": ("arrival_time", "time"), "pickup": ("pickup_type", "pickup_type")}, 1)
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("element_at") <= 3
+    assert [(r["at"], r.pickup) for r in d.collect()] == [(3723, 0), (None, 1), (90000, 0), (None, 0), (None, 7)]
