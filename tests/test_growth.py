@@ -114,6 +114,11 @@ def test_percentiles_of_blocks_that_are_cut_by_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_items_of_a_sync_are_not_broadcast(spark, sf):
+    """There are as many trips and stops as stop times; the sizes of their packed files say little of the memory that they take on the driver."""
+    assert "Broadcast" not in Q["synced_stop_times"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ids_are_broadcast_only_where_they_are_few(spark):
     from tramline.operators import gtfs_import as G
     from tramline.steps import save
