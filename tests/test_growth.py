@@ -157,3 +157,20 @@ def test_cells_are_read_once(spark):
     d = G.load(raw, {"at": ("arrival_time", "time"), "pickup": ("pickup_type", "pickup_type")}, 1)
     assert d._jdf.queryExecution().optimizedPlan().toString().count("element_at") <= 3
     assert [(r["at"], r.pickup) for r in d.collect()] == [(3723, 0), (None, 1), (90000, 0), (None, 0), (None, 7)]
+
+
+def test_side_cars_are_listed_by_tasks(spark, tmp_path):
+    """Side-cars in a folder and in folders below it; neither are they listed on the driver, nor does each few of them take a task."""
+    from tramline.sources import readers
+
+    (tmp_path / "b" / "c").mkdir(parents=True)
+    side = lambda k: '{"min":[%d,1],"max":[2,3.5]}' % k
+    for k, name in enumerate(("a b%20.png", "b/x.png", "b/c/y.png")):
+        (tmp_path / f"{name}.meta.json").write_text(side(k) + "\n\n")
+    for name in ("b/z.png", "_no.meta.json", "b/.no.meta.json"):
+        (tmp_path / name).write_text(side(9))
+    (tmp_path / "odd.meta.json").write_text("{")
+    d = readers.read_manifest(spark, str(tmp_path))
+    assert "FileScan" not in d._jdf.queryExecution().executedPlan().toString()
+    root = f"file://{tmp_path}/"
+    assert sorted((r.path.removeprefix(root), *r.bounds) for r in d.collect()) == [("a b%20.png", 0.0, 1.0, 2.0, 3.5), ("b/c/y.png", 2.0, 1.0, 2.0, 3.5), ("b/x.png", 1.0, 1.0, 2.0, 3.5), ("odd", None, None, None, None)]
