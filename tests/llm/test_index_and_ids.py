@@ -100,3 +100,22 @@ def test_ids_over_all_of_unicode(which):
         want = library.encode_batch_fast(part, add_special_tokens=False)
         wrong = [t for i, (t, w) in enumerate(zip(part, want)) if ids[at[i] : at[i + 1]].tolist() != w.ids]
         assert not wrong, wrong[:3]
+
+
+def test_examples_are_indexed_in_little_memory():
+    """The index is built on the driver: bytes a posting at the peak, which were 100 while rows were lists of arrays."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tramline.llm import toxicity
+
+    rng = np.random.default_rng(1)
+    vectors = [np.stack([np.sort(rng.choice(200_000, 2000, replace=False)), np.ones(2000, np.int64)], 1).astype(np.int32) for _ in range(200)]
+    tracemalloc.start()
+    try:
+        index = toxicity.Examples(np.ones(200_000), vectors, [0] * 200, list(range(200)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(index.row) > 390_000 and peak < 75 * 400_000

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
@@ -134,9 +135,11 @@ class Vocabulary:
         order = np.argsort(hashed)
         self.hash = hashed[order]
         # The features of each word, by its place in ``hash``.
-        found = [[ids[f] for f in features_of(own[k]) if f in ids] for k in order.tolist()]
-        self.first = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
-        self.features = np.array([f for fs in found for f in fs], np.int64)
+        found, ends = array("q"), array("q", [0])
+        for k in order.tolist():
+            found.extend(ids[f] for f in features_of(own[k]) if f in ids)
+            ends.append(len(found))
+        self.first, self.features = (np.frombuffer(x, np.int64).copy() if len(x) else np.zeros(0, np.int64) for x in (ends, found))
         order = np.argsort(begun)
         self.begun, self.prefix = begun[order], np.array([ids[prefixes[k]] for k in order.tolist()], np.int64)
 
@@ -202,6 +205,7 @@ class Examples:
             kept.setdefault((place[fs[by]].tobytes(), n[by].astype(">u4").tobytes()), []).append(k)
         # Examples with the same leading features stand together, so blocks have tight bounds.
         order = [kept[v] for v in sorted(kept)]
+        del kept
         #: The example of each row.
         self.rank = np.zeros(len(vectors), np.int64)
         for r, own in enumerate(order):
@@ -211,11 +215,13 @@ class Examples:
         self.size = np.array([len(own) for own in self.rows], np.float64)
         self.hits = np.array([sum(y for _, y in own) for own in self.rows], np.float64)
         self.n_blocks = -(-len(order) // BLOCK)
-        units = [self.unit(vectors[own[0]]) for own in order] or [(np.zeros(0, np.int64), np.zeros(0))]
-        feature = np.concatenate([f for f, _ in units])
-        row = np.repeat(np.arange(len(units)), [len(f) for f, _ in units])
-        share = np.concatenate([w for _, w in units])
-        del units, kept
+        lengths = [len(vectors[own[0]]) for own in order]
+        row = np.repeat(np.arange(len(order), dtype=np.int32), lengths)
+        # Laid one after the other into arrays of the whole size: this runs on the driver.
+        feature, share, at = np.zeros(len(row), np.int32), np.zeros(len(row)), 0
+        for own, n in zip(order, lengths):
+            feature[at : at + n], share[at : at + n] = self.unit(vectors[own[0]])
+            at += n
         # Common features: their places in the matrices of blocks, -1 for others.
         spread = np.bincount(feature, minlength=len(weight))
         common = np.flatnonzero(spread >= max(1, COMMON * len(order)))
@@ -230,16 +236,18 @@ class Examples:
         feature, row, share = feature[~own], row[~own], share[~own]
         by = np.lexsort((row, feature))
         #: Postings of the other features by feature and example.
-        self.row, self.share = row[by].astype(np.int32), share[by]
+        self.row, self.share, feature = row[by], share[by], feature[by]
+        del row, share, by
         # A segment holds the postings of one feature in one block.
-        key = feature[by] * max(1, self.n_blocks) + self.row // BLOCK
+        key = feature.astype(np.int64) * max(1, self.n_blocks) + self.row // BLOCK
         first = np.flatnonzero(np.diff(key, prepend=-1))
         self.start, self.length = first.astype(np.int32), np.diff(first, append=len(key)).astype(np.int32)
+        del key
         self.block = (self.row[first] // BLOCK).astype(np.int32)
         self.top = np.maximum.reduceat(self.share, first) if len(first) else np.zeros(0)
         #: Postings and segments of each feature, as bounds.
-        self.postings = np.searchsorted(feature[by], np.arange(len(weight) + 1))
-        self.segments = np.searchsorted(feature[by][first], np.arange(len(weight) + 1))
+        every = np.arange(len(weight) + 1, dtype=np.int32)
+        self.postings, self.segments = np.searchsorted(feature, every), np.searchsorted(feature[first], every)
 
     @cached_property
     def matrices(self) -> np.ndarray:
@@ -461,12 +469,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # At most ``sample`` rows.
     rows = texts.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, f array<int>, k array<int>").toArrow()
-    found = []
+    found, b, pairs, ends = [], None, None, None
     for b in rows.to_batches():
         ends = b.column(2).offsets.to_numpy()
         pairs = np.stack([c.values.to_numpy() for c in b.columns[2:]], 1)
         found += [(i, y, pairs[p:q].copy()) for i, y, p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends, ends[1:])]
     found.sort(key=lambda x: x[0])
+    del rows, counted, spread, b, pairs, ends
+    pa.default_memory_pool().release_unused()
     return Model(vocabulary, idf * r, found)
 
 
