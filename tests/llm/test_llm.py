@@ -716,6 +716,19 @@ def test_toxicity_without_labels(spark, odd, none):
     assert toxicity.scores(none, toxicity.fit(none, labels)).count() == 0
 
 
+def test_toxicity_model_stays_out_of_the_driver(spark, odd, monkeypatch):
+    """Vocabulary, examples and model are made and read by tasks."""
+
+    def refuse(*_):
+        raise AssertionError("made on the driver")
+
+    for kind in (toxicity.Vocabulary, toxicity.Examples, toxicity.Model):
+        monkeypatch.setattr(kind, "__init__", refuse)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    model = toxicity.fit(odd, spark.createDataFrame([(i, i % 2) for i in range(13)], "doc_id long, toxic int"))
+    assert toxicity.scores(odd, model).filter("score between 0 and 1").count() == len(ODD)
+
+
 # 9: chat windows.
 def test_windows_keep_budget_and_mask_once(spark):
     rng = random.Random(9)

@@ -18,14 +18,21 @@ Strings of special tokens in a text are ordinary text, as the notes beside the t
 from __future__ import annotations
 
 import os
+import pickle
+import posixpath
 import re
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import file_system
+
 _ENCODERS: dict[tuple, "PieceEncoder"] = {}
+#: Objects read from files, by name.
+_LOADED: dict[str, object] = {}
 #: A character that stands alone between the pieces of a ``words`` batch.
 MARK = "\x01"
 #: Pieces in half of the memory: some 200 bytes each.
@@ -51,9 +58,31 @@ def _strings(of: pa.Array) -> list[str]:
     return of.to_numpy(zero_copy_only=False).tolist()
 
 
-def forget() -> None:
-    """Give up what a worker remembers; tasks that encode nothing call it, as workers outlive their tasks."""
+def forget(keep: str | None = None) -> None:
+    """Give up what a worker remembers, but the object of the file ``keep``; tasks that encode nothing call it, as workers outlive their tasks."""
     _ENCODERS.clear()
+    for name in [n for n in _LOADED if n != keep]:
+        del _LOADED[name]
+
+
+def loaded(uri: str) -> object:
+    """The object that ``store`` wrote; a worker keeps the last one, and gives up all else."""
+    forget(uri)
+    if uri not in _LOADED:
+        fs, inner = file_system(uri)
+        with fs.open_input_file(inner) as f:
+            _LOADED[uri] = pickle.load(f)
+    return _LOADED[uri]
+
+
+def store(made: object, folder: str) -> str:
+    """Write an object to a new file of the folder, by a name of its own, so that attempts of a task don't meet."""
+    uri = posixpath.join(folder, uuid.uuid4().hex)
+    fs, inner = file_system(uri)
+    fs.create_dir(posixpath.dirname(inner))
+    with fs.open_output_stream(inner) as f:
+        pickle.dump(made, f, protocol=5)
+    return uri
 
 
 class PieceEncoder:

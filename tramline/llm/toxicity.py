@@ -20,7 +20,8 @@ vocabulary differ from each other, and one of 10^9 other words meets one of thei
 Score: the votes of these rows weighted by 1 / (distance + ``SOFT``), together with ``PRIOR`` votes for the rate of texts
 without features, then an isotonic step function fitted to leave-one-out votes of the sample.
 
-The model that goes to the tasks is bounded by the words of SAMPLE rows, whatever the input. Defined cases: null and
+The model is bounded by the words of SAMPLE rows, whatever the input. One task makes it and writes it to the shared folder, where
+the tasks that score read it; it never passes the driver. Defined cases: null and
 empty texts, and texts without a word of the sample, get the rate of such texts in the sample, drawn to the rate of all
 of it by one row; rows without a doc_id are never learned from; labels that are null are left out, a doc_id labelled
 twice counts as toxic if any row says so; without a usable label every score is 0; repeated rows are scored each;
@@ -33,8 +34,9 @@ import hashlib
 import math
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, portions, slices, table
-from .pieces import forget
+from .common import materialise, portions, scratch, slices, table
+from .pieces import forget, loaded, store
 
 SAMPLE, FLOOR = 6000, 0.01
 #: What a prefix needs to be a feature; words need nothing.
@@ -217,7 +219,7 @@ class Examples:
         self.n_blocks = -(-len(order) // BLOCK)
         lengths = [len(vectors[own[0]]) for own in order]
         row = np.repeat(np.arange(len(order), dtype=np.int32), lengths)
-        # Laid one after the other into arrays of the whole size: this runs on the driver.
+        # Laid one after the other into arrays of the whole size.
         feature, share, at = np.zeros(len(row), np.int32), np.zeros(len(row)), 0
         for own, n in zip(order, lengths):
             feature[at : at + n], share[at : at + n] = self.unit(vectors[own[0]])
@@ -411,7 +413,32 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+class Fitted(NamedTuple):
+    """A ``Model`` in a file that tasks read, and the few numbers of it that the driver knows: its rate and its steps."""
+
+    file: str
+    prior: float
+    edges: np.ndarray
+    values: np.ndarray
+
+
+def _made(rows: DataFrame, make: Callable[[pa.Table], object], name: str, *also: str) -> tuple[str, list[np.ndarray]]:
+    """The file in the shared folder that holds what one task makes of all the rows: few, whatever the input, and one of nulls
+    besides, so that there is a task. Of that the driver learns the attributes ``also`` alone, numbers or short rows of them."""
+    spark = rows.sparkSession
+    folder = scratch(spark, name)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        made = make(pa.Table.from_batches(batches))
+        few = [np.atleast_1d(getattr(made, a)).astype(np.float64).tolist() for a in also]
+        yield pa.RecordBatch.from_arrays([pa.array([store(made, folder)]), pa.array([few], pa.list_(pa.list_(pa.float64())))], ["file", "few"])
+
+    none = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    file, few = rows.unionByName(none).repartition(1).mapInArrow(run, "file string, few array<array<double>>").first()
+    return file, [np.array(x, np.float64) for x in few]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted:
     own = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` ids and labels: a bounded broadcast. Of repeated ids one text is learned from.
@@ -435,65 +462,70 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     c, d = positive - a, (n - positive) - b
     chi2 = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
     told = table_.withColumn("chi2", F.when((F.col("n") < n) & F.lit(0 < positive < n), chi2)).filter(~F.col("feature").endswith("*") | ((F.col("n") >= LEAST_DF) & (F.col("chi2") >= CHI2)))
-    # All words of at most ``sample`` rows.
-    chosen = told.select("feature", F.greatest(F.lit(FLOOR), F.sqrt(F.col("chi2") / n)).alias("r")).orderBy("feature").toArrow()
-    names, r = chosen["feature"].to_pylist(), chosen["r"].to_numpy()
+    weights = told.select("feature", F.greatest(F.lit(FLOOR), F.sqrt(F.col("chi2") / n)).alias("r"))
+
+    def vocabulary(rows: pa.Table) -> tuple[Vocabulary, np.ndarray]:
+        rows = rows.filter(rows["feature"].is_valid()).sort_by("feature")
+        return Vocabulary(rows["feature"].to_pylist()), rows["r"].to_numpy()
 
-    vocabulary, size = Vocabulary(names), len(names)
-    del names, chosen
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    # All words of at most ``sample`` rows.
+    told_words, _ = _made(weights, vocabulary, "toxic-vocabulary")
 
     def document_frequencies(batches: Iterator[pa.RecordBatch]):
-        forget()
-        found = np.zeros(size + 1, np.int64)
+        own, _ = loaded(told_words)
+        found = np.zeros(own.size + 1, np.int64)
         for b in portions(batches, 0):
             found[-1] += b.num_rows
-            found[:-1] += np.bincount(shared.value.counts(b.column(0).to_pylist())[1], minlength=size)
-        own = np.flatnonzero(found)
-        for at in range(0, len(own), 10_000):
-            part = own[at : at + 10_000]
+            found[:-1] += np.bincount(own.counts(b.column(0).to_pylist())[1], minlength=own.size)
+        some = np.flatnonzero(found)
+        for at in range(0, len(some), 10_000):
+            part = some[at : at + 10_000]
             yield pa.RecordBatch.from_pydict({"f": part.astype(np.int32), "n": found[part]})
 
     spread = docs.select(F.coalesce("text", F.lit(""))).mapInArrow(document_frequencies, "f int, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    df = np.zeros(size + 1)
-    counted = spread.toArrow()
-    df[counted["f"].to_numpy()] = counted["n"].to_numpy()
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]):
+        own, _ = loaded(told_words)
         for b in portions(batches, 1):
-            query, fs, n = shared.value.counts(b.column(1).to_pylist())
+            query, fs, n = own.counts(b.column(1).to_pylist())
             ends = pa.array(np.searchsorted(query, np.arange(b.num_rows + 1)), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (fs, n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists], ["doc_id", "toxic", "f", "k"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists], ["doc_id", "toxic", "fs", "k"])
 
-    # At most ``sample`` rows.
-    rows = texts.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, f array<int>, k array<int>").toArrow()
-    found, b, pairs, ends = [], None, None, None
-    for b in rows.to_batches():
-        ends = b.column(2).offsets.to_numpy()
-        pairs = np.stack([c.values.to_numpy() for c in b.columns[2:]], 1)
-        found += [(i, y, pairs[p:q].copy()) for i, y, p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends, ends[1:])]
-    found.sort(key=lambda x: x[0])
-    del rows, counted, spread, b, pairs, ends
-    pa.default_memory_pool().release_unused()
-    return Model(vocabulary, idf * r, found)
+    rows = texts.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, fs array<int>, k array<int>")
+
+    def model(both: pa.Table) -> Model:
+        own, r = loaded(told_words)
+        counted, both = both.filter(both["f"].is_valid()), both.filter(both["doc_id"].is_valid())
+        df = np.zeros(own.size + 1)
+        df[counted["f"].to_numpy()] = counted["n"].to_numpy()
+        idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+        found = []
+        for b in both.to_batches():
+            ends = b["fs"].offsets.to_numpy()
+            pairs = np.stack([b[c].values.to_numpy() for c in ("fs", "k")], 1)
+            found += [(i, y, pairs[p:q].copy()) for i, y, p, q in zip(b["doc_id"].to_pylist(), b["toxic"].to_pylist(), ends, ends[1:])]
+        found.sort(key=lambda x: x[0])
+        return Model(own, idf * r, found)
+
+    # At most ``sample`` rows, and a number for each of their words.
+    file, (prior, edges, values) = _made(rows.unionByName(spread, allowMissingColumns=True), model, "toxic-model", "prior", "edges", "values")
+    return Fitted(file, float(prior[0]), edges, values)
 
 
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))
 
 
-def scores(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
+def scores(docs: DataFrame, model: Fitted, evidence: bool = True) -> DataFrame:
     """Add ``score`` double and, with ``evidence``, the nearest examples."""
     kept = [f for f in docs.schema.fields if f.name not in ("score", "evidence")]
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType())] + [T.StructField("evidence", EVIDENCE)] * evidence)
     at = [f.name for f in kept].index("text")
     arrow = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    file = model.file
 
     def run(batches: Iterator[pa.RecordBatch]):
-        forget()
-        own = shared.value
+        own = loaded(file)
         for b in portions(batches, at, 500):
             found = own.score(b.column(at).to_pylist())
             new = [pa.array([s for s, _ in found], pa.float64())]
