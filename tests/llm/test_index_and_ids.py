@@ -102,6 +102,29 @@ def test_ids_over_all_of_unicode(which):
         assert not wrong, wrong[:3]
 
 
+@pytest.mark.parametrize("which", range(3))
+def test_a_word_is_remembered_once_whatever_stands_beside_it(which):
+    """Ids and memory of words with many marks before and after them; each such pair was a piece of its own before."""
+    import pyarrow as pa
+
+    _, load, cut, kind = list(coders())[which]
+    ours, library = kind(load, cut), load()
+    library.encode_special_tokens = True
+    words = [a + b + c for a in ("Éb", "kö", "St", "ra") for b in ("ado", "ñel", "ırk") for c in ("wen", "pfi", "lu", "šq", "aux")]
+    marks = [".", ",", ";", ":", "!", "?", ")", "...", "!?", '."', "***", "&&&"]
+    texts = [f"{w}{m} ({w}{m}\n{w}/{w}{m} {w}" for w in words for m in marks]
+    texts += ["", " ", "\n", "a", " a", "a ", "a\n", "\na", "a  b", "a\n\nb", "a \nb", "a\n b", "x\ty. z", "a1, b", "'s don't 's,", "a\u0301. e\u0301", "=\u0338 a=\u0338b", "×a÷b İ."]
+    held = pa.array(["skipped", *texts, "skipped"]).slice(1, len(texts))
+    ids, at = ours.encode(held)
+    want = library.encode_batch_fast(texts, add_special_tokens=False)
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [w.ids for w in want]
+    # A word with and without a space before it, as little letters or not, and the marks.
+    assert len(ours.young) < 3 * len(words)
+    for none in ([], [""], ["", ""]):
+        ids, at = ours.encode(pa.array(none, pa.string()))
+        assert len(ids) == 0 and at.tolist() == [0] * (len(none) + 1)
+
+
 def test_examples_are_indexed_in_little_memory():
     """The index is built on the driver: bytes a posting at the peak, which were 100 while rows were lists of arrays."""
     import tracemalloc

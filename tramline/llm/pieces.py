@@ -6,10 +6,10 @@ A piece ends where no merge can cross, so a text's ids are its pieces' ids in a
 * ``spaces``: before each single space that stands between two characters that are no white space; for byte-level
   vocabularies, whose pattern takes a space with the word after it. A text with other runs of spaces is encoded whole.
 
-A piece that is a word with punctuation after it, and for ``spaces`` perhaps a line feed and another such word, is put
-together from the ids of those parts, as no merge crosses from one to the next. Parts not yet known are encoded many at a
-time. The memory has two halves of at most ``limit`` pieces: a full young half becomes the old one, and what is asked for
-again moves back.
+A piece of letters and punctuation alone, and for ``spaces`` single line feeds between them, is cut on into its runs of
+either, as no merge crosses from one to the next. All cuts of a batch are found at once, from the classes of its bytes, so
+Python sees distinct pieces only. Pieces not yet known are encoded many at a time. The memory has two halves of at most
+``limit`` pieces: a full young half becomes the old one, and what is asked for again moves back.
 
 Strings of special tokens in a text are ordinary text, as the notes beside the tokenizer files have it
 (``encode_special_tokens``); with ``special`` they become the special ids, and texts that hold one are encoded whole.
@@ -20,7 +20,6 @@ from __future__ import annotations
 import os
 import pickle
 import posixpath
-import re
 import uuid
 from collections.abc import Callable
 
@@ -38,12 +37,18 @@ MARK = "\x01"
 #: Pieces in half of the memory: some 200 bytes each.
 REMEMBERED = 500_000
 #: Pieces encoded at a time.
-TOGETHER = 400
-#: A word, punctuation, and perhaps a line feed and another word with or without punctuation. Letters are of blocks in which
-#: all characters are letters, and only those that stay letters under each vocabulary's normaliser: U+0130 is left out, as its lower case
-#: ends in a combining mark, which goes with punctuation after it. The apostrophe is left out, as it may go with what follows.
-_LETTERS, _MARKS = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+", r"[!-&(-/:-@\[-`{-~]+"
-PARTS = re.compile(rf"({_LETTERS})({_MARKS})?(?:(\n)({_LETTERS})({_MARKS})?)?")
+TOGETHER = 1000
+#: Classes of bytes. Letters are of blocks in which all characters are letters (U+00C0 to U+023F), and only those that stay
+#: letters under each vocabulary's normaliser: U+0130 is left out (``_classes``), as its lower case ends in a combining mark,
+#: which goes with punctuation after it. The apostrophe is no mark, as it may go with what follows. A piece with a byte of
+#: another kind is odd and not cut on.
+ODD, LETTER, SIGN, SPACE, FEED = range(5)
+CLASS = np.zeros(256, np.uint8)
+CLASS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = LETTER
+CLASS[[b for b in range(ord("!"), 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = SIGN
+CLASS[ord(" ")], CLASS[ord("\n")] = SPACE, FEED
+LOWER = np.array([ord(chr(b).lower()) if b < 128 else b for b in range(256)], np.uint8)
+CAPITALS = "".join(c for c in map(chr, [*range(ord("A"), ord("Z") + 1), *range(0xC0, 0xDF)]) if c != "\u00D7")
 
 
 def encoder(load: Callable, cut: str, *key: str, limit: int = REMEMBERED, special: bool = False) -> "PieceEncoder":
@@ -58,6 +63,15 @@ def _strings(of: pa.Array) -> list[str]:
     return of.to_numpy(zero_copy_only=False).tolist()
 
 
+def _classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte of UTF-8."""
+    kind = CLASS[data]
+    for lead, *second in ((0xC3, 0x97, 0xB7), (0xC4, 0xB0)):  # the signs of multiplication and division, and U+0130
+        for b in second:
+            kind[:-1][(data[:-1] == lead) & (data[1:] == b)] = ODD
+    return kind
+
+
 def forget(keep: str | None = None) -> None:
     """Give up what a worker remembers, but the object of the file ``keep``; tasks that encode nothing call it, as workers outlive their tasks."""
     _ENCODERS.clear()
@@ -95,91 +109,128 @@ class PieceEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cut, self.limit, self.longest, self.young, self.old = cut, limit, longest, {}, {}
-        # What is known without a space before it is kept under a key with one; no piece has one.
-        self.bare = "" if cut == "words" else " "
+        vocabulary = self.tokenizer.get_vocab()
+        #: Ids that end a word (``words``), that begin with a space (``spaces``).
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         if cut == "words":
             self.mark = np.frombuffer(self.whole([MARK])[0], self.dtype)
+            suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+            self.edge[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+            #: Whether capitals have the ids of small letters.
+            self.folds = self.whole([*CAPITALS]) == self.whole([*CAPITALS.lower()])
         else:
-            vocabulary = self.tokenizer.get_vocab()
             self.feed = np.frombuffer(self.whole(["\n"])[0], self.dtype)
-            self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.spaced[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
+            self.edge[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
-    def _together(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, from texts of many."""
-        chunks = [pieces[k : k + TOGETHER] for k in range(0, len(pieces), TOGETHER)]
+    def _together(self, pieces: list[str], join: str, edges: Callable, last: bool) -> list[bytes]:
+        """Ids of each piece, from texts of many. ``edges``: which ids stand at a piece's edge, as its ``last`` or first one;
+        an id between two pieces is the first's."""
         n, out = self.dtype.itemsize, []
-        words = self.cut == "words"
-        for chunk, coded in zip(chunks, self.whole([f" {MARK} ".join(c) if words else " " + " ".join(c) for c in chunks])):
-            ids = np.frombuffer(coded, self.dtype)
-            at = np.nonzero(ids == self.mark[0] if words else self.spaced[ids])[0]
-            if words and len(self.mark) == 1 and len(at) == len(chunk) - 1:
-                out += [coded[i * n : j * n] for i, j in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)])]
-            elif not words and len(at) == len(chunk):
-                out += [coded[i * n : j * n] for i, j in zip(at.tolist(), [*at[1:].tolist(), len(ids)])]
-            else:  # a piece that holds the mark
-                out += self.whole(chunk if words else [" " + p for p in chunk])
+        chunks = [pieces[k : k + TOGETHER] for k in range(0, len(pieces), TOGETHER)]
+        for chunk, coded in zip(chunks, self.whole([join.join(c) for c in chunks])):
+            at = np.nonzero(edges(np.frombuffer(coded, self.dtype)))[0] + last
+            if len(at) != len(chunk):
+                out += self.whole(chunk)
+                continue
+            cuts = (np.append(at, len(coded) // n) if not last else np.insert(at, 0, 0)) * n
+            cuts = cuts.tolist()
+            out += [coded[i:j] for i, j in zip(cuts, cuts[1:])]
         return out
 
-    def _bare_together(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each of these words and marks with no space before it, from texts with a line each."""
+    def _between(self, pieces: list[str], join: str, mark: np.ndarray) -> list[bytes]:
+        """Ids of each piece, from texts of many with one id ``mark`` between two of them."""
         n, out = self.dtype.itemsize, []
         for k in range(0, len(pieces), TOGETHER):
             chunk = pieces[k : k + TOGETHER]
-            coded = self.whole(["\n".join(chunk)])[0]
+            coded = self.whole([join.join(chunk)])[0]
             ids = np.frombuffer(coded, self.dtype)
-            at = np.nonzero(ids == self.feed[0])[0]
-            if len(self.feed) == 1 and len(at) == len(chunk) - 1:
+            at = np.nonzero(ids == mark[0])[0]
+            if len(mark) == 1 and len(at) == len(chunk) - 1:
                 out += [coded[i * n : j * n] for i, j in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)])]
-            else:
+            else:  # a piece that holds the mark
                 out += self.whole(chunk)
         return out
 
-    def _look_up(self, pieces: list[str]) -> list[bytes | None]:
-        """Ids of each of these distinct pieces; with the cut ``spaces``, None for those that are empty or have white space at an end."""
-        young, old, bare, words = self.young, self.old, self.bare, self.cut == "words"
+    def _new(self, pieces: list[str], odd: bool) -> list[tuple[str, bytes]]:
+        """Pieces with their ids; odd ones are more than a run of letters or marks."""
+        if self.cut == "words":
+            return list(zip(pieces, self._between(pieces, f" {MARK} ", self.mark) if odd else self._together(pieces, " ", self.edge.__getitem__, True)))
+        spaced, bare = [p for p in pieces if p[0] == " "], [p for p in pieces if p[0] != " "]
+        return [*zip(spaced, self._together(spaced, "", self.edge.__getitem__, False)), *zip(bare, self.whole(bare) if odd else self._between(bare, "\n", self.feed))]
+
+    def _look_up(self, pieces: list[str], odd: np.ndarray) -> list[bytes | None]:
+        """Ids of each of these distinct pieces; with the cut ``spaces``, None for odd ones that are a space alone or have white space at an end."""
+        young, old = self.young, self.old
         got = list(map(young.get, pieces))
-        need: dict[str, bytes] = {}
-        apart, whole = [], []
-        for k, b in enumerate(got):
+        missed = [k for k, b in enumerate(got) if b is None]
+        again = list(map(old.get, map(pieces.__getitem__, missed)))
+        young.update((pieces[k], b) for k, b in zip(missed, again) if b is not None)
+        new: tuple[list[str], list[str]] = [], []
+        for k, b, other in zip(missed, again, odd[missed].tolist()):
             if b is not None:
-                continue
-            p = pieces[k]
-            if (b := old.get(p)) is not None:
-                got[k] = young[p] = b
-            elif not words and (not p or p.strip() != p):
-                pass
-            elif (m := PARTS.fullmatch(p)) and m.lastindex > 1:
-                word, mark, feed, second, last = m.groups()
-                parts = [word, *(bare + x for x in (mark, feed, second, last) if x)]
-                apart.append((k, parts))
-                need.update((x, b"") for x in parts if x not in young)
-            else:
-                whole.append(k)
-                need[p] = b""
-        for x in need:
-            if (b := old.get(x)) is not None:
-                need[x] = young[x] = b
-        for own, code in ((lambda x: words or x[:1] != " ", self._together), (lambda x: not words and x[:1] == " ", lambda xs: self._bare_together([x[1:] for x in xs]))):
-            new = [x for x, b in need.items() if not b and own(x)]
-            for x, b in zip(new, code(new)):
-                need[x] = b
-                if len(x) <= self.longest:
-                    young[x] = b
-        for k in whole:
-            got[k] = need[pieces[k]]
-        for k, parts in apart:
-            got[k] = b = b"".join([need[x] if x in need else young[x] for x in parts])
-            if len(parts) == 2 and len(pieces[k]) <= self.longest:
-                young[pieces[k]] = b
+                got[k] = b
+            elif not other:
+                new[0].append(pieces[k])
+            elif self.cut == "words" or ((p := pieces[k].removeprefix(" ")) and p.strip() == p):
+                new[1].append(pieces[k])
+        coded = dict(self._new(new[0], False) + self._new(new[1], True))
+        for k in missed:
+            if got[k] is None:
+                got[k] = coded.get(pieces[k])
+        young.update((p, b) for p, b in coded.items() if len(p) <= self.longest)
         if len(young) > self.limit:
             self.young, self.old = {}, young
         return got
 
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The pieces of all texts in a row, where each text's begin (one more at the end), and which are odd."""
+        words = self.cut == "words"
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        heads = ends[:-1][ends[:-1] < ends[1:]]
+        kind = _classes(data)
+        first = np.zeros(len(data), bool)
+        first[heads] = True
+        if words:
+            kind[kind == FEED] = SPACE
+            outer = first.copy()
+            outer[1:] |= kind[:-1] == SPACE
+            first[1:] |= kind[1:] != kind[:-1]
+            # What remains are the pieces' bytes.
+            kept = kind != SPACE
+            ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(kept, dtype=np.int32)])[ends]
+            data, kind, first, outer = data[kept], kind[kept], first[kept], outer[kept]
+        else:
+            run = (kind == LETTER) | (kind == SIGN)
+            feeds = np.nonzero(kind == FEED)[0]
+            inside = feeds[(feeds > 0) & (feeds < len(data) - 1)]
+            inside = inside[run[inside - 1] & run[inside + 1] & ~first[inside] & ~first[inside + 1]]
+            kind[feeds], kind[inside] = ODD, FEED
+            space = kind == SPACE
+            outer = first | space
+            alone = np.nonzero(space & np.append(outer[1:], True))[0] if len(data) else feeds
+            kind[alone] = ODD
+            first[1:] |= (kind[1:] != kind[:-1]) & ~space[:-1]
+            first |= space
+        at = np.nonzero(outer)[0]
+        odd = np.minimum.reduceat(kind, at) == ODD if len(at) else np.zeros(0, bool)
+        within = np.repeat(odd, np.diff(np.append(at, len(data)))) if odd.any() else None
+        if within is not None:
+            first &= outer | ~within
+        if words and self.folds:
+            low = LOWER[data]
+            low[1:][(data[:-1] == 0xC3) & (data[1:] < 0x9F)] += 0x20
+            data = low if within is None else np.where(within, data, low)
+        starts = np.nonzero(first)[0]
+        cuts = np.append(starts, len(data)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data)))
+        return pieces, np.searchsorted(starts, ends), np.zeros(len(starts), bool) if within is None else within[starts]
+
     def _special(self, texts: pa.Array) -> np.ndarray:
         """Which texts hold the string of a special token that counts."""
         hit = np.zeros(len(texts), bool)
@@ -189,46 +240,28 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more at the end). No text may be null."""
-        words = self.cut == "words"
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " ") if words else texts, " ")
-        flat, at = split.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        flat, at, odd = self._cut(texts)
         coded = flat.dictionary_encode()
         index = coded.indices.to_numpy()
-        special = self._special(texts)
-        if words:
-            found = self._look_up(_strings(coded.dictionary))
-            if special.any():
-                rows = np.nonzero(special)[0]
-                index = index.copy()
-                for k in rows.tolist():
-                    index[at[k] : at[k + 1]] = len(found)
-                # A text has a piece at least, if an empty one.
-                index[at[rows]] = len(found) + 1 + np.arange(len(rows))
-                found += [b"", *self.whole(_strings(texts.take(pa.array(rows))))]
-        else:
-            # A text's first piece has no space before it.
-            heads = _strings(flat.take(pa.array(at[:-1])))
-            follows = np.ones(len(index), bool)
-            follows[at[:-1]] = False
-            used = np.zeros(len(coded.dictionary), bool)
-            used[index[follows]] = True
-            known = np.nonzero(used)[0]
-            found: list = [b""] * len(used)
-            for k, b in zip(known.tolist(), self._look_up(_strings(coded.dictionary.take(pa.array(known))))):
-                found[k] = b
-            odd = np.array([b is None for b in found])
-            whole = np.array([not h or h[-1].isspace() for h in heads], bool) | special
-            if odd.any():
-                whole |= np.add.reduceat(np.concatenate([(odd[index] & follows).astype(np.int64), [0]]), at[:-1])[: len(heads)] > 0 if len(heads) else whole
-                found = [b or b"" for b in found]
+        other = np.zeros(len(coded.dictionary), bool)
+        other[index[odd]] = True
+        found = self._look_up(_strings(coded.dictionary), other)
+        whole = self._special(texts)
+        if lost := [k for k, b in enumerate(found) if b is None]:
+            other[:] = False
+            other[lost] = True
+            whole[np.searchsorted(at, np.nonzero(other[index])[0], "right") - 1] = True
+            for k in lost:
+                found[k] = b""
+        found.append(b"")
+        if whole.any():
+            # Such a text has a piece at least.
+            rows = np.nonzero(whole)[0]
             index = index.copy()
-            index[at[:-1]] = len(found) + np.arange(len(heads))
-            if whole.any():
-                rows = np.nonzero(whole)[0]
-                for k, t in zip(rows.tolist(), _strings(texts.take(pa.array(rows)))):
-                    heads[k] = t
-                    index[at[k] + 1 : at[k + 1]] = len(found) + len(heads)
-            found = [*found, *self.whole(heads), b""]
+            for k in rows.tolist():
+                index[at[k] : at[k + 1]] = len(found) - 1
+            index[at[rows]] = len(found) + np.arange(len(rows))
+            found += self.whole(_strings(texts.take(pa.array(rows))))
         size = np.array([len(b) for b in found], np.int32) // self.dtype.itemsize
         data = np.frombuffer(b"".join(found), self.dtype)
         start = np.cumsum(size, dtype=np.int32) - size
