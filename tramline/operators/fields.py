@@ -50,25 +50,78 @@ def edge_distance(edges: DataFrame, w: int, h: int, most: float, bins: int = 64)
     return out.select("tile_id", "row_no", "col_no", value.alias("value"))
 
 
-def in_polygon(points: DataFrame, edges: DataFrame, point_keys: list[str], polygon: str, cell: float) -> DataFrame:
-    """(point keys, polygon) of points inside polygons given as ring edges (polygon, ax, ay, bx, by), holes included: an odd number of edges to the right.
+#: Points of one place, or polygons of one shape, that are moved together.
+PACK = 512
+
+
+def _shapes(edges: DataFrame, polygon: str) -> tuple[DataFrame, DataFrame]:
+    """Edges of one polygon of each shape (_shape, ax, ay, bx, by), and the polygons of each shape in packs (_shape, _part, _polygons).
+
+    Polygons have one shape when their edges are the same, told by their number and two sums of 64-bit hashes.
+    """
+    ends = ("ax", "ay", "bx", "by")
+    e = edges.select(polygon, *ends).filter(F.col(polygon).isNotNull())
+    total = lambda k: F.sum(F.xxhash64(F.lit(k), *ends, *[F.col(c).isNull() for c in ends]).cast("decimal(20,0)")).alias(f"_h{k}")
+    sign = ["_n", "_h0", "_h1"]
+    signed = e.groupBy(polygon).agg(F.count(F.lit(1)).alias("_n"), total(0), total(1))
+    shapes = signed.groupBy(*sign).agg(F.min(polygon).alias("_shape"), F.ceil(F.count(F.lit(1)) / PACK).alias("_packs"))
+    dealt = signed.join(shapes, sign).withColumn("_part", F.pmod(F.xxhash64(polygon), "_packs"))
+    members = dealt.groupBy("_shape", "_part").agg(F.collect_list(polygon).alias("_polygons"))
+    return e.withColumnRenamed(polygon, "_shape").join(shapes.select("_shape"), "_shape", "left_semi"), members
 
-    Points meet the polygons whose box touches their cell of a grid, and each polygon brings the edges that pass the cell's row and
+
+def _held(places: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+    """(x, y, _shape) of distinct places inside shapes given as ring edges (_shape, ax, ay, bx, by), holes included: an odd number of edges to the right.
+
+    Places meet the shapes whose box touches their cell of a grid, and each shape brings the edges that pass the cell's row and
     end to the right of its left side: one join by equality, after which no pair is moved.
     """
     at = lambda c: F.floor(c / cell).cast("long")
-    e = edges.select(polygon, "ax", "ay", "bx", "by")
-    box = e.groupBy(polygon).agg(*[f(g(a, b)).alias(n) for n, f, g, a, b in (("_w", F.min, F.least, "ax", "bx"), ("_e", F.max, F.greatest, "ax", "bx"), ("_s", F.min, F.least, "ay", "by"), ("_n", F.max, F.greatest, "ay", "by"))])
-    rows = e.withColumn("_row", F.explode(F.sequence(at(F.least("ay", "by")), at(F.greatest("ay", "by"))))).withColumn("_last", at(F.greatest("ax", "bx")))
-    each = rows.join(box, polygon).withColumn("_col", F.explode(F.sequence(at(F.col("_w")), F.col("_last"))))
-    cells = each.groupBy(polygon, "_col", "_row").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("_edges"), *[F.first(c).alias(c) for c in ("_w", "_e", "_s", "_n")])
-    own = points.select(*point_keys, "x", "y", at(F.col("x")).alias("_col"), at(F.col("y")).alias("_row"))
-    # A point may meet many polygons: few rows are much work, so both sides are dealt out whatever their size.
-    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own, cells = own.repartition(n, *point_keys), cells.repartition(n, polygon, "_col", "_row")
+    box = edges.groupBy("_shape").agg(*[f(g(a, b)).alias(n) for n, f, g, a, b in (("_w", F.min, F.least, "ax", "bx"), ("_e", F.max, F.greatest, "ax", "bx"), ("_s", F.min, F.least, "ay", "by"), ("_n", F.max, F.greatest, "ay", "by"))])
+    rows = edges.withColumn("_row", F.explode(F.sequence(at(F.least("ay", "by")), at(F.greatest("ay", "by"))))).withColumn("_last", at(F.greatest("ax", "bx")))
+    each = rows.join(box, "_shape").withColumn("_col", F.explode(F.sequence(at(F.col("_w")), F.col("_last"))))
+    cells = each.groupBy("_shape", "_col", "_row").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("_edges"), *[F.first(c).alias(c) for c in ("_w", "_e", "_s", "_n")])
+    own = places.select("x", "y", at(F.col("x")).alias("_col"), at(F.col("y")).alias("_row"))
+    # A place may meet many shapes: few rows are much work, so both sides are dealt out whatever their size.
+    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own, cells = own.repartition(n, "x", "y"), cells.repartition(n, "_shape", "_col", "_row")
     near = own.join(cells, ["_col", "_row"]).filter(F.col("x").between(F.col("_w"), F.col("_e")) & F.col("y").between(F.col("_s"), F.col("_n")))
     crossed = F.size(F.filter("_edges", lambda q: S.ring_crosses("x", "y", q["ax"], q["ay"], q["bx"], q["by"])))
-    return near.filter(crossed % 2 == 1).select(*point_keys, polygon)
+    return near.filter(crossed % 2 == 1).select("x", "y", "_shape")
+
+
+def _packed(rows: DataFrame, place: list[str], keys: list[str]) -> DataFrame:
+    """Packs of ``PACK`` of the distinct ``rows`` (place, keys) of a place: (place, _pack, _slice, _keys: an array of structs). Dealt by hash first, so that a place with many rows is many tasks."""
+    sizes = rows.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / (16 * PACK)).alias("_packs"))
+    dealt = rows.join(sizes, place).withColumn("_pack", F.pmod(F.xxhash64(*keys), "_packs"))
+    packs = dealt.groupBy(*place, "_pack").agg(F.collect_list(F.struct(*keys)).alias("_all"))
+    # Cut to one size: keys in a pack of a multiple of eight are written as the same bytes each time that they come.
+    cut = packs.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / PACK).cast("int"))))
+    return cut.select(*place, "_pack", "_slice", F.slice("_all", F.col("_slice") * PACK + 1, F.lit(PACK)).alias("_keys"))
+
+
+def _spread(packs: DataFrame, members: DataFrame, polygon: str, by: list[str]) -> DataFrame:
+    """(keys, polygon) of packs (_shape, _keys: an array of structs, and the columns ``by`` that tell them apart), each with every polygon of its shape.
+
+    A pair of packs is few bytes and many rows, so these are dealt out whatever their size. Rows of a pair come polygon by polygon, the keys always in the same
+    order: what is written of them packs to a small part of what it takes in any other order.
+    """
+    n = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = packs.join(members, "_shape").repartition(n, *by, "_part")
+    return pairs.select("_keys", F.explode("_polygons").alias(polygon)).select(F.explode("_keys").alias("_k"), polygon).select("_k.*", polygon)
+
+
+def in_polygon(points: DataFrame, edges: DataFrame, point_keys: list[str], polygon: str, cell: float) -> DataFrame:
+    """(point keys, polygon) of points inside polygons given as ring edges (polygon, ax, ay, bx, by), holes included.
+
+    Points of one place and polygons of one shape are tested once (``_held``), and then meet by packs of ``PACK``.
+    """
+    shapes, members = _shapes(edges, polygon)
+    # Rows that are the same in all are told apart by a number, so that a pack holds no more of them than of others.
+    same = points.filter("x is not null and y is not null").groupBy(*point_keys, "x", "y").agg(F.count(F.lit(1)).alias("_n"))
+    packs = _packed(same, ["x", "y", "_n"], point_keys).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    held = _held(same.select("x", "y").distinct(), shapes, cell)
+    return _spread(packs.join(held, ["x", "y"]), members, polygon, ["x", "y", "_n", "_pack", "_slice", "_copy"])
 
 
 def raster_mask(edges: DataFrame, polygon: str, n: int) -> DataFrame:
