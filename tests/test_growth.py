@@ -207,3 +207,20 @@ def test_points_and_polygons_by_packs(spark, monkeypatch, pack):
     got = fields.in_polygon(spark.createDataFrame(points, "id int, x double, y double"), _rings(spark, offsets, {p for p in offsets if p and p % 2}), ["id"], "polygon", 0.25).collect()
     want = [(i, p) for i, x, y in points if x is not None and y is not None for p in offsets if held(p, x, y)]
     assert len(want) > 500 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_pairs_of_segments_and_polygons_are_not_moved(spark):
+    """Segments are made distinct by shape: the pairs, which grow with the square of the tables, were moved to be made distinct."""
+    from tramline.operators import fields
+
+    offsets = {k: k % 3 * 0.25 for k in range(30)}
+    held = lambda p, x, y: offsets[p] <= x < offsets[p] + 1 and 0 < y <= 1
+    # Ids that come several times, at one place and at others, and rows without an id or a place.
+    segs = [(k % 40 if k % 11 else None, k % 7 * 0.3, k % 2 * 0.375 + 0.0625, k % 5 * 0.25, 0.5) for k in range(60)] + [(99, None, 0.5, 0.25, 0.5)]
+    segs += segs[:15]
+    d = fields.component_segments(spark.createDataFrame(segs, "segment_id int, ax double, ay double, bx double, by double"), _rings(spark, offsets), "polygon", 0.25)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [segment_id" in plan and not [line for line in plan.splitlines() if "Aggregate [segment_id" in line and "polygon" in line]
+    want = {(i, p) for i, ax, ay, bx, by in segs for p in offsets for x, y in ((ax, ay), (bx, by), (None if ax is None else (ax + bx) / 2, (ay + by) / 2)) if x is not None and held(p, x, y)}
+    got = [tuple(r) for r in d.collect()]
+    assert len(got) == len(want) > 500 and set(got) == want

@@ -137,10 +137,15 @@ def raster_mask(edges: DataFrame, polygon: str, n: int) -> DataFrame:
 
 
 def component_segments(segs: DataFrame, edges: DataFrame, polygon: str, cell: float) -> DataFrame:
-    """(segment_id, polygon): polygons that hold an end or the middle of a segment."""
+    """(segment_id, polygon): polygons that hold an end or the middle of a segment.
+
+    Each polygon has one shape, so segments are made distinct by shape, before they meet its polygons: the pairs themselves are not moved.
+    """
+    shapes, members = _shapes(edges, polygon)
     ends = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")), ((F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2))])
-    pts = segs.select("segment_id", F.posexplode(ends).alias("at", "p")).select("segment_id", "at", "p.x", "p.y")
-    return in_polygon(pts, edges, ["segment_id", "at"], polygon, cell).select("segment_id", polygon).distinct()
+    pts = segs.select("segment_id", F.inline(ends)).filter("x is not null and y is not null")
+    found = pts.join(_held(pts.select("x", "y").distinct(), shapes, cell), ["x", "y"]).select("segment_id", "_shape").distinct()
+    return _spread(_packed(found, ["_shape"], ["segment_id"]), members, polygon, ["_shape", "_pack", "_slice"])
 
 
 def segments_inside(segs: DataFrame, edges: DataFrame, polygon: str, cell: float) -> DataFrame:
