@@ -224,3 +224,33 @@ def test_pairs_of_segments_and_polygons_are_not_moved(spark):
     want = {(i, p) for i, ax, ay, bx, by in segs for p in offsets for x, y in ((ax, ay), (bx, by), (None if ax is None else (ax + bx) / 2, (ay + by) / 2)) if x is not None and held(p, x, y)}
     got = [tuple(r) for r in d.collect()]
     assert len(got) == len(want) > 500 and set(got) == want
+
+
+@pytest.mark.parametrize("block", (2, 16))
+def test_first_mentions_are_found_by_one_aggregation(spark, monkeypatch, block):
+    """Ids moved twice to find where they are first mentioned, and were sorted for it; rows without a number and ids of many versions among them."""
+    from tramline.operators import gtfs_import as G
+
+    monkeypatch.setattr(G, "BLOCK", block, raising=False)
+    rows = [(v, k * 5 % 8, None if k % 6 == 0 else (k * 37 + (v or 0)) % 50 - 9, k % 4, ("trip", "stop")[k % 2], None if k % 13 == 0 else f"i{k * 7 % 29}") for v in (1, 2, None) for k in range(200)]
+    d = spark.createDataFrame(rows, "version_id int, spec_ord int, row_ord long, ref_ord int, kind string, gtfs_id string")
+    low = lambda p: (p[0], p[1] is not None, p[1] or 0, p[2])
+    for v, own in ((1, d), (None, d.filter("version_id = 2").drop("version_id"))):
+        if v is None:
+            mine = [r[1:] for r in rows if r[0] == 2]
+        else:
+            mine = [r[1:] for r in rows if r[0] == 1]
+        places = {}
+        for spec, row, ref, kind, i in mine:
+            places.setdefault((kind, i), {}).setdefault((spec, ref), []).append(row)
+        first = {}
+        for key, at in places.items():
+            if key[1] is not None:
+                first[key] = min(((s, min((x for x in found if x is not None), default=None), f) for (s, f), found in at.items()), key=low)
+        all_places = sorted([*map(low, first.values()), *(low((s, r, f)) for s, r, f, _, i in mine if i is None)])
+        got = [r for r in G.id_map(own).collect() if v is None or r.version_id == v]
+        assert sorted(r.item_id for r in got) == [*range(1, len(all_places) + 1)]
+        assert {(r.kind, r.gtfs_id): tuple(r["at"]) for r in got if r.gtfs_id is not None} == first
+        assert [low(tuple(r["at"])) for r in sorted(got, key=lambda r: r.item_id)] == all_places
+    plan = G._first_mentions(d.filter("gtfs_id is not null"), ["version_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and sum("Exchange hash" in line for line in plan.splitlines()) == 1
